@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pii, quality_rules
+from . import bpe, chat, packing, pii, quality_rules
 from .common import documents
 
 
@@ -40,8 +40,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def tokenizer_path() -> str:
+    """The default tokenizer file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_windows, op3_pii_spans, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_windows, op3_pii_spans, op5_quality_rules, op6_bpe_automaton, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
