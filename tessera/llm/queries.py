@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pii, quality_rules
+from . import bpe, chat, ngram_join, packing, pii, quality_rules
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(told.unionByName(tricky)))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(documents(spark, sf_dir))
+
+
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = pii.detect(docs, keep_text=False)
@@ -56,7 +60,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_windows, op3_pii_spans, op5_quality_rules, op6_bpe_automaton, op8_packing)}
+    return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op5_quality_rules, op6_bpe_automaton, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
