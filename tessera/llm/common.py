@@ -32,8 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     A lost executor then costs a reread, not a new run of all that came before.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Shuffle files of the written plan go once the driver has collected its plan as garbage.
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: Column) -> Column:

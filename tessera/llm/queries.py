@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ngram_join, packing, pii, quality_rules
+from . import bpe, chat, ngram_join, packing, pii, quality_rules, substring_dedup
 from .common import documents
 
 
@@ -59,8 +59,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op5_quality_rules, op6_bpe_automaton, op8_packing)}
+    return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op5_quality_rules, op6_bpe_automaton, op8_packing, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
