@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ngram_join, packing, pii, quality_rules, substring_dedup
+from . import bpe, chat, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup
 from .common import documents
 
 
@@ -39,6 +39,10 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -64,7 +68,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op5_quality_rules, op6_bpe_automaton, op8_packing, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op4_quality_classifier, op5_quality_rules, op6_bpe_automaton, op8_packing, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
