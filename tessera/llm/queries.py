@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup
+from . import bpe, chat, nearest, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup
 from .common import documents
 
 
@@ -59,6 +59,10 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_nearest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -68,7 +72,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op4_quality_classifier, op5_quality_rules, op6_bpe_automaton, op8_packing, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op4_quality_classifier, op5_quality_rules, op6_bpe_automaton, op7_nearest_graph, op8_packing, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
