@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, nearest, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup
+from . import bpe, chat, language_model, nearest, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup
 from .common import documents
 
 
@@ -71,8 +71,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op4_quality_classifier, op5_quality_rules, op6_bpe_automaton, op7_nearest_graph, op8_packing, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op4_quality_classifier, op5_quality_rules, op6_bpe_automaton, op7_nearest_graph, op8_packing, op9_substring_dedup, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
