@@ -121,7 +121,9 @@ def judge(df: DataFrame, text: str = "text", rules=RULES, keep: Sequence[str] |
 
 def filter_quality(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows that pass, with their columns as they came."""
-    whole = free_name(df, "_row")
-    packed = df.select(F.struct(*df.columns).alias(whole), F.col(text).alias(free_name(df, "_text")))
-    judged = judge(packed, free_name(df, "_text"), rules, [whole])
-    return judged.where("kept").select(f"{whole}.*")
+    whole, body, mark = free_name(df, "_row"), free_name(df, "_text"), free_name(df, "_mark")
+    packed = df.select(F.struct(*df.columns).alias(whole), F.col(text).alias(body))
+    # The mark keeps the optimiser from pushing the filter below the projection that computes the
+    # counts: pushed, their lambdas would evaluate whole columns again for every word.
+    judged = judge(packed, body, rules, [whole]).withColumn(mark, F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col(mark) >= 0)).select(f"{whole}.*")
