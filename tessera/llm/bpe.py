@@ -209,11 +209,18 @@ class Kept(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(self) >= self.bound:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def lacks(self, keys: set) -> list:
+        """Those of the keys that would have to be made."""
+        return [k for k in keys if k not in self and k not in self.old]
 
 
 class Encoder:

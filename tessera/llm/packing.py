@@ -10,17 +10,19 @@ Every Spark partition packs its own documents: no shuffle, no key, memory of one
 open windows.  A lost task is run again from its input and gives the same sequences: their ids are
 the partition's number and a counter.
 
-Token ids come from the tokenizers library, stretch by stretch between white space, with frequent
-stretches kept (the stretches are pre-split independently, so the ids are those of the whole text).
+Token ids come from the tokenizers library, word by word between white space, each different word
+once (the library pre-splits at white space, so the ids are those of the whole text).
 Defined results: a null or empty text is one end token; repeated rows are packed one by one; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,12 @@ import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import Kept, Splitter
+from .words import chunks, split
 
 CAPACITY = 4096
 END_ID = 2
 MAX_OPEN = 512
+KEPT_WORDS = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -113,33 +116,96 @@ class Packer:
                 yield window
 
 
-@cache
-def _library(path: str) -> tuple[Splitter, Kept]:
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        splitter = Splitter(json.load(f))
-    library = tokenizers.Tokenizer.from_file(path)
-    library.no_padding()
-    library.no_truncation()
-
-    def ids(stretch: str) -> bytes:
-        return np.array(library.encode(stretch, add_special_tokens=False).ids, dtype="<u4").tobytes()
+def _pieces(word: str) -> int:
+    """Pre-split words of a plain Latin word: 1, or 2 with a sign behind it; 0 for anything else."""
+    if word.isalpha():
+        return 1 if word.isascii() or max(word) < "\u0100" else 0
+    if word[-1] in ".,;:!?" and word[:-1].isalpha():
+        return 2 if word.isascii() or max(word) < "\u0100" else 0
+    return 0
+
+
+class LibraryIds:
+    """Token ids by the tokenizers library.  A word's ids are kept by its hash, up to ``KEPT_WORDS``."""
+
+    def __init__(self, path: str):
+        # One thread: Spark runs a task on each core already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        suffix = self.library.model.end_of_word_suffix
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each).
+
+        Plain words, with a sign behind them or not, go to the library as one text: the token that
+        ends a pre-split word is known by its suffix.  All others go one by one.
+        """
+        pieces = np.array([_pieces(w) for w in words], np.int64)
+        plain = np.flatnonzero(pieces)
+        count = np.zeros(len(words), np.int64)
+        line = np.zeros(0, np.uint32)
+        if len(plain):
+            line = np.array(self.library.encode_batch_fast([" ".join([words[k] for k in plain])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.final[line]) + 1
+            last = ends[np.cumsum(pieces[plain]) - 1]
+            count[plain] = np.diff(np.r_[0, last])
+        rest = np.flatnonzero(pieces == 0)
+        found = [e.ids for e in self.library.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+        count[rest] = [len(i) for i in found]
+        out = np.zeros(int(count.sum()), np.uint32)
+        mine = np.repeat(pieces > 0, count)
+        out[mine] = line
+        out[~mine] = np.fromiter(chain.from_iterable(found), np.uint32)
+        return out, count
+
+    def _learn(self, words: list[str], hashes: list[int]) -> None:
+        ids, count = self._encode(words)
+        n = len(self.slot)
+        self.slot.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(count)])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        w = split(texts)
+        if not len(w.start):
+            return [self.flat[:0]] * w.docs
+        u, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        if len(self.slot) + len(u) > KEPT_WORDS:
+            self._forget()
+        asked = u.tolist()
+        new = [k for k, h in enumerate(asked) if h not in self.slot]
+        if new:
+            self._learn([w.bytes_of(at[k]).decode() for k in new], [asked[k] for k in new])
+        slot = np.fromiter(map(self.slot.__getitem__, asked), np.int64, len(asked))[back]
+        size = self.begin[slot + 1] - self.begin[slot]
+        end = np.cumsum(size)
+        out = self.flat[np.repeat(self.begin[slot] - (end - size), size) + np.arange(end[-1])]
+        cut = np.r_[0, end][w.first]
+        return [out[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
 
-    return splitter, Kept(ids)
 
-
-def library_ids(path: str) -> Callable[[str | None], np.ndarray]:
-    """A function from a text to its token ids, by the tokenizers library."""
-    splitter, kept = _library(path)
-    return lambda text: np.frombuffer(b"".join([kept[s] for s in splitter.stretches(text or "")]), dtype="<u4")
+@cache
+def library_ids(path: str) -> LibraryIds:
+    """One for each Python worker and tokenizer file."""
+    return LibraryIds(path)
 
 
 def pack(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Rows by piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = library_ids(path), np.array([end_id], dtype="<u4")
+        library, end = library_ids(path), np.array([end_id], dtype="<u4")
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 36
         packer, out = Packer(capacity), []
@@ -158,9 +224,10 @@ def pack(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_I
             out.clear()
             return pa.RecordBatch.from_arrays(columns, NAMES)
 
-        for batch in batches:
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keep(packer.place(doc_id, np.concatenate([ids_of(t.as_py()), end])))
+        for batch in chunks(batches, text):
+            found = library.ids(batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+                keep(packer.place(doc_id, np.concatenate([ids, end])))
             if len(out) > 10_000:
                 yield rows()
         keep(packer.flush())
