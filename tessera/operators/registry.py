@@ -125,8 +125,8 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     weighted = e.groupBy("u", "v").agg(F.count("*").alias("m")).join(degree, "u").select("u", "v", (F.col("m") / F.col("d")).alias("w")).persist()
     nodes = e.select("u").union(e.select("v")).distinct().withColumnRenamed("u", "id")
     nodes = nodes.join(degree.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("d").isNull().alias("dead")).persist()
-    n = nodes.count()
-    rank = nodes.withColumn("r", F.lit(1.0 / max(n, 1)))
+    n = max(nodes.count(), 1)
+    rank = nodes.withColumn("r", F.lit(1.0 / n))
     for _ in range(rounds):
         dead = rank.where("dead").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("dead_mass"))
         got = weighted.join(rank.select(F.col("id").alias("u"), "r"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("s"))
