@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import access, text
-from ..operators import ledger, registry
+from ..operators import gates, ledger, registry, resolve
 from ..sources.registry import table, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +161,44 @@ _add("sha_refs", ("documents",), lambda d: d.select("doc_id", F.array_join(text.
 _add("quote_grounded", ("benchmark", "documents"), lambda b, d: b.select("item_id", F.substring(text.collapsed(F.col("text")), 1, 60).alias("q")).join(d.select("doc_id", F.col("text").alias("span"), (F.col("doc_id") % 40).alias("i")), F.col("item_id") == F.col("i")).select("item_id", "doc_id", text.quote_grounded(F.col("q"), F.col("span")).alias("grounded")), f"SELECT item_id, doc_id, coalesce(contains({_WS.format('d.text')}, trim(substr({_WS.format('b.text')}, 1, 60))), false) AS grounded FROM benchmark b JOIN documents d ON item_id = doc_id % 40")
 
 
+_add("backfill_seq", ("kb_build_run",), gates.backfill_seq, "SELECT kb_version, row_number() OVER (ORDER BY started_at, kb_version) AS seq FROM kb_build_run")
+_add("upsert_source_items", ("source_item",), lambda s: gates.upsert_source_items(s.where("last_seen_min % 7 <> 1"), s.where("last_seen_min % 11 <> 2").withColumn("last_seen_min", F.col("last_seen_min") + 9000)), """SELECT source_type, source_uri, content_hash,
+ CASE WHEN i % 11 <> 2 THEN i + 9000 ELSE i END AS last_seen_min, i % 7 = 1 AS inserted FROM (SELECT *, last_seen_min AS i FROM source_item) WHERE i % 7 <> 1 OR i % 11 <> 2""")
+_add("first_writer_wins", ("source_item",), lambda s: gates.first_writer_wins(s.where("last_seen_min % 3 = 0"), s.where("last_seen_min % 3 > 0"), "content_hash", "last_seen_min").select("source_id", "content_hash"), """SELECT source_id, content_hash FROM source_item WHERE last_seen_min % 3 > 0
+ AND content_hash NOT IN (SELECT content_hash FROM source_item WHERE last_seen_min % 3 = 0) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY last_seen_min) = 1""")
+_add("search_projection", ("knowledge_artifact", "source_item"), lambda a, s: gates.search_projection(a, s, SEQ), f"""SELECT artifact_id, artifact_type, path, coalesce(body_text, search_text, '') AS text, sha256(artifact_id || chr(31) || content_hash) AS doc_hash
+ FROM knowledge_artifact JOIN source_item USING (source_id) WHERE {_MEMBER} AND NOT is_deleted""")
+_add("reconcile_index", ("source_item",), lambda s: gates.reconcile_index(s.where("last_seen_min % 5 > 0"), s.where("last_seen_min % 7 > 0")), """SELECT source_id, CASE WHEN i % 7 = 0 THEN 'upsert' ELSE 'delete' END AS action FROM (SELECT source_id, last_seen_min AS i FROM source_item) WHERE (i % 5 > 0) <> (i % 7 > 0)""")
+_add("publish_gates", ("knowledge_artifact", "doc_edge", "source_item"), lambda a, e, s: gates.publish_gates(a, e, s, SEQ - 1, SEQ), f""", m AS (SELECT * FROM knowledge_artifact WHERE {_MEMBER}), c AS (SELECT count(*) FILTER (valid_from_seq <= {SEQ - 1} AND (invalidated_at_seq IS NULL OR invalidated_at_seq > {SEQ - 1})) AS b, count(*) FILTER {_MEMBER} AS a FROM knowledge_artifact WHERE artifact_type = 'code_symbol'),
+ g AS (SELECT 1 AS position, 'symbol_delta' AS gate, coalesce(abs((a - b)::DOUBLE / nullif(b, 0)), 0) AS value, 0.25 AS most FROM c
+ UNION ALL SELECT 2, 'dangling_citations', (SELECT count(*) FROM m JOIN source_item USING (source_id) WHERE is_deleted), 0
+ UNION ALL SELECT 3, 'ghost_edges', (SELECT count(*) FROM (SELECT DISTINCT from_artifact_id, to_artifact_id, edge_type FROM doc_edge WHERE {_MEMBER} AND (from_artifact_id NOT IN (SELECT artifact_id FROM m) OR to_artifact_id NOT IN (SELECT artifact_id FROM m)))), 0
+ UNION ALL SELECT 4, 'edges_without_evidence', (SELECT count(*) FROM doc_edge WHERE {_MEMBER} AND source = 'linker' AND evidence IS NULL), 0)
+ SELECT position, gate, round(value::DOUBLE, 6) AS value, value <= most AS passed FROM g""")
+_add("table_parity", ("source_item", "knowledge_artifact"), lambda s, a: gates.table_parity({"s": s, "a": a}, {"s": s.where("last_seen_min > 3"), "a": a}), "SELECT 's' AS name, count(*) AS left_rows, count(*) FILTER (last_seen_min > 3) AS right_rows, left_rows = right_rows AS equal FROM source_item UNION ALL SELECT 'a', count(*), count(*), true FROM knowledge_artifact")
+_add("similar_topk", ("embeddings",), lambda e: resolve.similar_topk(e, e.where("vec_id % 50 = 0"), 5), """SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 5""")
+
+
+def _fuzzy(q: DataFrame, a: DataFrame) -> DataFrame:
+    aliases = a.where("title is not null").groupBy(F.lower("title").alias("alias")).agg(F.count("*").alias("confirmations"))
+    return resolve.fuzzy_resolve(q, aliases)
+
+
+_STOP = "(" + ", ".join(f"'{w}'" for w in text.PHRASE_STOP_WORDS) + ")"
+_PHRASE = "array_to_string(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN " + _STOP + "), ' ')"
+_add("fuzzy_resolve", ("search_query", "knowledge_artifact"), _fuzzy, f""", al AS (SELECT lower(title) AS alias, count(*) AS confirmations FROM knowledge_artifact WHERE title IS NOT NULL GROUP BY 1),
+ q AS (SELECT query_id, p AS q, list_distinct(string_split(p, ' ')) AS s FROM (SELECT query_id, {_PHRASE.format('query_text')} AS p FROM search_query) WHERE p <> ''),
+ a AS (SELECT alias, confirmations, p AS a, list_distinct(string_split(p, ' ')) AS s FROM (SELECT *, {_PHRASE.format('alias')} AS p FROM al) WHERE p <> ''),
+ j AS (SELECT query_id, alias, confirmations, CASE WHEN q = a THEN 1.0 ELSE round(len(list_intersect(q.s, a.s))::DOUBLE / (len(q.s) + len(a.s) - len(list_intersect(q.s, a.s))), 6) END AS score FROM q JOIN a ON len(list_intersect(q.s, a.s)) > 0)
+ SELECT query_id, alias, score FROM j WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, confirmations DESC, alias) = 1""")
+_add("resolve_targets", ("knowledge_artifact", "source_item"), lambda a, s: resolve.resolve_targets(s.where("last_seen_min % 2 = 0").select("repo", "path"), a, s), """SELECT repo, path, artifact_id FROM source_item JOIN knowledge_artifact USING (source_id) WHERE last_seen_min % 2 = 0
+ QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY CASE artifact_type WHEN 'code_file' THEN 0 WHEN 'summary' THEN 1 ELSE 2 END, artifact_id) = 1""")
+_add("path_table", ("source_item",), resolve.path_table, "SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) - 1 AS place FROM (SELECT DISTINCT repo, path FROM source_item)")
+_add("normalize_text", ("documents",), lambda d: d.select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("h")), """SELECT doc_id, sha256(CASE WHEN t = '' THEN '' ELSE t || chr(10) END) AS h FROM (SELECT doc_id,
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\f]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '') AS t FROM documents)""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
