@@ -79,5 +79,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_windows, op2_ngram_jaccard, op3_pii_spans, op4_quality_classifier, op5_quality_rules, op6_bpe_automaton, op7_nearest_graph, op8_packing, op9_substring_dedup, op10_language_model)}
 
 
+_SPLIT = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SQL2 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT.format(_LOWER)} AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) ON a = d.doc_id"""
+
+
+def _sql5() -> str:
+    """The rules of the table as SQL, over counts that SQL makes its own way."""
+    parts = []
+    for _, numerator, denominator, comparison, threshold in quality_rules.RULES:
+        parts.append(f"{numerator} {comparison} {threshold}" if denominator is None else f"{numerator} * 100 {comparison} {denominator} * {round(threshold * 100)}")
+    stop = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_SPLIT.format("text")} AS w,
+ list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+ p AS (SELECT doc_id, i, array_to_string(w[i : i + 4], chr(1)) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+ r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM p), range(5) t(k) WHERE c > 1 GROUP BY 1),
+ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+ CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines,
+ CAST(len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id))
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, ({" AND ".join(parts)}) AS kept FROM m"""
+
+
+_SQL9 = f"""WITH d AS (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents),
+ p AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+ x AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM p) WHERE r > 1),
+ c AS (SELECT DISTINCT doc_id, i + k AS i FROM x, range(20) t(k)),
+ u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM u ANTI JOIN c USING (doc_id, i) GROUP BY 1)
+ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL states the whole result; the others are tested against brute force."""
+    return {"op2_ngram_jaccard": _SQL2, "op5_quality_rules": _sql5(), "op9_substring_dedup": _SQL9}
