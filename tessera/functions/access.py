@@ -51,11 +51,14 @@ def trust_admits(trust: Column, floor: str, include_inferred: bool) -> Column:
 
 
 def source_kind(source_type: Column, artifact_type: Column) -> Column:
+    """code, adr, card, pr, doc or other: the artifact's own type first where it is code, then in fixed order."""
+    s, a = F.lower(F.coalesce(source_type, F.lit(""))), F.lower(artifact_type)
     return (
-        F.when(artifact_type.isin("code_symbol", "code_file"), "code")
-        .when((artifact_type == "commit") | (source_type == "git_metadata"), "pr")
-        .when(source_type == "ado_card", "card")
-        .when(source_type.isin("github_doc", "azure_wiki"), "doc")
+        F.when(artifact_type.isin("code_file", "code_symbol", "endpoint", "test") | (s == "github_code"), "code")
+        .when(a.isin("adr", "decision"), "adr")
+        .when((s == "ado_card") | a.isin("card", "work_item"), "card")
+        .when((s == "git_metadata") | a.isin("commit", "pull_request", "pr"), "pr")
+        .when(s.isin("github_doc", "azure_wiki") | a.isin("doc_chunk", "chunk", "summary", "concept", "doc"), "doc")
         .otherwise("other")
     )
 

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 # Words that carry no meaning in alias phrases and queries.
 PHRASE_STOP_WORDS = (
-    "a an and are as at be by for from has have in into is it its of on or that the this to was were will with"
+    "a an the and or nor not no is are was were be been being am do does did done of in on at to for with from by as into onto over under "
+    "after before against between during without within about above below out off up down again further it its this that these those there "
+    "here so such both each few more most other some own same too very than then when where which who whom whose why how what while can could "
+    "should would may might must will shall have has had having we our ours you your yours i he she they them their his her also just only "
+    "ever never per via"
 ).split()
-#: name -> pattern of text that tries to steer a reader.
+# Name and pattern of text that tries to steer a reader.
 INJECTION_SIGNALS = {
-    "ignore_instructions": r"(?is)ignore\s+(all\s+)?(previous|prior|above)\s+instructions",
-    "role_override": r"(?is)you\s+are\s+now\s+",
-    "system_prompt": r"(?is)system\s+prompt",
-    "tool_call": r"(?is)<\s*tool_call",
-    "script": r"(?is)<\s*script",
-    "exfiltrate": r"(?is)(send|post|upload)\s+.{0,40}(secret|password|token)",
+    "instruction_override": r"(?is)\b(?:ignore|disregard|forget|override)\b.{0,60}?\b(?:previous|prior|above|earlier|all|any|system)\b.{0,60}?\b(?:instructions?|prompts?|rules?|directives?|policies)\b",
+    "role_reassignment": r"(?i)new\s+system\s+prompt|you\s+are\s+now\b|act\s+as\s+(?:the\s+)?(?:system|admin)",
+    "system_role_marker": r"(?im)^\s*(?:system|assistant|developer)\s*:",
+    "chat_template_token": r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|\[INST\]|<<SYS>>",
+    "secret_exfiltration": r"(?is)\b(?:reveal|print|show|output|leak|exfiltrate|repeat)\b.{0,60}?\b(?:system\s+prompt|secrets?|credentials?|api\s+keys?|passwords?|tokens?)\b",
+    "unicode_obfuscation": "[\u202a-\u202e\u2066-\u2069\u200b-\u200f\ufeff]",
 }
 
 
@@ -94,10 +98,17 @@ def phrase_variants(phrase: Column) -> Column:
     return F.when(many, F.array(F.replace(phrase, F.lit(" "), F.lit("-")), F.replace(phrase, F.lit(" "), F.lit("_")))).otherwise(F.array().cast("array<string>"))
 
 
-def work_item_refs(c: Column) -> Column:
-    """Numbers of work items that a text names as AB#n or PR #n, in order of first mention by form, without repeats."""
-    forms = ("(?i)\\bAB#([0-9]+)", "(?i)\\bPR\\s*#([0-9]+)")
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in forms)))
+# Explicit forms of a work item's number; a bare number is none.
+WORK_ITEM_FORMS = (r"AB#([0-9]+)", r"GH-([0-9]+)", r"(?i)PR\s*#([0-9]+)", r"(?<![\w#-])#([0-9]+)")
+BRANCH_FORMS = (r"AB-([0-9]+)", r"GH-([0-9]+)", r"(?<=/)([0-9]+)(?=[-_/]|$)", r"^([0-9]+)(?=[-_/]|$)")
+
+
+def work_item_refs(c: Column, branch: Column | None = None) -> Column:
+    """Numbers of work items that a text or a branch names, form by form, each once."""
+    found = [F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in WORK_ITEM_FORMS]
+    if branch is not None:
+        found += [F.regexp_extract_all(F.coalesce(branch, F.lit("")), F.lit(p), F.lit(1)) for p in BRANCH_FORMS]
+    return F.array_distinct(F.concat(*found))
 
 
 def sha_refs(c: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import access
 from . import registry
 
-#: Artifact types that the search projection takes.
-PROJECTABLE = ("code_symbol", "code_file", "summary", "source_backed_fact", "concept", "commit")
+# Artifact types that the search projection takes.
+PROJECTABLE = ("concept", "summary", "chunk", "source_backed_fact", "code_symbol", "commit", "alias_reference")
 
 
 def backfill_seq(runs: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def _ranked(q: DataFrame, a: DataFrame, s: DataFrame) -> DataFrame:
 
 _WEIGHTS = "CASE intent " + " ".join(f"WHEN '{i}' THEN CASE kind {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {x}' for k, x in zip(access.KINDS, w, strict=True))} END" for i, w in access.INTENT_WEIGHTS.items()) + " END"
 _add("rank_hits", ("search_query", "knowledge_artifact", "source_item"), _ranked, _SCORED + f""", h AS (SELECT top.*, intent, knowledge_kind, authority_score, centrality_score, is_deleted OR invalidated_at_seq IS NOT NULL AS old,
- CASE WHEN artifact_type IN ('code_symbol', 'code_file') THEN 'code' WHEN artifact_type = 'commit' OR source_type = 'git_metadata' THEN 'pr' WHEN source_type = 'ado_card' THEN 'card' WHEN source_type IN ('github_doc', 'azure_wiki') THEN 'doc' ELSE 'other' END AS kind
+ CASE WHEN artifact_type IN ('code_symbol', 'code_file') OR source_type = 'github_code' THEN 'code' WHEN source_type = 'ado_card' THEN 'card' WHEN artifact_type = 'commit' OR source_type = 'git_metadata' THEN 'pr' ELSE 'doc' END AS kind
  FROM top JOIN knowledge_artifact USING (artifact_id) JOIN source_item USING (source_id) JOIN search_query USING (query_id) WHERE {_VISIBLE}),
  f AS (SELECT *, round(score * ({_WEIGHTS})::DOUBLE * CASE WHEN old THEN 0.6 ELSE 1.0 END::DOUBLE * (1 + 0.25::DOUBLE * centrality_score), 6) AS final FROM h)
  SELECT query_id, artifact_id, final, row_number() OVER (PARTITION BY query_id ORDER BY knowledge_kind = 'source_backed' DESC, authority_score DESC, final DESC, artifact_id DESC) AS position FROM f QUALIFY position <= 5""")
@@ -157,6 +157,8 @@ _add("readable_path", ("source_item",), lambda s: s.select("source_id", text.rea
 _add("snippet", ("knowledge_artifact",), lambda a: a.select("artifact_id", text.snippet(F.col("body_text"), F.col("search_text")).alias("snippet")), "SELECT artifact_id, substr(coalesce(nullif(trim(regexp_replace(body_text, '[ \\t\\r\\n]+', ' ', 'g')), ''), trim(regexp_replace(search_text, '[ \\t\\r\\n]+', ' ', 'g')), ''), 1, 200) AS snippet FROM knowledge_artifact")
 _add("scan_injection", ("pages",), lambda p: p.select("page_id", F.array_join(text.scan_injection(F.col("html")), ",").alias("signals")), "SELECT page_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{n}' END" for n, p in text.INJECTION_SIGNALS.items()) + "], lambda x: x IS NOT NULL), ',') AS signals FROM pages")
 _add("split_identifier", ("events",), lambda e: e.select("event_type", "user_id").distinct().select("user_id", "event_type", F.array_join(text.split_identifier(F.concat(F.lit("onUser"), F.initcap("event_type"), F.lit("_HTTPId"))), " ").alias("words")), "SELECT DISTINCT user_id, event_type, 'on user ' || event_type || ' http id' AS words FROM events")
+_add("work_item_refs", ("source_item",), lambda s: s.select("source_id", F.array_join(text.work_item_refs(F.concat_ws(" ", F.lit("see"), "external_id", F.concat(F.lit("PR #"), (F.col("last_seen_min") % 9).cast("string"))), F.concat(F.lit("fix/"), "source_id", F.lit("-x"))), ",").alias("refs")), """SELECT source_id, CASE WHEN external_id IS NOT NULL THEN CASE WHEN CAST(last_seen_min % 9 AS VARCHAR) = source_id THEN source_id ELSE source_id || ',' || CAST(last_seen_min % 9 AS VARCHAR) END
+ WHEN CAST(last_seen_min % 9 AS VARCHAR) = source_id THEN source_id ELSE CAST(last_seen_min % 9 AS VARCHAR) || ',' || source_id END AS refs FROM source_item""")
 _add("sha_refs", ("documents",), lambda d: d.select("doc_id", F.array_join(text.sha_refs(F.col("text")), ",").alias("refs")), "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\\b([0-9a-f]{7,40})\\b', 1), lambda x: regexp_matches(x, '[a-f]')), ',') AS refs FROM documents")
 _add("quote_grounded", ("benchmark", "documents"), lambda b, d: b.select("item_id", F.substring(text.collapsed(F.col("text")), 1, 60).alias("q")).join(d.select("doc_id", F.col("text").alias("span"), (F.col("doc_id") % 40).alias("i")), F.col("item_id") == F.col("i")).select("item_id", "doc_id", text.quote_grounded(F.col("q"), F.col("span")).alias("grounded")), f"SELECT item_id, doc_id, coalesce(contains({_WS.format('d.text')}, trim(substr({_WS.format('b.text')}, 1, 60))), false) AS grounded FROM benchmark b JOIN documents d ON item_id = doc_id % 40")
 
@@ -167,7 +169,7 @@ _add("upsert_source_items", ("source_item",), lambda s: gates.upsert_source_item
 _add("first_writer_wins", ("source_item",), lambda s: gates.first_writer_wins(s.where("last_seen_min % 3 = 0"), s.where("last_seen_min % 3 > 0"), "content_hash", "last_seen_min").select("source_id", "content_hash"), """SELECT source_id, content_hash FROM source_item WHERE last_seen_min % 3 > 0
  AND content_hash NOT IN (SELECT content_hash FROM source_item WHERE last_seen_min % 3 = 0) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY last_seen_min) = 1""")
 _add("search_projection", ("knowledge_artifact", "source_item"), lambda a, s: gates.search_projection(a, s, SEQ), f"""SELECT artifact_id, artifact_type, path, coalesce(body_text, search_text, '') AS text, sha256(artifact_id || chr(31) || content_hash) AS doc_hash
- FROM knowledge_artifact JOIN source_item USING (source_id) WHERE {_MEMBER} AND NOT is_deleted""")
+ FROM knowledge_artifact JOIN source_item USING (source_id) WHERE {_MEMBER} AND NOT is_deleted AND artifact_type <> 'code_file'""")
 _add("reconcile_index", ("source_item",), lambda s: gates.reconcile_index(s.where("last_seen_min % 5 > 0"), s.where("last_seen_min % 7 > 0")), """SELECT source_id, CASE WHEN i % 7 = 0 THEN 'upsert' ELSE 'delete' END AS action FROM (SELECT source_id, last_seen_min AS i FROM source_item) WHERE (i % 5 > 0) <> (i % 7 > 0)""")
 _add("publish_gates", ("knowledge_artifact", "doc_edge", "source_item"), lambda a, e, s: gates.publish_gates(a, e, s, SEQ - 1, SEQ), f""", m AS (SELECT * FROM knowledge_artifact WHERE {_MEMBER}), c AS (SELECT count(*) FILTER (valid_from_seq <= {SEQ - 1} AND (invalidated_at_seq IS NULL OR invalidated_at_seq > {SEQ - 1})) AS b, count(*) FILTER {_MEMBER} AS a FROM knowledge_artifact WHERE artifact_type = 'code_symbol'),
  g AS (SELECT 1 AS position, 'symbol_delta' AS gate, coalesce(abs((a - b)::DOUBLE / nullif(b, 0)), 0) AS value, 0.25 AS most FROM c
