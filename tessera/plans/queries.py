@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import access, text
-from ..operators import gates, ledger, registry, resolve
+from ..operators import gates, ledger, registry, resolve, versions
 from ..sources.registry import table, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,6 +201,22 @@ _add("normalize_text", ("documents",), lambda d: d.select("doc_id", F.sha2(text.
  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\f]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '') AS t FROM documents)""")
 
 
+_add("judgment_cache_key", ("doc_edge",), lambda e: e.select("from_artifact_id", "to_artifact_id", versions.judgment_cache_key(F.sha2("to_artifact_id", 256), F.sha2("from_artifact_id", 256), F.lit("v1")).alias("key")), """SELECT from_artifact_id, to_artifact_id,
+ sha256(least(sha256(from_artifact_id), sha256(to_artifact_id)) || chr(31) || greatest(sha256(from_artifact_id), sha256(to_artifact_id)) || chr(31) || 'v1') AS key FROM doc_edge""")
+_add("path_proximity", ("source_item",), lambda s: s.select("source_id", versions.path_proximity(F.col("path"), F.lit("docs/en/deep/x.md")).alias("shared"), versions.is_test_path(F.replace("path", F.lit("item-1"), F.lit("test_1"))).alias("is_test")), """SELECT source_id,
+ CASE WHEN path LIKE 'docs/en/%' THEN 2 ELSE 1 END AS shared, path LIKE '%/item-1%' AS is_test FROM source_item""")
+_add("deletion_sweep", ("knowledge_artifact", "doc_edge", "source_item"), lambda a, e, s: versions.deletion_sweep(a, e, s.where("is_deleted"), SEQ)[1].groupBy("edge_type").agg(F.count("*").alias("edges"), F.count("invalidated_at_seq").alias("swept")), """, g AS (SELECT artifact_id FROM knowledge_artifact JOIN source_item USING (source_id) WHERE is_deleted AND invalidated_at_seq IS NULL)
+ SELECT edge_type, count(*) AS edges, count(*) FILTER (from_artifact_id IN (SELECT artifact_id FROM g) OR to_artifact_id IN (SELECT artifact_id FROM g)) AS swept FROM doc_edge GROUP BY 1""")
+_add("supersession_sweep", ("knowledge_artifact", "source_item"), lambda a, s: versions.supersession_sweep(a, s.where("last_seen_min % 3 = 0"), SEQ).select("artifact_id", F.coalesce(F.col("invalidated_at_seq").cast("long"), F.lit(-1)).cast("long").alias("left_at")), f"""SELECT artifact_id, CAST(coalesce(CASE WHEN last_seen_min % 3 = 0 AND invalidated_at_seq IS NULL AND valid_from_seq < {SEQ} THEN {SEQ} ELSE invalidated_at_seq END, -1) AS BIGINT) AS left_at
+ FROM knowledge_artifact JOIN source_item USING (source_id)""")
+_add("acl_propagate", ("knowledge_artifact", "source_item"), lambda a, s: versions.acl_propagate(a.join(s.select("source_id", "acl_teams", "last_seen_min"), "source_id").withColumn("acl_teams", F.when(F.expr("last_seen_min % 4 = 0"), F.array(F.lit("team_b"))).otherwise(F.col("acl_teams"))), s), """SELECT artifact_id, array_to_string(acl_teams, ',') AS acl
+ FROM knowledge_artifact JOIN source_item USING (source_id) WHERE last_seen_min % 4 = 0 AND list_sort(acl_teams) <> ['team_b']""")
+_add("edge_between", ("doc_edge",), lambda e: versions.edge_between(e.select(F.col("to_artifact_id").alias("x"), F.col("from_artifact_id").alias("y")).distinct(), e), "SELECT to_artifact_id AS x, from_artifact_id AS y, bool_or(trust_class = 'EXTRACTED') AS joined FROM doc_edge GROUP BY ALL")
+_add("verify_evidence", ("benchmark", "knowledge_artifact", "source_item"), lambda b, a, s: versions.verify_evidence(b.select(F.col("item_id").alias("claim_id"), F.explode(F.array(*((F.col("item_id") * m).cast("string") for m in (1, 5, 30)))).alias("artifact_id")), a, s, SEQ, TEAMS), f""", c AS (SELECT item_id AS claim_id, CAST(item_id * m AS VARCHAR) AS artifact_id FROM benchmark, (VALUES (1), (5), (30)) t(m)),
+ j AS (SELECT claim_id, k.artifact_id IS NULL AS a, k.artifact_id IS NOT NULL AND NOT {_MEMBER} AS b, coalesce(is_deleted, false) AS c, k.artifact_id IS NOT NULL AND NOT {_VISIBLE} AS d FROM c LEFT JOIN (SELECT * FROM knowledge_artifact JOIN source_item USING (source_id)) k USING (artifact_id))
+ SELECT claim_id, bool_and(NOT (a OR b OR c OR d)) AS passed, concat_ws(',', CASE WHEN bool_or(c) THEN 'deleted' END, CASE WHEN bool_or(b) THEN 'not_member' END, CASE WHEN bool_or(d) THEN 'not_visible' END, CASE WHEN bool_or(a) THEN 'unknown_id' END) AS reasons FROM j GROUP BY 1""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
