@@ -116,20 +116,26 @@ def _sums(labelled: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _descend(x: list[np.ndarray], v: list[np.ndarray], y: np.ndarray, size: int, cost: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L2-regularised hinge loss; the bias is one more feature of value 1."""
-    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(y))
-    norm = np.array([float(a @ a) for a in v]) + 1.0
+def _descend(x: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the L2-regularised hinge loss; the bias is one more feature of value 1.
+
+    A text's values are its places' ratios over the root of their number; they are looked up again
+    at each visit, so memory holds the places only.
+    """
+    w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(y))
+    scale = np.array([1 / np.sqrt(max(len(a), 1)) for a in x])
+    norm = np.array([float((ratio[a] ** 2).sum()) for a in x]) * scale**2 + 1.0
     order = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(y)):
-            grad = y[i] * (float(w[x[i]] @ v[i]) + bias) - 1
+            v = ratio[x[i]] * scale[i]
+            grad = y[i] * (float(w[x[i]] @ v) + bias) - 1
             new = min(max(alpha[i] - grad / norm[i], 0.0), cost[i])
             step = new - alpha[i]
             if step:
                 alpha[i] = new
-                w[x[i]] += step * y[i] * v[i]
+                w[x[i]] += step * y[i] * v
                 bias += step * y[i]
                 moved = max(moved, abs(step))
         if moved < 1e-4:
@@ -181,14 +187,13 @@ def fit(docs: DataFrame, told: DataFrame, sample: int = SAMPLE, bits: int = BITS
     t = _join_small(docs, few).select("text", "y").mapInArrow(run, "y long, places binary").toArrow()
     y = np.where(t["y"].to_numpy() == 1, 1.0, -1.0)
     x = [np.frombuffer(r.as_buffer(), np.int32) for r in t["places"]]
-    v = [ratio[r] / np.sqrt(max(len(r), 1)) for r in x]
     # Both classes weigh the same in all.
     each = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9)) * cost
     fold = np.arange(len(y)) % 5
     # Margins of rows not fitted calibrate the curve.
-    w, bias = _descend([x[i] for i in np.flatnonzero(fold)], [v[i] for i in np.flatnonzero(fold)], y[fold > 0], 1 << bits, each[fold > 0], rounds)
+    w, bias = _descend([x[i] for i in np.flatnonzero(fold)], ratio, y[fold > 0], each[fold > 0], rounds)
     rest = np.flatnonzero(fold == 0)
-    margin = np.array([float(w[x[i]] @ v[i]) + bias for i in rest])
+    margin = np.array([float(w[x[i]] @ ratio[x[i]]) / np.sqrt(max(len(x[i]), 1)) + bias for i in rest])
     slope, shift = _curve(margin, y[rest])
     return Model((w * ratio).astype(np.float32), bias, slope, shift)
 
