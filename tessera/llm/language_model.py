@@ -1,18 +1,19 @@
 """Language-model scoring with an Elias-Fano n-gram trie (operator 10).
 
-Counting: word counts are exact over all training documents.  Bigrams and trigrams are counted for
-the ``VOCABULARY`` most frequent words, and kept when they come ``LEAST`` times; a trigram only
-where both its bigrams are kept.  Tasks count what they read and pack the counts by bucket; a
-bucket is merged in one task, and the number of buckets follows the number of tokens.
+Counting: word counts are exact over all training documents.  All bigrams and trigrams that come
+``LEAST`` times are kept: their words come as often, and so do both bigrams of a trigram, so words
+and bigrams that come less can be passed over when counting.  Tasks count what they read and pack
+the counts by bucket; a bucket is merged in one task, and the number of buckets follows the number
+of tokens.
 
 Model: absolute discounting, interpolated down to the add-one word probability.  Words,
-successors, quantised probabilities and back-off weights lie in ``elias_fano.Trie``, an image of
-bounded size (``MAX_NGRAMS`` for each order: a higher least count is taken, the same for all, if
-more were found), which is broadcast.
+successors, quantised probabilities and back-off weights lie in ``elias_fano.Trie``, an image that
+the driver builds and broadcasts.  Nothing bounds it: it grows with the n-grams kept, and so does
+the driver's memory.
 
-Scoring: one pass over whole texts.  Counts of the ``HEAD`` most frequent words are broadcast; the
-other words of each document are joined with their counts, so scores are exact for any number of
-distinct words.
+Scoring: one pass over whole texts.  Counts of the ``HEAD`` most frequent words, and of all that
+come ``LEAST`` times, are broadcast; the other words of each document are joined with their counts,
+so scores are exact for any number of distinct words.
 
 Defined results: a null or empty text is one end token; a null id is training, not held out;
 repeated rows are scored (and counted) one by one; without training documents all words are
@@ -35,14 +36,11 @@ from .elias_fano import Trie
 
 HELD_OUT = (7, 2)
 HEAD = 1 << 20
-VOCABULARY = 1 << 16
 LEAST = 3
-MAX_NGRAMS = 1_000_000
 DISCOUNT = 0.75
 BLOCK_TOKENS = 4_000_000
 BUCKET_TOKENS = 2_000_000
 END_HASH = W.mix64(np.array([0xE0D], np.uint64))[0]
-CUTS = (3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 512, 4096, 1 << 20)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,10 +102,7 @@ def _pairs(id_: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_counts(train: DataFrame, buckets: int, keys_of) -> DataFrame:
-    """Rows (bucket, keys, counts, above): merged counts of what ``keys_of(tokens, first)`` names.
-
-    ``above`` says how many keys come at least as often as each of ``CUTS``; keys below the first are dropped.
-    """
+    """Rows (bucket, keys, counts): merged counts of what ``keys_of(tokens, first)`` names, from ``LEAST`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, total = [], 0
@@ -142,31 +137,17 @@ def _gram_counts(train: DataFrame, buckets: int, keys_of) -> DataFrame:
         keep = sums >= LEAST
         keys, sums = keys[keep], sums[keep]
         return pa.table(
-            [t["bucket"].combine_chunks()[:1], pa.array([keys.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()), pa.array([[int((sums >= x).sum()) for x in CUTS]], pa.list_(pa.int64()))],
-            names=["bucket", "keys", "counts", "above"],
+            [t["bucket"].combine_chunks()[:1], pa.array([keys.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())],
+            names=["bucket", "keys", "counts"],
         )
 
     packed = train.select("text").mapInArrow(run, "bucket long, keys binary, counts binary")
-    return written(packed.groupBy("bucket").applyInArrow(merge, "bucket long, keys binary, counts binary, above array<long>"), "grams")
-
-
-def _gathered(merged: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) in order: at most ``bound`` of them, by a least count that holds for all."""
-    above = [0] * len(CUTS)
-    for r in merged.select(F.posexplode("above").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
-        above[r["k"]] = r["n"]
-    least = next((x for x, n in zip(CUTS, above, strict=True) if n <= bound), 1 << 62)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, counts = [], []
-            for k, c in zip(b.column(0), b.column(1), strict=True):
-                k, c = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)
-                keys.append(k[c >= least].tobytes())
-                counts.append(c[c >= least].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["keys", "counts"])
-
-    t = merged.select("keys", "counts").mapInArrow(cut, "keys binary, counts binary").toArrow()
+    return written(packed.groupBy("bucket").applyInArrow(merge, "bucket long, keys binary, counts binary"), "grams")
+
+
+def _gathered(merged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) in order, all of them."""
+    t = merged.select("keys", "counts").toArrow()
     keys, counts = (np.concatenate([np.frombuffer(x.as_buffer(), d) for x in t[n]] or [np.zeros(0, d)]) for n, d in (("keys", np.uint64), ("counts", np.int64)))
     del t
     order = np.argsort(keys)
@@ -183,11 +164,11 @@ def _known(sorted_: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 def train_model(train: DataFrame, head: tuple[np.ndarray, np.ndarray], n_tokens: int, n_distinct: int) -> bytes:
-    """The trie image; ``head`` has the most frequent words' hashes, in order, and their counts."""
+    """The trie image; ``head`` has the hashes, in order, and counts of all words that come ``LEAST`` times, and may have more."""
     sc = train.sparkSession.sparkContext
     hashes, counts = head
-    top = np.sort(np.argsort(-counts, kind="stable")[:VOCABULARY])
-    vocabulary, c1 = hashes[top], counts[top]
+    often = counts >= LEAST
+    vocabulary, c1 = hashes[often], counts[often]
     buckets = max(8, -(-n_tokens // BUCKET_TOKENS))
     words = sc.broadcast(vocabulary)
 
@@ -197,7 +178,7 @@ def train_model(train: DataFrame, head: tuple[np.ndarray, np.ndarray], n_tokens:
         at = at[(id_[at] >= 0) & (id_[at + 1] >= 0)]
         return (id_[at] << 32 | id_[at + 1]).astype(np.uint64)
 
-    key2, c2 = _gathered(_gram_counts(train, buckets, two), MAX_NGRAMS)
+    key2, c2 = _gathered(_gram_counts(train, buckets, two))
     pairs = sc.broadcast(key2)
 
     def three(t: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -209,19 +190,21 @@ def train_model(train: DataFrame, head: tuple[np.ndarray, np.ndarray], n_tokens:
         at = np.flatnonzero((node[:-1] >= 0) & (node[1:] >= 0))
         return (node[at] << 32 | node[at + 1]).astype(np.uint64)
 
-    key3, c3 = _gathered(_gram_counts(train, buckets, three), MAX_NGRAMS)
+    key3, c3 = _gathered(_gram_counts(train, buckets, three))
     words.unpersist()
     pairs.unpersist()
-    level2 = np.stack([key2 >> np.uint64(32), key2 & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
-    level3 = np.stack([key3 >> np.uint64(32), key3 & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
+    halves = lambda k: np.stack([k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)], 1).view(np.int64)
+    level2, level3 = halves(key2), halves(key3)
+    del pairs, key2, key3
     p1 = (c1 + 1) / (n_tokens + n_distinct + 1)
-    share2 = (c2 - DISCOUNT) / c1[level2[:, 0]]
-    rest1 = np.maximum(1 - np.bincount(level2[:, 0], share2, len(c1)), 1e-9)
-    p2 = share2 + rest1[level2[:, 0]] * p1[level2[:, 1]]
-    share3 = (c3 - DISCOUNT) / c2[level3[:, 0]] if len(c3) else np.zeros(0)
-    rest2 = np.maximum(1 - np.bincount(level3[:, 0], share3, len(c2)), 1e-9) if len(c2) else np.zeros(0)
-    p3 = share3 + rest2[level3[:, 0]] * p2[level3[:, 1]] if len(c3) else np.zeros(0)
-    logs = {"probability2": np.log10(p2), "probability3": np.log10(p3), "backoff1": np.log10(rest1), "backoff2": np.log10(rest2)}
+    share = (c2 - DISCOUNT) / c1[level2[:, 0]]
+    rest1 = np.maximum(1 - np.bincount(level2[:, 0], share, len(c1)), 1e-9)
+    p2 = share + rest1[level2[:, 0]] * p1[level2[:, 1]]
+    share = (c3 - DISCOUNT) / c2[level3[:, 0]] if len(c3) else np.zeros(0)
+    rest2 = np.maximum(1 - np.bincount(level3[:, 0], share, len(c2)), 1e-9) if len(c2) else np.zeros(0)
+    p3 = share + rest2[level3[:, 0]] * p2[level3[:, 1]] if len(c3) else np.zeros(0)
+    del share, c2, c3
+    logs = {"probability2": np.log10(p2, out=p2), "probability3": np.log10(p3, out=p3), "backoff1": np.log10(rest1, out=rest1), "backoff2": np.log10(rest2, out=rest2)}
     return Trie.image(vocabulary, level2, level3, logs)
 
 
@@ -249,7 +232,7 @@ def score_documents(df: DataFrame, head_words: int = HEAD) -> DataFrame:
     train = docs.where(~F.col("held_out"))
     counts = written(word_counts(train), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = _least_count(counts, head_words)
+    least = min(_least_count(counts, head_words), LEAST)
     t = counts.where(F.col("c") >= least).toArrow()
     hashes, c = t["w"].to_numpy().view(np.uint64), t["c"].to_numpy()
     order = np.argsort(hashes)

@@ -336,3 +336,12 @@ def test_language_model(spark, texts, head):
         if head > 40:
             assert r["score"] == pytest.approx(score, rel=0.02, abs=0.5)  # probabilities are quantised
     assert language_model.score_documents(empty(spark)).count() == 0
+
+
+def test_language_model_keeps_all_ngrams(spark):
+    """N-grams of words outside the ``head`` most frequent ones count too."""
+    rows = [(i, " ".join(f"w{(i // 8) * 20 + k}" for k in range(20))) for i in range(400)]
+    told = brute_scores(rows)
+    for head in (1 << 21, 40):
+        for r in language_model.score_documents(spark.createDataFrame(rows, DOCS), head).collect():
+            assert r["score"] == pytest.approx(told[r["doc_id"]][4], rel=0.02, abs=0.5)
