@@ -51,3 +51,24 @@ def path_table(sources: DataFrame) -> DataFrame:
     """Distinct paths with their places in order, by repository."""
     p = sources.select("repo", "path").distinct()
     return p.select("repo", "path", (F.row_number().over(Window.partitionBy("repo").orderBy("path")) - 1).alias("place"))
+
+
+def grounded_quotes(quotes: DataFrame, spans: DataFrame) -> DataFrame:
+    """All pairs (item_id, doc_id) where the whole quote stands in the span, white space collapsed in both.
+
+    A quote's inner words stand whole in any span that holds it, so one run of up to five of them
+    finds the candidates by an equi join on hashes.  Quotes without inner words are compared with
+    every span.
+    """
+    q = quotes.select("item_id", text.collapsed(F.col("text")).alias("q")).where("q <> ''")
+    q = q.withColumn("inner", F.expr("slice(split(q, ' '), 2, greatest(least(size(split(q, ' ')) - 2, 5), 0))")).withColumn("k", F.size("inner"))
+    d = spans.select("doc_id", text.collapsed(F.col("text")).alias("d")).where("d <> ''")
+    sizes = [r["k"] for r in q.where("k > 0").select("k").distinct().orderBy("k").collect()]
+    hit = F.contains(F.col("d"), F.col("q"))
+    out = d.join(q.where("k = 0"), hit).select("item_id", "doc_id")
+    words = d.withColumn("w", F.split("d", " "))
+    for k in sizes:
+        runs = F.expr(f"array_distinct(transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(w, i, {k}))))")
+        found = words.where(F.size("w") >= k).select("doc_id", "d", F.explode(runs).alias("h")).join(q.where(F.col("k") == k).select("item_id", "q", F.xxhash64("inner").alias("h")), "h")
+        out = out.unionAll(found.where(hit).select("item_id", "doc_id"))
+    return out

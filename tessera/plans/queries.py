@@ -162,6 +162,8 @@ _add("work_item_refs", ("source_item",), lambda s: s.select("source_id", F.array
 _add("sha_refs", ("documents",), lambda d: d.select("doc_id", F.array_join(text.sha_refs(F.col("text")), ",").alias("refs")), "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\\b([0-9a-f]{7,40})\\b', 1), lambda x: regexp_matches(x, '[a-f]')), ',') AS refs FROM documents")
 _add("quote_grounded", ("benchmark", "documents"), lambda b, d: b.select("item_id", F.substring(text.collapsed(F.col("text")), 1, 60).alias("q")).join(d.select("doc_id", F.col("text").alias("span"), (F.col("doc_id") % 40).alias("i")), F.col("item_id") == F.col("i")).select("item_id", "doc_id", text.quote_grounded(F.col("q"), F.col("span")).alias("grounded")), f"SELECT item_id, doc_id, coalesce(contains({_WS.format('d.text')}, trim(substr({_WS.format('b.text')}, 1, 60))), false) AS grounded FROM benchmark b JOIN documents d ON item_id = doc_id % 40")
 
+_add("grounded_quotes", ("benchmark", "documents"), resolve.grounded_quotes, f"SELECT item_id, doc_id FROM (SELECT item_id, {_WS.format('text')} AS q FROM benchmark) JOIN (SELECT doc_id, {_WS.format('text')} AS d FROM documents) ON q <> '' AND contains(d, q)")
+
 
 _add("backfill_seq", ("kb_build_run",), gates.backfill_seq, "SELECT kb_version, row_number() OVER (ORDER BY started_at, kb_version) AS seq FROM kb_build_run")
 _add("upsert_source_items", ("source_item",), lambda s: gates.upsert_source_items(s.where("last_seen_min % 7 <> 1"), s.where("last_seen_min % 11 <> 2").withColumn("last_seen_min", F.col("last_seen_min") + 9000)), """SELECT source_type, source_uri, content_hash,

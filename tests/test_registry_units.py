@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import access, text
-from tessera.operators import registry
+from tessera.operators import registry, resolve
 
 
 def one(spark, column, **values):
@@ -42,3 +42,14 @@ def test_neighbors_by_hop(spark):
     e = spark.createDataFrame([("a", "b", "EXTRACTED"), ("b", "c", "EXTRACTED"), ("c", "d", "AMBIGUOUS")], "from_artifact_id string, to_artifact_id string, trust_class string")
     seeds = spark.createDataFrame([("a",)], "artifact_id string")
     assert {(r["artifact_id"], r["hop"]) for r in registry.neighbors(e, seeds, 5).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_grounded_quotes_takes_all_pairs_and_whole_quotes(spark):
+    long = "lead " + " ".join(f"w{i}" for i in range(40))
+    quotes = [(1, long), (50, "two words"), (51, "x"), (52, " \t"), (53, None), (54, "a  b\nc d"), (55, "a b c")]
+    docs = [(0, f"some {long} more"), (7, long[:-3] + "end"), (8, "twotwo  wordswords"), (9, "pa b c dx"), (9, "pa b c dx"), (10, None), (11, "")]
+    collapsed = lambda t: " ".join((t or "").split())
+    told = sorted((i, d) for i, q in quotes for d, t in docs if collapsed(q) and collapsed(q) in collapsed(t))
+    schema = "{} long, text string"
+    got = resolve.grounded_quotes(spark.createDataFrame(quotes, schema.format("item_id")), spark.createDataFrame(docs, schema.format("doc_id")))
+    assert sorted(map(tuple, got.collect())) == told and len(told) > 5
