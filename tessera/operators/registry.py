@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import access, text
 
+#: Rounds of pagerank between two written tables.
+STEP = 2
+
 
 def members(artifacts: DataFrame, seq: int) -> DataFrame:
     return artifacts.where(access.member(seq))
@@ -113,26 +119,50 @@ def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, include_inferred:
     return seen
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table in the folder that ``spark.checkpoint.dir`` names."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="tessera-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/rank-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, nodes: DataFrame | None = None, tolerance: float = 1e-9) -> DataFrame:
     """Ranks over the largest; parallel edges count, the mass of dead ends is spread evenly.
 
-    A round joins ranks with out-degrees on the edge's origin and sums by target with partial
-    aggregation, so a hub is summed before the shuffle.  Only two totals (nodes, dead mass) go to
-    the driver.  For many rounds, write a table every few to cut the lineage.
+    ``nodes`` (artifact_id) are all that is ranked: edges to others are ignored, and without any
+    edge all ranks are 0.  Left out, the ends of the edges are the nodes.  A round joins ranks with
+    out-degrees on the edge's origin and sums by target with partial aggregation, so a hub is summed
+    before the shuffle.  Every ``STEP`` rounds the ranks are written, and it ends there once the sum
+    of the last round's changes is below ``tolerance``.  Only totals go to the driver.
     """
     e = edges.select(F.col("from_artifact_id").alias("u"), F.col("to_artifact_id").alias("v"))
+    if nodes is None:
+        known = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
+    else:
+        known = nodes.select(F.col("artifact_id").alias("id")).where("id is not null").distinct()
+        e = e.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(known.withColumnRenamed("id", "v"), "v", "left_semi")
     degree = e.groupBy("u").agg(F.count("*").alias("d"))
-    weighted = e.groupBy("u", "v").agg(F.count("*").alias("m")).join(degree, "u").select("u", "v", (F.col("m") / F.col("d")).alias("w")).persist()
-    nodes = e.select("u").union(e.select("v")).distinct().withColumnRenamed("u", "id")
-    nodes = nodes.join(degree.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("d").isNull().alias("dead")).persist()
-    n = max(nodes.count(), 1)
-    rank = nodes.withColumn("r", F.lit(1.0 / n))
-    for _ in range(rounds):
+    weighted = _written(e.groupBy("u", "v").agg(F.count("*").alias("m")).join(degree, "u").select("u", "v", (F.col("m") / F.col("d")).alias("w")))
+    known = _written(known.join(degree.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("d").isNull().alias("dead")))
+    n = max(known.count(), 1)
+    if weighted.isEmpty():
+        return known.select(F.col("id").alias("artifact_id"), F.lit(0.0).alias("centrality"))
+    rank = known.withColumns({"r": F.lit(1.0 / n), "last": F.lit(0.0)})
+    for i in range(1, rounds + 1):
         dead = rank.where("dead").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("dead_mass"))
         got = weighted.join(rank.select(F.col("id").alias("u"), "r"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("s"))
-        rank = nodes.join(got, "id", "left").crossJoin(F.broadcast(dead)).select(
-            "id", "dead", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("dead_mass") / n)).alias("r")
+        rank = rank.select("id", "dead", F.col("r").alias("last")).join(got, "id", "left").crossJoin(F.broadcast(dead)).select(
+            "id", "dead", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("dead_mass") / n)).alias("r"), "last"
         )
+        if i % STEP == 0 or i == rounds:
+            rank = _written(rank)
+            if rank.agg(F.sum(F.abs(F.col("r") - F.col("last")))).first()[0] < tolerance:
+                break
     top = rank.agg(F.max("r").alias("top"))
     return rank.crossJoin(F.broadcast(top)).select(F.col("id").alias("artifact_id"), F.round(F.col("r") / F.col("top"), 6).alias("centrality"))
 

@@ -127,6 +127,10 @@ _rank = "r{i} AS (SELECT v.id, v.dead, 0.15 / (SELECT count(*) FROM v) + 0.85 *
 _add("pagerank", ("knowledge_edge",), lambda e: registry.pagerank(e, rounds=4), ", e AS (SELECT from_artifact_id AS u, to_artifact_id AS v FROM knowledge_edge), d AS (SELECT u, count(*) AS d FROM e GROUP BY 1), v AS (SELECT id, id NOT IN (SELECT u FROM d) AS dead FROM (SELECT u AS id FROM e UNION SELECT v FROM e)), r0 AS (SELECT id, dead, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r FROM v), "
  + ", ".join(_rank.format(i=i, j=i - 1) for i in range(1, 5)) + " SELECT id AS artifact_id, round(r / (SELECT max(r) FROM r4), 6) AS centrality FROM r4")
 
+_add("pagerank_converged", ("knowledge_edge",), registry.pagerank, """, e AS (SELECT from_artifact_id AS u, to_artifact_id AS v FROM knowledge_edge), d AS (SELECT u, count(*) AS d FROM e GROUP BY 1), w AS MATERIALIZED (SELECT u, v, count(*) / any_value(d) AS w FROM e JOIN d USING (u) GROUP BY ALL),
+ v AS MATERIALIZED (SELECT id, id NOT IN (SELECT u FROM d) AS dead, count(*) OVER () AS n FROM (SELECT u AS id FROM e UNION SELECT v FROM e)) SELECT id AS artifact_id, round(r / max(r) OVER (), 6) AS centrality FROM (WITH RECURSIVE x AS (SELECT 0 AS i, id, dead, n, 1.0::DOUBLE / n AS r FROM v UNION ALL
+ SELECT t.i + 1, v.id, v.dead, v.n, 0.15 / v.n + 0.85 * (coalesce(s, 0) + t.m / v.n) FROM v CROSS JOIN (SELECT max(i) AS i, coalesce(sum(r) FILTER (dead), 0) AS m FROM x) t LEFT JOIN (SELECT w.v AS id, sum(x.r * w.w) AS s FROM w JOIN x ON x.id = w.u GROUP BY 1) g ON g.id = v.id WHERE t.i < 100) SELECT id, r FROM x WHERE i = 100)""")
+
 _TOKENS = """, qt AS (SELECT query_id, token FROM (SELECT query_id, token, min(p) AS p FROM (SELECT query_id, unnest(tk) AS token, generate_subscripts(tk, 1) AS p FROM (SELECT query_id, list_filter(string_split_regex(lower(query_text), '[^a-z0-9]+'), lambda x: len(x) >= 2) AS tk FROM search_query)) GROUP BY ALL)
  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= 12), ht AS (SELECT artifact_id, token, 4.0 * contains(lower(coalesce(title, '')), token)::INT + 1.5 * contains(lower(coalesce(search_text, '')), token)::INT + contains(lower(coalesce(body_text, '')), token)::INT AS w
  FROM knowledge_artifact JOIN (SELECT DISTINCT token FROM qt) ON true WHERE w > 0), df AS (SELECT token, count(*) AS df FROM ht GROUP BY 1)"""

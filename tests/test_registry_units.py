@@ -53,3 +53,30 @@ def test_grounded_quotes_takes_all_pairs_and_whole_quotes(spark):
     schema = "{} long, text string"
     got = resolve.grounded_quotes(spark.createDataFrame(quotes, schema.format("item_id")), spark.createDataFrame(docs, schema.format("doc_id")))
     assert sorted(map(tuple, got.collect())) == told and len(told) > 5
+
+
+def brute_ranks(edges, nodes):
+    out = {u: [v for x, v in edges if x == u and v in nodes] for u in nodes}
+    if not any(out.values()):
+        return dict.fromkeys(nodes, 0.0)
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(100):
+        new = dict.fromkeys(nodes, 0.15 / len(nodes) + 0.85 * sum(rank[u] for u in nodes if not out[u]) / len(nodes))
+        for u in nodes:
+            for v in out[u]:
+                new[v] += 0.85 * rank[u] / len(out[u])
+        moved, rank = sum(abs(new[u] - rank[u]) for u in nodes), new
+        if moved < 1e-9:
+            break
+    return {u: r / max(rank.values()) for u, r in rank.items()}
+
+
+def test_pagerank_converges_over_given_nodes(spark):
+    edges = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("b", "gone"), ("gone", "a")]
+    nodes = ["a", "b", "c", "d", "alone"]
+    known = spark.createDataFrame([(x,) for x in [*nodes, "a"]], "artifact_id string")
+    for some in (edges, [("gone", "a")]):
+        got = registry.pagerank(spark.createDataFrame(some, "from_artifact_id string, to_artifact_id string"), nodes=known).collect()
+        told = brute_ranks(some, nodes)
+        assert len(got) == len(nodes)
+        assert all(abs(r["centrality"] - told[r["artifact_id"]]) < 2e-6 for r in got)
