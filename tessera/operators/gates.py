@@ -20,10 +20,11 @@ def backfill_seq(runs: DataFrame) -> DataFrame:
 def upsert_source_items(before: DataFrame, after: DataFrame) -> DataFrame:
     """Inserts or refreshes by source; an unchanged row takes only the new time and access list."""
     keys = ["source_type", "source_uri"]
-    b = before.select(*keys, F.col("content_hash").alias("old_hash"), F.col("last_seen_min").alias("old_seen"))
-    a = after.select(*keys, F.col("content_hash").alias("new_hash"), F.col("last_seen_min").alias("new_seen"))
+    b = before.select(*keys, F.col("content_hash").alias("old_hash"), F.col("last_seen_min").alias("old_seen"), F.col("acl_teams").alias("old_acl"))
+    a = after.select(*keys, F.col("content_hash").alias("new_hash"), F.col("last_seen_min").alias("new_seen"), F.col("acl_teams").alias("new_acl"))
     j = b.join(a, keys, "full")
-    return j.select(*keys, F.coalesce("new_hash", "old_hash").alias("content_hash"), F.coalesce("new_seen", "old_seen").alias("last_seen_min"), F.col("old_seen").isNull().alias("inserted"))
+    acl = F.when(F.col("new_seen").isNotNull(), F.col("new_acl")).otherwise(F.col("old_acl"))
+    return j.select(*keys, F.coalesce("new_hash", "old_hash").alias("content_hash"), F.coalesce("new_seen", "old_seen").alias("last_seen_min"), acl.alias("acl_teams"), F.col("old_seen").isNull().alias("inserted"))
 
 
 def first_writer_wins(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:

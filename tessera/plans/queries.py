@@ -123,6 +123,10 @@ _add("linked_symbol_coverage", ("knowledge_artifact", "doc_edge"), lambda a, e:
 _add("neighbors", ("knowledge_edge",), lambda e: registry.neighbors(e, e.select(F.lit("c7").alias("artifact_id")).distinct(), 2).groupBy("hop").agg(F.count("*").alias("nodes"), F.min("artifact_id").alias("first")), """, x AS (SELECT from_artifact_id AS a, to_artifact_id AS b FROM knowledge_edge WHERE trust_class = 'EXTRACTED'),
  y AS (SELECT a, b FROM x UNION SELECT b, a FROM x), h1 AS (SELECT DISTINCT b FROM y WHERE a = 'c7' AND b <> 'c7'), h2 AS (SELECT DISTINCT y.b FROM y JOIN h1 ON y.a = h1.b WHERE y.b <> 'c7' AND y.b NOT IN (SELECT b FROM h1))
  SELECT 0 AS hop, CAST(1 AS BIGINT) AS nodes, 'c7' AS first UNION ALL SELECT 1, count(*), min(b) FROM h1 HAVING count(*) > 0 UNION ALL SELECT 2, count(*), min(b) FROM h2 HAVING count(*) > 0""")
+_add("neighbors_of_seeds", ("knowledge_edge",), lambda e: registry.neighbors(e, e.select(F.explode(F.array("from_artifact_id", "to_artifact_id")).alias("artifact_id")).distinct().where("cast(substr(artifact_id, 2) as long) % 50 = 0"), 2), """, x AS (SELECT from_artifact_id AS a, to_artifact_id AS b FROM knowledge_edge WHERE trust_class = 'EXTRACTED'),
+ y AS (SELECT a, b FROM x UNION SELECT b, a FROM x), s AS (SELECT id FROM (SELECT from_artifact_id AS id FROM knowledge_edge UNION SELECT to_artifact_id FROM knowledge_edge) WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0),
+ h1 AS (SELECT DISTINCT b FROM y JOIN s ON a = s.id WHERE b NOT IN (SELECT id FROM s)), h2 AS (SELECT DISTINCT y.b FROM y JOIN h1 ON y.a = h1.b WHERE y.b NOT IN (SELECT id FROM s) AND y.b NOT IN (SELECT b FROM h1))
+ SELECT id AS artifact_id, 0 AS hop FROM s UNION ALL SELECT b, 1 FROM h1 UNION ALL SELECT b, 2 FROM h2""")
 _rank = "r{i} AS (SELECT v.id, v.dead, 0.15 / (SELECT count(*) FROM v) + 0.85 * (coalesce(s, 0) + (SELECT coalesce(sum(r), 0) FROM r{j} WHERE dead) / (SELECT count(*) FROM v)) AS r FROM v LEFT JOIN (SELECT e.v AS id, sum(r{j}.r / d) AS s FROM e JOIN d ON d.u = e.u JOIN r{j} ON r{j}.id = e.u GROUP BY 1) g ON g.id = v.id)"
 _add("pagerank", ("knowledge_edge",), lambda e: registry.pagerank(e, rounds=4), ", e AS (SELECT from_artifact_id AS u, to_artifact_id AS v FROM knowledge_edge), d AS (SELECT u, count(*) AS d FROM e GROUP BY 1), v AS (SELECT id, id NOT IN (SELECT u FROM d) AS dead FROM (SELECT u AS id FROM e UNION SELECT v FROM e)), r0 AS (SELECT id, dead, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r FROM v), "
  + ", ".join(_rank.format(i=i, j=i - 1) for i in range(1, 5)) + " SELECT id AS artifact_id, round(r / (SELECT max(r) FROM r4), 6) AS centrality FROM r4")
@@ -170,7 +174,7 @@ _add("grounded_quotes", ("benchmark", "documents"), resolve.grounded_quotes, f"S
 
 
 _add("backfill_seq", ("kb_build_run",), gates.backfill_seq, "SELECT kb_version, row_number() OVER (ORDER BY started_at, kb_version) AS seq FROM kb_build_run")
-_add("upsert_source_items", ("source_item",), lambda s: gates.upsert_source_items(s.where("last_seen_min % 7 <> 1"), s.where("last_seen_min % 11 <> 2").withColumn("last_seen_min", F.col("last_seen_min") + 9000)), """SELECT source_type, source_uri, content_hash,
+_add("upsert_source_items", ("source_item",), lambda s: gates.upsert_source_items(s.where("last_seen_min % 7 <> 1"), s.where("last_seen_min % 11 <> 2").withColumn("last_seen_min", F.col("last_seen_min") + 9000)).drop("acl_teams"), """SELECT source_type, source_uri, content_hash,
  CASE WHEN i % 11 <> 2 THEN i + 9000 ELSE i END AS last_seen_min, i % 7 = 1 AS inserted FROM (SELECT *, last_seen_min AS i FROM source_item) WHERE i % 7 <> 1 OR i % 11 <> 2""")
 _add("first_writer_wins", ("source_item",), lambda s: gates.first_writer_wins(s.where("last_seen_min % 3 = 0"), s.where("last_seen_min % 3 > 0"), "content_hash", "last_seen_min").select("source_id", "content_hash"), """SELECT source_id, content_hash FROM source_item WHERE last_seen_min % 3 > 0
  AND content_hash NOT IN (SELECT content_hash FROM source_item WHERE last_seen_min % 3 = 0) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY last_seen_min) = 1""")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import access, text
-from tessera.operators import registry, resolve
+from tessera.operators import gates, registry, resolve
 
 
 def one(spark, column, **values):
@@ -80,3 +80,11 @@ def test_pagerank_converges_over_given_nodes(spark):
         told = brute_ranks(some, nodes)
         assert len(got) == len(nodes)
         assert all(abs(r["centrality"] - told[r["artifact_id"]]) < 2e-6 for r in got)
+
+
+def test_upsert_takes_the_new_access_list(spark):
+    schema = "source_type string, source_uri string, content_hash string, last_seen_min long, acl_teams array<string>"
+    before = spark.createDataFrame([("t", "same", "h", 1, ["a"]), ("t", "gone", "h", 1, ["b"]), ("t", "open", "h", 1, ["c"])], schema)
+    after = spark.createDataFrame([("t", "same", "h", 2, ["c"]), ("t", "new", "h", 2, ["d"]), ("t", "open", "h", 2, [])], schema)
+    got = {r["source_uri"]: r["acl_teams"] for r in gates.upsert_source_items(before, after).collect()}
+    assert got == {"same": ["c"], "gone": ["b"], "new": ["d"], "open": []}
