@@ -206,6 +206,8 @@ _add("fuzzy_resolve", ("search_query", "knowledge_artifact"), _fuzzy, f""", al A
  SELECT query_id, alias, score FROM j WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, confirmations DESC, alias) = 1""")
 _add("resolve_targets", ("knowledge_artifact", "source_item"), lambda a, s: resolve.resolve_targets(s.where("last_seen_min % 2 = 0").select("repo", "path"), a, s), """SELECT repo, path, artifact_id FROM source_item JOIN knowledge_artifact USING (source_id) WHERE last_seen_min % 2 = 0
  QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY CASE artifact_type WHEN 'code_file' THEN 0 WHEN 'summary' THEN 1 ELSE 2 END, artifact_id) = 1""")
+_add("resolve_all_targets", ("knowledge_artifact", "source_item"), lambda a, s: resolve.resolve_targets(s.select("repo", "path").distinct(), a, s), """SELECT repo, path, artifact_id FROM source_item JOIN knowledge_artifact USING (source_id)
+ QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY CASE artifact_type WHEN 'code_file' THEN 0 WHEN 'summary' THEN 1 ELSE 2 END, artifact_id) = 1""")
 _add("path_table", ("source_item",), resolve.path_table, "SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) - 1 AS place FROM (SELECT DISTINCT repo, path FROM source_item)")
 _add("normalize_text", ("documents",), lambda d: d.select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("h")), """SELECT doc_id, sha256(CASE WHEN t = '' THEN '' ELSE t || chr(10) END) AS h FROM (SELECT doc_id,
  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\f]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '') AS t FROM documents)""")

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import access, text
 from tessera.operators import gates, registry, resolve
+from tessera.plans import queries
+from tessera.sources.registry import table
 
 
 def one(spark, column, **values):
@@ -88,3 +90,10 @@ def test_upsert_takes_the_new_access_list(spark):
     after = spark.createDataFrame([("t", "same", "h", 2, ["c"]), ("t", "new", "h", 2, ["d"]), ("t", "open", "h", 2, [])], schema)
     got = {r["source_uri"]: r["acl_teams"] for r in gates.upsert_source_items(before, after).collect()}
     assert got == {"same": ["c"], "gone": ["b"], "new": ["d"], "open": []}
+
+
+def test_all_paths_are_resolved(spark):
+    sf = "/root/testdata/sf0.001"
+    paths = table(spark, sf, "source_item").select("repo", "path").distinct()
+    got = queries.queries()["resolve_all_targets"](spark, sf).select("repo", "path")
+    assert got.count() == paths.count() and paths.exceptAll(got).isEmpty()
