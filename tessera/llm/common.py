@@ -26,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def mounted(folder: str) -> str:
+    """The path of a shared folder that all machines mount; files that tasks map must lie there."""
+    path = folder.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{folder} is no mounted folder: name one in spark.checkpoint.dir")
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet in the shared folder and reads them back.
 

@@ -1,19 +1,23 @@
-"""Language-model scoring with an Elias-Fano n-gram trie (operator 10).
-
-Counting: word counts are exact over all training documents.  All bigrams and trigrams that come
-``LEAST`` times are kept: their words come as often, and so do both bigrams of a trigram, so words
-and bigrams that come less can be passed over when counting.  Tasks count what they read and pack
-the counts by bucket; a bucket is merged in one task, and the number of buckets follows the number
-of tokens.
-
-Model: absolute discounting, interpolated down to the add-one word probability.  Words,
-successors, quantised probabilities and back-off weights lie in ``elias_fano.Trie``, an image that
-the driver builds and broadcasts.  Nothing bounds it: it grows with the n-grams kept, and so does
-the driver's memory.
-
-Scoring: one pass over whole texts.  Counts of the ``HEAD`` most frequent words, and of all that
-come ``LEAST`` times, are broadcast; the other words of each document are joined with their counts,
-so scores are exact for any number of distinct words.
+"""Language-model scoring with an Elias-Fano n-gram trie in memory-mapped shards (operator 10).
+
+Counting: every word, bigram and trigram of the training texts is kept, whatever its count.  A
+trigram (a, b, c) belongs to the shard of its middle word b, whose shard also has the bigrams (b, c)
+and the contexts (a, b); the number of shards follows the number of tokens.  Tasks count what they
+read, in blocks, and send the counts; each shard is merged in one task, which writes the trie of the
+shard as a file of the shared folder.  A word that alone would fill a shard has its trigrams dealt
+by the word before to shards of their own, and its bigrams stay in the first one.  A bounded sample
+of the texts tells how many shards there are and which words are that frequent: the layout only, all
+rows are counted.
+
+Model: interpolated absolute discounting.  A shard stores, each in one byte, the discounted shares
+(c - d) / total of its bigrams and trigrams and the mass that each context leaves to the next lower
+order; the lowest order is the add-one probability of exact word counts.
+
+Scoring: one pass over whole texts, without a shuffle.  A task sorts the different n-grams of a block
+by shard, maps one shard at a time (``elias_fano.Trie``) and looks up only what the block asks for.
+Words are told apart by 64-bit hashes (two of ten million words collide with odds of 3e-6);
+neighbours within one context by 32 bits, which touches a smoothed probability with odds of 2e-10 for
+each successor that the context has, and no exact column.
 
 Defined results: a null or empty text is one end token; a null id is training, not held out;
 repeated rows are scored (and counted) one by one; without training documents all words are
@@ -22,34 +26,38 @@ unknown and N and V are 0; an empty table gives no rows; extra columns are ignor
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import written
+from .common import mounted, shared_folder, written
 from .elias_fano import Trie
 
 HELD_OUT = (7, 2)
-HEAD = 1 << 20
-LEAST = 3
 DISCOUNT = 0.75
-BLOCK_TOKENS = 4_000_000
-BUCKET_TOKENS = 2_000_000
-END_HASH = W.mix64(np.array([0xE0D], np.uint64))[0]
+SHARD_TOKENS = 2_000_000
+#: Words of a block have numbers of 21 bits, so three of them fit one key.
+BITS = 21
+BLOCK_TOKENS = 1 << BITS
+#: Documents that choose the layout.
+LAYOUT_SAMPLE = 20_000
+START, END, ANY = W.mix64(np.array([0x57A7, 0xE0D, 0xA11], np.uint64))
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all texts' lower-cased words and end tokens, first token of each text and one more)."""
+    """(hashes of a start token, the lower-cased words and an end token of each text; first token of each text and one more)."""
     w = W.split(texts, lower=True)
-    first = w.first + np.arange(w.docs + 1)
-    out = np.full(int(first[-1]), END_HASH, np.uint64)
+    first = w.first + 2 * np.arange(w.docs + 1)
+    out = np.full(int(first[-1]), END, np.uint64)
+    out[first[:-1]] = START
     inner = np.ones(len(out), bool)
-    inner[first[1:] - 1] = False
+    inner[first[:-1]] = inner[first[1:] - 1] = False
     out[inner] = w.hashes()
     return out, first
 
@@ -58,216 +66,219 @@ def held_out(parts: tuple[int, int] = HELD_OUT):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts[0] == parts[1], F.lit(False))
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """Rows (w, c): every training token's hash and count."""
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different values in order, place of each value among them)."""
+    coded = pa.array(values.view(np.int64)).dictionary_encode()
+    found = coded.dictionary.to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[coded.indices.to_numpy()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, total = [], 0
 
-        def counted() -> pa.RecordBatch:
-            v, c = np.unique(np.concatenate(kept) if kept else np.zeros(0, np.uint64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c)], ["w", "c"])
+def trigrams(t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words in order, keys) of a token stream, in stretches: a key for each token that isn't a start.
 
-        for b in W.chunks(batches):
-            t, _ = tokens(b.column(0))
-            kept.append(t)
-            total += len(t)
-            if total > BLOCK_TOKENS:
-                yield counted()
-                kept, total = [], 0
-        yield counted()
+    A key holds the places of the word before, the one before that, and the token itself.
+    """
+    for low in range(0, len(t), BLOCK_TOKENS - 2):
+        lead = min(low, 2)
+        part = t[low - lead : low + BLOCK_TOKENS - 2]
+        words, place = ranked(part)
+        at = np.flatnonzero(part[lead:] != START) + lead
+        b = place[at - 1]
+        a = np.where(part[at - 1] == START, b, place[np.maximum(at - 2, 0)])
+        yield words, (b << 2 * BITS | a << BITS | place[at]).astype(np.uint64)
 
-    return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
+class Layout:
+    """Where n-grams live: ``home`` by the middle word's hash range, and the shards of very frequent middle words."""
 
-def _least_count(counts: DataFrame, bound: int) -> int:
-    """The smallest power of two such that at most ``bound`` words come as often."""
-    rows = counts.groupBy(F.floor(F.log2("c")).alias("b")).count().collect()
-    size, out = 0, 0
-    for r in sorted(rows, key=lambda r: -r["b"]):
-        size += r["count"]
-        if size > bound:
-            break
-        out = int(r["b"])
-    else:
-        return 1
-    return 1 << (out if size - r["count"] else out + 1)
+    def __init__(self, shards: int, frequent: dict[int, int]):
+        self.shards = shards
+        self.frequent = np.array(sorted(frequent), np.uint64)
+        parts = np.array([frequent[int(w)] for w in self.frequent], np.int64)
+        self.parts, self.begin = parts, shards + np.cumsum(parts) - parts
 
+    def home(self, b: np.ndarray) -> np.ndarray:
+        return (((b >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
 
-def _pairs(id_: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places i where i and i + 1 are tokens of one text, as a mask over all but the last place."""
-    same = np.ones(max(len(id_) - 1, 0), bool)
-    same[first[1:-1] - 1] = False
-    return same, np.flatnonzero(same)
+    def split(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places where the middle word is a frequent one, their shards)."""
+        if not len(self.frequent):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.frequent, b), len(self.frequent) - 1)
+        some = np.flatnonzero(self.frequent[at] == b)
+        at = at[some]
+        return some, self.begin[at] + (W.mix64(a[some]) % self.parts[at].astype(np.uint64)).astype(np.int64)
 
 
-def _gram_counts(train: DataFrame, buckets: int, keys_of) -> DataFrame:
-    """Rows (bucket, keys, counts): merged counts of what ``keys_of(tokens, first)`` names, from ``LEAST`` on."""
+def _layout(train: DataFrame, shard_tokens: int, sample: int) -> Layout:
+    share = min(1.0, sample / max(train.count(), 1))
+    some = train.sample(share, seed=7) if share < 1 else train
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, total = [], 0
+        for b in W.chunks(batches):
+            t, _ = tokens(b.column(0))
+            w, n = np.unique(t, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
 
-        def counted() -> pa.RecordBatch:
-            v, c = np.unique(np.concatenate(kept) if kept else np.zeros(0, np.uint64), return_counts=True)
-            home = (W.mix64(v) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            v, c, home = v[order], c[order].astype(np.uint32), home[order]
-            cut = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
-            ends = np.r_[cut[1:], len(home)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(home[cut]), pa.array([v[a:z].tobytes() for a, z in zip(cut, ends, strict=False)], pa.binary()), pa.array([c[a:z].tobytes() for a, z in zip(cut, ends, strict=False)], pa.binary())],
-                ["bucket", "keys", "counts"],
-            )
+    counts = some.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    often = F.when(F.col("n") > share * shard_tokens, F.struct("w", "n"))
+    total, frequent = counts.agg(F.sum("n"), F.collect_list(often)).first()
+    parts = {r["w"] & 0xFFFFFFFFFFFFFFFF: -int(-r["n"] // (share * shard_tokens)) for r in frequent if r["w"] != int(np.array(END).view(np.int64))}
+    return Layout(max(1, -int(-(total or 0) // (share * shard_tokens))), parts)
 
-        for b in W.chunks(batches):
-            t, first = tokens(b.column(0))
-            k = keys_of(t, first)
-            kept.append(k)
-            total += len(k)
-            if total > BLOCK_TOKENS:
-                yield counted()
+
+def _rows(shard: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row for each shard: its middle words with their numbers of trigrams, and the trigrams' outer words and counts."""
+    order = np.argsort(shard, kind="stable")
+    shard, a, b, c, n = shard[order], a[order].astype(np.uint32), b[order], c[order].astype(np.uint32), n[order].astype(np.uint32)
+    cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
+    rows = []
+    for low, high in zip(cut, np.r_[cut[1:], len(shard)], strict=False):
+        inner = b[low:high]
+        first = np.flatnonzero(np.r_[True, inner[1:] != inner[:-1]])
+        rows.append((int(shard[low]), inner[first].tobytes(), np.diff(np.r_[first, len(inner)]).astype(np.uint32).tobytes(), *(x[low:high].tobytes() for x in (a, c, n))))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(columns)], ["shard", "b", "runs", "a", "c", "n"])
+
+
+def _packed_counts(train: DataFrame, layout: Layout) -> DataFrame:
+    """Rows (shard, b, runs, a, c, n): trigram counts of blocks, packed by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for words, keys in trigrams(np.concatenate(kept)):
+                keys, n = np.unique(keys, return_counts=True)
+                a, b, c = (words[(keys >> np.uint64(s)).astype(np.int64) & (1 << BITS) - 1] for s in (BITS, 2 * BITS, 0))
+                shard = layout.home(b)
+                some, apart = layout.split(a, b)
+                if len(some):
+                    # The bigrams of a frequent middle word, summed over the words before.
+                    pair, back = np.unique(keys[some] & ~np.uint64((1 << BITS) - 1 << BITS), return_inverse=True)
+                    b2, c2 = (words[(pair >> np.uint64(s)).astype(np.int64) & (1 << BITS) - 1] for s in (2 * BITS, 0))
+                    shard[some] = apart
+                    yield _rows(np.r_[shard, layout.home(b2)], np.r_[a, np.full(len(b2), ANY)], np.r_[b, b2], np.r_[c, c2], np.r_[n, np.bincount(back, n[some]).astype(np.int64)])
+                else:
+                    yield _rows(shard, a, b, c, n)
+
+        kept, total = [], 0
+        for batch in W.chunks(batches):
+            t, _ = tokens(batch.column(0))
+            kept.append(t)
+            total += len(t)
+            if total >= BLOCK_TOKENS:
+                yield from counted(kept)
                 kept, total = [], 0
-        yield counted()
-
-    def merge(t: pa.Table) -> pa.Table:
-        v = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["keys"]])
-        c = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t["counts"]]).astype(np.int64)
-        keys, at = np.unique(v, return_inverse=True)
-        sums = np.bincount(at, c, len(keys)).astype(np.int64)
-        keep = sums >= LEAST
-        keys, sums = keys[keep], sums[keep]
-        return pa.table(
-            [t["bucket"].combine_chunks()[:1], pa.array([keys.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())],
-            names=["bucket", "keys", "counts"],
-        )
-
-    packed = train.select("text").mapInArrow(run, "bucket long, keys binary, counts binary")
-    return written(packed.groupBy("bucket").applyInArrow(merge, "bucket long, keys binary, counts binary"), "grams")
-
-
-def _gathered(merged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) in order, all of them."""
-    t = merged.select("keys", "counts").toArrow()
-    keys, counts = (np.concatenate([np.frombuffer(x.as_buffer(), d) for x in t[n]] or [np.zeros(0, d)]) for n, d in (("keys", np.uint64), ("counts", np.int64)))
-    del t
-    order = np.argsort(keys)
-    return keys[order], counts[order].astype(np.int32)
-
-
-def _known(sorted_: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Places in a sorted array, -1 where absent; repeated questions are asked once."""
-    if not len(sorted_) or not len(asked):
-        return np.full(len(asked), -1, np.int64)
-    u, back = np.unique(asked, return_inverse=True)
-    at = np.minimum(np.searchsorted(sorted_, u), len(sorted_) - 1)
-    return np.where(sorted_[at] == u, at, -1)[back]
-
-
-def train_model(train: DataFrame, head: tuple[np.ndarray, np.ndarray], n_tokens: int, n_distinct: int) -> bytes:
-    """The trie image; ``head`` has the hashes, in order, and counts of all words that come ``LEAST`` times, and may have more."""
-    sc = train.sparkSession.sparkContext
-    hashes, counts = head
-    often = counts >= LEAST
-    vocabulary, c1 = hashes[often], counts[often]
-    buckets = max(8, -(-n_tokens // BUCKET_TOKENS))
-    words = sc.broadcast(vocabulary)
-
-    def two(t: np.ndarray, first: np.ndarray) -> np.ndarray:
-        id_ = _known(words.value, t)
-        _, at = _pairs(id_, first)
-        at = at[(id_[at] >= 0) & (id_[at + 1] >= 0)]
-        return (id_[at] << 32 | id_[at + 1]).astype(np.uint64)
-
-    key2, c2 = _gathered(_gram_counts(train, buckets, two))
-    pairs = sc.broadcast(key2)
-
-    def three(t: np.ndarray, first: np.ndarray) -> np.ndarray:
-        id_ = _known(words.value, t)
-        same, at = _pairs(id_, first)
-        node = np.full(len(same), -1, np.int64)
-        at = at[(id_[at] >= 0) & (id_[at + 1] >= 0)]
-        node[at] = _known(pairs.value, (id_[at] << 32 | id_[at + 1]).astype(np.uint64))
-        at = np.flatnonzero((node[:-1] >= 0) & (node[1:] >= 0))
-        return (node[at] << 32 | node[at + 1]).astype(np.uint64)
-
-    key3, c3 = _gathered(_gram_counts(train, buckets, three))
-    words.unpersist()
-    pairs.unpersist()
-    halves = lambda k: np.stack([k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)], 1).view(np.int64)
-    level2, level3 = halves(key2), halves(key3)
-    del pairs, key2, key3
-    p1 = (c1 + 1) / (n_tokens + n_distinct + 1)
-    share = (c2 - DISCOUNT) / c1[level2[:, 0]]
-    rest1 = np.maximum(1 - np.bincount(level2[:, 0], share, len(c1)), 1e-9)
-    p2 = share + rest1[level2[:, 0]] * p1[level2[:, 1]]
-    share = (c3 - DISCOUNT) / c2[level3[:, 0]] if len(c3) else np.zeros(0)
-    rest2 = np.maximum(1 - np.bincount(level3[:, 0], share, len(c2)), 1e-9) if len(c2) else np.zeros(0)
-    p3 = share + rest2[level3[:, 0]] * p2[level3[:, 1]] if len(c3) else np.zeros(0)
-    del share, c2, c3
-    logs = {"probability2": np.log10(p2, out=p2), "probability3": np.log10(p3, out=p3), "backoff1": np.log10(rest1, out=rest1), "backoff2": np.log10(rest2, out=rest2)}
-    return Trie.image(vocabulary, level2, level3, logs)
-
-
-def trie_scores(trie: Trie, t: np.ndarray, first: np.ndarray, word_log: np.ndarray) -> np.ndarray:
-    """log10 P of every token after the two before it in its text; ``word_log`` is the words' own."""
-    id_ = trie.ids(t)
-    same, _ = _pairs(id_, first)
-    pair = np.where(same, trie.pairs(id_[:-1], id_[1:]), -1)
-    out = word_log.copy()
-    if len(pair):
-        # From the word before: the pair's own value, or its weight times the word's.
-        before = np.where(same, id_[:-1], -1)
-        out[1:] = np.where(pair >= 0, trie.value(trie.probability, 2, pair), out[1:] + trie.value(trie.backoff, 1, before))
-    if len(pair) > 1:
-        triple = trie.triples(pair[:-1], pair[1:], id_[1:-1])
-        lead = np.where(same[1:], pair[:-1], -1)
-        out[2:] = np.where(triple >= 0, trie.value(trie.probability, 3, triple), out[2:] + trie.value(trie.backoff, 2, lead))
-    return out
-
-
-def score_documents(df: DataFrame, head_words: int = HEAD) -> DataFrame:
+        if total:
+            yield from counted(kept)
+
+    return train.select("text").mapInArrow(run, "shard long, b binary, runs binary, a binary, c binary, n binary")
+
+
+def shard_path(folder: str, shard: int) -> str:
+    return f"{folder}/{shard // 1000}/{shard}.trie"
+
+
+def _unpacked(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
+
+
+def build_shards(train: DataFrame, layout: Layout, folder: str) -> DataFrame:
+    """Writes each shard's trie as a file; rows (shard, tokens, words): what it counts at home."""
+
+    def build(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        b = np.repeat(_unpacked(table, "b", np.uint64), _unpacked(table, "runs", np.uint32))
+        image, n_tokens, n_words = Trie.image(_unpacked(table, "a", np.uint32), b, _unpacked(table, "c", np.uint32), _unpacked(table, "n", np.uint32), DISCOUNT)
+        path = shard_path(folder, shard)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        # A task that runs again puts the same bytes in place of the file, which is never there in part.
+        own = f"{path}.{uuid.uuid4().hex}"
+        with open(own, "wb") as f:
+            f.writelines(image)
+        os.replace(own, path)
+        at_home = shard < layout.shards
+        return pa.table({"shard": [shard], "tokens": [n_tokens if at_home else 0], "words": [n_words if at_home else 0]})
+
+    return _packed_counts(train, layout).groupBy("shard").applyInArrow(build, "shard long, tokens long, words long")
+
+
+def stream_scores(t: np.ndarray, layout: Layout, folder: str, n_tokens: int, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, log10 of the add-one probability, log10 P in context) of each token that isn't a start."""
+    known, base, score = [], [], []
+    for words, keys in trigrams(t):
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[first, len(keys)])
+        keys = keys[first].astype(np.int64)
+        part = (1 << BITS) - 1
+        at_a, at_b, at_c = keys >> BITS & part, keys >> 2 * BITS, keys & part
+        a, b, c = words[at_a], words[at_b], words[at_c]
+        count = np.zeros(len(words), np.int64)
+        own2, own3, rest1, rest2 = np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys)), np.ones(len(keys))
+        home, word_home = layout.home(b), layout.home(words)
+        some, apart = layout.split(a, b)
+        # Words and middle words stand in order of their hash, which is the order of home shards.
+        for s in np.unique(word_home):
+            trie = Trie.mapped(shard_path(folder, s))
+            if trie is None:
+                continue
+            low, high = np.searchsorted(word_home, [s, s + 1])
+            count[low:high] = trie.word_counts(words[low:high])
+            low, high = np.searchsorted(home, [s, s + 1])
+            own2[low:high], rest1[low:high], own3[low:high], rest2[low:high] = trie.shares(a[low:high], b[low:high], c[low:high])
+        for s in np.unique(apart):
+            trie = Trie.mapped(shard_path(folder, s))
+            at = some[apart == s]
+            if trie is not None:
+                _, _, own3[at], rest2[at] = trie.shares(a[at], b[at], c[at])
+        # A start stands before each text as an end stands behind it: their counts are one.
+        for i in np.flatnonzero(words == END):
+            start = np.searchsorted(words, START)
+            has = start < len(words) and words[start] == START
+            trie = None if has else Trie.mapped(shard_path(folder, layout.home(np.array([START]))[0]))
+            count[i] = count[start] if has else trie.word_counts(np.array([START]))[0] if trie else 0
+        p1 = (count[at_c] + 1) / (n_tokens + n_words + 1)
+        for out, value in ((known, count[at_c] > 0), (base, np.log10(p1)), (score, np.log10(own3 + rest2 * (own2 + rest1 * p1)))):
+            each = np.empty(len(order), value.dtype)
+            each[order] = np.repeat(value, times)
+            out.append(each)
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (known, base, score))
+
+
+def score_documents(df: DataFrame, shard_tokens: int = SHARD_TOKENS, sample: int = LAYOUT_SAMPLE) -> DataFrame:
     """Rows: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out())
     train = docs.where(~F.col("held_out"))
-    counts = written(word_counts(train), "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = min(_least_count(counts, head_words), LEAST)
-    t = counts.where(F.col("c") >= least).toArrow()
-    hashes, c = t["w"].to_numpy().view(np.uint64), t["c"].to_numpy()
-    order = np.argsort(hashes)
-    hashes, c = hashes[order], c[order]
-    del t
-    image = spark.sparkContext.broadcast(train_model(train, (hashes, c), n, v))
-    head = spark.sparkContext.broadcast((hashes, c.astype(np.int64 if n >= 2**31 else np.int32)))
-    all_log = float(np.log10(n + v + 1))
+    layout = _layout(train, shard_tokens, sample)
+    folder = f"{mounted(shared_folder(spark))}/trie-{uuid.uuid4().hex}"
+    built = written(build_shards(train, layout, folder), "shards")
+    n, v = built.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, times = head.value
-        trie = Trie(image.value)
-        task = TaskContext.get()
-        row = (task.partitionId() if task else 0) << 40
+        def scored(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(kept)
+            t, first = tokens(table["text"])
+            known, base, score = stream_scores(t, layout, folder, n, v)
+            size = np.diff(first) - 1
+            begin = np.cumsum(size) - size
+            sums = [np.add.reduceat(x, begin) for x in (known.astype(np.int64), base, score)]
+            ids, out = (table[c].combine_chunks() for c in ("doc_id", "held_out"))
+            return pa.RecordBatch.from_arrays([ids, out, pa.array(size), pa.array(sums[0]), pa.array(np.full(len(size), n)), pa.array(sums[1]), pa.array(sums[2])], names)
+
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        kept, total = [], 0
         for b in W.chunks(batches):
-            t, first = tokens(b.column(2))
-            at = _known(words, t)
-            count = np.where(at >= 0, times[np.maximum(at, 0)], 0) if len(words) else np.zeros(len(t), np.int64)
-            word_log = np.log10(count + 1) - all_log
-            begin = first[:-1]
-            sums = [np.add.reduceat(x, begin) if len(begin) else np.zeros(0) for x in (word_log, trie_scores(trie, t, first, word_log), (count > 0).astype(np.int64))]
-            rest = [t[a:z][at[a:z] < 0].view(np.int64) for a, z in zip(begin, first[1:], strict=True)] if least > 1 else [[] for _ in begin]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(b.num_rows)), b.column(0), b.column(1), pa.array(np.diff(first)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), pa.array(rest, pa.list_(pa.int64()))],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"],
-            )
-            row += b.num_rows
-
-    scored = docs.select("doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>")
-    if least > 1:
-        scored = written(scored, "scored")
-        tail = counts.where(F.col("c") < least)
-        more = scored.select("row", F.explode("rest").alias("w")).join(tail, "w").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("l"))
-        scored = scored.join(more, "row", "left")
-        add = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    else:
-        add = lambda a, b: F.col(a)
-    return scored.select("doc_id", "held_out", "n_tokens", add("n_known", "k"), F.lit(n).cast("long").alias("train_tokens"), add("base_score", "l"), add("score", "l"))
+            kept.append(b)
+            total += b.column(2).nbytes
+            if total >= 6 * BLOCK_TOKENS:
+                yield scored(kept)
+                kept, total = [], 0
+        if kept:
+            yield scored(kept)
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

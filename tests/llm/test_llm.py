@@ -283,65 +283,75 @@ def test_elias_fano_round_trip():
         v = np.sort(r.integers(0, top, n))
         e = elias_fano.EliasFano(elias_fano.EliasFano.parts(v, "x"), "x")
         assert (e.get(np.arange(n)) == v).all()
-    v = np.unique(r.integers(0, 10**6, 3000))
-    e = elias_fano.EliasFano(elias_fano.EliasFano.parts(v, "x"), "x")
-    asked = r.integers(0, 10**6, 2000)
-    asked[:500] = r.choice(v, 500)
-    found = e.find(np.zeros(2000, np.int64), np.full(2000, len(v)), asked)
-    assert [(f >= 0) for f in found] == [a in set(v.tolist()) for a in asked] and all(v[f] == a for f, a in zip(found, asked, strict=True) if f >= 0)
+    for v in (np.unique(r.integers(0, 10**6, 3000)), np.r_[np.arange(700, 1900), 10**9 + np.arange(0, 4000, 3)]):
+        e = elias_fano.EliasFano(elias_fano.EliasFano.parts(v, "x"), "x")
+        asked = r.integers(0, int(v[-1]) + 1000, 2000)
+        asked[:500] = r.choice(v, 500)
+        found = e.find(asked)
+        assert [(f >= 0) for f in found] == [a in set(v.tolist()) for a in asked] and all(v[f] == a for f, a in zip(found, asked, strict=True) if f >= 0)
 
 
 def brute_scores(rows):
-    toks = {i: [*WORD.findall(low(t)), None] for i, t in rows}
-    train = {i: w for i, w in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2}
-    c1 = collections.Counter(w for x in train.values() for w in x)
+    """Every n-gram of every count, straight from the definition."""
+    toks = {i: ["<s>", *WORD.findall(low(t)), "</s>"] for i, t in rows}
+    train = [w for i, w in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    near = lambda x, k: (x[max(k - 2, 0)], x[k - 1], x[k])
+    c1 = collections.Counter(w for x in train for w in x[1:])
     n, v = sum(c1.values()), len(c1)
-    c2 = {k: c for k, c in collections.Counter(p for x in train.values() for p in zip(x, x[1:])).items() if c >= 3}
-    c3 = {k: c for k, c in collections.Counter(p for x in train.values() for p in zip(x, x[1:], x[2:])).items() if c >= 3 and k[:2] in c2 and k[1:] in c2}
+    c3 = collections.Counter(near(x, k) for x in train for k in range(1, len(x)))
+    c2, t1, t2, k1, k2 = (collections.Counter() for _ in range(5))
+    for (a, b, c), m in c3.items():
+        c2[b, c] += m
+        t2[a, b] += m
+        k2[a, b] += 1
+    for (b, _), m in c2.items():
+        t1[b] += m
+        k1[b] += 1
     d = language_model.DISCOUNT
-    rest1, rest2 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
-    for (a, _), c in c2.items():
-        rest1[a] -= (c - d) / c1[a]
-    for k, c in c3.items():
-        rest2[k[:2]] -= (c - d) / c2[k[:2]]
     p1 = lambda w: (c1[w] + 1) / (n + v + 1)
-    p2 = lambda a, w: (c2[a, w] - d) / c1[a] + rest1[a] * p1(w) if (a, w) in c2 else rest1[a] * p1(w)
+    p2 = lambda b, w: (max(c2[b, w] - d, 0) + d * k1[b] * p1(w)) / t1[b] if t1[b] else p1(w)
+    p3 = lambda a, b, w: (max(c3[a, b, w] - d, 0) + d * k2[a, b] * p2(b, w)) / t2[a, b] if t2[a, b] else p2(b, w)
     out = {}
     for i, x in toks.items():
-        score = 0.0
-        for k, w in enumerate(x):
-            if k == 0:
-                p = p1(w)
-            elif k == 1:
-                p = p2(x[0], w)
-            else:
-                a, b = x[k - 2 : k]
-                p = (c3[a, b, w] - d) / c2[a, b] + rest2[a, b] * p2(b, w) if (a, b, w) in c3 else rest2[a, b] * p2(b, w)
-            score += math.log10(p)
-        out[i] = (len(x), sum(c1[w] > 0 for w in x), n, sum(math.log10(p1(w)) for w in x), score)
+        score = sum(math.log10(p3(*near(x, k))) for k in range(1, len(x)))
+        out[i] = (len(x) - 1, sum(c1[w] > 0 for w in x[1:]), n, sum(math.log10(p1(w)) for w in x[1:]), score)
     return out
 
 
-@pytest.mark.parametrize("head", [1 << 21, 40])
-def test_language_model(spark, texts, head):
-    rows = [(i, t) for i, t in enumerate(texts * 3)]
-    got = language_model.score_documents(spark.createDataFrame(rows, DOCS), head).collect()
+def scores_hold(spark, rows, **layout):
     told = brute_scores(rows)
+    got = language_model.score_documents(spark.createDataFrame(rows, DOCS).repartition(3), **layout).collect()
     assert len(got) == len(rows)
     for r in got:
         n, known, total, base, score = told[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        if head > 40:
-            assert r["score"] == pytest.approx(score, rel=0.02, abs=0.5)  # probabilities are quantised
-    assert language_model.score_documents(empty(spark)).count() == 0
+        assert r["score"] == pytest.approx(score, rel=0.02, abs=0.1)  # shares are quantised
 
 
-def test_language_model_keeps_all_ngrams(spark):
-    """N-grams of words outside the ``head`` most frequent ones count too."""
-    rows = [(i, " ".join(f"w{(i // 8) * 20 + k}" for k in range(20))) for i in range(400)]
-    told = brute_scores(rows)
-    for head in (1 << 21, 40):
-        for r in language_model.score_documents(spark.createDataFrame(rows, DOCS), head).collect():
-            assert r["score"] == pytest.approx(told[r["doc_id"]][4], rel=0.02, abs=0.5)
+@pytest.mark.parametrize("shard", [language_model.SHARD_TOKENS, 500, 60])
+def test_language_model(spark, texts, shard):
+    """One shard, several, and frequent words in shards of their own; copies give counts of 1, 2 and more."""
+    scores_hold(spark, list(enumerate(texts + texts[:9] + texts[:4])), shard_tokens=shard)
+
+
+def test_language_model_in_small_blocks(spark, texts, monkeypatch):
+    """N-grams and texts that lie across the borders of blocks."""
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 64)
+    words, first = language_model.tokens(pa.array(texts))
+    keys = [[tuple(w[k >> np.uint64(s) & np.uint64((1 << 21) - 1)] for s in (42, 21, 0)) for k in k_] for w, k_ in language_model.trigrams(words)]
+    told = [(x[max(k - 1, 0)], x[max(k - 2, 0)], x[k]) for x in (words[a:z] for a, z in zip(first, first[1:])) for k in range(1, len(x))]
+    assert [k for x in keys for k in x] == told
+    scores_hold(spark, [(i, texts[i % len(texts)]) for i in range(40)], shard_tokens=300)
+
+
+def test_language_model_of_nothing(spark):
+    assert language_model.score_documents(empty(spark)).count() == 0
+    none = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    for r in language_model.score_documents(spark.createDataFrame([(i, "a b") for i in none], DOCS)).collect():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (3, 0, 0, 0, 0)
+    one = next(i for i in range(60) if i not in none)
+    clash = spark.createDataFrame([(one, "a b a b", 3, 4), (None, "a", 1, 1), (one, "a b a b", 3, 4)], DOCS + ", score int, shard int")
+    got = language_model.score_documents(clash).collect()
+    assert len(got) == 3 and {r["train_tokens"] for r in got} == {12} and not any(r["held_out"] for r in got)
