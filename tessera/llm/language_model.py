@@ -41,10 +41,12 @@ from .elias_fano import Trie
 
 HELD_OUT = (7, 2)
 DISCOUNT = 0.75
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_500_000
 #: Words of a block have numbers of 21 bits, so three of them fit one key.
 BITS = 21
 BLOCK_TOKENS = 1 << BITS
+#: Bytes of text that a task scores at a time.
+BLOCK_BYTES = 5_000_000
 #: Documents that choose the layout.
 LAYOUT_SAMPLE = 20_000
 START, END, ANY = W.mix64(np.array([0x57A7, 0xE0D, 0xA11], np.uint64))
@@ -275,7 +277,7 @@ def score_documents(df: DataFrame, shard_tokens: int = SHARD_TOKENS, sample: int
         for b in W.chunks(batches):
             kept.append(b)
             total += b.column(2).nbytes
-            if total >= 6 * BLOCK_TOKENS:
+            if total >= BLOCK_BYTES:
                 yield scored(kept)
                 kept, total = [], 0
         if kept:
