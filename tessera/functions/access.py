@@ -29,11 +29,11 @@ def visible(acl: Column, teams: list[str]) -> Column:
 
 
 def strictest(lists: Column) -> Column:
-    """Intersection of all non-empty lists; none: public; nothing shared: nobody."""
+    """Intersection of all non-empty lists; only empty ones: public; nothing shared, or no list at all: nobody."""
     tight = F.filter(lists, lambda a: F.size(a) > 0)
     shared = F.aggregate(tight, F.element_at(tight, 1), lambda a, x: F.array_intersect(a, x))
     none = F.array().cast("array<string>")
-    return F.when(F.size(tight) == 0, none).when(F.size(shared) == 0, F.array(F.lit(NO_TEAM))).otherwise(F.array_sort(shared))
+    return F.when(F.size(lists) <= 0, F.array(F.lit(NO_TEAM))).when(F.size(tight) == 0, none).when(F.size(shared) == 0, F.array(F.lit(NO_TEAM))).otherwise(F.array_sort(shared))
 
 
 def trust_rank(trust: Column) -> Column:

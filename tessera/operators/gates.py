@@ -28,9 +28,13 @@ def upsert_source_items(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def first_writer_wins(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
-    """What of the incoming rows is inserted: one for each key that isn't there yet, the first in order."""
+    """What of the incoming rows is inserted: one for each key that isn't there yet, the first in order.
+
+    A partial aggregate finds the first, so a key that many rows hold is no one task's work.
+    """
     new = incoming.join(existing.select(key).distinct(), key, "left_anti")
-    return new.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
+    rest = [c for c in new.columns if c != key]
+    return new.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*").select(*incoming.columns)
 
 
 def search_projection(artifacts: DataFrame, sources: DataFrame, seq: int) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import access, text
+from ..sources.written import written
+from .matching import runs_holding, runs_of, small
 
 #: Rounds of pagerank between two written tables.
 STEP = 2
@@ -110,27 +109,16 @@ def linked_symbol_coverage(artifacts: DataFrame, edges: DataFrame, seq: int) ->
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, include_inferred: bool = False, floor: str = "INFERRED_LOW") -> DataFrame:
     """Undirected breadth-first search: (artifact_id, hop); each hop is a join and an anti join."""
     e = edges.where(access.trust_admits(F.col("trust_class"), floor, include_inferred)).select(F.col("from_artifact_id").alias("a"), F.col("to_artifact_id").alias("b"))
-    both = e.unionAll(e.select("b", "a")).distinct()
+    both = written(e.unionAll(e.select("b", "a")).distinct(), "edges")
     seen = seeds.select("artifact_id", F.lit(0).alias("hop"))
     front = seen
     for hop in range(1, depth + 1):
         front = front.select(F.col("artifact_id").alias("a")).join(both, "a").select(F.col("b").alias("artifact_id")).distinct().join(seen.select("artifact_id"), "artifact_id", "left_anti").withColumn("hop", F.lit(hop))
+        front = written(front, "front")
         seen = seen.unionAll(front)
     return seen
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the folder that ``spark.checkpoint.dir`` names."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tessera-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/rank-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, nodes: DataFrame | None = None, tolerance: float = 1e-9) -> DataFrame:
     """Ranks over the largest; parallel edges count, the mass of dead ends is spread evenly.
 
@@ -147,8 +135,8 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, nodes:
         known = nodes.select(F.col("artifact_id").alias("id")).where("id is not null").distinct()
         e = e.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(known.withColumnRenamed("id", "v"), "v", "left_semi")
     degree = e.groupBy("u").agg(F.count("*").alias("d"))
-    weighted = _written(e.groupBy("u", "v").agg(F.count("*").alias("m")).join(degree, "u").select("u", "v", (F.col("m") / F.col("d")).alias("w")))
-    known = _written(known.join(degree.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("d").isNull().alias("dead")))
+    weighted = written(e.groupBy("u", "v").agg(F.count("*").alias("m")).join(degree, "u").select("u", "v", (F.col("m") / F.col("d")).alias("w")), "weights")
+    known = written(known.join(degree.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("d").isNull().alias("dead")), "nodes")
     n = max(known.count(), 1)
     if weighted.isEmpty():
         return known.select(F.col("id").alias("artifact_id"), F.lit(0.0).alias("centrality"))
@@ -160,7 +148,7 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, nodes:
             "id", "dead", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("dead_mass") / n)).alias("r"), "last"
         )
         if i % STEP == 0 or i == rounds:
-            rank = _written(rank)
+            rank = written(rank, "rank")
             if rank.agg(F.sum(F.abs(F.col("r") - F.col("last")))).first()[0] < tolerance:
                 break
     top = rank.agg(F.max("r").alias("top"))
@@ -168,38 +156,48 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, nodes:
 
 
 def query_tokens(queries: DataFrame, most: int = 12) -> DataFrame:
-    """(query_id, token): each query's first distinct tokens."""
-    return queries.select("query_id", F.explode(F.slice(F.array_distinct(text.tokens(F.col("query_text"))), 1, most)).alias("token"))
+    """(query_id, token): each query's first distinct tokens, one character or longer."""
+    parts = F.filter(F.split(text.normalize_query(F.col("query_text")), " "), lambda t: t != "")
+    return queries.select("query_id", F.explode(F.slice(F.array_distinct(parts), 1, most)).alias("token"))
 
 
-def _hits(tokens: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Substring hits of distinct tokens in the three fields, in one scan of the artifacts.
+def substring_hits(tokens: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(artifact_id, token, weight): in which fields each distinct token stands as a substring, in one scan.
 
-    Substrings need every token against every text; the distinct tokens of the stated queries are
-    the small side and their number is checked before they are sent to all tasks.
+    A token is a run of [a-z0-9], so it stands inside one such run of the text.  The different runs
+    of all texts are cut into pieces of the lengths that tokens have and meet the tokens by an equi
+    join; that table, from runs to tokens, then meets the runs of each text.  No token is compared
+    with a text.
     """
-    distinct = tokens.select("token").distinct()
-    small = F.broadcast(distinct) if distinct.count() <= 100_000 else distinct
-    low = lambda c: F.coalesce(F.lower(c), F.lit(""))
-    a = artifacts.select("artifact_id", low("title").alias("t"), low("search_text").alias("s"), low("body_text").alias("b"))
-    hit = lambda c: F.contains(F.col(c), F.col("token"))
-    return a.join(small, hit("t") | hit("s") | hit("b")).select("artifact_id", "token", (4.0 * hit("t").cast("int") + 1.5 * hit("s").cast("int") + hit("b").cast("int")).alias("weight"))
+    runs = lambda c: runs_of(F.lower(F.col(c)), "[^a-z0-9]+")
+    fields = F.array(*(F.struct(F.lit(i).alias("field"), runs(c).alias("runs")) for i, c in enumerate(("title", "search_text", "body_text"))))
+    each = artifacts.select("artifact_id", F.explode(fields).alias("f")).select("artifact_id", "f.field", F.explode("f.runs").alias("run"))
+    held = runs_holding(each, tokens)
+    hits = each.join(small(held), "run").select("artifact_id", "token", "field").distinct()
+    weight = F.when(F.col("field") == 0, 4.0).when(F.col("field") == 1, 1.5).otherwise(1.0)
+    return hits.groupBy("artifact_id", "token").agg(F.sum(weight).alias("weight"))
 
 
-def doc_frequency(queries: DataFrame, artifacts: DataFrame) -> DataFrame:
+def doc_frequency(queries: DataFrame, artifacts: DataFrame, seq: int) -> DataFrame:
+    """By token: the member artifacts that hold it, and how many members there are."""
     t = query_tokens(queries)
-    df = _hits(t, artifacts).groupBy("token").agg(F.count("*").alias("df"))
-    return t.select("token").distinct().join(df, "token", "left").select("token", F.coalesce("df", F.lit(0)).alias("df"))
+    served = members(artifacts, seq)
+    df = substring_hits(t, served).groupBy("token").agg(F.count("*").alias("df"))
+    return t.select("token").distinct().join(df, "token", "left").crossJoin(F.broadcast(served.agg(F.count("*").alias("n")))).select("token", F.coalesce("df", F.lit(0)).alias("df"), "n")
 
 
-def keyword_search(queries: DataFrame, artifacts: DataFrame, top: int = 20) -> DataFrame:
-    """Best artifacts for each query by idf-weighted substring hits; ties go to the smaller id (as a string)."""
+def keyword_search(queries: DataFrame, artifacts: DataFrame, seq: int, top: int = 20) -> DataFrame:
+    """Best member artifacts for each query by idf-weighted substring hits; ties go to the smaller id (as a string).
+
+    The hits are written once: frequencies and scores both read them.  Each query's best are kept by
+    partial aggregation within tasks first, as a query's hits may be all artifacts.
+    """
     t = query_tokens(queries)
-    hits = _hits(t, artifacts)
-    n = artifacts.agg(F.count("*").alias("n"))
-    df = hits.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
-    idf = df.select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    scored = hits.join(F.broadcast(idf), "token").join(t, "token").groupBy("query_id", "artifact_id").agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
+    served = members(artifacts, seq)
+    hits = written(substring_hits(t, served), "hits")
+    df = hits.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(served.agg(F.count("*").alias("n"))))
+    asked = written(t.join(df.select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "token"), "asked")
+    scored = hits.join(small(asked), "token").groupBy("query_id", "artifact_id").agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "artifact_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
@@ -207,12 +205,12 @@ def keyword_search(queries: DataFrame, artifacts: DataFrame, top: int = 20) -> D
 def rank_hits(hits: DataFrame, artifacts: DataFrame, sources: DataFrame, queries: DataFrame, teams: list[str], top: int = 5) -> DataFrame:
     """Visible hits by (source-backed, authority, weighted score, id), all descending."""
     a = artifacts.select("artifact_id", "source_id", "artifact_type", "knowledge_kind", "authority_score", "centrality_score", "invalidated_at_seq")
-    h = hits.join(a, "artifact_id").join(sources.select("source_id", "source_type", "acl_teams", "is_deleted"), "source_id").join(F.broadcast(queries.select("query_id", "intent")), "query_id")
+    h = hits.join(a, "artifact_id").join(sources.select("source_id", "source_type", "acl_teams", "is_deleted"), "source_id").join(queries.select("query_id", "intent"), "query_id")
     h = h.where(access.visible(F.col("acl_teams"), teams))
     kind = access.source_kind(F.col("source_type"), F.col("artifact_type"))
     weight = access.temporal_weight(F.col("intent"), kind, F.col("is_deleted") | F.col("invalidated_at_seq").isNotNull(), F.lit(False))
-    h = h.withColumn("final", F.round(F.col("score") * weight * (1 + 0.25 * F.col("centrality_score")), 6))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.col("knowledge_kind") == "source_backed"), F.desc("authority_score"), F.desc("final"), F.desc("artifact_id"))
+    h = h.withColumn("final", F.round(F.col("score") * weight * (1 + 0.25 * F.coalesce("centrality_score", F.lit(0.0))), 6))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce(F.col("knowledge_kind") == "source_backed", F.lit(False))), F.desc(F.coalesce("authority_score", F.lit(0.0))), F.desc("final"), F.desc("artifact_id"))
     return h.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top).select("query_id", "artifact_id", "final", "position")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.written import written
 
 
 def similar_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
@@ -25,7 +26,8 @@ def similar_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float =
 def fuzzy_resolve(queries: DataFrame, aliases: DataFrame, least: float = 0.3) -> DataFrame:
     """Best alias for each query: an equal phrase scores 1, else the Jaccard of token sets from ``least`` on.
 
-    Token sets meet by an equi join on tokens; ties go to more confirmations, then the alias.
+    An equal phrase wins over any other alias, a permutation of its words included.  Token sets meet
+    by an equi join on tokens; ties go to more confirmations, then the alias.
     """
     sized = lambda d, i, c: d.select(i, F.array_distinct(F.split(text.normalize_phrase(F.col(c)), " ")).alias("set"), text.normalize_phrase(F.col(c)).alias("phrase"))
     q = sized(queries, "query_id", "query_text").where("phrase <> ''").withColumn("n_q", F.size("set"))
@@ -35,7 +37,7 @@ def fuzzy_resolve(queries: DataFrame, aliases: DataFrame, least: float = 0.3) ->
     both = qt.join(at, "token").groupBy("query_id", "alias", "n_q", "n_a", "q", "a").agg(F.count("*").alias("c"))
     score = F.when(F.col("q") == F.col("a"), 1.0).otherwise(F.round(F.col("c") / (F.col("n_q") + F.col("n_a") - F.col("c")), 6))
     s = both.withColumn("score", score).where(F.col("score") >= least).join(aliases.select("alias", "confirmations"), "alias")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("confirmations"), "alias")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.col("q") == F.col("a")), F.desc("score"), F.desc("confirmations"), "alias")
     return s.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "alias", "score")
 
 
@@ -48,9 +50,16 @@ def resolve_targets(paths: DataFrame, artifacts: DataFrame, sources: DataFrame)
 
 
 def path_table(sources: DataFrame) -> DataFrame:
-    """Distinct paths with their places in order, by repository."""
-    p = sources.select("repo", "path").distinct()
-    return p.select("repo", "path", (F.row_number().over(Window.partitionBy("repo").orderBy("path")) - 1).alias("place"))
+    """Distinct paths with their places in order over all sources.
+
+    Paths are sorted into ranges; a place is the one inside its range plus the sizes of the ranges
+    before it, so no task sees all paths.
+    """
+    p = written(sources.select("path").where("path is not null").distinct().repartitionByRange("path").withColumn("range", F.spark_partition_id()), "paths")
+    inside = p.withColumn("r", F.row_number().over(Window.partitionBy("range").orderBy("path")) - 1)
+    size = p.groupBy("range").agg(F.count("*").alias("n"))
+    before = size.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(F.broadcast(before), "range").select("path", (F.col("r") + F.col("before")).alias("place"))
 
 
 def grounded_quotes(quotes: DataFrame, spans: DataFrame) -> DataFrame:

@@ -13,10 +13,6 @@ def judgment_cache_key(a: Column, b: Column, *versions: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.least(a, b), F.greatest(a, b), *versions), 256)
 
 
-def is_test_path(path: Column) -> Column:
-    return path.rlike("(^|/)tests?/|(^|/)test_[^/]*$|_test\\.[a-z]+$")
-
-
 def path_proximity(a: Column, b: Column) -> Column:
     """Number of leading folders that two paths share."""
     folders = lambda p: F.slice(F.split(p, "/"), 1, F.greatest(F.size(F.split(p, "/")) - 1, F.lit(0)))
@@ -32,12 +28,16 @@ def deletion_sweep(artifacts: DataFrame, edges: DataFrame, gone: DataFrame, seq:
     hit = F.col("gone").isNotNull() & F.col("invalidated_at_seq").isNull()
     a = a.withColumns({"swept": hit, "invalidated_at_seq": F.when(hit, seq).otherwise(F.col("invalidated_at_seq"))}).drop("gone")
     ids = a.where("swept").select("artifact_id").distinct()
+    return a, touching_edges_leave(edges, ids, seq)
+
+
+def touching_edges_leave(edges: DataFrame, ids: DataFrame, seq: int) -> DataFrame:
+    """Live edges at one of the artifacts leave at ``seq``."""
     e = edges
     for end in ("from_artifact_id", "to_artifact_id"):
         e = e.join(ids.select(F.col("artifact_id").alias(end), F.lit(True).alias(f"g_{end}")), end, "left")
     touched = (F.col("g_from_artifact_id").isNotNull() | F.col("g_to_artifact_id").isNotNull()) & F.col("invalidated_at_seq").isNull()
-    e = e.withColumn("invalidated_at_seq", F.when(touched, seq).otherwise(F.col("invalidated_at_seq"))).drop("g_from_artifact_id", "g_to_artifact_id")
-    return a, e
+    return e.withColumn("invalidated_at_seq", F.when(touched, seq).otherwise(F.col("invalidated_at_seq"))).select(*edges.columns)
 
 
 def supersession_sweep(artifacts: DataFrame, changed: DataFrame, seq: int) -> DataFrame:

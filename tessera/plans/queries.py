@@ -2,84 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import access, text
 from ..operators import gates, ledger, registry, resolve, versions
-from ..sources.registry import table, with_tables
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-SEQ = 4
-TEAMS = ["team_a"]
-
-
-def _add(name: str, tables: tuple[str, ...], run: Callable[..., DataFrame], sql: str | None) -> None:
-    """Registers ``run(*tables)``; ``sql`` is a SELECT over the same tables."""
-    _QUERIES[name] = lambda spark, sf_dir: run(*(table(spark, sf_dir, t) for t in tables))
-    if sql is not None:
-        own = [t for t in tables if t not in ("documents", "events", "embeddings", "pages", "benchmark", "labels", "conversations", "part", "orders", "lineitem")]
-        _SQL[name] = (with_tables(*own) if own else "") + sql
-
-
-_HEALTH = """SELECT CAST(created_at AS DATE) AS day, count(*) AS calls, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'reused') AS reused,
- count(*) FILTER (status = 'denied') AS denied, count(*) FILTER (status = 'error') AS error, count(*) FILTER (cache_hit) AS cache_hits,
- count(*) FILTER (status = 'approved' AND len(returned_artifact_ids) = 0) AS zero_results, count(*) FILTER (status = 'approved' AND len(returned_artifact_ids) <= 1) AS thin_results,
- CAST(sum(tokens_returned) AS BIGINT) AS tokens FROM retrieval_event GROUP BY 1"""
-_HEALTH_RATES = f"""SELECT *, round(error / nullif(calls, 0)::DOUBLE, 6) AS error_rate, round(cache_hits / nullif(calls, 0)::DOUBLE, 6) AS cache_hit_rate,
- round(thin_results / nullif(approved, 0)::DOUBLE, 6) AS gap_rate FROM ({_HEALTH})"""
+from .catalog import MEMBER as _MEMBER
+from .catalog import QUERIES, SEQ, SQL, TEAMS, Query
+from .catalog import VISIBLE as _VISIBLE
+from .catalog import add as _add
+
+_ANSWERED = "tool_name = 'kb_search' AND status = 'approved'"
+_THIN = f"{_ANSWERED} AND coalesce(len(returned_artifact_ids), 0) <= 1"
+_FOLLOW = "tool_name = 'context.request_more' AND status IN ('approved', 'reused')"
+_count = lambda c: f"count(*) FILTER ({c})"
+_ratio = lambda a, b: f"round(({a})::DOUBLE / nullif({b}, 0), 6)"
+_HEALTH = f"""SELECT CAST(created_at AS DATE) AS day, count(*) AS events, {_count("status = 'approved'")} AS approved, {_count("status = 'reused'")} AS reused, {_count("status = 'denied'")} AS denied,
+ {_count("status = 'needs_human_approval'")} AS needs_human_approval, {_count("status = 'error'")} AS errors, {_ratio(_count("status = 'error'"), "count(*)")} AS error_rate,
+ {_ratio(_count("status = 'reused'"), _count("status IN ('reused', 'approved')"))} AS evidence_reuse_rate, {_ratio(_count(_FOLLOW + " AND semantic_reuse"), _count(_FOLLOW))} AS semantic_cache_hit_rate,
+ {_ratio(_count("cache_hit"), "count(*)")} AS cache_hit_rate, {_count(_ANSWERED)} AS kb_search_answered, {_count(_THIN)} AS kb_search_zero_thin,
+ {_ratio(_count(_THIN), _count(_ANSWERED))} AS kb_search_zero_thin_rate FROM retrieval_event GROUP BY 1"""
+_MINED = f"""SELECT h.*, coalesce(m, 0) AS ledger_mined, coalesce(u, 0) AS ledger_unresolved, {_ratio("coalesce(m, 0)", "coalesce(m, 0) + coalesce(u, 0)")} AS ledger_mined_rate FROM ({_HEALTH}) h
+ LEFT JOIN (SELECT CAST(started_at AS DATE) AS day, CAST(sum(ledger_mining_mined) AS BIGINT) AS m, CAST(sum(ledger_mining_unresolved) AS BIGINT) AS u FROM kb_build_run GROUP BY 1) b USING (day)"""
+_ECONOMICS = f"""SELECT CAST(created_at AS DATE) AS day, count(DISTINCT run_id) FILTER (run_id <> '-') AS runs, count(DISTINCT agent_name) AS agents, count(*) AS events, CAST(sum(coalesce(tokens_returned, 0)) AS BIGINT) AS tokens_charged,
+ {_ratio("coalesce(sum(tokens_returned) FILTER (run_id <> '-'), 0)", "count(DISTINCT run_id) FILTER (run_id <> '-')")} AS context_tokens_per_run, {_ratio("count(*)", "count(DISTINCT agent_name)")} AS retrieval_calls_per_agent FROM retrieval_event GROUP BY 1"""
 _ALLOWANCES = "SELECT 'agent_1' AS agent_name, 3 AS max_requests, 6000 AS max_tokens UNION ALL SELECT 'agent_2', 2, 100 UNION ALL SELECT 'agent_3', 1, 50"
-_ADHERENCE = f"""SELECT b.run_id, b.agent_name, requests, tokens, run_tokens, requests > coalesce(max_requests, 1) AS over_requests, tokens > coalesce(max_tokens, 2500) AS over_tokens, run_tokens > 18000 AS over_run
- FROM (SELECT run_id, agent_name, count(*) FILTER (tool_name = 'context.request_more') AS requests, CAST(sum(tokens_returned) AS BIGINT) AS tokens FROM retrieval_event WHERE run_id <> '-' GROUP BY ALL) b
- LEFT JOIN ({_ALLOWANCES}) a ON a.agent_name = b.agent_name
- JOIN (SELECT run_id, CAST(sum(tokens_returned) AS BIGINT) AS run_tokens FROM retrieval_event WHERE run_id <> '-' GROUP BY 1) r ON r.run_id = b.run_id"""
+_ADHERENCE = f"""SELECT p.run_id, p.agent_name, events, tokens_charged, run_tokens, run_tokens > 18000 AS over_run_budget, follow_up_requests, follow_up_tokens,
+ CAST(coalesce(max_requests, 1) AS BIGINT) AS agent_max_requests, CAST(coalesce(max_tokens, 2500) AS BIGINT) AS agent_max_tokens,
+ follow_up_requests > coalesce(max_requests, 1) AS over_agent_requests, follow_up_tokens > coalesce(max_tokens, 2500) AS over_agent_tokens
+ FROM (SELECT run_id, agent_name, count(*) AS events, CAST(sum(coalesce(tokens_returned, 0)) AS BIGINT) AS tokens_charged, {_count(_FOLLOW)} AS follow_up_requests,
+ CAST(coalesce(sum(tokens_returned) FILTER ({_FOLLOW}), 0) AS BIGINT) AS follow_up_tokens FROM retrieval_event WHERE run_id <> '-' GROUP BY ALL) p
+ LEFT JOIN ({_ALLOWANCES}) a ON a.agent_name = p.agent_name
+ JOIN (SELECT run_id, CAST(sum(coalesce(tokens_returned, 0)) AS BIGINT) AS run_tokens FROM retrieval_event WHERE run_id <> '-' GROUP BY 1) r ON r.run_id = p.run_id"""
 
 
 def _adherence(events: DataFrame) -> DataFrame:
     return ledger.budget_adherence(events, events.sparkSession.sql(_ALLOWANCES))
 
 
-_add("retrieval_health_daily", ("retrieval_event",), ledger.retrieval_health_daily, _HEALTH_RATES)
-_add("token_economics_daily", ("retrieval_event",), ledger.token_economics_daily, """SELECT *, round(tokens / nullif(runs, 0)::DOUBLE, 6) AS tokens_per_run, round(calls / nullif(agents, 0)::DOUBLE, 6) AS calls_per_agent FROM
- (SELECT CAST(created_at AS DATE) AS day, count(DISTINCT nullif(run_id, '-')) AS runs, count(DISTINCT agent_name) AS agents, count(*) AS calls, CAST(sum(tokens_returned) AS BIGINT) AS tokens FROM retrieval_event GROUP BY 1)""")
+_add("retrieval_health_daily", ("retrieval_event",), ledger.retrieval_health_daily, _HEALTH)
+_add("token_economics_daily", ("retrieval_event",), ledger.token_economics_daily, _ECONOMICS)
 _add("budget_adherence", ("retrieval_event",), _adherence, _ADHERENCE)
-_add("budget_breaches", ("retrieval_event",), lambda e: ledger.budget_breaches(_adherence(e)), f"SELECT * FROM ({_ADHERENCE}) WHERE over_requests OR over_tokens OR over_run ORDER BY run_tokens DESC, run_id, agent_name LIMIT 50")
-_add("summary_tiles", ("retrieval_event",), ledger.summary_tiles, f"""SELECT *, CASE WHEN error_rate > 0.05 THEN 'bad' WHEN error_rate > 0.01 THEN 'warn' ELSE 'ok' END AS error_state, CASE WHEN gap_rate > 0.5 THEN 'bad' WHEN gap_rate > 0.2 THEN 'warn' ELSE 'ok' END AS gap_state
- FROM (SELECT *, round(error / nullif(calls, 0)::DOUBLE, 6) AS error_rate, round(thin_results / nullif(approved, 0)::DOUBLE, 6) AS gap_rate FROM
- (SELECT CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(approved) AS BIGINT) AS approved, CAST(sum(error) AS BIGINT) AS error, CAST(sum(thin_results) AS BIGINT) AS thin_results, CAST(sum(tokens) AS BIGINT) AS tokens
- FROM (SELECT *, max(day) OVER () AS last FROM ({_HEALTH})) WHERE day > last - 7))""")
+_OVER = "over_run_budget OR over_agent_requests OR over_agent_tokens"
+_add("budget_breaches", ("retrieval_event",), lambda e: ledger.budget_breaches(_adherence(e)), f"SELECT * FROM ({_ADHERENCE}) WHERE {_OVER} ORDER BY run_tokens DESC, run_id, agent_name LIMIT 50")
+_add("budget_totals", ("retrieval_event",), lambda e: ledger.budget_totals(_adherence(e)), f"""SELECT count(*) AS pairs, count(DISTINCT run_id) AS runs, count(DISTINCT run_id) FILTER (over_run_budget) AS runs_over_budget,
+ count(*) FILTER (over_agent_requests OR over_agent_tokens) AS agents_over_allowance FROM ({_ADHERENCE})""")
+_sum = lambda c: f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}"
+_state = lambda c, warn, bad: f"CASE WHEN {c} >= {bad} THEN 'bad' WHEN {c} >= {warn} THEN 'warn' ELSE 'ok' END"
+_add("summary_tiles", ("retrieval_event", "kb_build_run"), ledger.summary_tiles, f"""SELECT *, {_state("error_rate", 0.01, 0.05)} AS error_state, {_state("gap_rate", 0.2, 0.5)} AS gap_state, CASE WHEN ledger_unresolved = 0 THEN 'ok' ELSE 'warn' END AS ledger_state
+ FROM (SELECT *, {_ratio("errors", "events")} AS error_rate, {_ratio("reused", "reused + approved")} AS evidence_reuse_rate, {_ratio("kb_search_zero_thin", "kb_search_answered")} AS gap_rate, {_ratio("ledger_mined", "ledger_mined + ledger_unresolved")} AS ledger_mined_rate
+ FROM (SELECT {", ".join(map(_sum, ("events", "approved", "reused", "errors", "kb_search_answered", "kb_search_zero_thin", "ledger_mined", "ledger_unresolved")))} FROM ({_MINED} ORDER BY day DESC LIMIT 7)),
+ (SELECT {_sum("tokens_charged")} FROM ({_ECONOMICS} ORDER BY day DESC LIMIT 7)))""")
 _add("tokens_by_agent_day", ("retrieval_event",), ledger.tokens_by_agent_day, "SELECT CAST(created_at AS DATE) AS day, agent_name, count(*) AS calls, CAST(sum(tokens_returned) AS BIGINT) AS tokens FROM retrieval_event GROUP BY ALL")
 _add("refusals", ("retrieval_event",), ledger.refusals, "SELECT agent_name, tool_name, count(*) AS refusals FROM retrieval_event WHERE status IN ('denied', 'needs_human_approval') GROUP BY ALL")
+_add("latest_calls", ("retrieval_event",), ledger.latest_calls, "SELECT retrieval_id, created_at, agent_name, tool_name, status, tokens_returned FROM retrieval_event ORDER BY created_at DESC, retrieval_id DESC LIMIT 20")
+_add("gap_rows", ("retrieval_event",), ledger.gap_rows, f"SELECT retrieval_id, created_at, query_text, CAST(len(returned_artifact_ids) AS INT) AS found FROM retrieval_event WHERE {_THIN}")
 _add("per_agent_calls", ("retrieval_event",), ledger.per_agent_calls, "SELECT agent_name, count(*) AS calls FROM retrieval_event GROUP BY ALL")
-_add("miss_groups", ("retrieval_event",), ledger.miss_groups, """SELECT * FROM (SELECT trim(regexp_replace(lower(substr(query_text, 1, 80)), '[^a-z0-9]+', ' ', 'g')) AS phrase, count(*) AS misses, count(DISTINCT CAST(created_at AS DATE)) AS days,
- min(created_at) AS first_seen, max(created_at) AS last_seen FROM retrieval_event WHERE tool_name = 'kb_search' AND status = 'approved' AND len(returned_artifact_ids) <= 1
- AND created_at >= (SELECT max(created_at) FROM retrieval_event) - INTERVAL 14 DAY GROUP BY 1) WHERE phrase <> ''""")
+_add("miss_groups", ("retrieval_event",), ledger.miss_groups, f"""SELECT * FROM (SELECT *, CAST(sum(misses) OVER () AS BIGINT) AS misses_seen FROM (SELECT trim(regexp_replace(lower(substr(regexp_replace(query_text, '[\\x00-\\x1f\\x7f]', ' ', 'g'), 1, 80)), '[^a-z0-9]+', ' ', 'g')) AS phrase,
+ count(*) AS misses, count(DISTINCT CAST(created_at AS DATE)) AS days, min(created_at) AS first_seen, max(created_at) AS last_seen FROM retrieval_event WHERE {_THIN}
+ AND created_at >= (SELECT max(created_at) FROM retrieval_event) - INTERVAL 14 DAY GROUP BY 1)) WHERE phrase <> ''""")
 _add("latency_percentiles", ("trace_span",), ledger.latency_percentiles, """SELECT name, max(duration_ms) FILTER (r = round_even(0.5 * (n - 1), 0)) AS p50, max(duration_ms) FILTER (r = round_even(0.95 * (n - 1), 0)) AS p95 FROM
  (SELECT name, duration_ms, row_number() OVER (PARTITION BY name ORDER BY duration_ms) - 1 AS r, count(*) OVER (PARTITION BY name) AS n FROM trace_span WHERE status <> 'error') GROUP BY name""")
-_add("span_stats", ("trace_span",), ledger.span_stats, "SELECT name, count(*) AS spans, round(avg(duration_ms), 6) AS avg_ms, max(duration_ms) AS max_ms FROM trace_span GROUP BY 1")
-_add("trace_waterfall", ("trace_span",), ledger.trace_waterfall, """SELECT trace_id, span_id, row_number() OVER w AS position, epoch_us(started_at) - epoch_us(first_value(started_at) OVER w) AS offset_us,
- CASE WHEN parent_span_id IS NULL THEN 0 ELSE 1 END AS depth FROM trace_span WINDOW w AS (PARTITION BY trace_id ORDER BY started_at, span_id)""")
+_add("span_stats", ("trace_span",), ledger.span_stats, """SELECT name, count(*) AS spans, round(avg(duration_ms), 6) AS avg_ms, max(duration_ms) AS max_ms FROM trace_span
+ WHERE started_at >= (SELECT max(started_at) FROM trace_span) - INTERVAL 7 DAY GROUP BY 1""")
+_add("trace_waterfall", ("trace_span",), ledger.trace_waterfall, """, o AS (SELECT trace_id, span_id, parent_span_id, row_number() OVER w AS position, epoch_us(started_at) - epoch_us(first_value(started_at) OVER w) AS offset_us
+ FROM trace_span WINDOW w AS (PARTITION BY trace_id ORDER BY started_at, span_id)), d AS (WITH RECURSIVE r AS (SELECT trace_id, span_id, 0 AS depth FROM o WHERE NOT EXISTS (SELECT 1 FROM o p WHERE p.trace_id = o.trace_id AND p.span_id = o.parent_span_id)
+ UNION ALL SELECT o.trace_id, o.span_id, r.depth + 1 FROM o JOIN r ON o.trace_id = r.trace_id AND o.parent_span_id = r.span_id) SELECT * FROM r) SELECT trace_id, span_id, position, offset_us, depth FROM o JOIN d USING (trace_id, span_id)""")
 _add("timeline", ("retrieval_event",), ledger.timeline, """SELECT run_id, retrieval_id, row_number() OVER w AS position, epoch_us(created_at) - epoch_us(first_value(created_at) OVER w) AS elapsed_us, tool_name || ' ' || status AS headline
  FROM retrieval_event WHERE run_id <> '-' WINDOW w AS (PARTITION BY run_id ORDER BY created_at, retrieval_id)""")
-_add("duplicate_tokens", ("retrieval_event",), ledger.duplicate_tokens, """SELECT run_id, count(*) AS calls, CAST(sum(tokens_returned) AS BIGINT) AS tokens FROM retrieval_event a WHERE run_id <> '-' AND status = 'approved' AND tokens_returned > 0 AND len(returned_artifact_ids) > 0
- AND NOT EXISTS (SELECT 1 FROM (SELECT a.retrieval_id AS rid, unnest(a.returned_artifact_ids) AS id) u WHERE NOT EXISTS (SELECT 1 FROM retrieval_event b WHERE b.run_id = a.run_id AND b.status = 'approved'
- AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.retrieval_id < a.retrieval_id)) AND list_contains(b.returned_artifact_ids, u.id))) GROUP BY run_id""")
-_add("retrieved_by", ("retrieval_event",), ledger.retrieved_by, "SELECT DISTINCT agent_name, unnest(returned_artifact_ids) AS artifact_id FROM retrieval_event")
+_IDS = "list_distinct(list_concat(list_concat(returned_artifact_ids, reused_evidence_ids), new_evidence_ids))"
+_add("duplicate_tokens", ("retrieval_event",), ledger.duplicate_tokens, f""", x AS (SELECT run_id, retrieval_id, created_at, status, tokens_returned, tool_name = 'context.open_evidence' AS opened, {_IDS} AS ids FROM retrieval_event WHERE run_id <> '-'),
+ u AS (SELECT * EXCLUDE (ids), unnest(ids) AS id FROM x), f AS (SELECT run_id, opened, id, min((created_at, retrieval_id)) AS first FROM u WHERE NOT opened OR status = 'approved' GROUP BY ALL),
+ n AS (SELECT DISTINCT u.run_id, u.retrieval_id FROM u LEFT JOIN f ON f.run_id = u.run_id AND f.opened = u.opened AND f.id = u.id WHERE f.first IS NULL OR (u.created_at, u.retrieval_id) <= f.first)
+ SELECT run_id, count(*) AS calls, CAST(sum(tokens_returned) AS BIGINT) AS tokens FROM x WHERE status = 'approved' AND tokens_returned > 0 AND len(ids) > 0 AND (run_id, retrieval_id) NOT IN (SELECT (run_id, retrieval_id) FROM n) GROUP BY run_id""")
+_add("retrieved_by", ("retrieval_event",), ledger.retrieved_by, f"SELECT DISTINCT agent_name, unnest({_IDS}) AS artifact_id FROM retrieval_event")
+_add("ledger_list", ("retrieval_event",), lambda e: ledger.ledger_list(e, "run_7_2024-01-09", "agent_7").select("retrieval_id", "tool_name", "status"), "SELECT retrieval_id, tool_name, status FROM retrieval_event WHERE run_id = 'run_7_2024-01-09' AND agent_name = 'agent_7'")
+_SKIP = """, o AS (SELECT run_id, created_at, retrieval_id, tokens_returned AS t, row_number() OVER (PARTITION BY run_id ORDER BY created_at, retrieval_id) AS i FROM retrieval_event WHERE run_id <> '-'),
+ g AS (WITH RECURSIVE r AS (SELECT run_id, retrieval_id, i, t, t <= 120 AS kept, CASE WHEN t <= 120 THEN t ELSE 0 END AS spent FROM o WHERE i = 1
+ UNION ALL SELECT o.run_id, o.retrieval_id, o.i, o.t, r.spent + o.t <= 120, CASE WHEN r.spent + o.t <= 120 THEN r.spent + o.t ELSE r.spent END FROM r JOIN o ON o.run_id = r.run_id AND o.i = r.i + 1) SELECT * FROM r)"""
+_add("budget_skip", ("retrieval_event",), lambda e: ledger.budget_skip(e.where("run_id <> '-'"), 120).select("run_id", "retrieval_id", "tokens_returned"), _SKIP + " SELECT run_id, retrieval_id, t AS tokens_returned FROM g WHERE kept")
 _add("budget_prefix", ("retrieval_event",), lambda e: ledger.budget_prefix(e.where("run_id <> '-'"), 120).select("run_id", "retrieval_id", "spent"), """SELECT run_id, retrieval_id, CAST(spent AS BIGINT) AS spent FROM (SELECT run_id, retrieval_id,
  sum(tokens_returned) OVER (PARTITION BY run_id ORDER BY created_at, retrieval_id ROWS UNBOUNDED PRECEDING) AS spent FROM retrieval_event WHERE run_id <> '-') WHERE spent <= 120""")
 _add("older_than", ("retrieval_event",), ledger.older_than, "SELECT count(*) FILTER (created_at < now - INTERVAL 20 DAY) AS expired, count(*) FILTER (created_at >= now - INTERVAL 20 DAY) AS kept FROM (SELECT created_at, max(created_at) OVER () AS now FROM retrieval_event)")
-_add("build_health", ("kb_build_run",), ledger.build_health, """SELECT kb_version, build_seq, CAST(floor((epoch_us(completed_at) - epoch_us(started_at)) / 1000000) AS BIGINT) AS duration_s,
- round((model_calls + embedding_calls) / nullif(sources_changed, 0)::DOUBLE, 6) AS calls_per_changed, status = 'active' AS is_active FROM kb_build_run""")
-_add("health_with_builds", ("retrieval_event", "kb_build_run"), ledger.health_with_builds, f"""SELECT h.day, calls, thin_results, builds, changed, round(changed / nullif(thin_results, 0)::DOUBLE, 6) AS changed_per_miss FROM ({_HEALTH}) h
- LEFT JOIN (SELECT CAST(started_at AS DATE) AS day, count(*) AS builds, CAST(sum(sources_changed) AS BIGINT) AS changed FROM kb_build_run GROUP BY 1) b ON b.day = h.day""")
+_add("kept_events", ("retrieval_event",), lambda e: ledger.expired(e, 20)[1].select("retrieval_id"), "SELECT retrieval_id FROM retrieval_event WHERE created_at >= (SELECT max(created_at) FROM retrieval_event) - INTERVAL 20 DAY")
+_add("build_health", ("kb_build_run",), ledger.build_health, f"""SELECT kb_version, build_seq, status, round((epoch_us(completed_at) - epoch_us(started_at)) / 1000000, 6) AS duration_seconds, sources_seen, sources_changed,
+ {_ratio("model_calls", "sources_changed")} AS llm_calls_per_changed_source, {_ratio("embedding_calls", "sources_changed")} AS embedding_calls_per_changed_source, status = 'active' AS is_active,
+ CASE WHEN status = 'active' THEN round((epoch_us(max(coalesce(completed_at, started_at)) OVER ()) - epoch_us(coalesce(completed_at, started_at))) / 1000000, 6) END AS active_kb_age_seconds FROM kb_build_run""")
+_add("build_log", ("kb_build_run",), ledger.build_log, "SELECT kb_version, build_seq, status, status = 'validation_failed' AS failed, failed_gate FROM kb_build_run ORDER BY build_seq DESC LIMIT 10")
+_add("health_with_builds", ("retrieval_event", "kb_build_run"), ledger.health_with_builds, _MINED)
 _add("activate", ("kb_build_run",), registry.activate, """SELECT kb_version, build_seq, CASE WHEN status = 'validation_failed' THEN status WHEN build_seq = max(build_seq) FILTER (status <> 'validation_failed') OVER () THEN 'active' ELSE 'superseded' END AS status FROM kb_build_run""")
 
-_MEMBER = f"(valid_from_seq <= {SEQ} AND (invalidated_at_seq IS NULL OR invalidated_at_seq > {SEQ}))"
-_VISIBLE = "(len(acl_teams) = 0 OR list_has_any(acl_teams, ['team_a']))"
 _STRICT = "CASE WHEN len(tight) = 0 THEN '' WHEN len(list_reduce(tight, lambda a, b: list_intersect(a, b))) = 0 THEN '__no_team__' ELSE array_to_string(list_sort(list_reduce(tight, lambda a, b: list_intersect(a, b))), ',') END"
 _add("members", ("knowledge_artifact",), lambda a: registry.members(a, SEQ).select("artifact_id", "artifact_type"), f"SELECT artifact_id, artifact_type FROM knowledge_artifact WHERE {_MEMBER}")
 _add("artifact_census", ("knowledge_artifact",), lambda a: registry.artifact_census(a, SEQ), f"SELECT artifact_type, count(*) AS total, count(*) FILTER {_MEMBER} AS served, count(*) FILTER (invalidated_at_seq <= {SEQ}) AS invalidated FROM knowledge_artifact GROUP BY 1")
@@ -120,32 +132,25 @@ _add("provenance", ("knowledge_artifact", "source_item", "doc_edge"), registry.p
  SELECT artifact_id, is_deleted, artifact_id IN (SELECT i FROM n WHERE trust_class = 'EXTRACTED') AS has_extracted, artifact_id IN (SELECT i FROM n) AS has_edge FROM knowledge_artifact JOIN source_item USING (source_id)""")
 _add("linked_symbol_coverage", ("knowledge_artifact", "doc_edge"), lambda a, e: registry.linked_symbol_coverage(a, e, SEQ), f""", n AS (SELECT from_artifact_id AS i FROM doc_edge WHERE {_MEMBER} UNION SELECT to_artifact_id FROM doc_edge WHERE {_MEMBER})
  SELECT count(*) AS symbols, count(*) FILTER (artifact_id IN (SELECT i FROM n)) AS linked, round(linked / nullif(symbols, 0)::DOUBLE, 6) AS coverage FROM knowledge_artifact WHERE {_MEMBER} AND artifact_type = 'code_symbol'""")
-_add("neighbors", ("knowledge_edge",), lambda e: registry.neighbors(e, e.select(F.lit("c7").alias("artifact_id")).distinct(), 2).groupBy("hop").agg(F.count("*").alias("nodes"), F.min("artifact_id").alias("first")), """, x AS (SELECT from_artifact_id AS a, to_artifact_id AS b FROM knowledge_edge WHERE trust_class = 'EXTRACTED'),
- y AS (SELECT a, b FROM x UNION SELECT b, a FROM x), h1 AS (SELECT DISTINCT b FROM y WHERE a = 'c7' AND b <> 'c7'), h2 AS (SELECT DISTINCT y.b FROM y JOIN h1 ON y.a = h1.b WHERE y.b <> 'c7' AND y.b NOT IN (SELECT b FROM h1))
- SELECT 0 AS hop, CAST(1 AS BIGINT) AS nodes, 'c7' AS first UNION ALL SELECT 1, count(*), min(b) FROM h1 HAVING count(*) > 0 UNION ALL SELECT 2, count(*), min(b) FROM h2 HAVING count(*) > 0""")
-_add("neighbors_of_seeds", ("knowledge_edge",), lambda e: registry.neighbors(e, e.select(F.explode(F.array("from_artifact_id", "to_artifact_id")).alias("artifact_id")).distinct().where("cast(substr(artifact_id, 2) as long) % 50 = 0"), 2), """, x AS (SELECT from_artifact_id AS a, to_artifact_id AS b FROM knowledge_edge WHERE trust_class = 'EXTRACTED'),
+_add("neighbors", ("knowledge_edge",), lambda e: registry.neighbors(e, e.select(F.explode(F.array("from_artifact_id", "to_artifact_id")).alias("artifact_id")).distinct().where("cast(substr(artifact_id, 2) as long) % 50 = 0"), 2), """, x AS (SELECT from_artifact_id AS a, to_artifact_id AS b FROM knowledge_edge WHERE trust_class = 'EXTRACTED'),
  y AS (SELECT a, b FROM x UNION SELECT b, a FROM x), s AS (SELECT id FROM (SELECT from_artifact_id AS id FROM knowledge_edge UNION SELECT to_artifact_id FROM knowledge_edge) WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0),
  h1 AS (SELECT DISTINCT b FROM y JOIN s ON a = s.id WHERE b NOT IN (SELECT id FROM s)), h2 AS (SELECT DISTINCT y.b FROM y JOIN h1 ON y.a = h1.b WHERE y.b NOT IN (SELECT id FROM s) AND y.b NOT IN (SELECT b FROM h1))
  SELECT id AS artifact_id, 0 AS hop FROM s UNION ALL SELECT b, 1 FROM h1 UNION ALL SELECT b, 2 FROM h2""")
-_rank = "r{i} AS (SELECT v.id, v.dead, 0.15 / (SELECT count(*) FROM v) + 0.85 * (coalesce(s, 0) + (SELECT coalesce(sum(r), 0) FROM r{j} WHERE dead) / (SELECT count(*) FROM v)) AS r FROM v LEFT JOIN (SELECT e.v AS id, sum(r{j}.r / d) AS s FROM e JOIN d ON d.u = e.u JOIN r{j} ON r{j}.id = e.u GROUP BY 1) g ON g.id = v.id)"
-_add("pagerank", ("knowledge_edge",), lambda e: registry.pagerank(e, rounds=4), ", e AS (SELECT from_artifact_id AS u, to_artifact_id AS v FROM knowledge_edge), d AS (SELECT u, count(*) AS d FROM e GROUP BY 1), v AS (SELECT id, id NOT IN (SELECT u FROM d) AS dead FROM (SELECT u AS id FROM e UNION SELECT v FROM e)), r0 AS (SELECT id, dead, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r FROM v), "
- + ", ".join(_rank.format(i=i, j=i - 1) for i in range(1, 5)) + " SELECT id AS artifact_id, round(r / (SELECT max(r) FROM r4), 6) AS centrality FROM r4")
-
-_add("pagerank_converged", ("knowledge_edge",), registry.pagerank, """, e AS (SELECT from_artifact_id AS u, to_artifact_id AS v FROM knowledge_edge), d AS (SELECT u, count(*) AS d FROM e GROUP BY 1), w AS MATERIALIZED (SELECT u, v, count(*) / any_value(d) AS w FROM e JOIN d USING (u) GROUP BY ALL),
+_add("pagerank", ("knowledge_edge",), registry.pagerank, """, e AS (SELECT from_artifact_id AS u, to_artifact_id AS v FROM knowledge_edge), d AS (SELECT u, count(*) AS d FROM e GROUP BY 1), w AS MATERIALIZED (SELECT u, v, count(*) / any_value(d) AS w FROM e JOIN d USING (u) GROUP BY ALL),
  v AS MATERIALIZED (SELECT id, id NOT IN (SELECT u FROM d) AS dead, count(*) OVER () AS n FROM (SELECT u AS id FROM e UNION SELECT v FROM e)) SELECT id AS artifact_id, round(r / max(r) OVER (), 6) AS centrality FROM (WITH RECURSIVE x AS (SELECT 0 AS i, id, dead, n, 1.0::DOUBLE / n AS r FROM v UNION ALL
  SELECT t.i + 1, v.id, v.dead, v.n, 0.15 / v.n + 0.85 * (coalesce(s, 0) + t.m / v.n) FROM v CROSS JOIN (SELECT max(i) AS i, coalesce(sum(r) FILTER (dead), 0) AS m FROM x) t LEFT JOIN (SELECT w.v AS id, sum(x.r * w.w) AS s FROM w JOIN x ON x.id = w.u GROUP BY 1) g ON g.id = v.id WHERE t.i < 100) SELECT id, r FROM x WHERE i = 100)""")
 
-_TOKENS = """, qt AS (SELECT query_id, token FROM (SELECT query_id, token, min(p) AS p FROM (SELECT query_id, unnest(tk) AS token, generate_subscripts(tk, 1) AS p FROM (SELECT query_id, list_filter(string_split_regex(lower(query_text), '[^a-z0-9]+'), lambda x: len(x) >= 2) AS tk FROM search_query)) GROUP BY ALL)
- QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= 12), ht AS (SELECT artifact_id, token, 4.0 * contains(lower(coalesce(title, '')), token)::INT + 1.5 * contains(lower(coalesce(search_text, '')), token)::INT + contains(lower(coalesce(body_text, '')), token)::INT AS w
- FROM knowledge_artifact JOIN (SELECT DISTINCT token FROM qt) ON true WHERE w > 0), df AS (SELECT token, count(*) AS df FROM ht GROUP BY 1)"""
-_SCORED = _TOKENS + """, sc AS (SELECT query_id, artifact_id, round(CAST(sum((ln(((SELECT count(*) FROM knowledge_artifact) + 1)::DOUBLE / (df + 1)) + 1) * w) AS DOUBLE), 6) AS score FROM ht JOIN df USING (token) JOIN qt USING (token) GROUP BY ALL),
+_TOKENS = f""", qt AS MATERIALIZED (SELECT query_id, token FROM (SELECT query_id, token, min(p) AS p FROM (SELECT query_id, unnest(tk) AS token, generate_subscripts(tk, 1) AS p FROM (SELECT query_id, list_filter(string_split_regex(lower(query_text), '[^a-z0-9]+'), lambda x: x <> '') AS tk FROM search_query)) GROUP BY ALL)
+ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= 12), ma AS MATERIALIZED (SELECT artifact_id, lower(coalesce(title, '')) AS t, lower(coalesce(search_text, '')) AS s, lower(coalesce(body_text, '')) AS b FROM knowledge_artifact WHERE {_MEMBER}), ct AS (SELECT count(*) AS n FROM ma),
+ ht AS MATERIALIZED (SELECT artifact_id, token, 4.0 * contains(t, token)::INT + 1.5 * contains(s, token)::INT + contains(b, token)::INT AS w FROM ma JOIN (SELECT DISTINCT token FROM qt) ON true WHERE w > 0), df AS (SELECT token, count(*) AS df FROM ht GROUP BY 1)"""
+_SCORED = _TOKENS + """, sc AS (SELECT query_id, artifact_id, round(CAST(sum((ln((n + 1)::DOUBLE / (df + 1)) + 1) * w) AS DOUBLE), 6) AS score FROM ht JOIN df USING (token) JOIN qt USING (token) CROSS JOIN ct GROUP BY ALL),
  top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, artifact_id) AS rank FROM sc QUALIFY rank <= 20)"""
-_add("doc_frequency", ("search_query", "knowledge_artifact"), registry.doc_frequency, _TOKENS + " SELECT DISTINCT qt.token, coalesce(df, 0) AS df FROM qt LEFT JOIN df USING (token)")
-_add("keyword_search", ("search_query", "knowledge_artifact"), registry.keyword_search, _SCORED + " SELECT query_id, artifact_id, score, rank FROM top")
+_add("doc_frequency", ("search_query", "knowledge_artifact"), lambda q, a: registry.doc_frequency(q, a, SEQ), _TOKENS + " SELECT DISTINCT qt.token, coalesce(df, 0) AS df, n FROM qt LEFT JOIN df USING (token) CROSS JOIN ct")
+_add("keyword_search", ("search_query", "knowledge_artifact"), lambda q, a: registry.keyword_search(q, a, SEQ), _SCORED + " SELECT query_id, artifact_id, score, rank FROM top")
 
 
 def _ranked(q: DataFrame, a: DataFrame, s: DataFrame) -> DataFrame:
-    return registry.rank_hits(registry.keyword_search(q, a), a, s, q, TEAMS)
+    return registry.rank_hits(registry.keyword_search(q, a, SEQ), a, s, q, TEAMS)
 
 
 _WEIGHTS = "CASE intent " + " ".join(f"WHEN '{i}' THEN CASE kind {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {x}' for k, x in zip(access.KINDS, w, strict=True))} END" for i, w in access.INTENT_WEIGHTS.items()) + " END"
@@ -167,9 +172,7 @@ _add("scan_injection", ("pages",), lambda p: p.select("page_id", F.array_join(te
 _add("split_identifier", ("events",), lambda e: e.select("event_type", "user_id").distinct().select("user_id", "event_type", F.array_join(text.split_identifier(F.concat(F.lit("onUser"), F.initcap("event_type"), F.lit("_HTTPId"))), " ").alias("words")), "SELECT DISTINCT user_id, event_type, 'on user ' || event_type || ' http id' AS words FROM events")
 _add("work_item_refs", ("source_item",), lambda s: s.select("source_id", F.array_join(text.work_item_refs(F.concat_ws(" ", F.lit("see"), "external_id", F.concat(F.lit("PR #"), (F.col("last_seen_min") % 9).cast("string"))), F.concat(F.lit("fix/"), "source_id", F.lit("-x"))), ",").alias("refs")), """SELECT source_id, CASE WHEN external_id IS NOT NULL THEN CASE WHEN CAST(last_seen_min % 9 AS VARCHAR) = source_id THEN source_id ELSE source_id || ',' || CAST(last_seen_min % 9 AS VARCHAR) END
  WHEN CAST(last_seen_min % 9 AS VARCHAR) = source_id THEN source_id ELSE CAST(last_seen_min % 9 AS VARCHAR) || ',' || source_id END AS refs FROM source_item""")
-_add("sha_refs", ("documents",), lambda d: d.select("doc_id", F.array_join(text.sha_refs(F.col("text")), ",").alias("refs")), "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\\b([0-9a-f]{7,40})\\b', 1), lambda x: regexp_matches(x, '[a-f]')), ',') AS refs FROM documents")
-_add("quote_grounded", ("benchmark", "documents"), lambda b, d: b.select("item_id", F.substring(text.collapsed(F.col("text")), 1, 60).alias("q")).join(d.select("doc_id", F.col("text").alias("span"), (F.col("doc_id") % 40).alias("i")), F.col("item_id") == F.col("i")).select("item_id", "doc_id", text.quote_grounded(F.col("q"), F.col("span")).alias("grounded")), f"SELECT item_id, doc_id, coalesce(contains({_WS.format('d.text')}, trim(substr({_WS.format('b.text')}, 1, 60))), false) AS grounded FROM benchmark b JOIN documents d ON item_id = doc_id % 40")
-
+_add("sha_refs", ("documents",), lambda d: d.select("doc_id", F.array_join(text.sha_refs(F.col("text")), ",").alias("refs")), "SELECT doc_id, coalesce((SELECT string_agg(x, ',' ORDER BY p) FROM (SELECT x, min(p) AS p FROM (SELECT unnest(r) AS x, generate_subscripts(r, 1) AS p) WHERE regexp_matches(x, '[a-f]') GROUP BY 1)), '') AS refs FROM (SELECT doc_id, regexp_extract_all(text, '\\b([0-9a-f]{7,40})\\b', 1) AS r FROM documents)")
 _add("grounded_quotes", ("benchmark", "documents"), resolve.grounded_quotes, f"SELECT item_id, doc_id FROM (SELECT item_id, {_WS.format('text')} AS q FROM benchmark) JOIN (SELECT doc_id, {_WS.format('text')} AS d FROM documents) ON q <> '' AND contains(d, q)")
 
 
@@ -202,20 +205,18 @@ _PHRASE = "array_to_string(list_filter(string_split_regex(lower({0}), '[^a-z0-9]
 _add("fuzzy_resolve", ("search_query", "knowledge_artifact"), _fuzzy, f""", al AS (SELECT lower(title) AS alias, count(*) AS confirmations FROM knowledge_artifact WHERE title IS NOT NULL GROUP BY 1),
  q AS (SELECT query_id, p AS q, list_distinct(string_split(p, ' ')) AS s FROM (SELECT query_id, {_PHRASE.format('query_text')} AS p FROM search_query) WHERE p <> ''),
  a AS (SELECT alias, confirmations, p AS a, list_distinct(string_split(p, ' ')) AS s FROM (SELECT *, {_PHRASE.format('alias')} AS p FROM al) WHERE p <> ''),
- j AS (SELECT query_id, alias, confirmations, CASE WHEN q = a THEN 1.0 ELSE round(len(list_intersect(q.s, a.s))::DOUBLE / (len(q.s) + len(a.s) - len(list_intersect(q.s, a.s))), 6) END AS score FROM q JOIN a ON len(list_intersect(q.s, a.s)) > 0)
- SELECT query_id, alias, score FROM j WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, confirmations DESC, alias) = 1""")
-_add("resolve_targets", ("knowledge_artifact", "source_item"), lambda a, s: resolve.resolve_targets(s.where("last_seen_min % 2 = 0").select("repo", "path"), a, s), """SELECT repo, path, artifact_id FROM source_item JOIN knowledge_artifact USING (source_id) WHERE last_seen_min % 2 = 0
- QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY CASE artifact_type WHEN 'code_file' THEN 0 WHEN 'summary' THEN 1 ELSE 2 END, artifact_id) = 1""")
-_add("resolve_all_targets", ("knowledge_artifact", "source_item"), lambda a, s: resolve.resolve_targets(s.select("repo", "path").distinct(), a, s), """SELECT repo, path, artifact_id FROM source_item JOIN knowledge_artifact USING (source_id)
+ j AS (SELECT query_id, alias, confirmations, q = a AS same, CASE WHEN q = a THEN 1.0 ELSE round(len(list_intersect(q.s, a.s))::DOUBLE / (len(q.s) + len(a.s) - len(list_intersect(q.s, a.s))), 6) END AS score FROM q JOIN a ON len(list_intersect(q.s, a.s)) > 0)
+ SELECT query_id, alias, score FROM j WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY same DESC, score DESC, confirmations DESC, alias) = 1""")
+_add("resolve_targets", ("knowledge_artifact", "source_item"), lambda a, s: resolve.resolve_targets(s.select("repo", "path").distinct(), a, s), """SELECT repo, path, artifact_id FROM source_item JOIN knowledge_artifact USING (source_id)
  QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY CASE artifact_type WHEN 'code_file' THEN 0 WHEN 'summary' THEN 1 ELSE 2 END, artifact_id) = 1""")
-_add("path_table", ("source_item",), resolve.path_table, "SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) - 1 AS place FROM (SELECT DISTINCT repo, path FROM source_item)")
+_add("path_table", ("source_item",), resolve.path_table, "SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM (SELECT DISTINCT path FROM source_item)")
 _add("normalize_text", ("documents",), lambda d: d.select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("h")), """SELECT doc_id, sha256(CASE WHEN t = '' THEN '' ELSE t || chr(10) END) AS h FROM (SELECT doc_id,
- regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\f]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '') AS t FROM documents)""")
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\f]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '') AS t FROM documents)""")
 
 
 _add("judgment_cache_key", ("doc_edge",), lambda e: e.select("from_artifact_id", "to_artifact_id", versions.judgment_cache_key(F.sha2("to_artifact_id", 256), F.sha2("from_artifact_id", 256), F.lit("v1")).alias("key")), """SELECT from_artifact_id, to_artifact_id,
  sha256(least(sha256(from_artifact_id), sha256(to_artifact_id)) || chr(31) || greatest(sha256(from_artifact_id), sha256(to_artifact_id)) || chr(31) || 'v1') AS key FROM doc_edge""")
-_add("path_proximity", ("source_item",), lambda s: s.select("source_id", versions.path_proximity(F.col("path"), F.lit("docs/en/deep/x.md")).alias("shared"), versions.is_test_path(F.replace("path", F.lit("item-1"), F.lit("test_1"))).alias("is_test")), """SELECT source_id,
+_add("path_proximity", ("source_item",), lambda s: s.select("source_id", versions.path_proximity(F.col("path"), F.lit("docs/en/deep/x.md")).alias("shared"), text.is_test_path(F.replace("path", F.lit("item-1"), F.lit("test_1"))).alias("is_test")), """SELECT source_id,
  CASE WHEN path LIKE 'docs/en/%' THEN 2 ELSE 1 END AS shared, path LIKE '%/item-1%' AS is_test FROM source_item""")
 _add("deletion_sweep", ("knowledge_artifact", "doc_edge", "source_item"), lambda a, e, s: versions.deletion_sweep(a, e, s.where("is_deleted"), SEQ)[1].groupBy("edge_type").agg(F.count("*").alias("edges"), F.count("invalidated_at_seq").alias("swept")), """, g AS (SELECT artifact_id FROM knowledge_artifact JOIN source_item USING (source_id) WHERE is_deleted AND invalidated_at_seq IS NULL)
  SELECT edge_type, count(*) AS edges, count(*) FILTER (from_artifact_id IN (SELECT artifact_id FROM g) OR to_artifact_id IN (SELECT artifact_id FROM g)) AS swept FROM doc_edge GROUP BY 1""")
@@ -230,8 +231,12 @@ _add("verify_evidence", ("benchmark", "knowledge_artifact", "source_item"), lamb
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
+
+
+# The other plan modules register their queries when they are imported; they may use names from here.
+from . import builds, claims, evaluation, graphs, linking, packs, texts  # noqa: E402, F401

@@ -13,12 +13,13 @@ _MARKS = {
     "spark": {
         "SHA": "sha2(text, 256)", "A1": "array('team_a')", "A2": "array('team_a','team_b')", "A3": "array('team_b')", "A0": "CAST(array() AS ARRAY<STRING>)",
         "IDS": "CASE WHEN k % 4 = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(k, k + k % 4 - 1), x -> CAST(x AS STRING)) END",
-        "MS": "CAST(FLOOR(value) AS BIGINT)",
+        "MS": "CAST(FLOOR(value) AS BIGINT)", "K": "array(CAST(k AS STRING))", "DIV": "div", "H1": "sha2(", "H2": ", 256)", "NL": "chr(10)",
+        "NEAR": "explode(array(doc_id div 40, doc_id div 40 + 1))",
     },
     "duckdb": {
         "SHA": "sha256(text)", "A1": "['team_a']", "A2": "['team_a','team_b']", "A3": "['team_b']", "A0": "CAST([] AS VARCHAR[])",
         "IDS": "CASE WHEN k % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE list_transform(range(k, k + k % 4), lambda x: CAST(x AS VARCHAR)) END",
-        "MS": "CAST(FLOOR(value) AS BIGINT)",
+        "MS": "CAST(FLOOR(value) AS BIGINT)", "K": "[CAST(k AS VARCHAR)]", "DIV": "//", "H1": "sha256(", "H2": ")", "NL": "chr(10)", "NEAR": "unnest([doc_id // 40, doc_id // 40 + 1])",
     },
 }
 
@@ -46,7 +47,7 @@ _TEXTS = {
  CASE WHEN a.doc_id % 8 <> 0 THEN 'ref-' || CAST(b.doc_id AS STRING) END AS evidence,
  CASE WHEN a.doc_id % 5 > b.doc_id % 5 THEN a.doc_id % 5 ELSE b.doc_id % 5 END AS valid_from_seq,
  CAST(NULL AS BIGINT) AS invalidated_at_seq
- FROM {documents} a JOIN {documents} b ON a.source = b.source AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 40"""),
+ FROM (SELECT *, {NEAR} AS near FROM {documents}) a JOIN {documents} b ON a.source = b.source AND b.doc_id {DIV} 40 = a.near AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 40"""),
     "knowledge_edge": (("orders", "lineitem"), """SELECT DISTINCT 'c' || CAST(o_custkey AS STRING) AS from_artifact_id, 's' || CAST(l_suppkey AS STRING) AS to_artifact_id,
  CASE l_linenumber % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' WHEN 2 THEN 'tests' ELSE 'defined_in' END AS edge_type,
  CASE l_returnflag WHEN 'R' THEN 'EXTRACTED' WHEN 'A' THEN 'INFERRED_HIGH' ELSE 'INFERRED_LOW' END AS trust_class
@@ -61,7 +62,9 @@ _TEXTS = {
  CASE event_type WHEN 'purchase' THEN 'reused' WHEN 'signup' THEN 'denied' WHEN 'error' THEN 'error' ELSE 'approved' END AS status,
  'Find the ' || event_type || ' item #' || CAST(k AS STRING) AS query_text, {IDS} AS returned_artifact_ids,
  k < 20 AS cache_hit, (event_type = 'purchase' AND k % 3 = 0) AS semantic_reuse,
- CASE WHEN event_type IN ('view', 'click') THEN {MS} ELSE 0 END AS tokens_returned
+ CASE WHEN event_type IN ('view', 'click') THEN {MS} ELSE 0 END AS tokens_returned,
+ CASE WHEN event_type = 'purchase' THEN {IDS} ELSE {A0} END AS reused_evidence_ids,
+ CASE WHEN event_id % 4 = 2 AND k % 3 > 0 THEN {K} ELSE {A0} END AS new_evidence_ids
  FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM {events})"""),
     "trace_span": (("events",), """SELECT CAST(event_id AS STRING) AS span_id, CAST(user_id AS STRING) || '/' || CAST(CAST(ts AS DATE) AS STRING) AS trace_id,
  CASE WHEN rn > 1 THEN CAST(root AS STRING) END AS parent_span_id, event_type AS name, CAST(ts AS TIMESTAMP) AS started_at,
@@ -70,15 +73,34 @@ _TEXTS = {
  first_value(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS root FROM {events})"""),
     "kb_build_run": (("events",), """SELECT 'local.' || CAST(day AS STRING) AS kb_version, CAST(row_number() OVER (ORDER BY day) AS BIGINT) AS build_seq,
  first_ts AS started_at, last_ts AS completed_at, clicks AS sources_seen, views AS sources_changed, signups AS model_calls, errors AS embedding_calls,
+ purchases AS ledger_mining_mined, purchases % 5 AS ledger_mining_unresolved, CASE WHEN errors > 70 THEN 'index_drift' END AS failed_gate,
  CASE WHEN errors > 70 THEN 'validation_failed' WHEN day = max(day) OVER () THEN 'active' ELSE 'superseded' END AS status
  FROM (SELECT CAST(ts AS DATE) AS day, CAST(min(ts) AS TIMESTAMP) AS first_ts, CAST(max(ts) AS TIMESTAMP) AS last_ts,
  count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks, count(CASE WHEN event_type = 'view' THEN 1 END) AS views,
- count(CASE WHEN event_type = 'signup' THEN 1 END) AS signups, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM {events} GROUP BY CAST(ts AS DATE))"""),
-    "search_query": (("benchmark",), """SELECT item_id AS query_id, regexp_extract(text, '^[^ ]+( [^ ]+)?( [^ ]+)?( [^ ]+)?( [^ ]+)?( [^ ]+)?', 0) AS query_text,
+ count(CASE WHEN event_type = 'signup' THEN 1 END) AS signups, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors,
+ count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases FROM {events} GROUP BY CAST(ts AS DATE))"""),
+    "linkable": (("documents",), """SELECT CAST(doc_id AS STRING) AS artifact_id,
+ CASE doc_id % 7 WHEN 0 THEN 'code_symbol' WHEN 1 THEN 'code_file' WHEN 3 THEN 'source_backed_fact' WHEN 5 THEN 'commit' WHEN 6 THEN 'concept' ELSE 'summary' END AS artifact_type,
+ CASE doc_id % 7 WHEN 0 THEN 'handle_' || CAST(doc_id AS STRING) WHEN 1 THEN 'src/m' || CAST(doc_id % 10 AS STRING) || '/file_' || CAST(doc_id AS STRING) || '.py'
+ WHEN 4 THEN 'Card ' || CAST(doc_id AS STRING) ELSE NULLIF(regexp_extract(text, '[^ ]+ [^ ]+', 0), '') END AS title,
+ CASE WHEN doc_id % 7 = 5 THEN 'feat(' || source || '): ' || regexp_extract(text, '^[^ ]+( [^ ]+)?( [^ ]+)?( [^ ]+)?', 0) || {NL} || {NL} || 'closes AB#' || CAST(doc_id - 1 AS STRING) || ', reverts ' || substr({H1}CAST(doc_id - 7 AS STRING){H2}, 1, 12)
+ || {NL} || {NL} || '--- changed files ---' || {NL} || 'src/m' || CAST((doc_id - 4) % 10 AS STRING) || '/file_' || CAST(doc_id - 4 AS STRING) || '.py' || {NL} || 'docs/' || CAST(doc_id AS STRING) || '-payment-retry-guide.md'
+ WHEN doc_id % 7 = 6 THEN text || ' uses handle_' || CAST(doc_id - 6 AS STRING) WHEN doc_id % 7 IN (2, 3, 4) THEN text || ' see AB#' || CAST(doc_id + 7 AS STRING) || ' and handle_' || CAST(doc_id - doc_id % 7 AS STRING) || ' in src/m' || CAST((doc_id - doc_id % 7 + 1) % 10 AS STRING) || '/file_' || CAST(doc_id - doc_id % 7 + 1 AS STRING) || '.py'
+ ELSE text END AS body_text,
+ CASE doc_id % 7 WHEN 0 THEN 'github_code' WHEN 1 THEN 'github_code' WHEN 3 THEN 'azure_wiki' WHEN 4 THEN 'ado_card' WHEN 5 THEN 'git_metadata' ELSE 'github_doc' END AS source_type,
+ CASE doc_id % 7 WHEN 4 THEN 'AB#' || CAST(doc_id AS STRING) WHEN 5 THEN substr({H1}CAST(doc_id AS STRING){H2}, 1, 40) END AS external_id,
+ CASE WHEN doc_id % 7 IN (0, 1) THEN 'src/m' || CAST(doc_id % 10 AS STRING) || '/file_' || CAST(doc_id - doc_id % 7 + 1 AS STRING) || '.py' WHEN doc_id % 7 = 2 THEN 'src/m' || CAST(doc_id % 10 AS STRING) || '/guide_' || CAST(doc_id AS STRING) || '.md' END AS path,
+ CASE WHEN doc_id % 7 = 5 AND doc_id % 2 = 0 THEN 'fix/' || CAST(doc_id - 8 AS STRING) || '-x' END AS branch, source AS repo FROM {documents}"""),
+    "search_query": (("benchmark",), """SELECT item_id AS query_id, text AS query_text,
  CASE item_id % 4 WHEN 0 THEN 'how_does_x_work' WHEN 1 THEN 'why_was_x_changed' WHEN 2 THEN 'who_owns_x' ELSE 'what_calls_x' END AS intent FROM {benchmark}"""),
 }
 
 
+def is_given(name: str) -> bool:
+    """Whether a table is one of the given ones, not a projection."""
+    return name not in _TEXTS
+
+
 def _text(name: str, dialect: str, tables: dict[str, str]) -> str:
     marks = _MARKS[dialect] | tables
     text = reduce(lambda s, m: s.replace(f"{{{m[0]}}}", m[1]), marks.items(), _TEXTS[name][1])

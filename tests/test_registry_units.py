@@ -95,5 +95,5 @@ def test_upsert_takes_the_new_access_list(spark):
 def test_all_paths_are_resolved(spark):
     sf = "/root/testdata/sf0.001"
     paths = table(spark, sf, "source_item").select("repo", "path").distinct()
-    got = queries.queries()["resolve_all_targets"](spark, sf).select("repo", "path")
+    got = queries.queries()["resolve_targets"](spark, sf).select("repo", "path")
     assert got.count() == paths.count() and paths.exceptAll(got).isEmpty()
