@@ -12,13 +12,13 @@ from .catalog import add
 L = ("linkable",)
 _W = "[\\p{L}\\p{N}_]"
 _E = "regexp_replace(t.title, '([^\\p{L}\\p{N}_ ])', '\\\\\\1', 'g')"
-_SYMBOL = f"contains(x.text, t.title) AND regexp_matches(x.text, '(^|[^\\p{{L}}\\p{{N}}_.])' || {_E} || '($|[^\\p{{L}}\\p{{N}}_])')"
-_PATH = f"contains(x.text, t.title) AND regexp_matches(x.text, '(^|[^\\p{{L}}\\p{{N}}_/])' || {_E} || '($|[^\\p{{L}}\\p{{N}}_/])')"
-_PHRASE = f"""contains(lower(x.text), lower(t.title)) AND regexp_matches(x.text, '(?i)' || CASE WHEN regexp_matches(t.title, '^{_W}') THEN '(^|[^\\p{{L}}\\p{{N}}_])' ELSE '{_W}' END || {_E} || CASE WHEN regexp_matches(t.title, '{_W}$') THEN '($|[^\\p{{L}}\\p{{N}}_])' ELSE '{_W}' END)"""
+_SYMBOL = f"CASE WHEN contains(x.text, t.title) THEN regexp_matches(x.text, '(^|[^\\p{{L}}\\p{{N}}_.])' || {_E} || '($|[^\\p{{L}}\\p{{N}}_])') ELSE false END"
+_PATH = f"CASE WHEN contains(x.text, t.title) THEN regexp_matches(x.text, '(^|[^\\p{{L}}\\p{{N}}_/])' || {_E} || '($|[^\\p{{L}}\\p{{N}}_/])') ELSE false END"
+_PHRASE = f"""CASE WHEN contains(x.low, t.low) THEN regexp_matches(x.text, '(?i)' || CASE WHEN regexp_matches(t.title, '^{_W}') THEN '(^|[^\\p{{L}}\\p{{N}}_])' ELSE '{_W}' END || {_E} || CASE WHEN regexp_matches(t.title, '{_W}$') THEN '($|[^\\p{{L}}\\p{{N}}_])' ELSE '{_W}' END) ELSE false END"""
 _DOCS = "artifact_type IN ('chunk', 'summary', 'source_backed_fact') AND source_type IN ('azure_wiki', 'github_doc', 'ado_card') AND body_text IS NOT NULL"
-_PHRASES = f""", c AS (SELECT artifact_id AS i, title FROM linkable WHERE artifact_type = 'concept' AND regexp_matches(title, '{_W}') AND (instr(trim(title), ' ') > 0 OR length(title) >= 6)),
+_PHRASES = f""", c AS MATERIALIZED (SELECT artifact_id AS i, title, lower(title) AS low FROM linkable WHERE artifact_type = 'concept' AND regexp_matches(title, '{_W}') AND (instr(trim(title), ' ') > 0 OR length(title) >= 6)),
  s AS (SELECT artifact_id AS i, title FROM linkable WHERE artifact_type = 'code_symbol' AND length(title) >= 4), f AS (SELECT artifact_id AS i, title FROM linkable WHERE artifact_type IN ('code_file', 'endpoint')),
- d AS (SELECT artifact_id AS i, body_text AS text, source_type = 'ado_card' AS card FROM linkable WHERE {_DOCS}),
+ d AS MATERIALIZED (SELECT artifact_id AS i, body_text AS text, lower(body_text) AS low, source_type = 'ado_card' AS card FROM linkable WHERE {_DOCS}),
  k AS (SELECT artifact_id AS i, concat_ws(chr(10), nullif(title, ''), nullif(body_text, '')) AS text FROM linkable WHERE artifact_type = 'concept' AND title IS NOT NULL AND (instr(trim(title), ' ') > 0 OR length(title) >= 6))
  SELECT DISTINCT t.i AS from_artifact_id, x.i AS to_artifact_id, 'implements' AS edge_type, 0.95::DOUBLE AS confidence FROM s t JOIN k x ON {_SYMBOL} WHERE t.i <> x.i
  UNION ALL SELECT DISTINCT x.i, t.i, CASE WHEN card THEN 'requests' ELSE 'documents' END, 0.9 FROM c t JOIN d x ON {_PHRASE} WHERE t.i <> x.i
