@@ -11,7 +11,8 @@ becomes ``\\b``, ``<`` becomes ``\\l`` and ``>`` becomes ``\\g``; no control str
 in them, and ``unescape`` gives the text back exactly.
 
 Only DataFrame functions run.  Rows are shuffled once, by conversation; a conversation is one
-unit of output, so its turns meet in one row, and different conversations never do.
+unit of output, so its turns meet in one row, and different conversations never do.  Each window takes
+its own slice of that row, so memory grows with the length of a conversation, not with its square.
 
 Defined results: a null text or role counts as empty; rows of one conversation are ordered by
 turn (nulls first), role, text, and repeated rows all stay; rows with a null id form one
@@ -45,6 +46,23 @@ def _again(piece: Column) -> Column:
     return F.concat(F.lit("<again:"), F.substring(piece, len("<turn:") + 1, 2**31 - 1))
 
 
+def _window(i: Column, history_tokens: int) -> Column:
+    """What window i of a conversation holds: its own slices, so that no window carries the whole conversation."""
+    low, high = F.get("starts", i), F.coalesce(F.get("starts", i + 1), F.size("body"))
+    last = F.get("body", low - 1)
+    before = F.coalesce(last["token_sum"], F.lit(0))
+    # Every turn has a token at least, so no more than history_tokens turns can fit.
+    least = F.greatest(F.lit(0), low - history_tokens)
+    return F.struct(
+        i.cast("long").alias("window_id"),
+        F.col("system").alias("system"),
+        F.col("system_tokens").alias("system_tokens"),
+        F.coalesce(last["char_sum"], F.lit(0)).alias("chars_before"),
+        F.filter(F.slice("body", least + 1, low - least), lambda t: before - (t["token_sum"] - t["tokens"]) <= history_tokens).alias("history"),
+        F.slice("body", low + 1, high - low).alias("new"),
+    )
+
+
 def format_windows(conversations: DataFrame, budget_tokens: int = BUDGET_TOKENS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """Rows: conv_id, window_id, n_new, n_history, n_tokens, formatted, loss_spans.
 
@@ -92,20 +110,8 @@ def format_windows(conversations: DataFrame, budget_tokens: int = BUDGET_TOKENS,
         F.struct(F.concat(a["starts"], F.array(a["i"])).alias("starts"), (t["token_sum"] - t["tokens"]).alias("base"), (a["i"] + 1).alias("i")),
     ).otherwise(F.struct(a["starts"].alias("starts"), a["base"].alias("base"), (a["i"] + 1).alias("i")))
     g = g.withColumn("starts", F.aggregate("body", first, step, lambda a: a["starts"]))
-    w = g.select("conv_id", "system", "system_tokens", "body", "starts", F.posexplode("starts").alias("window_id", "low"))
-    high = F.coalesce(F.get("starts", F.col("window_id") + 1), F.size("body"))
-    before = F.coalesce(F.get("body", F.col("low") - 1)["token_sum"], F.lit(0))
-    # Every turn has a token at least, so no more than history_tokens turns can fit.
-    least = F.greatest(F.lit(0), F.col("low") - history_tokens)
-    w = w.select(
-        "conv_id",
-        F.col("window_id").cast("long").alias("window_id"),
-        "system",
-        "system_tokens",
-        F.when(F.col("low") > 0, F.coalesce(F.get("body", F.col("low") - 1)["char_sum"], F.lit(0))).otherwise(F.lit(0)).alias("chars_before"),
-        F.filter(F.slice("body", least + 1, F.col("low") - least), lambda t: before - (t["token_sum"] - t["tokens"]) <= history_tokens).alias("history"),
-        F.slice("body", F.col("low") + 1, high - F.col("low")).alias("new"),
-    )
+    g = g.select("conv_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("starts") - 1), lambda i: _window(i, history_tokens))).alias("w"))
+    w = g.select("conv_id", "w.*")
     texts = lambda c, f: F.array_join(F.transform(c, f), "")
     lead = F.concat(
         texts("system", lambda t: F.when(F.col("window_id") == 0, t["piece"]).otherwise(_again(t["piece"]))),

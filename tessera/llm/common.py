@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.written import shared_folder, written
+
+__all__ = ["BROADCAST_ROWS", "SPACES", "documents", "free_name", "mounted", "shared_folder", "words_of", "written"]
+
 #: Characters that separate words: space and tab..carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 BROADCAST_ROWS = 1_000_000
@@ -17,15 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tessera-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def mounted(folder: str) -> str:
     """The path of a shared folder that all machines mount; files that tasks map must lie there."""
     path = folder.removeprefix("file://").removeprefix("file:")
@@ -34,19 +26,6 @@ def mounted(folder: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes the rows as Parquet in the shared folder and reads them back.
-
-    A lost executor then costs a reread, not a new run of all that came before.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files of the written plan go once the driver has collected its plan as garbage.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -204,7 +204,8 @@ def build_shards(train: DataFrame, layout: Layout, folder: str) -> DataFrame:
         at_home = shard < layout.shards
         return pa.table({"shard": [shard], "tokens": [n_tokens if at_home else 0], "words": [n_words if at_home else 0]})
 
-    return _packed_counts(train, layout).groupBy("shard").applyInArrow(build, "shard long, tokens long, words long")
+    n = layout.shards + int(layout.parts.sum())
+    return _packed_counts(train, layout).repartition(n, "shard").groupBy("shard").applyInArrow(build, "shard long, tokens long, words long")
 
 
 def stream_scores(t: np.ndarray, layout: Layout, folder: str, n_tokens: int, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -84,6 +84,20 @@ def test_chat_reads_back(spark):
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
+def test_chat_long_conversation(spark):
+    """One conversation of 50,000 turns, in the memory that tests have."""
+    n = 50_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 40)).alias("text"))
+    got = chat.read_back(chat.format_windows(rows)).collect()
+    told, loss = hashlib.sha256(), hashlib.sha256()
+    for i in range(n):
+        text = f"{i}" + " word" * 40
+        told.update(f"{'assistant' if i % 2 else 'user'}\n{text}\n".encode())
+        if i % 2:
+            loss.update(text.encode())
+    assert [(r["n_turns"], r["turns_sha256"], r["loss_sha256"]) for r in got] == [(n, told.hexdigest(), loss.hexdigest())]
+
+
 # -- 2
 
 def brute_components(texts, k=5):
