@@ -5,48 +5,71 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..functions.text import normalize_query
+
 
 def read_ledger_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The append-only ledger as a stream of Parquet files."""
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
+
+
+def _thin() -> Column:
+    return (F.col("tool_name") == "kb_search") & (F.col("status") == "approved") & (F.coalesce(F.size("returned_artifact_ids"), F.lit(0)) <= 1)
+
+
 def stream_health(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Calls and outcomes in windows of a day; rows later than the watermark are dropped."""
-    e = events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
-    g = e.groupBy(F.window("created_at", "1 day")).agg(F.count("*").alias("calls"), *(F.count_if(F.col("status") == s).alias(s) for s in ("approved", "reused", "denied", "error")), F.sum("tokens_returned").alias("tokens"))
-    return g.select(F.to_date("window.start").alias("day"), "calls", "approved", "reused", "denied", "error", "tokens")
+    """Events, outcomes and thin answers in windows of a day; rows later than the watermark are dropped."""
+    outcomes = (("approved", "approved"), ("reused", "reused"), ("denied", "denied"), ("needs_human_approval", "needs_human_approval"), ("error", "errors"))
+    g = _timed(events, late).groupBy(F.window("created_at", "1 day")).agg(
+        F.count("*").alias("events"), *(F.count_if(F.col("status") == s).alias(n) for s, n in outcomes),
+        F.count_if((F.col("tool_name") == "kb_search") & (F.col("status") == "approved")).alias("kb_search_answered"), F.count_if(_thin()).alias("kb_search_zero_thin"),
+    )
+    return g.select(F.to_date("window.start").alias("day"), "events", *(n for _, n in outcomes), "kb_search_answered", "kb_search_zero_thin")
+
+
+def stream_misses(events: DataFrame, days: int = 14, late: str = "1 day") -> DataFrame:
+    """Searches that found one item at most, by normalised phrase in sliding windows of ``days``, a day apart."""
+    phrase = normalize_query(F.substring(F.regexp_replace("query_text", "[\\x00-\\x1f\\x7f]", " "), 1, 80))
+    e = _timed(events, late).where(_thin()).withColumn("phrase", phrase).where("phrase <> ''")
+    g = e.groupBy("phrase", F.window("created_at", f"{days} days", "1 day")).agg(F.count("*").alias("misses"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
+    return g.select("phrase", F.to_date("window.end").alias("until"), "misses", "first_seen", "last_seen")
 
 
 def stream_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Calls and tokens of each agent's sessions, which end after a gap."""
-    e = events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
-    g = e.groupBy("agent_name", F.session_window("created_at", gap)).agg(F.count("*").alias("calls"), F.sum("tokens_returned").alias("tokens"))
+    g = _timed(events, late).groupBy("agent_name", F.session_window("created_at", gap)).agg(F.count("*").alias("calls"), F.sum("tokens_returned").alias("tokens"))
     return g.select("agent_name", F.col("session_window.start").alias("started_at"), "calls", "tokens")
 
 
 def stream_exact_reuse(events: DataFrame, late: str = "1 day") -> DataFrame:
     """The first of equal queries of a run within the watermark."""
-    e = events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
-    return e.dropDuplicatesWithinWatermark(["run_id", "query_text"])
+    return _timed(events, late).dropDuplicatesWithinWatermark(["run_id", "query_text"])
 
 
 def stream_budget(events: DataFrame, max_calls: int = 1, max_tokens: int = 4000, idle_ms: int = 3_600_000) -> DataFrame:
-    """Per run and agent: a call is allowed while calls and tokens are under their caps; denied calls charge nothing."""
+    """Per run and agent: a call is allowed while calls and tokens are under their caps; denied calls charge nothing.
+
+    All rows of a key in one micro-batch are put in order before they are decided.
+    """
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         calls, tokens = state.get if state.exists else (0, 0)
-        for f in frames:
+        rows = list(frames)
+        if rows:
             out = []
-            for row in f.sort_values(["created_at", "retrieval_id"]).itertuples():
+            for row in pd.concat(rows).sort_values(["created_at", "retrieval_id"]).itertuples():
                 allowed = calls < max_calls and tokens < max_tokens
                 if allowed:
                     calls, tokens = calls + 1, tokens + int(row.tokens_returned)

@@ -24,7 +24,7 @@ def run(spark, make, mode):
 
 def test_stream_health_equals_batch(spark):
     events, out = run(spark, streams.stream_health, "complete")
-    cols = ["day", "calls", "approved", "reused", "denied", "error", "tokens"]
+    cols = ["day", "events", "approved", "reused", "denied", "needs_human_approval", "errors", "kb_search_answered", "kb_search_zero_thin"]
     assert sorted(map(tuple, out.select(cols).collect())) == sorted(map(tuple, ledger.retrieval_health_daily(events).select(cols).collect()))
 
 
@@ -39,3 +39,39 @@ def test_stream_budget_replays_policy(spark):
         if ok:
             state[r["run_id"], r["agent_name"]] = (calls + 1, tokens + r["tokens_returned"])
     assert got == want
+
+
+def test_stream_exact_reuse_keeps_the_first_of_a_run(spark):
+    events, out = run(spark, streams.stream_exact_reuse, "append")
+    got = sorted((r["run_id"], r["query_text"]) for r in out.collect())
+    assert got == sorted({(r["run_id"], r["query_text"]) for r in events.collect()})
+
+
+def test_stream_sessions_equal_batch(spark):
+    events, out = run(spark, lambda s: streams.stream_sessions(s, "6 hours"), "complete")
+    told, last = {}, {}
+    for r in sorted(events.collect(), key=lambda r: r["created_at"]):
+        a, t = r["agent_name"], r["created_at"]
+        if a not in last or (t - last[a][1]).total_seconds() >= 6 * 3600:
+            last[a] = (t, t)
+        last[a] = (last[a][0], t)
+        calls, tokens = told.get((a, last[a][0]), (0, 0))
+        told[a, last[a][0]] = (calls + 1, tokens + r["tokens_returned"])
+    assert {(r["agent_name"], r["started_at"]): (r["calls"], r["tokens"]) for r in out.collect()} == told
+
+
+def test_stream_misses_slide(spark):
+    events, out = run(spark, streams.stream_misses, "complete")
+    batch = ledger.miss_groups(events, 13)
+    last = events.agg(F.max(F.to_date("created_at"))).first()[0]
+    got = {r["phrase"]: r["misses"] for r in out.where(F.date_sub("until", 1) == F.lit(last)).collect()}
+    told = {r["phrase"]: r["misses"] for r in ledger.miss_groups(events.where(F.to_date("created_at") > F.date_sub(F.lit(last), 14)), 14).collect()}
+    assert got == told and batch.count() > 0
+
+
+def test_stream_budget_orders_a_key_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        test_stream_budget_replays_policy(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
