@@ -1,15 +1,20 @@
 """BPE encoding and decoding by a deterministic automaton (operator 6).
 
-``Automaton`` takes the merges one after the other, as merge gadgets, into the automaton that
-accepts every sequence of base symbols.  The gadget for (u, v) -> uv gives the arc u a copy of its
-target state without the arc v, and adds the arc uv wherever u and then v could be read.  What the
-automaton accepts in the end are exactly the token sequences that the merges produce.  A copy
-differs from its original by one arc and an arc uv stands where u stood at that time, so times of
-birth and loss hold the whole automaton in tables as small as the vocabulary; a transition once
-asked for is kept in a plain table.
-
-``Automaton.encode`` reads a pre-split word: arcs that spell its next characters are tried longest
-first, and only one path reaches the end.  Decoding emits the labels of the arcs.
+``Automaton`` takes the merges one after the other, as merge gadgets, into the automaton that at
+first accepts every sequence of base symbols.  The gadget for (u, v) -> uv gives the arc u a copy of
+its target state without the arc v, and adds the arc uv wherever u and then v could be read.  What
+the automaton accepts in the end are exactly the token sequences that the merges produce.
+
+All arcs of one token lead to one state, so states are named by tokens.  Written out, the table would
+have a billion arcs; it is compiled as a default table with differences instead.  A state has the
+state that it was copied from, with the time of the copy, and the arcs that gadgets took from it since;
+an arc has the arc beside which it was added.  ``Automaton.step`` reads them like a failure chain;
+each entry that was read is kept in a plain table.
+
+``Automaton.encode`` reads a pre-split word once from left to right.  Each prefix has one token
+sequence that the automaton accepts, so each place has one state at most: from it, the arcs that spell
+what follows lead to the places where they end.  Nothing is taken back.  Decoding emits the labels of
+the arcs.
 
 Texts are split first, as the tokenizer file says: NFC, runs of white space, lower case, then
 contractions, letters, single digits and other signs; special tokens stand for themselves.  What
@@ -37,6 +42,8 @@ from pyspark.sql import DataFrame
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _KEPT_WORDS = 300_000
+#: Longer stretches are encoded anew each time, so what is kept is bounded in bytes too.
+_KEPT_CHARS = 64
 #: Stands for the end of a word in the spelling tree; white space is no base symbol.
 END = "\n"
 
@@ -51,23 +58,27 @@ def byte_symbols() -> list[str]:
 class Automaton:
     """Deterministic automaton over tokens, made from a merge list by successive merge gadgets.
 
-    A state is the target of a token's arc as it was at some time: (token, time).  -1 is the start.
+    A state is the target of a token's arcs; ``START`` is where a word begins.
     """
 
+    START = -1
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         self.labels = {i: s for s, i in vocab.items()}
         n = max(vocab.values(), default=-1) + 1
-        # Of the token that a gadget made: its parts and its time; base symbols stand from time 0.
-        self.left, self.right, self.born = list(range(n)), list(range(n)), [0] * n
-        # The time from which the target of the first token's arc lacks the arc of the second.
+        # Default table: the state that a state was copied from, the arc that an arc was added beside, and when.
+        self.default, self.beside, self.born = list(range(n)), list(range(n)), [0] * n
+        # Differences: when the state of the first token lost the arc of the second.
         self.lost: dict[int, int] = {}
-        self.known: dict[int, bool] = {}
-        for when, (u, v) in enumerate(merges, 1):
-            self._gadget(vocab[u], vocab[v], vocab[u + v], when)
+        self.table: dict[int, bool] = {}
+        #: Tokens that no sequence comes to: they have no arc.
+        self.dead = dead = {uv for when, (u, v) in enumerate(merges, 1) if (uv := self._gadget(vocab[u], vocab[v], vocab[u + v], when)) is not None}
         self.end_of_time = len(merges) + 1
         # Arcs by what they spell: a tree of characters, with "" at the node where a token ends.
         self.spelling: dict = {}
         for spelled, i in vocab.items():
+            if i in dead:
+                continue
             node = self.spelling
             for c in spelled.removesuffix(suffix):
                 node = node.setdefault(c, {})
@@ -75,76 +86,71 @@ class Automaton:
                 node = node.setdefault(END, {})
             node[""] = i
 
-    def _gadget(self, u: int, v: int, uv: int, when: int) -> None:
-        """uv may be read where u, then v could; after u, v may not be read any more."""
-        self.left[uv], self.right[uv], self.born[uv] = u, v, when
-        self.lost[u << 20 | v] = when
+    def _gadget(self, u: int, v: int, uv: int, when: int) -> int | None:
+        """The state of u loses the arc v; the arc uv stands beside u and leads to a copy of the state of v.
 
-    def allows(self, before: int, token: int) -> bool:
-        """Whether the state that the token ``before`` leads to has an arc for ``token``.
-
-        The target of a made token began as its right part's target of that time, and a made arc
-        stood where its left part's arc did: both are followed back to base symbols.
+        Where the state of u has no arc v, no sequence comes to the merge: uv, which is returned, has no arc.
         """
-        lost, born, time, state, arc = self.lost, self.born, self.end_of_time, before, token
+        if not self._reads(u, v, when):
+            return uv
+        self.lost[u << 20 | v] = when
+        self.default[uv], self.beside[uv], self.born[uv] = v, u, when
+        return None
+
+    def _reads(self, state: int, arc: int, time: int) -> bool:
+        """Whether the state had the arc at that time, by the default table and the differences."""
+        lost, born, s, a = self.lost, self.born, state, arc
         while True:
-            gone = lost.get(state << 20 | arc)
+            gone = lost.get(s << 20 | a)
             if gone is not None and gone <= time:
-                out = False
-                break
-            if born[state] > born[arc]:
-                time = min(time, born[state] - 1)
-                state = self.right[state]
-            elif born[arc]:
-                time = min(time, born[arc])
-                arc = self.left[arc]
+                return False
+            if born[s] > born[a]:
+                time = min(time, born[s] - 1)
+                s = self.default[s]
+            elif born[a]:
+                time = min(time, born[a])
+                a = self.beside[a]
             else:
-                out = True
-                break
-        if len(self.known) > 400_000:
-            self.known.clear()
-        self.known[before << 20 | token] = out
+                return True
+
+    def step(self, state: int, arc: int) -> bool:
+        """Whether the state has the arc; the arc's token is then the next state."""
+        out = self._reads(state, arc, self.end_of_time)
+        if len(self.table) > 400_000:
+            self.table.clear()
+        self.table[state << 20 | arc] = out
         return out
 
     def encode(self, word: str) -> list[int]:
-        """Tokens of one pre-split word, spelled in base symbols, by the table of transitions.
-
-        The arc that spells most is tried first; where no arc leads on, the last one is taken back.
-        """
+        """Tokens of one pre-split word, spelled in base symbols: one pass over its places."""
         word += END
-        n, known, spelling = len(word), self.known, self.spelling
-        out: list[int] = []
-        stack: list[list[tuple[int, int]]] = []  # arcs left to try at each step: (characters read, token)
-        at, before = 0, -1
-        while True:
-            arcs, node = [], spelling
-            for i in range(at, n):
-                node = node.get(word[i])
+        n, table, spelling = len(word), self.table, self.spelling
+        come = [-1] * (n + 1)  # where the arc into each place began
+        state = [self.START] * (n + 1)
+        come[0] = 0
+        for i in range(n):
+            if come[i] < 0:
+                continue
+            here, node = state[i], spelling
+            for j in range(i, n):
+                node = node.get(word[j])
                 if node is None:
                     break
-                token = node.get("")
-                if token is not None:
-                    arcs.append((i + 1, token))
-            stack.append(arcs)
-            while True:
-                arcs = stack[-1]
-                if arcs:
-                    at, token = arcs.pop()
-                    if before < 0:
-                        break
-                    ok = known.get(before << 20 | token)
-                    if self.allows(before, token) if ok is None else ok:
-                        break
-                else:
-                    stack.pop()
-                    if not stack:
-                        raise ValueError(f"no path for {word!r}")
-                    out.pop()
-                    before = out[-1] if out else -1
-            out.append(token)
-            if at == n:
-                return out
-            before = token
+                arc = node.get("")
+                if arc is None or come[j + 1] >= 0:
+                    continue
+                if i:
+                    ok = table.get(here << 20 | arc)
+                    if not (self.step(here, arc) if ok is None else ok):
+                        continue
+                come[j + 1], state[j + 1] = i, arc
+        if come[n] < 0:
+            raise ValueError(f"no path for {word!r}")
+        out, i = [], n
+        while i:
+            out.append(state[i])
+            i = come[i]
+        return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, as the library joins them where no decoder is set."""
@@ -209,7 +215,8 @@ class Kept(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.keep(key, value)
+        if len(key) <= _KEPT_CHARS:
+            self.keep(key, value)
         return value
 
     def keep(self, key, value) -> None:

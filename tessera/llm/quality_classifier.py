@@ -6,8 +6,9 @@ equals the one before).  Class log-count ratios scale the indicators; a linear h
 fitted to them by dual coordinate descent; the margin goes through a logistic curve.
 
 Log-count ratios come from all labelled training rows, summed by Spark.  The linear model is
-fitted on a sample of at most ``SAMPLE`` of them, those with the smallest hashed ids: a bound
-stated here and a parameter of ``fit``.  Scoring is one pass over whole texts with the broadcast
+fitted on a sample of at most ``SAMPLE`` of them and ``SAMPLE_CHARS`` characters in all, those with
+the smallest hashed ids: bounds stated here and parameters of ``fit``.  A character gives less than one
+place of four bytes, so the sample takes 100 MB at most.  Scoring is one pass over whole texts with the broadcast
 weights (one number for each place, 2 MB), without a shuffle.
 
 Defined results: a null or empty text has no features and scores by the bias; labels other than 0
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -30,6 +31,7 @@ from .common import BROADCAST_ROWS
 
 BITS = 18
 SAMPLE = 20_000
+SAMPLE_CHARS = 25_000_000 * 4
 ROUNDS = 12
 COST = 1.0
 SMOOTHING = 1.0
@@ -164,7 +166,7 @@ def _join_small(docs: DataFrame, told: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(told) if told.count() <= BROADCAST_ROWS else told, "doc_id")
 
 
-def fit(docs: DataFrame, told: DataFrame, sample: int = SAMPLE, bits: int = BITS, rounds: int = ROUNDS, cost: float = COST) -> Model:
+def fit(docs: DataFrame, told: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, bits: int = BITS, rounds: int = ROUNDS, cost: float = COST) -> Model:
     """``docs``: doc_id, text; ``told``: doc_id, y (0 or 1)."""
     told = told.where("y in (0, 1)").select("doc_id", F.col("y").cast("long").alias("y"))
     labelled = _join_small(docs, told)
@@ -184,6 +186,10 @@ def fit(docs: DataFrame, told: DataFrame, sample: int = SAMPLE, bits: int = BITS
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.binary())], ["y", "places"])
 
     few = told.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+    # At most ``sample`` rows without their texts: a running sum of lengths cuts them to the second bound.
+    sized = _join_small(docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars")), few)
+    upto = F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = sized.withColumn("upto", upto).where(F.col("upto") <= sample_chars).select("doc_id", "y").distinct()
     t = _join_small(docs, few).select("text", "y").mapInArrow(run, "y long, places binary").toArrow()
     y = np.where(t["y"].to_numpy() == 1, 1.0, -1.0)
     x = [np.frombuffer(r.as_buffer(), np.int32) for r in t["places"]]

@@ -13,6 +13,9 @@ starts earlier (a smaller id, or earlier in the same document) are removed.
    a pass over their words and no memory.  Shards are sized by the number of minimisers found.
    Each task builds its shards' automata where their segments arrive: they are never collected
    and sent to all, as the reference grows with the corpus.
+   Equal segments are collapsed before that: only the earliest goes to its shard, and all words of
+   the others are repeats at once.  A passage or text that a large share of all documents holds
+   is thus one segment of a shard, however often it comes.
 4. Windows that repeat within their own document are found there, without a shuffle.
 
 Words are 64-bit hashes in all this; texts themselves are only cut at the end.
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import free_name, written
+from .common import free_name, looked_up, written
 
 LENGTH = 20
 RUN = 6
@@ -235,6 +238,15 @@ def _judged(segments: DataFrame, length: int, shards: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, th long, start long, n long")
 
 
+def _collapsed(segments: DataFrame) -> DataFrame:
+    """The segments, without the words of those that equal an earlier one: all their windows start earlier there."""
+    s = written(segments.withColumn("key", F.when(F.col("words").isNotNull(), F.xxhash64("words", "n"))), "segments")
+    place = F.struct("doc", "th", "start")
+    firsts = s.where("key is not null").groupBy("key").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("key", "first")
+    s = looked_up(s, "key", written(firsts, "firsts"), "first")
+    return s.withColumn("words", F.when(F.col("first").isNull() | (place == F.col("first")), F.col("words"))).drop("key", "first")
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows (doc, th, cuts): for each document that loses words, the stretches (start, n) to remove.
 
@@ -246,7 +258,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hits = written(hits, "hits")
     total = hits.agg(F.sum(F.size("g")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_MINIMISERS))
-    cuts = _judged(_segments(docs.join(hits, "doc"), length, shards), length, shards)
+    cuts = _judged(_collapsed(_segments(docs.join(hits, "doc"), length, shards)), length, shards)
     return written(cuts.distinct().groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("cuts")), "cuts")
 
 

@@ -163,6 +163,53 @@ def test_pii_base_spans(spark):
     assert pii.detect(df.limit(0)).count() == 0
 
 
+def luhn(digits):
+    return sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute_base(t):
+    """Base spans of a text, kind by kind, straight from the rules."""
+    out = []
+    for rank, (kind, pattern, fine) in enumerate((
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and luhn(d)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+    )):
+        out += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, t) if fine(m.group())]
+    return ",".join(x for *_, x in sorted(out))
+
+
+def test_pii_base_spans_of_all_documents(spark, texts):
+    """The base columns of the query's operator against the rules in Python, and base spans stay."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], DOCS))
+    said = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    found = pii.detect(d.withColumn("spans_", F.lit(1)), keep_text=False)
+    for r in found.select("doc_id", pii.named(F.filter("spans", lambda s: s["base"])).alias("base"), pii.named(F.col("spans")).alias("all")).collect():
+        assert r["base"] == brute_base(said[r["doc_id"]])
+        assert set(filter(None, r["base"].split(","))) <= set(r["all"].split(","))
+
+
+def test_reliabilities_are_estimated_from_votes(spark):
+    """Votes drawn with known reliabilities: estimates come near them, and the classifier follows the good labelers."""
+    r = random.Random(21)
+    right = (0.95, 0.85, 0.7, 0.55)
+    counts = collections.Counter()
+    for _ in range(20_000):
+        true = r.random() < 0.4
+        votes = tuple((2 if true else 0) if r.random() < q else (0 if true else 2) for q in right)
+        counts[votes] += 1
+    rows = [(0, v, float(n)) for v, n in counts.items()]
+    p, got = pii._posteriors(rows, 60)
+    assert all(abs(a - b) < 0.05 for a, b in zip(got, right, strict=True))
+    each = {v: q for (_, v, _), q in zip(rows, p, strict=True)}
+    assert each[2, 2, 2, 2] > 0.95 and each[0, 0, 0, 0] < 0.05 and each[2, 2, 0, 0] > each[0, 0, 2, 2]
+    found = spark.createDataFrame([(i % 2, *v, 0) for v, n in counts.items() for i in range(int(n) // 8)], "kind int, v0 int, v1 int, v2 int, v3 int, shape int").select(F.array(F.struct("*")).alias("c"))
+    model = pii.fit(found, "c")
+    spread = [w[2] - w[0] for w in model.votes]
+    assert spread[0] > spread[3] and spread[1] > spread[3]
+
+
 # -- 4
 
 def test_classifier_on_held_out(spark):
@@ -174,6 +221,34 @@ def test_classifier_on_held_out(spark):
     assert {r["score"] for r in none.select("score").distinct().collect()} == {0.5}
 
 
+def test_dual_descent_finds_the_best_margin():
+    """Against the objective itself, on a small dense problem: no small move of the weights is better."""
+    r = np.random.default_rng(3)
+    ratio = r.normal(size=12)
+    x = [np.flatnonzero(r.random(12) < 0.4) for _ in range(30)]
+    y = np.where(r.random(30) < 0.5, 1.0, -1.0)
+    cost = np.full(30, 0.7)
+    w, bias = quality_classifier._descend(x, ratio, y, cost, 3000)
+
+    def loss(w, bias):
+        margin = np.array([(w[a] @ ratio[a]) / np.sqrt(max(len(a), 1)) + bias for a in x])
+        return 0.5 * (w @ w + bias * bias) + (cost * np.maximum(0, 1 - y * margin)).sum()
+
+    best = loss(w, bias)
+    assert all(best <= loss(w + s * r.normal(size=12), bias + s * r.normal()) + 1e-6 for s in (1e-3, 1e-2, 0.1, 1) for _ in range(200))
+
+
+def test_classifier_of_one_class_and_clashes(spark):
+    rows = [(i, "word " * (i % 7), 5, 5) for i in range(40)] + [(3, None, 1, 1), (None, "x", 1, 1)]
+    d = spark.createDataFrame(rows, DOCS + ", score int, y int")
+    one = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    got = quality_classifier.classify(d, one).collect()
+    assert len(got) == len(rows) and {round(r["score"], 6) for r in got} == {0.99}
+    assert quality_classifier.classify(d.limit(0), one).count() == 0
+    two = one.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    assert len(quality_classifier.classify(d, two.unionByName(two), sample_chars=60).collect()) == len(rows)
+
+
 # -- 5
 
 def test_quality_counts(spark, texts):
@@ -193,6 +268,34 @@ def test_quality_counts(spark, texts):
     assert kept.columns == df.columns and quality_rules.filter_quality(df.limit(0)).count() == 0
 
 
+def test_automaton_of_few_merges():
+    """Every string over two symbols has one accepted token sequence: the one that the merges give in order."""
+    merges = [("a", "b"), ("ab", "a"), ("b", "b"), ("a", "a"), ("aba", "bb"), ("b#", "b#"), ("a", "b#")][:5] + [("a", "b#")]
+    vocab = {}
+    for s in ("a", "b", "a#", "b#", *(u + v for u, v in merges)):
+        vocab.setdefault(s, len(vocab))
+    auto = bpe.Automaton(vocab, merges, "#")
+    for n in range(1, 11):
+        for bits in range(2**n):
+            word = "".join("ab"[bits >> k & 1] for k in range(n))
+            seq = [*word[:-1], word[-1] + "#"]
+            for u, v in merges:
+                i = 0
+                while i < len(seq) - 1:
+                    if (seq[i], seq[i + 1]) == (u, v):
+                        seq[i : i + 2] = [u + v]
+                    i += 1
+            assert [auto.labels[x] for x in auto.encode(word)] == seq
+            # Of all ways to spell the word, the automaton accepts this one alone.
+            if n <= 7:
+                ways = [[]]
+                for at in range(n):
+                    ways = [w + [x] for w in ways for x in vocab if vocab[x] not in auto.dead and (at == len("".join(w).replace("#", ""))) and (word + "#").startswith("".join(w) + x) and (x.endswith("#") or len("".join(w) + x) < n)] + [w for w in ways if len("".join(w).replace("#", "")) > at]
+                whole = [w for w in ways if "".join(w) == word + "#"]
+                fine = [w for w in whole if all(auto.step(vocab[p], vocab[q]) for p, q in zip(w, w[1:]))]
+                assert fine == [seq]
+
+
 # -- 6, 8
 
 def test_bpe_equals_library(spark, texts):
@@ -261,6 +364,30 @@ def test_nearest_against_all(spark):
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_several_shards(spark, monkeypatch):
+    """Several shards, ties across them and vectors of two lengths."""
+    r = np.random.default_rng(14)
+    x = r.normal(size=(900, 8)).astype(np.float32)
+    x[100:160] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000 + i, r.normal(size=5).astype(np.float32).tolist()) for i in range(0, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    v = df.select("vec_id", F.col("embedding").alias("vector"))
+    graphs = nearest.index(v, 20, shard=100)
+    assert graphs.count() >= 9
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    got = collections.defaultdict(set)
+    for g in nearest.search(graphs, asked, 20, block=16).collect():
+        got[g["query_id"]].add((g["score"], -g["vec_id"]))
+    hit = total = 0
+    said = {i: np.array(e, np.float64) for i, e in rows}
+    for q, found in got.items():
+        told = sorted(((float(said[q] @ e), -i) for i, e in said.items() if i != q and len(e) == len(said[q])), reverse=True)[:20]
+        best = sorted(found, reverse=True)[:20]
+        hit += len({b[1] for b in best} & {b[1] for b in told})
+        total += len(told)
+    assert len(got) == 45 + 3 and hit / total >= 0.9
+
+
 # -- 9
 
 def brute_kept(texts, n=20):
@@ -289,6 +416,26 @@ def test_substring_dedup(spark, docs, texts, monkeypatch, shard):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_null_and_repeated_ids(spark):
+    """A null id comes first; one id with equal texts is one document; one id with two texts goes by their hashes."""
+    p = " ".join(f"p{i}" for i in range(25))
+    q = " ".join(f"q{i}" for i in range(25))
+    rows = [(None, p), (1, p + " more"), (2, q), (2, q), (3, "x " + q), (4, p), (4, q), (5, None)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS + ", th int, cuts int")
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(df).collect()))
+    assert got == [(False, 0, 25, 0), (True, 1, 26, 25), (True, 2, 25, 0), (True, 2, 25, 0), (True, 3, 26, 25), (True, 4, 25, 25), (True, 4, 25, 25), (True, 5, 0, 0)]
+    assert substring_dedup.dedup_texts(df).columns == df.columns
+
+
+def test_substring_dedup_of_a_hot_passage(spark):
+    r = random.Random(9)
+    passage = " ".join(f"h{i}" for i in range(40))
+    texts = [" ".join(f"{r.randrange(10**6)}" for _ in range(r.randrange(30))) + " " + " ".join(passage.split()[: r.choice([40, 40, 40, 25])]) + " end" for _ in range(300)]
+    got = {x["doc_id"]: x for x in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    for i, (n, removed, kept) in enumerate(brute_kept(texts)):
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (n, removed, hashlib.sha256(" ".join(kept).encode()).hexdigest())
+
+
 # -- 10
 
 def test_elias_fano_round_trip():
