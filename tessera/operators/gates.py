@@ -45,6 +45,16 @@ def search_projection(artifacts: DataFrame, sources: DataFrame, seq: int) -> Dat
     return j.select("artifact_id", "artifact_type", "path", F.coalesce("body_text", "search_text", F.lit("")).alias("text"), F.sha2(F.concat_ws("\x1f", "artifact_id", "content_hash"), 256).alias("doc_hash"))
 
 
+def with_vectors(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Search documents with the vector of their current text: of several models, one with a vector first, then the smaller name.
+
+    ``embeddings``: artifact_id, text_hash, model, vector.
+    """
+    d = docs.withColumn("text_hash", F.sha2("text", 256))
+    e = embeddings.groupBy("artifact_id", "text_hash").agg(F.min_by(F.struct("model", "vector"), F.struct(F.col("vector").isNull(), "model")).alias("e"))
+    return d.join(e, ["artifact_id", "text_hash"], "left").select(*docs.columns, F.col("e.model").alias("model"), F.col("e.vector").alias("vector"))
+
+
 def reconcile_index(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """upsert for missing or stale documents, delete for orphans."""
     drift = registry.index_drift(expected, actual)

@@ -236,10 +236,11 @@ def ledger_list(events: DataFrame, run_id: str, agent: str) -> DataFrame:
     return events.where((F.col("run_id") == run_id) & (F.col("agent_name") == agent)).orderBy("created_at", "retrieval_id")
 
 
-def budget_prefix(cards: DataFrame, budget: int, group: str = "run_id", order: tuple = ("created_at", "retrieval_id"), tokens: str = "tokens_returned") -> DataFrame:
-    """The leading rows of each group whose running sum of tokens fits."""
+def budget_prefix(cards: DataFrame, budget: int, group: str = "run_id", order: tuple = ("created_at", "retrieval_id"), tokens: str = "tokens_returned", cap: int | None = None) -> DataFrame:
+    """The leading rows of each group, ``cap`` at most where given, whose running sum of tokens fits."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cards.withColumn("spent", F.sum(tokens).over(w)).where(F.col("spent") <= budget)
+    fits = cards.withColumns({"spent": F.sum(tokens).over(w), "_n": F.count("*").over(w)}).where(F.col("spent") <= budget)
+    return (fits if cap is None else fits.where(F.col("_n") <= cap)).drop("_n")
 
 
 def budget_skip(items: DataFrame, budget: int, group: str = "run_id", order: tuple = ("created_at", "retrieval_id"), tokens: str = "tokens_returned", cap: int | None = None) -> DataFrame:

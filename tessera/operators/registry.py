@@ -22,6 +22,18 @@ def artifact_census(artifacts: DataFrame, seq: int) -> DataFrame:
     return artifacts.groupBy("artifact_type").agg(F.count("*").alias("total"), F.count_if(live).alias("served"), F.count_if(F.col("invalidated_at_seq") <= seq).alias("invalidated"))
 
 
+def per_source_type(artifacts: DataFrame, sources: DataFrame, seq: int) -> DataFrame:
+    """By type of source: sources, those deleted, and the artifacts that are served and that there are."""
+    a = artifacts.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(access.member(seq)).alias("m"))
+    j = sources.join(a, "source_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return j.groupBy("source_type").agg(F.count("*").alias("sources"), F.count_if("is_deleted").alias("deleted"), total("m").alias("served"), total("n").alias("artifacts"))
+
+
+def invalidated_by_build(artifacts: DataFrame) -> DataFrame:
+    return artifacts.where("invalidated_at_seq is not null").groupBy(F.col("invalidated_at_seq").cast("long").alias("build_seq"), "artifact_type").agg(F.count("*").alias("invalidated"))
+
+
 def edge_census(edges: DataFrame) -> DataFrame:
     return edges.groupBy("edge_type", "trust_class").agg(F.count("*").alias("edges"))
 
@@ -76,6 +88,24 @@ def reconcile_edges(live: DataFrame, desired: DataFrame) -> DataFrame:
     return j.select(*keys, F.when(F.col("l").isNull(), "insert").when(F.col("d").isNull(), "invalidate").otherwise("refresh").alias("action"))
 
 
+def reconcile_source_edges(live: DataFrame, desired: DataFrame, source: str, seq: int, protected: tuple[str, ...] = ()) -> DataFrame:
+    """The edges of one source after a run that wants ``desired`` (from, to, type, evidence), with what became of each.
+
+    New ones are inserted from ``seq`` on; wanted ones are refreshed: their first version stays and an
+    end of validity is taken back; live ones that aren't wanted leave at ``seq``, but not those of a
+    protected type without evidence.  Edges of other sources aren't touched.
+    """
+    keys = ["from_artifact_id", "to_artifact_id", "edge_type"]
+    own = live.where(F.col("source") == source).select(*keys, F.col("evidence").alias("old"), "valid_from_seq", "invalidated_at_seq", F.lit(True).alias("had"))
+    j = own.join(desired.select(*keys, F.col("evidence").alias("new"), F.lit(True).alias("wanted")), keys, "full")
+    shielded = F.col("edge_type").isin(*protected) & F.col("old").isNull() if protected else F.lit(False)
+    leave = F.col("invalidated_at_seq").isNull() & ~shielded
+    action = F.when(F.col("had").isNull(), "insert").when(F.col("wanted"), "refresh").when(leave, "invalidate").otherwise("keep")
+    j = j.withColumn("action", action)
+    ends = F.when(F.col("action") == "invalidate", F.lit(seq)).when(F.col("action") == "keep", F.col("invalidated_at_seq"))
+    return j.select(*keys, "action", F.coalesce("new", "old").alias("evidence"), F.coalesce(F.col("valid_from_seq").cast("long"), F.lit(seq).cast("long")).alias("valid_from_seq"), ends.cast("long").alias("invalidated_at_seq"))
+
+
 def index_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """missing, orphaned or drifted documents; equal ones are left out."""
     j = expected.select("source_id", F.col("content_hash").alias("e")).join(actual.select("source_id", F.col("content_hash").alias("a")), "source_id", "full")

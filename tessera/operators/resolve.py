@@ -42,11 +42,11 @@ def fuzzy_resolve(queries: DataFrame, aliases: DataFrame, least: float = 0.3) ->
 
 
 def resolve_targets(paths: DataFrame, artifacts: DataFrame, sources: DataFrame) -> DataFrame:
-    """The preferred artifact of each (repo, path): a code file, then a summary, then any; ties to the smaller id."""
-    a = artifacts.join(sources.select("source_id", "repo", "path"), "source_id").select("repo", "path", "artifact_id", F.when(F.col("artifact_type") == "code_file", 0).when(F.col("artifact_type") == "summary", 1).otherwise(2).alias("p"))
+    """The preferred live artifact of each (repo, path): a code file, then a summary, then any; ties to the smaller id."""
+    live = artifacts.where("invalidated_at_seq is null")
+    a = live.join(sources.where(~F.col("is_deleted")).select("source_id", "repo", "path"), "source_id").select("repo", "path", "artifact_id", F.when(F.col("artifact_type") == "code_file", 0).when(F.col("artifact_type") == "summary", 1).otherwise(2).alias("p"))
     j = paths.join(a, ["repo", "path"])
-    w = Window.partitionBy("repo", "path").orderBy("p", "artifact_id")
-    return j.withColumn("r", F.row_number().over(w)).where("r = 1").select("repo", "path", "artifact_id")
+    return j.groupBy("repo", "path").agg(F.min_by("artifact_id", F.struct("p", "artifact_id")).alias("artifact_id"))
 
 
 def path_table(sources: DataFrame) -> DataFrame:

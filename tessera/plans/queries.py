@@ -95,6 +95,9 @@ _add("activate", ("kb_build_run",), registry.activate, """SELECT kb_version, bui
 _STRICT = "CASE WHEN len(tight) = 0 THEN '' WHEN len(list_reduce(tight, lambda a, b: list_intersect(a, b))) = 0 THEN '__no_team__' ELSE array_to_string(list_sort(list_reduce(tight, lambda a, b: list_intersect(a, b))), ',') END"
 _add("members", ("knowledge_artifact",), lambda a: registry.members(a, SEQ).select("artifact_id", "artifact_type"), f"SELECT artifact_id, artifact_type FROM knowledge_artifact WHERE {_MEMBER}")
 _add("artifact_census", ("knowledge_artifact",), lambda a: registry.artifact_census(a, SEQ), f"SELECT artifact_type, count(*) AS total, count(*) FILTER {_MEMBER} AS served, count(*) FILTER (invalidated_at_seq <= {SEQ}) AS invalidated FROM knowledge_artifact GROUP BY 1")
+_add("per_source_type", ("knowledge_artifact", "source_item"), lambda a, s: registry.per_source_type(a, s, SEQ), f"""SELECT source_type, count(*) AS sources, count(*) FILTER (is_deleted) AS deleted, CAST(sum(coalesce(m, 0)) AS BIGINT) AS served, CAST(sum(coalesce(n, 0)) AS BIGINT) AS artifacts
+ FROM source_item LEFT JOIN (SELECT source_id, count(*) AS n, count(*) FILTER {_MEMBER} AS m FROM knowledge_artifact GROUP BY 1) USING (source_id) GROUP BY 1""")
+_add("invalidated_by_build", ("knowledge_artifact",), registry.invalidated_by_build, "SELECT CAST(invalidated_at_seq AS BIGINT) AS build_seq, artifact_type, count(*) AS invalidated FROM knowledge_artifact WHERE invalidated_at_seq IS NOT NULL GROUP BY ALL")
 _add("edge_census", ("knowledge_edge",), registry.edge_census, "SELECT edge_type, trust_class, count(*) AS edges FROM knowledge_edge GROUP BY ALL")
 _add("acl_filter", ("source_item",), lambda s: registry.visible_sources(s, TEAMS).select("source_id", "repo"), f"SELECT source_id, repo FROM source_item WHERE {_VISIBLE}")
 _add("acl_intersection", ("source_item",), lambda s: registry.acl_by_repo(s).select("repo", F.array_join("acl_teams", ",").alias("acl")), f"SELECT repo, {_STRICT} AS acl FROM (SELECT repo, list_filter(list(DISTINCT acl_teams), lambda x: len(x) > 0) AS tight FROM source_item GROUP BY 1)")
@@ -124,6 +127,19 @@ _add("detect_renames", ("knowledge_artifact", "source_item"), _renames, """, x A
  n AS (SELECT *, row_number() OVER (PARTITION BY content_hash, side ORDER BY artifact_id) AS r FROM x) SELECT a.artifact_id AS old_id, b.artifact_id AS new_id FROM n a JOIN n b ON a.content_hash = b.content_hash AND a.r = b.r AND a.side = 0 AND b.side = 1""")
 _add("reconcile_edges", ("doc_edge",), lambda e: registry.reconcile_edges(e.where("cast(from_artifact_id as long) % 3 > 0"), e.where("cast(to_artifact_id as long) % 3 > 0")).groupBy("edge_type", "action").agg(F.count("*").alias("edges")), """SELECT edge_type, action, count(*) AS edges FROM
  (SELECT edge_type, CASE WHEN f = 0 THEN 'insert' WHEN t = 0 THEN 'invalidate' ELSE 'refresh' END AS action FROM (SELECT *, CAST(from_artifact_id AS BIGINT) % 3 AS f, CAST(to_artifact_id AS BIGINT) % 3 AS t FROM doc_edge) WHERE f > 0 OR t > 0) GROUP BY ALL""")
+
+
+def _source_edges(e: DataFrame) -> DataFrame:
+    i, j = F.col("from_artifact_id").cast("long"), F.col("to_artifact_id").cast("long")
+    live = e.where(i % 5 > 0).withColumn("invalidated_at_seq", F.when(j % 6 == 0, F.lit(2).cast("long")))
+    wanted = e.where((F.col("source") == "linker") & (j % 4 > 0))
+    out = registry.reconcile_source_edges(live, wanted, "linker", 9, ("mentions",))
+    return out.select("from_artifact_id", "to_artifact_id", "edge_type", "action", "valid_from_seq", F.coalesce("invalidated_at_seq", F.lit(-1)).alias("left_at"))
+
+
+_add("reconcile_source_edges", ("doc_edge",), _source_edges, """, x AS (SELECT *, CAST(from_artifact_id AS BIGINT) AS i, CAST(to_artifact_id AS BIGINT) AS j FROM doc_edge WHERE source = 'linker'),
+ y AS (SELECT *, CASE WHEN i % 5 = 0 THEN 'insert' WHEN j % 4 > 0 THEN 'refresh' WHEN j % 6 = 0 OR (edge_type = 'mentions' AND evidence IS NULL) THEN 'keep' ELSE 'invalidate' END AS action FROM x WHERE i % 5 > 0 OR j % 4 > 0)
+ SELECT from_artifact_id, to_artifact_id, edge_type, action, CAST(CASE WHEN i % 5 = 0 THEN 9 ELSE valid_from_seq END AS BIGINT) AS valid_from_seq, CAST(CASE WHEN action = 'invalidate' THEN 9 WHEN action = 'keep' AND j % 6 = 0 THEN 2 ELSE -1 END AS BIGINT) AS left_at FROM y""")
 _add("index_drift", ("source_item",), lambda s: registry.index_drift(s.where("last_seen_min % 5 > 0"), s.where("last_seen_min % 7 > 0").withColumn("content_hash", F.when(F.expr("last_seen_min % 3 = 0"), "?").otherwise(F.col("content_hash")))), """SELECT source_id,
  CASE WHEN i % 7 = 0 THEN 'missing' WHEN i % 5 = 0 THEN 'orphaned' ELSE 'drifted' END AS state FROM (SELECT source_id, last_seen_min AS i FROM source_item) WHERE (i % 5 > 0 OR i % 7 > 0) AND (i % 7 = 0 OR i % 5 = 0 OR i % 3 = 0)""")
 _add("ghost_edges", ("doc_edge", "knowledge_artifact"), lambda e, a: registry.ghost_edges(e, a, SEQ), f""", m AS (SELECT artifact_id FROM knowledge_artifact WHERE {_MEMBER}) SELECT DISTINCT from_artifact_id, to_artifact_id, edge_type FROM doc_edge WHERE {_MEMBER}
@@ -183,6 +199,20 @@ _add("first_writer_wins", ("source_item",), lambda s: gates.first_writer_wins(s.
  AND content_hash NOT IN (SELECT content_hash FROM source_item WHERE last_seen_min % 3 = 0) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY last_seen_min) = 1""")
 _add("search_projection", ("knowledge_artifact", "source_item"), lambda a, s: gates.search_projection(a, s, SEQ), f"""SELECT artifact_id, artifact_type, path, coalesce(body_text, search_text, '') AS text, sha256(artifact_id || chr(31) || content_hash) AS doc_hash
  FROM knowledge_artifact JOIN source_item USING (source_id) WHERE {_MEMBER} AND NOT is_deleted AND artifact_type <> 'code_file'""")
+
+
+def _vectors(a: DataFrame, s: DataFrame, e: DataFrame) -> DataFrame:
+    docs = gates.search_projection(a, s, SEQ)
+    known = docs.select("artifact_id", F.sha2("text", 256).alias("text_hash")).join(e.select(F.col("vec_id").cast("string").alias("artifact_id"), "vec_id", "embedding"), "artifact_id")
+    two = known.select("artifact_id", F.when(F.expr("vec_id % 7 = 0"), "old").otherwise(F.col("text_hash")).alias("text_hash"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model"), "vec_id", "embedding")
+    held = two.select("artifact_id", "text_hash", "model", F.when(F.expr("model = 'b' or vec_id % 3 > 0"), F.col("embedding")).alias("vector"))
+    return gates.with_vectors(docs, held).select("artifact_id", F.coalesce("model", F.lit("-")).alias("model"), F.col("vector").isNotNull().alias("has_vector"))
+
+
+_add("search_vectors", ("knowledge_artifact", "source_item", "embeddings"), _vectors, f"""SELECT artifact_id, CASE WHEN vec_id IS NULL OR vec_id % 7 = 0 THEN '-' WHEN vec_id % 3 > 0 THEN 'a' ELSE 'b' END AS model, vec_id IS NOT NULL AND vec_id % 7 > 0 AS has_vector
+ FROM knowledge_artifact JOIN source_item USING (source_id) LEFT JOIN embeddings ON CAST(vec_id AS VARCHAR) = artifact_id WHERE {_MEMBER} AND NOT is_deleted AND artifact_type <> 'code_file'""")
+_add("expansion_prefix", ("retrieval_event",), lambda e: ledger.budget_prefix(e.where("run_id <> '-'"), 600, cap=3).select("run_id", "retrieval_id", "spent"), """SELECT run_id, retrieval_id, CAST(spent AS BIGINT) AS spent FROM (SELECT run_id, retrieval_id, sum(tokens_returned) OVER w AS spent, row_number() OVER w AS n FROM retrieval_event
+ WHERE run_id <> '-' WINDOW w AS (PARTITION BY run_id ORDER BY created_at, retrieval_id ROWS UNBOUNDED PRECEDING)) WHERE spent <= 600 AND n <= 3""")
 _add("reconcile_index", ("source_item",), lambda s: gates.reconcile_index(s.where("last_seen_min % 5 > 0"), s.where("last_seen_min % 7 > 0")), """SELECT source_id, CASE WHEN i % 7 = 0 THEN 'upsert' ELSE 'delete' END AS action FROM (SELECT source_id, last_seen_min AS i FROM source_item) WHERE (i % 5 > 0) <> (i % 7 > 0)""")
 _add("publish_gates", ("knowledge_artifact", "doc_edge", "source_item"), lambda a, e, s: gates.publish_gates(a, e, s, SEQ - 1, SEQ), f""", m AS (SELECT * FROM knowledge_artifact WHERE {_MEMBER}), c AS (SELECT count(*) FILTER (valid_from_seq <= {SEQ - 1} AND (invalidated_at_seq IS NULL OR invalidated_at_seq > {SEQ - 1})) AS b, count(*) FILTER {_MEMBER} AS a FROM knowledge_artifact WHERE artifact_type = 'code_symbol'),
  g AS (SELECT 1 AS position, 'symbol_delta' AS gate, coalesce(abs((a - b)::DOUBLE / nullif(b, 0)), 0) AS value, 0.25 AS most FROM c
@@ -207,7 +237,7 @@ _add("fuzzy_resolve", ("search_query", "knowledge_artifact"), _fuzzy, f""", al A
  a AS (SELECT alias, confirmations, p AS a, list_distinct(string_split(p, ' ')) AS s FROM (SELECT *, {_PHRASE.format('alias')} AS p FROM al) WHERE p <> ''),
  j AS (SELECT query_id, alias, confirmations, q = a AS same, CASE WHEN q = a THEN 1.0 ELSE round(len(list_intersect(q.s, a.s))::DOUBLE / (len(q.s) + len(a.s) - len(list_intersect(q.s, a.s))), 6) END AS score FROM q JOIN a ON len(list_intersect(q.s, a.s)) > 0)
  SELECT query_id, alias, score FROM j WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY same DESC, score DESC, confirmations DESC, alias) = 1""")
-_add("resolve_targets", ("knowledge_artifact", "source_item"), lambda a, s: resolve.resolve_targets(s.select("repo", "path").distinct(), a, s), """SELECT repo, path, artifact_id FROM source_item JOIN knowledge_artifact USING (source_id)
+_add("resolve_targets", ("knowledge_artifact", "source_item"), lambda a, s: resolve.resolve_targets(s.select("repo", "path").distinct(), a, s), """SELECT repo, path, artifact_id FROM source_item JOIN knowledge_artifact USING (source_id) WHERE NOT is_deleted AND invalidated_at_seq IS NULL
  QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY CASE artifact_type WHEN 'code_file' THEN 0 WHEN 'summary' THEN 1 ELSE 2 END, artifact_id) = 1""")
 _add("path_table", ("source_item",), resolve.path_table, "SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM (SELECT DISTINCT path FROM source_item)")
 _add("normalize_text", ("documents",), lambda d: d.select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("h")), """SELECT doc_id, sha256(CASE WHEN t = '' THEN '' ELSE t || chr(10) END) AS h FROM (SELECT doc_id,

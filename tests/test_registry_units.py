@@ -92,8 +92,27 @@ def test_upsert_takes_the_new_access_list(spark):
     assert got == {"same": ["c"], "gone": ["b"], "new": ["d"], "open": []}
 
 
-def test_all_paths_are_resolved(spark):
+def test_all_live_paths_are_resolved(spark):
     sf = "/root/testdata/sf0.001"
-    paths = table(spark, sf, "source_item").select("repo", "path").distinct()
+    live = table(spark, sf, "knowledge_artifact").where("invalidated_at_seq is null")
+    paths = table(spark, sf, "source_item").where("not is_deleted").join(live.select("source_id"), "source_id").select("repo", "path").distinct()
     got = queries.queries()["resolve_targets"](spark, sf).select("repo", "path")
     assert got.count() == paths.count() and paths.exceptAll(got).isEmpty()
+
+
+def test_no_input_denies(spark):
+    assert spark.range(1).select(access.strictest(F.array().cast("array<array<string>>")).alias("x")).first()["x"] == [access.NO_TEAM]
+    assert spark.range(1).select(access.strictest(F.array(F.array().cast("array<string>"))).alias("x")).first()["x"] == []
+
+
+def test_exact_phrase_beats_a_permutation(spark):
+    q = spark.createDataFrame([(1, "retry the queue")], "query_id int, query_text string")
+    a = spark.createDataFrame([("queue retry", 9), ("retry queue", 1)], "alias string, confirmations int")
+    assert resolve.fuzzy_resolve(q, a).first()["alias"] == "retry queue"
+
+
+def test_sha_refs_once_and_short_tokens_searched(spark):
+    assert one(spark, text.sha_refs(F.col("t")), t="abcdef1 abcdef1 1234567") == ["abcdef1"]
+    a = spark.createDataFrame([("1", "x marks", None, "q", 0, None), ("2", "none", None, "", 0, None), ("3", "x", None, "", 5, None)], "artifact_id string, title string, search_text string, body_text string, valid_from_seq int, invalidated_at_seq int")
+    q = spark.createDataFrame([(1, "X")], "query_id int, query_text string")
+    assert [r["artifact_id"] for r in registry.keyword_search(q, a, 4).collect()] == ["1"]
