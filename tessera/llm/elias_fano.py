@@ -14,7 +14,7 @@ import numpy as np
 _WORD = 64
 
 
-def _pack(parts: dict[str, np.ndarray]) -> list[bytes]:
+def pack_arrays(parts: dict[str, np.ndarray]) -> list[bytes]:
     """Named arrays one after the other, each on a border of 8 bytes, behind a directory."""
     body, directory, at = [], {}, 0
     for name, a in parts.items():
@@ -26,7 +26,7 @@ def _pack(parts: dict[str, np.ndarray]) -> list[bytes]:
     return [len(head).to_bytes(8, "little"), head, *body]
 
 
-def _view(image) -> dict[str, np.ndarray]:
+def view_arrays(image) -> dict[str, np.ndarray]:
     size = int.from_bytes(bytes(image[:8]), "little")
     directory = json.loads(bytes(image[8 : 8 + size]))
     return {k: np.frombuffer(image, np.dtype(t), n, 8 + size + at) for k, (at, n, t) in directory.items()}
@@ -172,7 +172,7 @@ class Trie:
     """
 
     def __init__(self, image):
-        p = _view(image)
+        p = view_arrays(image)
         self.middle, self.count, self.outer = p["middle"], p["count"], p["outer"]
         self.pointers, self.nodes = ({k: EliasFano(p, f"{what}{k}") for k in ("2", "c", "3")} for what in ("pointers", "nodes"))
         self.coded = {k: (p[k], p[f"{k}.book"]) for k in ("own2", "own3", "rest1", "rest2")}
@@ -228,7 +228,7 @@ class Trie:
         for name, v in shares.items():
             parts[name], book = quantised(np.log10(v))
             parts[f"{name}.book"] = 10**book
-        return _pack(parts), int(count.sum()), len(middle)
+        return pack_arrays(parts), int(count.sum()), len(middle)
 
     def word_counts(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of words whose home this is; 0 for words that no training text has."""

@@ -11,26 +11,31 @@ The measure is the inner product.  For building and searching, one more componen
 distance: sqrt(M * M - x * x) for points of at most length M, and 0 for queries.
 
 Equal vectors are one point, which carries its 1 + k smallest ids, so a vector that a third of all
-rows share is bounded before the shuffle.  Queries and points meet in blocks of (shard, block);
-graphs and blocks have bounded sizes.
+rows share is bounded before the shuffle.  A graph is written once, as a file of the shared
+folder; queries are shuffled by (shard, block) and each task maps its shard's file.  Graphs and blocks
+have bounded sizes.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do rows without an id; vectors of different lengths aren't compared; of repeated rows
 (same id and vector) one counts; a query's own id is never its answer; with fewer than k
 candidates all that are found are returned; an empty table gives no rows; extra columns are
-ignored.
+ignored.  Components are searched as 32-bit numbers and scored as 64-bit ones: vectors with components
+beyond 1e18 are found by chance only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mounted, shared_folder, written
+from .elias_fano import pack_arrays, view_arrays
 
 NEIGHBOURS = 20
 SHARD = 4096
@@ -167,65 +172,82 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-GRAPH = "dim int, shard long, vectors binary, edges binary, start long, ids array<array<bigint>>"
+def graph_path(folder: str, dim: int, shard: int) -> str:
+    return f"{folder}/{dim}-{shard // 1000}/{shard}.graph"
 
 
-def _graph(table: pa.Table) -> pa.Table:
+def _write_graph(table: pa.Table, folder: str) -> pa.Table:
+    """Builds a shard's graph and writes it, with its vectors and ids, as one file that tasks map."""
     x = _matrix(table["vector"].combine_chunks())
     edges, start = build(lifted(x.astype(np.float32)))
-    columns = [
-        table["dim"].combine_chunks()[:1], table["shard"].combine_chunks()[:1], pa.array([x.astype(np.float64).tobytes()], pa.binary()),
-        pa.array([edges.astype(np.int32).tobytes()], pa.binary()), pa.array([start], pa.int64()), pa.array([table["ids"].to_pylist()], pa.list_(pa.list_(pa.int64()))),
-    ]
-    return pa.table(columns, names=["dim", "shard", "vectors", "edges", "start", "ids"])
+    ids = table["ids"].combine_chunks()
+    dim, shard = (table[c][0].as_py() for c in ("dim", "shard"))
+    parts = {
+        "vectors": x.astype(np.float64).ravel(), "edges": edges.astype(np.int32).ravel(), "start": np.array([start]),
+        "ids": ids.flatten().to_numpy(), "first": np.cumsum(np.r_[0, pc.list_value_length(ids).to_numpy()]),
+    }
+    path = graph_path(folder, dim, shard)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    # A task that runs again puts the same bytes in place of the file, which is never there in part.
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        f.writelines(pack_arrays(parts))
+    os.replace(own, path)
+    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int64()), "folder": [folder]})
 
 
 def index(vectors: DataFrame, k: int = NEIGHBOURS, shard: int = SHARD) -> DataFrame:
-    """Rows by shard with its graph, written to the shared folder."""
+    """Rows (dim, shard, folder): the graphs, each one file of the shared folder."""
     p = written(_points(vectors, k).withColumn("dim", F.size("vector")), "points")
     shards = max(1, -(-p.count() // shard))
     p = p.withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(shards)).cast("long"))
-    return written(p.groupBy("dim", "shard").applyInArrow(_graph, GRAPH), "graphs")
+    folder = f"{mounted(shared_folder(vectors.sparkSession))}/graphs-{uuid.uuid4().hex}"
+    return written(p.groupBy("dim", "shard").applyInArrow(lambda t: _write_graph(t, folder), "dim int, shard long, folder string"), "graphs")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, block: int = QUERY_BLOCK) -> DataFrame:
-    """Rows (query_id, vec_id, score): the k nearest that each shard finds; ``queries`` has query_id, vector."""
+    """Rows (query_id, vec_id, score): the k nearest that each shard finds; ``queries`` has query_id, vector.
+
+    A task maps its shard's graph; only queries are shuffled.
+    """
     q = written(queries.withColumn("dim", F.size("vector")), "queries")
     blocks = max(1, -(-q.count() // block))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("long"))
     keys = graphs.select(F.col("dim").alias("to_dim"), F.col("shard").alias("to_shard"))
     q = q.join(F.broadcast(keys) if keys.count() <= 10_000 else keys, F.col("dim") == F.col("to_dim"))
     q = q.select("query_id", "vector", "to_shard", "to_dim", "block")
-    g = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
+    some = graphs.select("folder").first()
+    folder = some["folder"] if some else ""
 
-    def run(graph: pa.Table, asked: pa.Table) -> pa.Table:
+    def run(asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if graph.num_rows and asked.num_rows:
-            dim = graph["dim"][0].as_py()
-            x = np.frombuffer(graph["vectors"][0].as_buffer(), np.float64).reshape(-1, dim)
-            edges = np.frombuffer(graph["edges"][0].as_buffer(), np.int32).reshape(len(x), -1).astype(np.int64)
-            ids = graph["ids"][0].as_py()
-            points = lifted(x.astype(np.float32))
-            who = asked["query_id"].to_pylist()
-            y = _matrix(asked["vector"].combine_chunks()).astype(np.float64)
-            for low in range(0, len(y), BATCH):
-                part = y[low : low + BATCH]
-                found, _ = beam_search(points, edges, graph["start"][0].as_py(), np.c_[part, np.zeros(len(part))].astype(np.float32), max(BEAM, k + 1))
-                exact = np.einsum("nbd,nd->nb", x[np.maximum(found, 0)], part)
-                exact[found < 0] = -np.inf
-                for i, best in enumerate(np.argsort(-exact, 1, kind="stable")):
-                    rows: list[tuple] = []
-                    least = None
-                    for j in best:
-                        if found[i, j] < 0 or (len(rows) >= k and exact[i, j] < least):
-                            break
-                        least = exact[i, j]
-                        rows += [(who[low + i], v, float(least)) for v in ids[found[i, j]] if v != who[low + i]]
-                    out += sorted(rows, key=lambda r: (-r[2], r[1]))[:k]
+        dim, shard = (asked[c][0].as_py() for c in ("to_dim", "to_shard"))
+        graph = view_arrays(np.memmap(graph_path(folder, dim, shard), np.uint8, "r"))
+        x = graph["vectors"].reshape(-1, dim)
+        edges = graph["edges"].reshape(len(x), -1).astype(np.int64)
+        ids, first, start = graph["ids"], graph["first"], int(graph["start"][0])
+        points = lifted(x.astype(np.float32))
+        who = asked["query_id"].to_pylist()
+        y = _matrix(asked["vector"].combine_chunks()).astype(np.float64)
+        for low in range(0, len(y), BATCH):
+            part = y[low : low + BATCH]
+            found, _ = beam_search(points, edges, start, np.c_[part, np.zeros(len(part))].astype(np.float32), max(BEAM, k + 1))
+            exact = np.einsum("nbd,nd->nb", x[np.maximum(found, 0)], part)
+            exact[found < 0] = -np.inf
+            for i, best in enumerate(np.argsort(-exact, 1, kind="stable")):
+                rows: list[tuple] = []
+                least = None
+                for j in best:
+                    at = found[i, j]
+                    if at < 0 or (len(rows) >= k and exact[i, j] < least):
+                        break
+                    least = exact[i, j]
+                    rows += [(who[low + i], v, float(least)) for v in ids[first[at] : first[at + 1]].tolist() if v != who[low + i]]
+                out += sorted(rows, key=lambda r: (-r[2], r[1]))[:k]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    return g.groupBy("shard", "dim", "block").cogroup(q.groupBy("to_shard", "to_dim", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    return q.groupBy("to_shard", "to_dim", "block").applyInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:

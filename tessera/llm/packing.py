@@ -34,7 +34,8 @@ from .words import chunks, split
 
 CAPACITY = 4096
 END_ID = 2
-MAX_OPEN = 512
+#: Open windows of a task: one for each fill level on average, 16 KB each.
+MAX_OPEN = CAPACITY
 KEPT_WORDS = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
