@@ -169,7 +169,7 @@ def phrase_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     return F.array_distinct(F.concat(*(sized(n) for n in range(low, high + 1))))
 
 
-# Leading words of a subject that are types of change, not scopes.
+# Leading words of a subject that are types of change, not scopes, and the form of a label.
 CHANGE_TYPES = ("build", "chore", "ci", "docs", "feat", "fix", "perf", "refactor", "revert", "style", "test")
 _SUBJECT = r"^\s*([A-Za-z][\w./-]*)(?:\(([^)]*)\))?!?:\s*(.+)$"
 
@@ -242,6 +242,7 @@ def render_work_item(item_id: Column, fields: Column) -> Column:
 
 def referenced_symbols(c: Column) -> Column:
     """Names of two characters or more in backticks, and the last part of dotted ones."""
+    # Fixed pattern: a name in backticks.
     names = F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("`([A-Za-z_][A-Za-z0-9_.]*)`"), F.lit(1)), lambda n: F.length(n) >= 2)
     tails = F.filter(F.transform(F.filter(names, lambda n: F.contains(n, F.lit("."))), lambda n: F.substring_index(n, ".", -1)), lambda n: F.length(n) >= 2)
     return F.array_distinct(F.concat(names, tails))

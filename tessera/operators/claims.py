@@ -13,7 +13,10 @@ from ..functions import access, text
 from . import registry
 
 # Reasons in the order of the checks.
-REASONS = ("bad_evidence_id", "evidence_not_found", "wrong_version", "acl_invisible", "not_retrieved", "stale_evidence", "supporting_trust")
+REASONS = (
+    "evidence_id_not_a_valid_artifact_id", "evidence_not_found", "evidence_from_another_version", "evidence_acl_invisible", "evidence_not_retrieved_by_requester", "evidence_stale",
+    "evidence_supported_only_by_inferred_edge",
+)
 CHECKS = ("exists", "in_active_version", "acl_visible", "in_requester_ledger", "not_stale", "supporting_trust_ok")
 
 
@@ -64,7 +67,7 @@ def verify_l1(claims: DataFrame, checked: DataFrame, artifacts: DataFrame, most:
     g = units.join(c, "claim_id").groupBy("claim_id").agg(F.bool_or(text.quote_grounded(F.col("quote"), F.coalesce("body_text", F.lit("")))).alias("found"), F.lit(True).alias("cited"))
     j = c.join(g.select("claim_id", "found", "cited"), "claim_id", "left").withColumns({"cited": F.coalesce("cited", F.lit(False)), "short": F.col("quote").isNull() | (F.length("quote") <= most)})
     lost = F.col("quote").isNotNull() & F.col("short") & F.col("cited") & ~F.coalesce("found", F.lit(False))
-    why = F.array_compact(F.array(F.when(~F.col("cited"), "uncited"), F.when(~F.col("short"), "quote_over_cap"), F.when(lost, "quote_not_found")))
+    why = F.array_compact(F.array(F.when(~F.col("cited"), "claim_uncited"), F.when(~F.col("short"), "quote_over_cap"), F.when(lost, "quote_not_found")))
     return j.select("claim_id", (F.col("cited") & F.col("short") & ~lost).alias("passed"), why.alias("reasons"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -282,39 +283,42 @@ def kb_budget_replay(events: DataFrame, max_calls: int, max_tokens: int) -> Data
 
 
 def request_policy_replay(requests: DataFrame, max_requests: int, max_tokens: int, run_budget: int, threshold: float = 0.90) -> DataFrame:
-    """Rows (retrieval_id, outcome): follow-up requests of each run in order.
+    """Rows (run_id, retrieval_id, outcome): follow-up requests of each run in order.
 
     ``requests``: run_id, agent_name, retrieval_id, created_at, query_text, asked_tokens, cost.  In
     order: an equal question of the run, a similar one (cosine of token counts), the agent's number of
     requests, its tokens, the run's tokens, else it retrieves and charges its cost.  State depends on
-    outcomes, so a run is replayed in one group; a run's requests are bounded by its budget.
+    outcomes, so a run's rows are streamed in order through one task; only its state is kept, which its
+    budget bounds.
     """
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        asked: list[str] = []
-        used: dict[str, list[int]] = {}
-        left = run_budget
-        out = []
-        for r in f.sort_values(["created_at", "retrieval_id"]).itertuples():
-            n, t = used.setdefault(r.agent_name, [0, 0])
-            mine = Counter(r.normalized.split())
-            if r.normalized in asked:
-                what = "exact_reuse"
-            elif any(_cosine(mine, Counter(q.split())) >= threshold for q in asked):
-                what = "semantic_reuse"
-            elif n + 1 > max_requests:
-                what = "denied_requests"
-            elif t + r.asked_tokens > max_tokens:
-                what = "denied_tokens"
-            elif r.asked_tokens > left:
-                what = "needs_human_approval"
-            else:
-                what = "approved"
-                asked.append(r.normalized)
-                used[r.agent_name] = [n + 1, t + r.cost]
-                left -= r.cost
-            out.append((r.run_id, r.retrieval_id, what))
-        return pd.DataFrame(out, columns=["run_id", "retrieval_id", "outcome"])
-
-    r = requests.withColumn("normalized", text.normalize_query(F.coalesce("query_text", F.lit(""))))
-    return r.groupBy("run_id").applyInPandas(run, "run_id string, retrieval_id string, outcome string")
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, asked, used, left = None, [], {}, run_budget
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                if r.run_id != run:
+                    run, asked, used, left = r.run_id, [], {}, run_budget
+                n, t = used.get(r.agent_name, (0, 0))
+                mine = Counter(r.normalized.split())
+                if any(q == r.normalized for q, _ in asked):
+                    what = "exact_reuse"
+                elif any(_cosine(mine, c) >= threshold for _, c in asked):
+                    what = "semantic_reuse"
+                elif n + 1 > max_requests:
+                    what = "denied_requests"
+                elif t + r.asked_tokens > max_tokens:
+                    what = "denied_tokens"
+                elif r.asked_tokens > left:
+                    what = "needs_human_approval"
+                else:
+                    what = "approved"
+                    asked.append((r.normalized, mine))
+                    used[r.agent_name] = (n + 1, t + r.cost)
+                    left -= r.cost
+                out.append((r.run_id, r.retrieval_id, what))
+            yield pd.DataFrame(out, columns=["run_id", "retrieval_id", "outcome"])
+
+    r = requests.select("run_id", "agent_name", "retrieval_id", "created_at", "asked_tokens", "cost", text.normalize_query(F.coalesce("query_text", F.lit(""))).alias("normalized"))
+    dealt = r.repartition("run_id").sortWithinPartitions("run_id", "created_at", "retrieval_id")
+    return dealt.mapInPandas(replay, "run_id string, retrieval_id string, outcome string")

@@ -30,8 +30,8 @@ _C = f""", c AS (SELECT item_id AS claim_id, text, CASE WHEN item_id % 4 > 0 THE
  k AS (SELECT artifact_id, body_text, {MEMBER} AS m, is_deleted, {VISIBLE} AS v FROM knowledge_artifact JOIN source_item USING (source_id)),
  e AS (SELECT claim_id, u.artifact_id, body_text, regexp_matches(u.artifact_id, '^[0-9]+$') AS good, k.artifact_id IS NOT NULL AS "exists", coalesce(m, false) AS in_active_version, coalesce(m AND v, false) AS acl_visible,
  k.artifact_id IS NOT NULL AND coalesce(try_cast(u.artifact_id AS BIGINT) % 4 > 0, false) AS in_requester_ledger, coalesce(m AND NOT is_deleted, false) AS not_stale, coalesce(m AND (u.artifact_id IN (SELECT i FROM ne) OR u.artifact_id NOT IN (SELECT i FROM nx)), false) AS supporting_trust_ok FROM u LEFT JOIN k USING (artifact_id)),
- ck AS (SELECT *, in_active_version AND acl_visible AND in_requester_ledger AS resolvable, CASE WHEN NOT good THEN ['bad_evidence_id'] ELSE list_filter([CASE WHEN NOT "exists" THEN 'evidence_not_found' WHEN NOT in_active_version THEN 'wrong_version' END, CASE WHEN NOT acl_visible THEN 'acl_invisible' END, CASE WHEN NOT in_requester_ledger THEN 'not_retrieved' END,
- CASE WHEN in_active_version AND NOT not_stale THEN 'stale_evidence' END, CASE WHEN in_active_version AND NOT supporting_trust_ok THEN 'supporting_trust' END], lambda x: x IS NOT NULL) END AS reasons FROM e)"""
+ ck AS (SELECT *, in_active_version AND acl_visible AND in_requester_ledger AS resolvable, CASE WHEN NOT good THEN ['evidence_id_not_a_valid_artifact_id'] ELSE list_filter([CASE WHEN NOT "exists" THEN 'evidence_not_found' WHEN NOT in_active_version THEN 'evidence_from_another_version' END, CASE WHEN NOT acl_visible THEN 'evidence_acl_invisible' END, CASE WHEN NOT in_requester_ledger THEN 'evidence_not_retrieved_by_requester' END,
+ CASE WHEN in_active_version AND NOT not_stale THEN 'evidence_stale' END, CASE WHEN in_active_version AND NOT supporting_trust_ok THEN 'evidence_supported_only_by_inferred_edge' END], lambda x: x IS NOT NULL) END AS reasons FROM e)"""
 _ORDER = "['" + "', '".join(claims.REASONS) + "']"
 _L0 = f"""SELECT claim_id, bool_and("exists") AS "exists", bool_and(in_active_version) AS in_active_version, bool_and(acl_visible) AS acl_visible, bool_and(in_requester_ledger) AS in_requester_ledger, bool_and(not_stale) AS not_stale, bool_and(supporting_trust_ok) AS supporting_trust_ok,
  bool_and("exists" AND in_active_version AND acl_visible AND in_requester_ledger AND not_stale AND supporting_trust_ok) AS passed, list_filter({_ORDER}, lambda r: list_contains(flatten(list(reasons)), r)) AS reasons FROM ck GROUP BY 1"""
@@ -39,7 +39,7 @@ _text = lambda d: d.withColumn("reasons", F.array_join("reasons", ","))  # noqa:
 add("evidence_checks", T, lambda b, a, s, e: _text(_checked(b, a, s, e)), _C + ' SELECT claim_id, artifact_id, "exists", in_active_version, acl_visible, in_requester_ledger, not_stale, supporting_trust_ok, resolvable, array_to_string(reasons, \',\') AS reasons FROM ck')
 add("verify_l0", T, lambda b, a, s, e: _text(claims.verify_l0(_checked(b, a, s, e))), _C + f" SELECT * REPLACE (array_to_string(reasons, ',') AS reasons) FROM ({_L0})")
 _WS = "trim(regexp_replace({}, '[ \\t\\r\\n\\x0b\\f]+', ' ', 'g'))"
-_L1 = f"""SELECT c.claim_id, cited AND short AND NOT lost AS passed, list_filter([CASE WHEN NOT cited THEN 'uncited' END, CASE WHEN NOT short THEN 'quote_over_cap' END, CASE WHEN lost THEN 'quote_not_found' END], lambda x: x IS NOT NULL) AS reasons
+_L1 = f"""SELECT c.claim_id, cited AND short AND NOT lost AS passed, list_filter([CASE WHEN NOT cited THEN 'claim_uncited' END, CASE WHEN NOT short THEN 'quote_over_cap' END, CASE WHEN lost THEN 'quote_not_found' END], lambda x: x IS NOT NULL) AS reasons
  FROM (SELECT c.claim_id, coalesce(bool_or(resolvable), false) AS cited, any_value(coalesce(length(quote) <= 600, true)) AS short, any_value(quote IS NOT NULL) AND short AND cited AND NOT coalesce(bool_or(resolvable AND {_WS.format("quote")} <> '' AND contains({_WS.format("coalesce(body_text, '')")}, {_WS.format("quote")})), false) AS lost FROM c LEFT JOIN ck ON ck.claim_id = c.claim_id GROUP BY 1) c"""
 add("verify_l1", T, lambda b, a, s, e: _text(claims.verify_l1(_claims(b), _checked(b, a, s, e), a)), _C + f" SELECT * REPLACE (array_to_string(reasons, ',') AS reasons) FROM ({_L1})")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders of tools, which no listing takes.
-SKIPPED = (".git", ".venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build")
+SKIPPED = (".git", "__pycache__", "node_modules", ".venv", ".mypy_cache", ".ruff_cache")
 
 
 def glob_pattern(glob: str) -> str:
