@@ -36,7 +36,7 @@ CAPACITY = 4096
 END_ID = 2
 #: Open windows of a task: one for each fill level on average, 16 KB each.
 MAX_OPEN = CAPACITY
-KEPT_WORDS = 1_000_000
+KEPT_WORDS, KEPT_IDS = 1_000_000, 8_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -127,7 +127,9 @@ def _pieces(word: str) -> int:
 
 
 class LibraryIds:
-    """Token ids by the tokenizers library.  A word's ids are kept by its hash, up to ``KEPT_WORDS``."""
+    """Token ids by the tokenizers library.  A word's ids are kept by its hash, up to ``KEPT_WORDS`` words and ``KEPT_IDS`` ids."""
+
+    split = staticmethod(split)
 
     def __init__(self, path: str):
         # One thread: Spark runs a task on each core already.
@@ -178,11 +180,11 @@ class LibraryIds:
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        w = split(texts)
+        w = self.split(texts)
         if not len(w.start):
             return [self.flat[:0]] * w.docs
         u, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self.slot) + len(u) > KEPT_WORDS:
+        if len(self.slot) + len(u) > KEPT_WORDS or len(self.flat) > KEPT_IDS:
             self._forget()
         asked = u.tolist()
         new = [k for k, h in enumerate(asked) if h not in self.slot]
