@@ -2,18 +2,21 @@
 
 Documents come one by one; full windows are cut off at once.  What remains goes to the fill level
 that minimises the sum of squared counts of partially filled windows, or to a new window.  Counts
-by level are one array of ``capacity`` numbers.  At most ``max_open`` windows are open; past that,
-and at the end of a partition, the open windows' pieces are laid end to end and cut at window
-borders, and the last rest is cut into powers of two, which need no padding.
+by level are one array of ``capacity`` numbers.  Past ``max_open`` open windows, and at the end of a
+partition, the emptiest window is taken apart and its pieces are placed by the same rule, cut where
+they fill a window; one window is left at the end of a partition, and its ids are cut into powers of two,
+which need no padding.  So all windows but a few for each partition come from the rule, and none is padded.
 
 Every Spark partition packs its own documents: no shuffle, no key, memory of one document and the
 open windows.  A lost task is run again from its input and gives the same sequences: their ids are
 the partition's number and a counter.
 
 Token ids come from the tokenizers library, word by word between white space, each different word
-once (the library pre-splits at white space, so the ids are those of the whole text).
-Defined results: a null or empty text is one end token; repeated rows are packed one by one; an
-empty table gives no rows.
+once (the library pre-splits at white space, so the ids are those of the whole text).  Words are told
+apart by 64-bit hashes: among n different words of a task two get one id with odds of n * n / 2**65.
+Defined results: a null or empty text is one end token; a null id stays null; repeated rows are packed one
+by one; texts of any length are taken whole, in full windows; of levels that the rule likes equally the
+fullest is taken; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,38 +73,58 @@ class Packer:
         gain[0] = 2 * count[r] + 1 if r < cap else 0
         gain[1:][count[1 : cap + 1 - r] == 0] = np.iinfo(np.int64).max
         level = int(np.flatnonzero(gain == gain.min())[-1])
-        piece = (tag, whole, rest, n)
+        yield from self._put(level, (tag, whole, rest, n))
+        while self.open > self.max_open:
+            yield from self._take_apart()
+
+    def _put(self, level: int, piece: tuple) -> Iterator[list]:
+        """Puts a piece that fits into a window of that level, or a new one at 0."""
         if level:
             window = self.at[level].pop()
-            count[level] -= 1
+            self.count[level] -= 1
             self.open -= 1
             window.append(piece)
         else:
             window = [piece]
-        if level + r == cap:
+        level += len(piece[2])
+        if level == self.capacity:
             yield window
             return
-        self.at[level + r].append(window)
-        count[level + r] += 1
+        self.at[level].append(window)
+        self.count[level] += 1
         self.open += 1
-        if self.open > self.max_open:
-            yield from self.flush(keep_rest=True)
 
-    def flush(self, keep_rest: bool = False) -> Iterator[list]:
-        """Cuts the pieces of all open windows at window borders; the rest stays open or becomes powers of two."""
-        line = [p for level in range(self.capacity, 0, -1) for window in self.at[level] for p in window]
+    def _take_apart(self) -> Iterator[list]:
+        """The emptiest window goes: its pieces are placed by the same rule, cut where they fill a window.
+
+        No new window is opened, so there is one less afterwards.  A piece that reaches the end of a
+        window fills it, and its rest goes on.
+        """
+        cap, count = self.capacity, self.count
+        level = int(np.flatnonzero(count)[0])
+        window = self.at[level].pop()
+        count[level] -= 1
+        self.open -= 1
+        for tag, start, ids, n in window:
+            while len(ids):
+                r, levels = len(ids), np.flatnonzero(count)
+                reached = np.minimum(levels + r, cap)
+                gain = np.where(reached < cap, 2 * (count[reached] - count[levels]) + 2, 1 - 2 * count[levels])
+                level = int(levels[np.flatnonzero(gain == gain.min())[-1]]) if len(levels) else 0
+                room = min(r, cap - level)
+                yield from self._put(level, (tag, start, ids[:room], n))
+                start, ids = start + room, ids[room:]
+
+    def flush(self) -> Iterator[list]:
+        """Takes windows apart until one is open; its ids are cut into powers of two, which need no padding."""
+        while self.open > 1:
+            yield from self._take_apart()
+        line = [p for level in np.flatnonzero(self.count) for window in self.at[level] for p in window][::-1]
         self.at = [[] for _ in range(self.capacity + 1)]
         self.count[:] = 0
         self.open = 0
-        total = sum(len(p[2]) for p in line)
-        sizes = [self.capacity] * (total // self.capacity)
-        rest = total % self.capacity
-        if keep_rest:
-            sizes += [rest] * bool(rest)
-        else:
-            sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if rest >> b & 1]
-        line.reverse()
-        for size in sizes:
+        rest = sum(len(p[2]) for p in line)
+        for size in (1 << b for b in range(self.capacity.bit_length(), -1, -1) if rest >> b & 1):
             window, left = [], size
             while left:
                 tag, start, ids, n = line.pop()
@@ -109,12 +132,7 @@ class Packer:
                 if len(ids) > left:
                     line.append((tag, start + left, ids[left:], n))
                 left -= len(window[-1][2])
-            if keep_rest and size < self.capacity:
-                self.at[size].append(window)
-                self.count[size] += 1
-                self.open += 1
-            else:
-                yield window
+            yield window
 
 
 def _pieces(word: str) -> int:

@@ -516,3 +516,31 @@ def test_language_model_of_nothing(spark):
     clash = spark.createDataFrame([(one, "a b a b", 3, 4), (None, "a", 1, 1), (one, "a b a b", 3, 4)], DOCS + ", score int, shard int")
     got = language_model.score_documents(clash).collect()
     assert len(got) == 3 and {r["train_tokens"] for r in got} == {12} and not any(r["held_out"] for r in got)
+
+
+def test_windows_come_from_the_rule():
+    """Of what partitions pack, only their last window is cut into powers of two; past the bound the rule stays too."""
+    r = np.random.default_rng(3)
+    for bound in (4096, 20):
+        packer, windows, sizes = packing.Packer(256, bound), [], r.integers(1, 300, 4000)
+        for i, n in enumerate(sizes):
+            windows += packer.place(i, np.arange(n, dtype=np.uint32))
+            assert packer.open <= bound
+        windows += packer.flush()
+        fill = [sum(len(p[2]) for p in w) for w in windows]
+        assert sum(fill) == sizes.sum() and sum(f < 256 for f in fill) <= 8
+        assert all(f == 256 or f & (f - 1) == 0 for f in fill)
+        starts = collections.defaultdict(list)
+        for w in windows:
+            for tag, start, ids, n in w:
+                assert n == sizes[tag] and ids[0] == start
+                starts[tag] += range(start, start + len(ids))
+        assert all(sorted(starts[i]) == list(range(n)) for i, n in enumerate(sizes))
+
+
+def test_packing_of_nothing_nulls_and_clashes(spark):
+    path = tokenizer_path()
+    rows = spark.createDataFrame([(None, None, 1, 1), (None, "", 1, 1), (5, "same words", 1, 1), (5, "same words", 1, 1)], "doc_id long, text string, start int, offset int")
+    got = packing.pack(rows, path).collect()
+    assert sorted((r["doc_id"] or -1, r["doc_tokens"]) for r in got if r["start"] == 0) == [(-1, 1), (-1, 1), (5, 3), (5, 3)]
+    assert packing.pack(rows.limit(0), path).count() == 0
