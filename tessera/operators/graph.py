@@ -36,25 +36,94 @@ def visible_neighbors(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, de
     return found.select("seed", "artifact_id", "hop", "claim.edge_type", "claim.trust_class", "claim.direction")
 
 
-def expand(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, rounds: int = 64) -> DataFrame:
-    """Rows (seed, artifact_id, tier): all that EXTRACTED edges reach, then what INFERRED ones add from there.
+def components(links: DataFrame) -> DataFrame:
+    """Rows (node, root): nodes of undirected ``links`` (u, v) with the least node that they are joined to.
 
-    Each round joins the front with the edges; a tier ends when a round finds nothing new.
+    Stars grow and merge (large star, small star) until a round changes nothing: logarithmically many rounds, not one
+    for each hop.  A round is a minimum by node, pre-aggregated, and a join with the links.
+    """
+    e = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "stars")
+    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 2_147_483_647)).first()
+    seen = mark(e)
+    while seen[0]:
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").unionAll(low.toDF("u", "v"))
+        e = written(small.distinct(), "stars")
+        now = mark(e)
+        if now == seen:
+            break
+        seen = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def reach(edges: DataFrame, seeds: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an expansion to exhaustion finds: (seed, tier, root) and members (tier, root, artifact_id).
+
+    Search is undirected over allowed nodes, so what a seed reaches is its component, or, if it may not be seen itself,
+    those of its neighbours.  Tier EXTRACTED has the components of extracted edges, INFERRED those of both kinds.  A node
+    without a link is a component of its own.
+    """
+    known = allowed.select(F.col("artifact_id").alias("id")).distinct()
+    start = seeds.select(F.col("artifact_id").alias("seed")).distinct()
+    found, members = [], []
+    for tier, classes in (("EXTRACTED", ("EXTRACTED",)), ("INFERRED", ("EXTRACTED", "INFERRED_HIGH", "INFERRED_LOW"))):
+        e = edges.where(F.col("trust_class").isin(*classes)).select(F.col("from_artifact_id").alias("u"), F.col("to_artifact_id").alias("v"))
+        inside = e.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(known.withColumnRenamed("id", "v"), "v", "left_semi")
+        of = components(inside)
+        of = written(known.join(of.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
+        members.append(of.select(F.lit(tier).alias("tier"), "root", F.col("id").alias("artifact_id")))
+        both = e.unionAll(e.select("v", "u")).toDF("seed", "id")
+        hidden = start.join(known.withColumnRenamed("id", "seed"), "seed", "left_anti")
+        near = start.select("seed", F.col("seed").alias("id")).unionAll(hidden.join(both, "seed").select("seed", "id"))
+        found.append(near.join(of, "id").select("seed", F.lit(tier).alias("tier"), "root").distinct())
+    return found[0].unionAll(found[1]), members[0].unionAll(members[1])
+
+
+def expand(edges: DataFrame, seeds: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Rows (seed, artifact_id, tier): all that EXTRACTED edges reach, then what INFERRED ones add from there, however far."""
+    found, members = reach(edges, seeds, allowed)
+    each = found.join(members, ["tier", "root"]).groupBy("seed", "artifact_id").agg(F.min("tier").alias("tier"))
+    own = seeds.select(F.col("artifact_id").alias("seed"), F.col("artifact_id"), F.lit("seed").alias("tier")).distinct()
+    return own.unionAll(each.where("seed <> artifact_id").select("seed", "artifact_id", "tier"))
+
+
+def expand_sizes(edges: DataFrame, seeds: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Rows (seed, tier, nodes): how many nodes each tier of an expansion adds, from sizes of components alone."""
+    found, members = reach(edges, seeds, allowed)
+    size = members.groupBy("tier", "root").agg(F.count("*").alias("n"))
+    upto = found.join(size, ["tier", "root"]).groupBy("seed").pivot("tier", ["EXTRACTED", "INFERRED"]).agg(F.sum("n"))
+    seen = seeds.select(F.col("artifact_id").alias("seed")).distinct().join(allowed.select(F.col("artifact_id").alias("seed"), F.lit(1).alias("own")).distinct(), "seed", "left").join(upto, "seed", "left")
+    own, first, all_ = F.coalesce("own", F.lit(0)), F.coalesce("EXTRACTED", F.lit(0)), F.coalesce("INFERRED", F.lit(0))
+    tiers = F.array(F.struct(F.lit("seed").alias("tier"), F.lit(1).cast("long").alias("nodes")), F.struct(F.lit("EXTRACTED").alias("tier"), (first - own).alias("nodes")), F.struct(F.lit("INFERRED").alias("tier"), (all_ - first).alias("nodes")))
+    return seen.select("seed", F.explode(tiers).alias("t")).select("seed", "t.*").where("nodes > 0")
+
+
+def expand_cards(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, most: int = 30) -> DataFrame:
+    """Rows (seed, place, artifact_id, tier): the first ``most`` nodes of an expansion, in order of hop, then id.
+
+    A seed's search ends once it has ``most`` nodes: what comes behind them can't be among them.  A hop adds a node
+    or ends a tier, so there are ``most`` hops a tier at most.
     """
     known = allowed.select(F.col("artifact_id").alias("far")).distinct()
-    seen = written(seeds.select(F.col("artifact_id").alias("seed"), "artifact_id", F.lit("seed").alias("tier")).distinct(), "seen")
+    seen = written(seeds.select(F.col("artifact_id").alias("seed"), "artifact_id").distinct().withColumns({"place": F.lit(0), "tier": F.lit("seed")}), "seen")
     for tier, classes in (("EXTRACTED", ("EXTRACTED",)), ("INFERRED", ("EXTRACTED", "INFERRED_HIGH", "INFERRED_LOW"))):
         e = edges.where(F.col("trust_class").isin(*classes)).select(F.col("from_artifact_id").alias("near"), F.col("to_artifact_id").alias("far"))
         both = written(e.unionAll(e.select("far", "near")).distinct().join(known, "far", "left_semi"), "edges")
         front = seen
-        for _ in range(rounds):
-            step = front.select("seed", F.col("artifact_id").alias("near")).join(both, "near").select("seed", F.col("far").alias("artifact_id")).distinct()
-            front = written(step.join(seen.select("seed", "artifact_id"), ["seed", "artifact_id"], "left_anti").withColumn("tier", F.lit(tier)), "front")
+        while True:
+            had = seen.groupBy("seed").agg(F.max("place").alias("had")).where(F.col("had") < most)
+            step = front.join(had, "seed").select("seed", "had", F.col("artifact_id").alias("near")).join(both, "near").select("seed", "had", F.col("far").alias("artifact_id")).distinct()
+            new = step.join(seen.select("seed", "artifact_id"), ["seed", "artifact_id"], "left_anti")
+            place = F.col("had") + F.row_number().over(Window.partitionBy("seed").orderBy("artifact_id"))
+            front = written(new.withColumn("place", place).where(F.col("place") <= most).select("seed", "artifact_id", "place", F.lit(tier).alias("tier")), "front")
             if front.isEmpty():
                 break
             seen = seen.unionByName(front)
         seen = written(seen, "seen")
-    return seen
+    return seen.where("place > 0").select("seed", "place", "artifact_id", "tier")
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, visible: DataFrame, cap: int = 100) -> DataFrame:

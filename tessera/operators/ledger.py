@@ -171,25 +171,28 @@ def span_stats(spans: DataFrame, days: int = 7) -> DataFrame:
     return recent.groupBy("name").agg(F.count("*").alias("spans"), F.round(F.avg("duration_ms"), 6).alias("avg_ms"), F.max("duration_ms").alias("max_ms")).orderBy(F.desc("spans"), "name")
 
 
-def trace_waterfall(spans: DataFrame, levels: int = 32) -> DataFrame:
+def trace_waterfall(spans: DataFrame) -> DataFrame:
     """Spans of each trace in order, with the offset from the first and the depth by parent.
 
-    Each level joins the spans whose parents the level before has; it ends with the deepest span.
+    Each round doubles the way that a span has looked up, so a chain of n spans takes log2(n) rounds.  A
+    span without a parent in its trace has depth 0.  Spans that come to no such span, since their parents
+    go round in a circle, have depth -1.
     """
     w = Window.partitionBy("trace_id").orderBy("started_at", "span_id")
     first = F.first("started_at").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = spans.select("trace_id", "span_id", "parent_span_id", F.row_number().over(w).cast("long").alias("position"), (F.unix_micros("started_at") - F.unix_micros(first)).alias("offset_us"))
     s = written(s, "spans")
-    known = s.select("trace_id", F.col("span_id").alias("parent_span_id"))
-    front = s.join(known, ["trace_id", "parent_span_id"], "left_anti").withColumn("depth", F.lit(0))
-    out = front
-    for depth in range(1, levels + 1):
-        up = front.select("trace_id", F.col("span_id").alias("parent_span_id"))
-        front = written(s.join(up, ["trace_id", "parent_span_id"]).withColumn("depth", F.lit(depth)), "level")
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out.select("trace_id", "span_id", "position", "offset_us", "depth")
+    known = s.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known")).distinct()
+    way = s.join(known, ["trace_id", "parent_span_id"], "left").select("trace_id", "span_id", F.when(F.col("known"), F.col("parent_span_id")).alias("up"), F.col("known").isNotNull().cast("long").alias("depth"))
+    way = written(way, "way")
+    # A way longer than the largest trace is a circle.
+    longest, length = (way.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0), 1
+    while length <= longest and not way.where("up IS NOT NULL").isEmpty():
+        next_ = way.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
+        way = written(way.join(next_, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "way")
+        length *= 2
+    depth = F.when(F.col("up").isNull(), F.col("depth")).otherwise(-1)
+    return s.join(way.withColumn("depth", depth), ["trace_id", "span_id"]).select("trace_id", "span_id", "position", "offset_us", F.col("depth").cast("int").alias("depth"))
 
 
 def timeline(events: DataFrame) -> DataFrame:

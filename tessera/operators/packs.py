@@ -64,32 +64,38 @@ def dedupe_text() -> Column:
     return text.normalize_query(F.concat_ws(" ", F.coalesce("title", "artifact_id"), text.card_summary(F.col("body_text"))))
 
 
-def _cosine(a: Counter, b: Counter) -> float:
-    dot = sum(n * b[t] for t, n in a.items())
-    norm = math.sqrt(sum(n * n for n in a.values())) * math.sqrt(sum(n * n for n in b.values()))
-    return dot / norm if norm else 0.0
+def term_counts(said: Column) -> Column:
+    """How often each token stands in a text, as a map."""
+    tokens = F.filter(F.split(said, " "), lambda t: t != "")
+    return F.map_from_entries(F.transform(F.array_distinct(tokens), lambda t: F.struct(t, F.size(F.filter(tokens, lambda x: x == t)).cast("double"))))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Of two maps of counts; 0 where one is empty."""
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    dot = total(F.transform(F.map_keys(a), lambda t: F.element_at(a, t) * F.coalesce(F.element_at(b, t), F.lit(0.0))))
+    norm = lambda m: F.sqrt(total(F.transform(F.map_values(m), lambda x: x * x)))
+    return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
 def collapse_near_dupes(rows: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
     """Rows (query_id, artifact_id, kept_id): each ranked hit and the better one that stands for it, itself if kept.
 
-    ``rows``: query_id, artifact_id, place, dedupe.  The pass is greedy in order of place, so a group
-    is one query's hits, which the search bounds to its over-fetch.
+    ``rows``: query_id, artifact_id, place, dedupe.  A greedy fold over a query's hits in order of place, which
+    the search bounds to its over-fetch: a hit is kept unless it is like one that was kept.
     """
+    one = F.struct("place", "artifact_id", term_counts(F.col("dedupe")).alias("terms"))
+    # Maps can't be compared, so the array is sorted by places and ids alone.
+    before = lambda a, b: F.when(F.struct(a["place"], a["artifact_id"]) < F.struct(b["place"], b["artifact_id"]), -1).when(F.struct(a["place"], a["artifact_id"]) > F.struct(b["place"], b["artifact_id"]), 1).otherwise(0)
+    each = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(one), before).alias("hits"))
+    none = F.expr("CAST(array() AS array<struct<artifact_id: string, kept_id: string, terms: map<string, double>>>)")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, Counter]] = []
-        out = []
-        for r in f.sort_values("place").itertuples():
-            mine = Counter(r.dedupe.split())
-            of = next((i for i, theirs in kept if _cosine(mine, theirs) >= threshold), None)
-            if of is None:
-                kept.append((r.artifact_id, mine))
-            out.append((r.query_id, r.artifact_id, of or r.artifact_id))
-        return pd.DataFrame(out, columns=["query_id", "artifact_id", "kept_id"])
+    def fold(seen: Column, r: Column) -> Column:
+        like = F.filter(seen, lambda k: (k["artifact_id"] == k["kept_id"]) & (cosine(k["terms"], r["terms"]) >= threshold))
+        kept = F.coalesce(F.get(like, 0)["artifact_id"], r["artifact_id"])
+        return F.concat(seen, F.array(F.struct(r["artifact_id"].alias("artifact_id"), kept.alias("kept_id"), r["terms"].alias("terms"))))
 
-    kind = rows.schema["query_id"].dataType.simpleString()
-    return rows.select("query_id", "artifact_id", "place", "dedupe").groupBy("query_id").applyInPandas(run, f"query_id {kind}, artifact_id string, kept_id string")
+    return each.select("query_id", F.explode(F.aggregate("hits", none, fold)).alias("h")).select("query_id", "h.artifact_id", "h.kept_id")
 
 
 def cards(rows: DataFrame) -> DataFrame:
@@ -292,6 +298,10 @@ def request_policy_replay(requests: DataFrame, max_requests: int, max_tokens: in
     budget bounds.
     """
 
+    def like(a: Counter, b: Counter) -> bool:
+        size = math.hypot(*a.values()) * math.hypot(*b.values())
+        return bool(size) and sum((Counter({t: n * b[t] for t, n in a.items()})).values()) / size >= threshold
+
     def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, asked, used, left = None, [], {}, run_budget
         for f in frames:
@@ -303,7 +313,7 @@ def request_policy_replay(requests: DataFrame, max_requests: int, max_tokens: in
                 mine = Counter(r.normalized.split())
                 if any(q == r.normalized for q, _ in asked):
                     what = "exact_reuse"
-                elif any(_cosine(mine, c) >= threshold for _, c in asked):
+                elif any(like(mine, c) for _, c in asked):
                     what = "semantic_reuse"
                 elif n + 1 > max_requests:
                     what = "denied_requests"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,41 +33,49 @@ def parse_findings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.where("reason is null").select("review_id", "lens", "verdict", "findings", "open_questions"), r.where("reason is not null").select("review_id", "lens", "reason")
 
 
-def _tokens(said: str) -> frozenset[str]:
-    return frozenset(t for t in "".join(c if c.isalnum() or c.isspace() else " " for c in said.lower()).split() if len(t) > 1)
+def _words(said: Column) -> Column:
+    """The different words of two letters or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(said), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) > 1))
+
+
+_MEMBER = "struct<grave: int, lens: string, severity: string, finding: string, evidence_ids: array<string>>"
 
 
 def reconcile_findings(findings: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     """Merged findings of each review: (review_id, place, severity, finding, evidence_ids, lenses, disagreement).
 
-    ``findings``: review_id, lens_order, lens, n, severity, finding, evidence_ids.  In order of lens and
-    n, a finding is taken into the first one whose growing set of words it resembles (Jaccard).  One
-    review's findings are one group: a panel of a few lenses.
+    ``findings``: review_id, lens_order, lens, n, severity, finding, evidence_ids.  A fold over the sorted
+    array of a review, in order of lens and n: a finding joins the first group whose words, which grow with
+    it, it resembles (Jaccard), or opens one.  A lens's last word on a group is its vote.  One review's
+    findings are one row: a panel of a few lenses.
     """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
-        for r in f.sort_values(["lens_order", "n"]).itertuples():
-            mine = _tokens(r.finding)
-            g = next((g for g in groups if mine and g["tokens"] and len(mine & g["tokens"]) / len(mine | g["tokens"]) >= threshold), None)
-            if g is None:
-                g = {"tokens": frozenset(), "votes": {}, "texts": [], "evidence": set()}
-                groups.append(g)
-            g["tokens"] |= mine
-            g["votes"][r.lens] = r.severity
-            g["texts"].append((SEVERITIES.index(r.severity), r.finding))
-            g["evidence"] |= set(r.evidence_ids)
-        rows = []
-        for g in groups:
-            top = min(g["votes"].values(), key=SEVERITIES.index)
-            votes = ", ".join(f"{k}={v}" for k, v in sorted(g["votes"].items()))
-            said = f"severity disputed ({votes}); highest kept" if len(set(g["votes"].values())) > 1 else None
-            rows.append((SEVERITIES.index(top), top, min(g["texts"], key=lambda t: t[0])[1], sorted(g["evidence"]), sorted(g["votes"]), said))
-        rows.sort(key=lambda r: r[0])
-        out = [(f["review_id"].iloc[0], i + 1, *r[1:]) for i, r in enumerate(rows)]
-        return pd.DataFrame(out, columns=["review_id", "place", "severity", "finding", "evidence_ids", "lenses", "disagreement"])
-
-    return findings.groupBy("review_id").applyInPandas(run, "review_id string, place long, severity string, finding string, evidence_ids array<string>, lenses array<string>, disagreement string")
+    one = F.struct("lens_order", "n", F.struct(severity_rank(F.col("severity")).cast("int").alias("grave"), "lens", "severity", "finding", "evidence_ids").alias("said"), _words(F.col("finding")).alias("words"))
+    told = findings.groupBy("review_id").agg(F.array_sort(F.collect_list(one)).alias("told"))
+    none = F.expr(f"CAST(array() AS array<struct<words: array<string>, members: array<{_MEMBER}>>>)")
+
+    def like(group: Column, r: Column) -> Column:
+        shared = F.size(F.array_intersect(group["words"], r["words"]))
+        return (shared > 0) & (shared / F.size(F.array_union(group["words"], r["words"])) >= threshold)
+
+    def fold(groups: Column, r: Column) -> Column:
+        at = F.array_position(F.transform(groups, lambda g: like(g, r)), True)
+        grown = lambda g: F.struct(F.array_union(g["words"], r["words"]).alias("words"), F.concat(g["members"], F.array(r["said"])).alias("members"))
+        opened = F.array(F.struct(r["words"].alias("words"), F.array(r["said"]).alias("members")))
+        return F.when(at == 0, F.concat(groups, opened)).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, grown(g)).otherwise(g)))
+
+    groups = told.select("review_id", F.posexplode(F.aggregate("told", none, fold)).alias("at", "g")).select("review_id", "at", "g.members")
+    lenses = F.array_sort(F.array_distinct(F.transform("members", lambda m: m["lens"])))
+    votes = F.transform(lenses, lambda x: F.element_at(F.filter("members", lambda m: m["lens"] == x), -1))
+    best = F.array_min(F.transform("members", lambda m, i: F.struct(m["grave"].alias("grave"), i.alias("i"), m["finding"].alias("finding"))))
+    # Fixed value: how a disagreement is told.
+    disputed = F.concat(F.lit("severity disputed ("), F.array_join(F.transform("votes", lambda v: F.concat(v["lens"], F.lit("="), v["severity"])), ", "), F.lit("); highest kept"))
+    g = groups.withColumn("votes", votes).withColumn("top", F.array_min(F.transform("votes", lambda v: v["grave"])))
+    place = F.row_number().over(Window.partitionBy("review_id").orderBy("top", "at")).cast("long")
+    return g.select(
+        "review_id", place.alias("place"), F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("top")).alias("severity"), best["finding"].alias("finding"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("members", lambda m: m["evidence_ids"])))).alias("evidence_ids"), lenses.alias("lenses"),
+        F.when(F.size(F.array_distinct(F.transform("votes", lambda v: v["severity"]))) > 1, disputed).alias("disagreement"),
+    )
 
 
 def render_comments(merged: DataFrame) -> DataFrame:

@@ -37,17 +37,12 @@ add("visible_neighbors", E, _neighbors, _SIDES + """, e AS (SELECT * FROM knowle
  a AS (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2) SELECT seed, far AS artifact_id, hop, c[3] AS edge_type, c[4] AS trust_class, c[5] AS direction FROM (SELECT seed, far, hop, [c[1], c[2], c[3], c[4], c[5]] AS c, row_number() OVER (PARTITION BY seed ORDER BY hop, c) AS r FROM a) WHERE r <= 100""")
 
 
-def _expand(e: DataFrame) -> DataFrame:
-    few = _seeds(e).where("cast(substr(artifact_id, 2) as long) % 100 = 1 and artifact_id like 'c%'")
-    small = e.where("edge_type = 'tests' and cast(substr(from_artifact_id, 2) as long) % 4 = 1")
-    return graph.expand(small, few, _allowed(e)).groupBy("seed", "tier").agg(F.count("*").alias("nodes"))
-
-
-add("expand", E, _expand, _SIDES + """, e AS (SELECT * FROM knowledge_edge WHERE edge_type = 'tests' AND CAST(substr(from_artifact_id, 2) AS BIGINT) % 4 = 1 AND trust_class IN ('EXTRACTED', 'INFERRED_HIGH', 'INFERRED_LOW')),
+add("expand", E, lambda e: graph.expand_sizes(e, _seeds(e), _allowed(e)), _SIDES + """, e AS (SELECT * FROM knowledge_edge WHERE trust_class IN ('EXTRACTED', 'INFERRED_HIGH', 'INFERRED_LOW')),
  b AS MATERIALIZED (SELECT from_artifact_id AS near, to_artifact_id AS far, trust_class = 'EXTRACTED' AS x FROM e WHERE to_artifact_id IN (SELECT id FROM al) UNION SELECT to_artifact_id, from_artifact_id, trust_class = 'EXTRACTED' FROM e WHERE from_artifact_id IN (SELECT id FROM al)),
- s AS (SELECT id FROM sd WHERE CAST(substr(id, 2) AS BIGINT) % 100 = 1 AND id LIKE 'c%'), p AS MATERIALIZED (WITH RECURSIVE r AS (SELECT id AS seed, id FROM s UNION SELECT seed, far FROM r JOIN b ON near = r.id AND x) SELECT * FROM r),
+ p AS MATERIALIZED (WITH RECURSIVE r AS (SELECT id AS seed, id FROM sd UNION SELECT seed, far FROM r JOIN b ON near = r.id AND x) SELECT * FROM r),
  q AS (WITH RECURSIVE r AS (SELECT seed, id FROM p UNION SELECT seed, far FROM r JOIN b ON near = r.id) SELECT * FROM r)
- SELECT seed, CASE WHEN q.id = seed THEN 'seed' WHEN (seed, q.id) IN (SELECT (seed, id) FROM p) THEN 'EXTRACTED' ELSE 'INFERRED' END AS tier, count(*) AS nodes FROM q GROUP BY ALL""")
+ SELECT seed, CASE WHEN q.id = seed THEN 'seed' WHEN p.id IS NOT NULL THEN 'EXTRACTED' ELSE 'INFERRED' END AS tier, count(*) AS nodes FROM q LEFT JOIN p USING (seed, id) GROUP BY ALL""")
+add("expand_cards", E, lambda e: graph.expand_cards(e, _seeds(e), _allowed(e)), None)
 
 
 def _visible(e: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ _add("span_stats", ("trace_span",), ledger.span_stats, """SELECT name, count(*)
  WHERE started_at >= (SELECT max(started_at) FROM trace_span) - INTERVAL 7 DAY GROUP BY 1""")
 _add("trace_waterfall", ("trace_span",), ledger.trace_waterfall, """, o AS (SELECT trace_id, span_id, parent_span_id, row_number() OVER w AS position, epoch_us(started_at) - epoch_us(first_value(started_at) OVER w) AS offset_us
  FROM trace_span WINDOW w AS (PARTITION BY trace_id ORDER BY started_at, span_id)), d AS (WITH RECURSIVE r AS (SELECT trace_id, span_id, 0 AS depth FROM o WHERE NOT EXISTS (SELECT 1 FROM o p WHERE p.trace_id = o.trace_id AND p.span_id = o.parent_span_id)
- UNION ALL SELECT o.trace_id, o.span_id, r.depth + 1 FROM o JOIN r ON o.trace_id = r.trace_id AND o.parent_span_id = r.span_id) SELECT * FROM r) SELECT trace_id, span_id, position, offset_us, depth FROM o JOIN d USING (trace_id, span_id)""")
+ UNION ALL SELECT o.trace_id, o.span_id, r.depth + 1 FROM o JOIN r ON o.trace_id = r.trace_id AND o.parent_span_id = r.span_id) SELECT * FROM r) SELECT trace_id, span_id, position, offset_us, coalesce(depth, -1) AS depth FROM o LEFT JOIN d USING (trace_id, span_id)""")
 _add("timeline", ("retrieval_event",), ledger.timeline, """SELECT run_id, retrieval_id, row_number() OVER w AS position, epoch_us(created_at) - epoch_us(first_value(created_at) OVER w) AS elapsed_us, tool_name || ' ' || status AS headline
  FROM retrieval_event WHERE run_id <> '-' WINDOW w AS (PARTITION BY run_id ORDER BY created_at, retrieval_id)""")
 _IDS = "list_distinct(list_concat(list_concat(returned_artifact_ids, reused_evidence_ids), new_evidence_ids))"

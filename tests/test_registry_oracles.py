@@ -28,7 +28,7 @@ def rows(frame):
     return sorted(map(tuple, frame.astype(object).where(frame.notna(), None).astype(str).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(q.queries()))
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
     mine = q.queries()[name](spark, SF).toPandas()
     told = con.execute(q.oracle_sql()[name]).df()
