@@ -126,7 +126,7 @@ def expand_cards(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, most: i
     return seen.where("place > 0").select("seed", "place", "artifact_id", "tier")
 
 
-def blast_radius(edges: DataFrame, seeds: DataFrame, visible: DataFrame, cap: int = 100) -> DataFrame:
+def blast_radius(edges: DataFrame, seeds: DataFrame, visible: DataFrame, cap: int | None = 100) -> DataFrame:
     """Rows (seed, role, artifact_id, path, symbol, edge_type, tier): callers, callees and tests of each seed.
 
     ``visible``: artifact_id, artifact_type, title, path of what may be shown.  A calls edge is
@@ -149,7 +149,8 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, visible: DataFrame, cap: in
     symbol = F.when(F.col("artifact_type").isin("code_symbol", "endpoint"), F.col("title"))
     r = r.withColumn("symbol", symbol)
     w = Window.partitionBy("seed", "role").orderBy("path", F.coalesce("symbol", F.lit("")), "artifact_id", "edge_type")
-    r = r.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
+    r = r.withColumn("place", F.row_number().over(w))
+    r = r if cap is None else r.where(F.col("place") <= cap)
     return r.select("seed", "role", "place", "artifact_id", "path", "symbol", "edge_type", "tier")
 
 

@@ -48,6 +48,11 @@ _TEXTS = {
  CASE WHEN a.doc_id % 5 > b.doc_id % 5 THEN a.doc_id % 5 ELSE b.doc_id % 5 END AS valid_from_seq,
  CAST(NULL AS BIGINT) AS invalidated_at_seq
  FROM (SELECT *, {NEAR} AS near FROM {documents}) a JOIN {documents} b ON a.source = b.source AND b.doc_id {DIV} 40 = a.near AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 40"""),
+    "code_edge": (("documents",), """SELECT DISTINCT CAST(a.doc_id AS STRING) AS from_artifact_id, CAST(b.doc_id AS STRING) AS to_artifact_id,
+ CASE WHEN a.doc_id % 7 = 0 AND b.doc_id = a.doc_id + 1 THEN 'defined_in' WHEN a.doc_id % 7 = 1 AND b.doc_id % 7 = 1 THEN 'imports' WHEN (a.doc_id + b.doc_id) % 5 = 0 THEN 'tests' ELSE 'calls' END AS edge_type,
+ CASE WHEN (a.doc_id + b.doc_id) % 9 = 0 THEN 'INFERRED_HIGH' ELSE 'EXTRACTED' END AS trust_class
+ FROM (SELECT *, {NEAR} AS near FROM {documents}) a JOIN {documents} b ON b.doc_id {DIV} 40 = a.near AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 40
+ WHERE a.doc_id % 7 IN (0, 1) AND b.doc_id % 7 IN (0, 1)"""),
     "knowledge_edge": (("orders", "lineitem"), """SELECT DISTINCT 'c' || CAST(o_custkey AS STRING) AS from_artifact_id, 's' || CAST(l_suppkey AS STRING) AS to_artifact_id,
  CASE l_linenumber % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' WHEN 2 THEN 'tests' ELSE 'defined_in' END AS edge_type,
  CASE l_returnflag WHEN 'R' THEN 'EXTRACTED' WHEN 'A' THEN 'INFERRED_HIGH' ELSE 'INFERRED_LOW' END AS trust_class

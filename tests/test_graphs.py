@@ -45,14 +45,14 @@ def test_expansion_to_exhaustion(spark):
     assert {(x["seed"], x["artifact_id"]): x["tier"] for x in graph.expand(e, s, a).collect()} == told
     sizes = collections.Counter((seed, tier) for (seed, _), tier in told.items())
     assert {(x["seed"], x["tier"]): x["nodes"] for x in graph.expand_sizes(e, s, a).collect()} == dict(sizes)
-    cards = graph.expand_cards(e, s, a, 12).collect()
+    cards = graph.expand_cards(e, s, a, 5).collect()
     by = collections.defaultdict(list)
     for x in sorted(cards, key=lambda x: (x["seed"], x["place"])):
         by[x["seed"]].append((x["artifact_id"], x["tier"]))
-    assert by["n000"] == [(f"n{i:03}", "EXTRACTED") for i in range(1, 13)]
+    assert by["n000"] == [(f"n{i:03}", "EXTRACTED") for i in range(1, 6)]
     for seed in seeds:
         want = sum(v for (s_, t), v in sizes.items() if s_ == seed and t != "seed")
-        assert len(by[seed]) == min(12, want) and all(told[seed, n] == t for n, t in by[seed])
+        assert len(by[seed]) == min(5, want) and all(told[seed, n] == t for n, t in by[seed])
     assert graph.expand(e.limit(0), s, a).count() == len(seeds)
 
 
