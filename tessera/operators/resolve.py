@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +13,70 @@ from ..functions import text
 from ..sources.written import written
 
 
+#: Vectors of a tile; a task holds one tile of 64-bit numbers and a batch of queries.
+TILE = 8192
+
+
+def _best(product: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, similarity) of each row's ``k`` best, ties to the smaller id, without its own id."""
+    value = np.round(product, 6)
+    value[own[:, None] == ids[None, :]] = -np.inf
+    if value.shape[1] > k:
+        bound = np.partition(value, -k, axis=1)[:, -k][:, None]
+        row, col = np.nonzero(value >= np.maximum(bound, least))
+    else:
+        row, col = np.nonzero(value >= least)
+    order = np.lexsort((ids[col], -value[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col = row[place < k], col[place < k]
+    return row, ids[col], value[row, col]
+
+
 def similar_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """Top k by cosine for a stated query set: (query_id, vec_id, similarity, rank); zero vectors and self are left out.
+    """Top k by cosine: (query_id, vec_id, similarity, rank); zero and null vectors and self are left out, ties go to the smaller id.
 
-    The stated queries are the small side: their number is checked before they go to all tasks.
+    Block cosine: vectors are dealt into tiles of about ``TILE``, unit length, and each batch of queries is multiplied with a
+    tile as matrices.  A tile gives each query its ``k`` best, which merge by partial top-k; so what a query costs after
+    its products is ``k`` rows for each tile.  Any stated set may be the queries, all vectors too: query vectors go once to
+    each tile.  ``vectors`` and ``queries``: vec_id, embedding, of one length.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    unit = lambda d, i, v: d.select(F.col("vec_id").alias(i), F.col("embedding").alias(v), norm(F.col("embedding")).alias(f"n_{v}")).where(f"n_{v} > 0")
-    q, c = unit(queries, "query_id", "q"), unit(vectors, "vec_id", "c")
-    q = F.broadcast(q) if q.count() <= 10_000 else q
-    dot = F.aggregate(F.zip_with("q", "c", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    s = c.join(q, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot / (F.col("n_q") * F.col("n_c")), 6).alias("similarity")).where(F.col("similarity") >= least)
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
+    n = max(1, -(-vectors.count() // TILE))
+    corpus = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("tile"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tile"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    dealt = corpus.unionAll(asked).where("embedding IS NOT NULL").repartition(n, "tile").sortWithinPartitions("tile", "asks")
+
+    def unit(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        flat = b.column(3)
+        rows = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+        norm = np.sqrt((rows * rows).sum(1))
+        good = norm > 0
+        return rows[good] / norm[good, None], b.column(2).to_numpy(zero_copy_only=False)[good]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, ids = None, [], []
+        for whole in (b for b in batches if b.num_rows):
+            # A batch may hold several tiles, and a tile's vectors come before its queries.
+            code = whole.column(0).to_numpy() * 2 + whole.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.r_[0, np.flatnonzero(np.diff(code)) + 1, len(code)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                b = whole.slice(low, high - low)
+                if code[low] // 2 != tile:
+                    tile, held, ids = code[low] // 2, [], []
+                rows, own = unit(b)
+                if not code[low] & 1:
+                    held.append(rows)
+                    ids.append(own)
+                    continue
+                if len(held) > 1:
+                    held, ids = [np.concatenate(held)], [np.concatenate(ids)]
+                for at in range(0, len(own) if held and len(held[0]) else 0, 512):
+                    row, found, value = _best(rows[at : at + 512] @ held[0].T, ids[0], own[at : at + 512], k, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 512][row]), pa.array(found), pa.array(value)], ["query_id", "vec_id", "similarity"])
+
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    best = dealt.mapInArrow(run, f"query_id {kind}, vec_id {kind}, similarity double")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
 
 
 def fuzzy_resolve(queries: DataFrame, aliases: DataFrame, least: float = 0.3) -> DataFrame:

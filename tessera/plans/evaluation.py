@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, ledger, reviews
+from ..operators import evaluation, ledger, reviews, skeletons
 from .catalog import add
 from .queries import _FOLLOW, _IDS, _ratio
 
@@ -98,7 +98,25 @@ _COMPARE = """, g AS (SELECT agent_name AS name, coalesce(sum(tokens_returned) F
  r AS (SELECT *, CASE WHEN old <> 0 THEN (new - old) / abs(old) WHEN new = 0 THEN 0 ELSE 'inf'::DOUBLE END AS rel FROM g), v AS (SELECT name, old, new, round(rel, 6) AS relative, CASE WHEN rel * better < -0.05 THEN 'regressed' WHEN rel * better > 0.05 THEN 'improved' ELSE 'flat' END AS verdict FROM r)"""
 add("baseline_compare", ("retrieval_event",), _compared, _COMPARE + " SELECT * FROM v")
 add("baseline_verdict", ("retrieval_event",), lambda e: evaluation.baseline_verdict(_compared(e)), _COMPARE + " SELECT CASE WHEN bool_or(verdict = 'regressed') THEN 'regressed' WHEN bool_or(verdict = 'improved') THEN 'improved' ELSE 'flat' END AS verdict, arg_min(name, (-abs(relative), name)) AS biggest_mover FROM v")
-add("skeleton_savings", ("documents",), lambda d: evaluation.skeleton_savings(d.select(F.col("source").alias("path"), "text", F.substring("text", 1, 200).alias("skeleton"))), """SELECT source AS path, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS before, CAST(sum(ceil(length(substr(text, 1, 200)) / 4)) AS BIGINT) AS after, round((before - after)::DOUBLE / nullif(before, 0), 6) AS saved FROM documents GROUP BY ROLLUP (source)""")
+def _files(d: DataFrame) -> DataFrame:
+    """A source file of each document, Python or not: a function with a line for each of its words."""
+    words = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")), lambda w: w != "")
+    i, py = F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 0
+    lines = F.array_join(F.transform(words, lambda w: F.concat(F.when(py, F.lit('    v = "')).otherwise('  let v = "'), w, F.when(py, F.lit('"\n')).otherwise('";\n'))), "")
+    head = F.concat(F.when(py, F.lit("def f_")).otherwise("function f_"), i, F.when(py, F.lit("(a):\n")).otherwise("(a) {\n"))
+    return d.select(F.concat("source", F.lit("/"), i, F.when(py, F.lit(".py")).otherwise(".js")).alias("path"), F.concat(head, lines, F.when(py, F.lit("")).otherwise("}\n")).alias("text"))
+
+
+_FILES = """WITH w AS (SELECT doc_id, source, doc_id % 2 = 0 AS py, list_filter(list_transform(string_split(coalesce(text, ''), ' '), lambda w: regexp_replace(w, '[^A-Za-z]', '', 'g')), lambda w: w <> '') AS ws FROM documents),
+ f AS (SELECT source || '/' || doc_id || CASE WHEN py THEN '.py' ELSE '.js' END AS path, CASE WHEN py THEN 'def f_' || doc_id || '(a):' || chr(10) ELSE 'function f_' || doc_id || '(a) {' || chr(10) END || array_to_string(list_transform(ws, lambda w: CASE WHEN py THEN '    v = "' || w || '"' ELSE '  let v = "' || w || '";' END || chr(10)), '') || CASE WHEN py THEN '' ELSE '}' || chr(10) END AS text FROM w),
+ l AS (SELECT path, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line, unnest(range(len(string_split(regexp_replace(text, '\n$', ''), chr(10))))) AS n FROM f),
+ k AS (SELECT *, sum(keep::INT) OVER (PARTITION BY path ORDER BY n) AS g FROM (SELECT *, trim(line) = '' OR left(line, 1) NOT IN (' ', chr(9)) AS keep FROM l)),
+ r AS (SELECT path, min(n) AS n, CASE WHEN keep THEN min(line) ELSE '    ... # ' || count(*) || CASE WHEN count(*) = 1 THEN ' line' ELSE ' lines' END || ' elided' END AS line FROM k GROUP BY path, g, keep),
+ s AS (SELECT path, text, skeleton FROM f JOIN (SELECT path, string_agg(line, chr(10) ORDER BY n) AS skeleton FROM r GROUP BY 1) USING (path))"""
+# Each of these files has one function, so its definitions and its lines tell the same skeleton.
+add("skeletons", ("documents",), lambda d: skeletons.skeletons(_files(d)).select("path", F.sha2("skeleton", 256).alias("skeleton")), _FILES + " SELECT path, sha256(skeleton) AS skeleton FROM s")
+add("symbol_spans", ("documents",), lambda d: skeletons.scan_python(_files(d).where("path like '%.py'")).select("path", "ok", F.explode_outer("spans").alias("s")).select("path", "ok", "s.name", "s.kind", "s.line", "s.first", "s.last"), _FILES + """ SELECT path, len(x) > 2 AS ok, CASE WHEN ok THEN regexp_extract(text, 'f_[0-9]+') END AS name, CASE WHEN ok THEN 'def' END AS kind, CASE WHEN ok THEN 1 END AS line, CASE WHEN ok THEN 1 END AS first, CASE WHEN ok THEN CAST(len(x) - 1 AS INT) END AS last FROM (SELECT *, string_split(text, chr(10)) AS x FROM f WHERE path LIKE '%.py')""")
+add("skeleton_savings", ("documents",), lambda d: evaluation.skeleton_savings(skeletons.skeletons(_files(d)).withColumn("path", F.substring_index("path", "/", 1))), _FILES + """ SELECT split_part(path, '/', 1) AS path, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS before, CAST(sum(ceil(length(skeleton) / 4)) AS BIGINT) AS after, round((before - after)::DOUBLE / nullif(before, 0), 6) AS saved FROM s GROUP BY ROLLUP (split_part(path, '/', 1))""")
 
 
 def _missing(d: DataFrame) -> DataFrame:

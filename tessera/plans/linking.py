@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import linking, mining
+from ..operators import linking, mining, resolve
 from .catalog import add
 
 L = ("linkable",)
@@ -75,21 +75,19 @@ add("candidate_pairs", L, _candidates, f""", f AS (SELECT path, max(artifact_id)
  SELECT a AS from_artifact_id, b AS to_artifact_id, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS bucket, signals FROM s WHERE (least(a, b), greatest(a, b)) NOT IN (SELECT (p, q) FROM ex) QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 10""")
 
 
-def _similar(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Concepts are the vectors of even labels, symbols those of odd ones, with given similarities of ids."""
-    concepts = e.where("label % 2 = 0").select(F.col("vec_id").cast("string").alias("artifact_id"))
-    near = e.where("label % 2 = 0").select(F.col("vec_id").cast("string").alias("concept_id"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 6)).alias("s"), "vec_id")
-    return concepts, near.select("concept_id", F.col("s").cast("string").alias("symbol_id"), (1 - ((F.col("vec_id") * 7 + F.col("s") * 3) % 40) / 100).alias("similarity"))
-
-
 def _semantic(e: DataFrame) -> DataFrame:
-    concepts, near = _similar(e)
-    linked = concepts.where("cast(artifact_id as long) % 5 = 0").select(F.col("artifact_id").alias("to_artifact_id"))
-    return linking.semantic_links(concepts, linked, near).withColumn("confidence", F.round("confidence", 6))
-
-
-add("semantic_links", ("embeddings",), _semantic, """WITH n AS (SELECT vec_id AS c, s, 1 - ((vec_id * 7 + s * 3) % 40) / 100 AS x FROM (SELECT vec_id, unnest(range(vec_id + 1, vec_id + 7)) AS s FROM embeddings WHERE label % 2 = 0 AND vec_id % 5 > 0)), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY x DESC, CAST(s AS VARCHAR)) AS r FROM n)
- SELECT CAST(s AS VARCHAR) AS from_artifact_id, CAST(c AS VARCHAR) AS to_artifact_id, 'implements' AS edge_type, round(x, 6) AS confidence FROM r WHERE r <= 3 AND x >= 0.82""")
+    """Vectors of even ids are concepts, the others symbols; every fifth concept has a deterministic link."""
+    concepts, symbols = e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
+    near = resolve.similar_topk(symbols, concepts, 3)
+    near = near.select(F.col("query_id").cast("string").alias("concept_id"), F.col("vec_id").cast("string").alias("symbol_id"), "similarity")
+    linked = concepts.where("vec_id % 10 = 0").select(F.lit("s").alias("from_artifact_id"), F.col("vec_id").cast("string").alias("to_artifact_id"))
+    return linking.semantic_links(concepts.select(F.col("vec_id").cast("string").alias("artifact_id")), linked, near, ACCEPT).withColumn("confidence", F.round("confidence", 6))
+
+
+#: Similarity that these vectors' neighbours reach.
+ACCEPT = 0.3
+add("semantic_links", ("embeddings",), _semantic, f"""WITH r AS (SELECT a.vec_id AS c, b.vec_id AS s, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS x FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND a.vec_id % 10 > 0 AND b.vec_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY x DESC, b.vec_id) <= 3)
+ SELECT CAST(s AS VARCHAR) AS from_artifact_id, CAST(c AS VARCHAR) AS to_artifact_id, 'implements' AS edge_type, x AS confidence FROM r WHERE x >= {ACCEPT}""")
 
 
 def _merge(e: DataFrame) -> DataFrame:

@@ -221,8 +221,8 @@ _add("publish_gates", ("knowledge_artifact", "doc_edge", "source_item"), lambda
  UNION ALL SELECT 4, 'edges_without_evidence', (SELECT count(*) FROM doc_edge WHERE {_MEMBER} AND source = 'linker' AND evidence IS NULL), 0)
  SELECT position, gate, round(value::DOUBLE, 6) AS value, value <= most AS passed FROM g""")
 _add("table_parity", ("source_item", "knowledge_artifact"), lambda s, a: gates.table_parity({"s": s, "a": a}, {"s": s.where("last_seen_min > 3"), "a": a}), "SELECT 's' AS name, count(*) AS left_rows, count(*) FILTER (last_seen_min > 3) AS right_rows, left_rows = right_rows AS equal FROM source_item UNION ALL SELECT 'a', count(*), count(*), true FROM knowledge_artifact")
-_add("similar_topk", ("embeddings",), lambda e: resolve.similar_topk(e, e.where("vec_id % 50 = 0"), 5), """SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
- row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 5""")
+_add("similar_topk", ("embeddings",), lambda e: resolve.similar_topk(e, e, 5), """SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rank <= 5""")
 
 
 def _fuzzy(q: DataFrame, a: DataFrame) -> DataFrame:
