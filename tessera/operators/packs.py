@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -145,18 +145,55 @@ def read_pack(pack: DataFrame, acl: DataFrame, readers: DataFrame, most: int = 5
     return j.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("reader", "query_id", F.col("r").alias("place"), "artifact_id")
 
 
-def open_evidence(requests: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Outcome and content of each opening: (request_id, status, tokens, content).
+def replayed(rows: DataFrame, by: str, order: list[str], start: Callable[[], object], step: Callable[[object, object], tuple], schema: str) -> DataFrame:
+    """An ordered fold for each value of ``by`` over a stream of its sorted rows: one row out for each row in.
 
-    ``requests``: request_id, artifact_id, max_tokens, run_left, agent_used, agent_max.  The cost is
-    the body's, cut to the tokens asked for; an opening beyond what run or agent have left is denied.
+    ``step(state, row)`` changes the state that ``start`` made and returns the row's result.  Only the state of one value is
+    held, and no group is gathered.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                key = getattr(r, by)
+                if state is None or key != at:
+                    at, state = key, start()
+                out.append(step(state, r))
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+
+
+def open_evidence(requests: DataFrame, artifacts: DataFrame, run_budget: int, agent_budget: int) -> DataFrame:
+    """Outcome and content of each opening: (request_id, status, tokens, run_left, content), in order of each run.
+
+    ``requests``: request_id, run_id, agent_name, created_at, artifact_id, max_tokens.  The cost is the body's, cut to
+    the tokens asked for.  Two budgets are coupled: a success is charged to the run and to the agent within it; an
+    opening beyond what the run has left, or else beyond the agent's allowance, is denied and charges nothing.
+    Openings of unknown artifacts are left out.
     """
-    j = requests.join(artifacts.select("artifact_id", F.coalesce("body_text", F.lit("")).alias("body")), "artifact_id")
     content = F.substr(F.col("body"), F.lit(1), (F.col("max_tokens") * 4).cast("int"))
-    cost = text.estimate_tokens(content)
-    status = F.when(cost > F.col("run_left"), "denied_run").when(F.col("agent_used") + cost > F.col("agent_max"), "denied_agent").otherwise("approved")
-    ok = status == "approved"
-    return j.select("request_id", status.alias("status"), F.when(ok, cost).otherwise(F.lit(0)).cast("long").alias("tokens"), F.when(ok, content).alias("content"))
+    j = requests.join(artifacts.select("artifact_id", F.coalesce("body_text", F.lit("")).alias("body")), "artifact_id").withColumn("content", content)
+    j = written(j.withColumn("cost", text.estimate_tokens(F.col("content"))).select("request_id", "run_id", "agent_name", "created_at", "cost", "content"), "openings")
+
+    def start() -> dict:
+        return {"left": run_budget, "used": {}}
+
+    def step(state: dict, r) -> tuple:
+        used = state["used"].get(r.agent_name, 0)
+        status = "denied_run" if r.cost > state["left"] else "denied_agent" if used + r.cost > agent_budget else "approved"
+        if status == "approved":
+            state["left"] -= r.cost
+            state["used"][r.agent_name] = used + r.cost
+        return r.request_id, status, state["left"]
+
+    # Bodies take no part in the fold.
+    told = replayed(j.select("request_id", "run_id", "agent_name", "created_at", "cost"), "run_id", ["created_at", "request_id"], start, step, "request_id string, status string, run_left long")
+    ok = F.col("status") == "approved"
+    return j.join(told, "request_id").select("request_id", "status", F.when(ok, F.col("cost")).otherwise(F.lit(0)).cast("long").alias("tokens"), "run_left", F.when(ok, F.col("content")).alias("content"))
 
 
 def similar_prior_changes(hits: DataFrame, artifacts: DataFrame, top: int = 3) -> DataFrame:
@@ -288,47 +325,60 @@ def kb_budget_replay(events: DataFrame, max_calls: int, max_tokens: int) -> Data
     return events.select("retrieval_id", "run_id", "agent_name", ((calls < max_calls) & (tokens < max_tokens)).alias("allowed"))
 
 
-def request_policy_replay(requests: DataFrame, max_requests: int, max_tokens: int, run_budget: int, threshold: float = 0.90) -> DataFrame:
-    """Rows (run_id, retrieval_id, outcome): follow-up requests of each run in order.
+def request_policy_replay(requests: DataFrame, max_requests: int, max_tokens: int, run_budget: int, threshold: float = NEAR_DUPLICATE) -> DataFrame:
+    """Rows (run_id, retrieval_id, outcome, evidence_ids, tokens): follow-up requests of each run in order.
 
-    ``requests``: run_id, agent_name, retrieval_id, created_at, query_text, asked_tokens, cost.  In
-    order: an equal question of the run, a similar one (cosine of token counts), the agent's number of
-    requests, its tokens, the run's tokens, else it retrieves and charges its cost.  State depends on
-    outcomes, so a run's rows are streamed in order through one task; only its state is kept, which its
-    budget bounds.
+    ``requests``: run_id, agent_name, teams, retrieval_id, created_at, query_text, asked_tokens, cards (artifact_id, tokens,
+    acl_teams: what a retrieval would give this requester, best first).  In order: an equal question of the run, then
+    the most similar one (cosine of token counts, ``threshold`` at least): its evidence is filtered for the new
+    requester, and where nothing of it may be seen the request goes on; then the agent's number of requests, its tokens, the run's
+    tokens; else it retrieves: cards that the run hasn't got yet, up to the first that no longer fits.  State is what a run
+    has asked and got, which its budget bounds.
     """
 
-    def like(a: Counter, b: Counter) -> bool:
+    def like(a: Counter, b: Counter) -> float:
         size = math.hypot(*a.values()) * math.hypot(*b.values())
-        return bool(size) and sum((Counter({t: n * b[t] for t, n in a.items()})).values()) / size >= threshold
-
-    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, asked, used, left = None, [], {}, run_budget
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                if r.run_id != run:
-                    run, asked, used, left = r.run_id, [], {}, run_budget
-                n, t = used.get(r.agent_name, (0, 0))
-                mine = Counter(r.normalized.split())
-                if any(q == r.normalized for q, _ in asked):
-                    what = "exact_reuse"
-                elif any(like(mine, c) for _, c in asked):
-                    what = "semantic_reuse"
-                elif n + 1 > max_requests:
-                    what = "denied_requests"
-                elif t + r.asked_tokens > max_tokens:
-                    what = "denied_tokens"
-                elif r.asked_tokens > left:
-                    what = "needs_human_approval"
-                else:
-                    what = "approved"
-                    asked.append((r.normalized, mine))
-                    used[r.agent_name] = (n + 1, t + r.cost)
-                    left -= r.cost
-                out.append((r.run_id, r.retrieval_id, what))
-            yield pd.DataFrame(out, columns=["run_id", "retrieval_id", "outcome"])
-
-    r = requests.select("run_id", "agent_name", "retrieval_id", "created_at", "asked_tokens", "cost", text.normalize_query(F.coalesce("query_text", F.lit(""))).alias("normalized"))
-    dealt = r.repartition("run_id").sortWithinPartitions("run_id", "created_at", "retrieval_id")
-    return dealt.mapInPandas(replay, "run_id string, retrieval_id string, outcome string")
+        return sum(n * b[t] for t, n in a.items()) / size if size else 0.0
+
+    def start() -> dict:
+        return {"asked": [], "had": set(), "used": {}, "left": run_budget}
+
+    def step(s: dict, r) -> tuple:
+        terms = Counter(r.normalized.split())
+        teams = set(r.teams)
+
+        def visible(evidence: list) -> list[str] | None:
+            """What the requester may see; None where there is something, but nothing for them."""
+            seen = [i for i, acl in evidence if not acl or teams & set(acl)]
+            return seen if seen or not evidence else None
+
+        equal = next((e for q, _, e in s["asked"] if q == r.normalized), None)
+        scores = [(like(terms, c), -k, e) for k, (_, c, e) in enumerate(s["asked"])]
+        close = max(((x, k, e) for x, k, e in scores if x >= threshold), key=lambda x: x[:2], default=None)
+        for what, evidence in (("exact_reuse", equal), ("semantic_reuse", close and close[2])):
+            if evidence is not None and (seen := visible(evidence)) is not None:
+                return r.run_id, r.retrieval_id, what, seen, 0
+        requests_, tokens = s["used"].get(r.agent_name, (0, 0))
+        if requests_ + 1 > max_requests:
+            return r.run_id, r.retrieval_id, "denied_requests", [], 0
+        if tokens + r.asked_tokens > max_tokens:
+            return r.run_id, r.retrieval_id, "denied_tokens", [], 0
+        if r.asked_tokens > s["left"]:
+            return r.run_id, r.retrieval_id, "needs_human_approval", [], 0
+        got, cost = [], 0
+        for card in r.cards:
+            if card["artifact_id"] in s["had"]:
+                continue
+            if cost + card["tokens"] > r.asked_tokens:
+                break
+            got.append((card["artifact_id"], tuple(card["acl_teams"])))
+            cost += card["tokens"]
+        s["left"] -= cost
+        s["used"][r.agent_name] = (requests_ + 1, tokens + cost)
+        s["had"].update(i for i, _ in got)
+        s["asked"].append((r.normalized, terms, got))
+        return r.run_id, r.retrieval_id, "approved", [i for i, _ in got], cost
+
+    normalized = text.normalize_query(F.coalesce("query_text", F.lit("")))
+    r = requests.select("run_id", "agent_name", "teams", "retrieval_id", "created_at", "asked_tokens", "cards", normalized.alias("normalized"))
+    return replayed(r, "run_id", ["created_at", "retrieval_id"], start, step, "run_id string, retrieval_id string, outcome string, evidence_ids array<string>, tokens long")

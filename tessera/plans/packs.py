@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import access_of, packs, registry
 from .catalog import MEMBER, SEQ, TEAMS, VISIBLE, add
 from .queries import _SCORED
@@ -37,15 +38,19 @@ add("read_pack", S, _read_pack, _SCORED + """, r AS (SELECT 'ann' AS reader, 'te
 
 
 def _evidence(e: DataFrame, a: DataFrame) -> DataFrame:
+    """Each event that opened something opens the artifacts that it got."""
     i = F.col("retrieval_id").cast("long")
-    r = e.where("tool_name = 'context.open_evidence'").select("retrieval_id", (i % 997).cast("string").alias("artifact_id"), (20 + i % 200).alias("max_tokens"), (i % 150).alias("run_left"), (i % 3000).alias("agent_used"), F.lit(2500).alias("agent_max"))
-    o = packs.open_evidence(r.withColumnRenamed("retrieval_id", "request_id"), a)
-    return o.select("request_id", "status", "tokens", F.sha2("content", 256).alias("content"))
+    r = e.where("run_id <> '-'").select("retrieval_id", "run_id", "agent_name", "created_at", F.explode("new_evidence_ids").alias("artifact_id"), (60 + i % 200).alias("max_tokens"))
+    o = packs.open_evidence(r.withColumn("request_id", F.concat("retrieval_id", F.lit("/"), "artifact_id")), a, 250, 200)
+    return o.select("request_id", "status", "tokens", "run_left", F.sha2("content", 256).alias("content"))
 
 
-add("open_evidence", ("retrieval_event", "knowledge_artifact"), _evidence, """, r AS (SELECT retrieval_id, CAST(retrieval_id AS BIGINT) AS i FROM retrieval_event WHERE tool_name = 'context.open_evidence'), x AS (SELECT retrieval_id, i, substr(coalesce(body_text, ''), 1, (20 + i % 200) * 4) AS c FROM r JOIN knowledge_artifact ON artifact_id = CAST(i % 997 AS VARCHAR)),
- y AS (SELECT *, CAST(ceil(length(c) / 4) AS BIGINT) AS cost FROM x) SELECT retrieval_id AS request_id, CASE WHEN cost > i % 150 THEN 'denied_run' WHEN i % 3000 + cost > 2500 THEN 'denied_agent' ELSE 'approved' END AS status,
- CASE WHEN status = 'approved' THEN cost ELSE 0 END AS tokens, CASE WHEN status = 'approved' THEN sha256(c) END AS content FROM y""")
+add("open_evidence", ("retrieval_event", "knowledge_artifact"), _evidence, """, r AS (SELECT retrieval_id || '/' || id AS request_id, run_id, agent_name, created_at, 60 + CAST(retrieval_id AS BIGINT) % 200 AS m, id FROM (SELECT *, unnest(new_evidence_ids) AS id FROM retrieval_event WHERE run_id <> '-')),
+ x AS MATERIALIZED (SELECT r.*, substr(coalesce(body_text, ''), 1, m * 4) AS c, CAST(ceil(length(c) / 4) AS BIGINT) AS cost, row_number() OVER (PARTITION BY run_id ORDER BY created_at, request_id) AS n FROM r JOIN knowledge_artifact ON artifact_id = id),
+ f AS (WITH RECURSIVE s AS (SELECT DISTINCT run_id, 0::BIGINT AS n, NULL::VARCHAR AS request_id, NULL::VARCHAR AS status, 250::BIGINT AS run_left, MAP {}::MAP(VARCHAR, BIGINT) AS used FROM x UNION ALL
+  SELECT run_id, n, request_id, status, CASE WHEN status = 'approved' THEN run_left - cost ELSE run_left END, CASE WHEN status = 'approved' THEN map_concat(used, MAP {agent_name: mine + cost}) ELSE used END
+  FROM (SELECT x.*, s.run_left, s.used, coalesce(s.used[x.agent_name], 0) AS mine, CASE WHEN x.cost > s.run_left THEN 'denied_run' WHEN mine + x.cost > 200 THEN 'denied_agent' ELSE 'approved' END AS status FROM s JOIN x ON x.run_id = s.run_id AND x.n = s.n + 1)) SELECT * FROM s WHERE n > 0)
+ SELECT request_id, status, CASE WHEN status = 'approved' THEN cost ELSE 0 END AS tokens, run_left, CASE WHEN status = 'approved' THEN sha256(c) END AS content FROM x JOIN f USING (request_id)""")
 
 
 def _prior(q: DataFrame, a: DataFrame) -> DataFrame:
@@ -127,10 +132,16 @@ add("change_pack", ("search_query", "linkable"), _change, """, a AS MATERIALIZED
 add("kb_budget_replay", ("retrieval_event",), lambda e: packs.kb_budget_replay(e.where("tool_name = 'kb_search'"), 2, 100).select("retrieval_id", "allowed"), """SELECT retrieval_id, count(*) OVER w < 2 AND coalesce(sum(tokens_returned) OVER w, 0) < 100 AS allowed FROM retrieval_event WHERE tool_name = 'kb_search' WINDOW w AS (PARTITION BY run_id, agent_name ORDER BY created_at, retrieval_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 
 
-def _policy(e: DataFrame) -> DataFrame:
-    r = e.where("run_id <> '-' and tool_name <> 'kb_search'")
-    return packs.request_policy_replay(r.withColumns({"asked_tokens": F.lit(60).cast("long"), "cost": F.col("tokens_returned")}), 2, 150, 200)
+def _policy(e: DataFrame, a: DataFrame, s: DataFrame) -> DataFrame:
+    """Follow-ups with the cards of what their events returned; agents of even numbers are in team_a, the others in team_b."""
+    acl = access_of.artifact_acl(a, s).join(a.select("artifact_id", text.estimate_tokens(F.substring(F.coalesce("body_text", F.lit("")), 1, 120)).alias("tokens")), "artifact_id")
+    r = e.where("run_id <> '-' and tool_name <> 'kb_search'").withColumn("teams", F.when(F.col("agent_name").rlike("[02468]$"), F.array(F.lit("team_a"))).otherwise(F.array(F.lit("team_b"))))
+    each = r.select("retrieval_id", "teams", F.posexplode("returned_artifact_ids").alias("at", "artifact_id")).join(acl, "artifact_id").where((F.size("acl_teams") == 0) | F.arrays_overlap("acl_teams", "teams"))
+    cards = each.groupBy("retrieval_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "artifact_id", "tokens", "acl_teams"))), lambda c: c.dropFields("at")).alias("cards"))
+    none = F.expr("CAST(array() AS array<struct<artifact_id: string, tokens: bigint, acl_teams: array<string>>>)")
+    r = r.join(cards, "retrieval_id", "left").withColumns({"asked_tokens": F.lit(60).cast("long"), "cards": F.coalesce("cards", none)})
+    return packs.request_policy_replay(r, 2, 150, 200).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
 # State decides what the next request meets: tests hold it against a brute-force version.
-add("request_policy_replay", ("retrieval_event",), _policy, None)
+add("request_policy_replay", ("retrieval_event", "knowledge_artifact", "source_item"), _policy, None)

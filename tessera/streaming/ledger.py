@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
 
 from ..functions.text import normalize_query
@@ -55,29 +56,65 @@ def stream_exact_reuse(events: DataFrame, late: str = "1 day") -> DataFrame:
     return _timed(events, late).dropDuplicatesWithinWatermark(["run_id", "query_text"])
 
 
-def stream_budget(events: DataFrame, max_calls: int = 1, max_tokens: int = 4000, idle_ms: int = 3_600_000) -> DataFrame:
-    """Per run and agent: a call is allowed while calls and tokens are under their caps; denied calls charge nothing.
-
-    All rows of a key in one micro-batch are put in order before they are decided.
-    """
-
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class _Budget(StatefulProcessor):
+    """State of one run and agent: rows that the watermark hasn't passed, and what is used."""
+
+    def __init__(self, max_calls: int, max_tokens: int, idle_ms: int):
+        self.max_calls, self.max_tokens, self.idle_ms = max_calls, max_tokens, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long, retrieval_id string, tokens long")
+        self.used = handle.getValueState("used", "calls long, tokens long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for f in rows:
+            new = [(int(r.at), r.retrieval_id, int(r.tokens_returned)) for r in f.itertuples() if r.at >= passed]
+            if new:
+                self.held.appendList(new)
+            # A row is decided once no earlier one can come: behind the millisecond that it stands in.
+            for ms in {at // 1000 + 1 for at, _, _ in new}:
+                self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
+        calls, tokens, last = self.used.get() if self.used.exists() else (0, 0, 0)
+        due = [r for r in rows if r[0] < passed]
+        if not due:
+            if not rows and self.used.exists() and last // 1000 + self.idle_ms < timerValues.getCurrentWatermarkInMs():
+                self.used.clear()
             return
-        calls, tokens = state.get if state.exists else (0, 0)
-        rows = list(frames)
-        if rows:
-            out = []
-            for row in pd.concat(rows).sort_values(["created_at", "retrieval_id"]).itertuples():
-                allowed = calls < max_calls and tokens < max_tokens
-                if allowed:
-                    calls, tokens = calls + 1, tokens + int(row.tokens_returned)
-                out.append((row.run_id, row.agent_name, row.retrieval_id, allowed))
-            yield pd.DataFrame(out, columns=["run_id", "agent_name", "retrieval_id", "allowed"])
-        state.update((calls, tokens))
-        state.setTimeoutDuration(idle_ms)
-
-    return events.groupBy("run_id", "agent_name").applyInPandasWithState(
-        decide, "run_id string, agent_name string, retrieval_id string, allowed boolean", "calls long, tokens long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        out = []
+        for at, retrieval_id, cost in due:
+            allowed = calls < self.max_calls and tokens < self.max_tokens
+            if allowed:
+                calls, tokens = calls + 1, tokens + cost
+            out.append((*key, retrieval_id, allowed))
+            last = at
+        if len(due) < len(rows):
+            self.held.put(rows[len(due) :])
+        else:
+            self.held.clear()
+        self.used.update((calls, tokens, last))
+        self.handle.registerTimer(last // 1000 + self.idle_ms + 1)
+        yield pd.DataFrame(out, columns=["run_id", "agent_name", "retrieval_id", "allowed"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_budget(events: DataFrame, max_calls: int = 1, max_tokens: int = 4000, late: str = "1 day", idle_ms: int = 3_600_000) -> DataFrame:
+    """Per run and agent, in order of time: a call is allowed while calls and tokens are under their caps; denied calls charge nothing.
+
+    Order holds across micro-batches: rows wait in state until the watermark has passed them, then timers of
+    event time decide them by time and id.  Rows later than the watermark are dropped; what a key has used
+    is forgotten ``idle_ms`` of event time after its last row.  State lies in the RocksDB store
+    (``spark.sql.streaming.stateStore.providerClass``); it is what the watermark leaves open.
+    """
+    timed = _timed(events, late).select("run_id", "agent_name", "retrieval_id", F.coalesce("tokens_returned", F.lit(0)).cast("long").alias("tokens_returned"), "created_at", F.unix_micros("created_at").alias("at"))
+    return timed.groupBy("run_id", "agent_name").transformWithStateInPandas(
+        _Budget(max_calls, max_tokens, idle_ms), "run_id string, agent_name string, retrieval_id string, allowed boolean", outputMode="Append", timeMode="EventTime"
     )

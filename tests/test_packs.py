@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import tempfile
 from collections import Counter
 
@@ -53,35 +54,65 @@ def test_cards_keep_access_order_and_bound(spark):
 
 
 def brute_policy(rows, most, tokens, budget):
+    """Rows: run, agent, teams, id, time, query, asked, cards."""
     out, runs = {}, {}
-    for run, agent, rid, _, query, asked, cost in sorted(rows, key=lambda r: (r[3], r[2])):
+    for run, agent, teams, rid, _, query, asked, cards in sorted(rows, key=lambda r: (r[4], r[3])):
         st = runs.setdefault(run, {"asked": [], "used": {}, "left": budget})
         n, t = st["used"].get(agent, (0, 0))
         norm = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split())
-        if norm in st["asked"]:
-            out[rid] = "exact_reuse"
-        elif any(cosine(norm, x) >= 0.9 for x in st["asked"]):
-            out[rid] = "semantic_reuse"
-        elif n + 1 > most:
-            out[rid] = "denied_requests"
-        elif t + asked > tokens:
-            out[rid] = "denied_tokens"
-        elif asked > st["left"]:
-            out[rid] = "needs_human_approval"
+        offers = [("exact_reuse", ev) for q, ev in st["asked"] if q == norm][:1]
+        near = sorted(((-cosine(norm, q), i) for i, (q, _) in enumerate(st["asked"]) if cosine(norm, q) >= 0.9))
+        offers += [("semantic_reuse", st["asked"][near[0][1]][1])] if near else []
+        for what, ev in offers:
+            seen = [i for i, acl in ev if not acl or set(acl) & set(teams)]
+            if seen or not ev:
+                out[rid] = (what, seen, 0)
+                break
         else:
-            out[rid] = "approved"
-            st["asked"].append(norm)
-            st["used"][agent] = (n + 1, t + cost)
-            st["left"] -= cost
+            if n + 1 > most:
+                out[rid] = ("denied_requests", [], 0)
+            elif t + asked > tokens:
+                out[rid] = ("denied_tokens", [], 0)
+            elif asked > st["left"]:
+                out[rid] = ("needs_human_approval", [], 0)
+            else:
+                had = {i for _, ev in st["asked"] for i, _ in ev}
+                got, cost = [], 0
+                for i, c, acl in cards:
+                    if i not in had:
+                        if cost + c > asked:
+                            break
+                        got.append((i, acl))
+                        cost += c
+                out[rid] = ("approved", [i for i, _ in got], cost)
+                st["asked"].append((norm, got))
+                st["used"][agent] = (n + 1, t + cost)
+                st["left"] -= cost
     return out
 
 
-def test_request_policy(spark):
-    words = ["find the retry queue", "Find the retry queue!", "find the retry queue now please", "who owns orders", "what calls pay", "why"]
-    rows = [(f"run{i % 3}", f"agent{i % 2}", f"id{i:03}", i, words[i * 5 % 7 % 6] + f" {'x' if i % 3 else i}" * (i % 4), 50 + i * 13 % 90, 20 + i % 40) for i in range(60)]
-    got = packs.request_policy_replay(spark.createDataFrame(rows, "run_id string, agent_name string, retrieval_id string, created_at long, query_text string, asked_tokens long, cost long"), 4, 210, 240)
-    told = brute_policy(rows, 4, 210, 240)
-    assert {r["retrieval_id"]: r["outcome"] for r in got.collect()} == told and len(set(told.values())) >= 5
+def test_request_policy_filters_evidence_for_the_next_requester(spark):
+    r = random.Random(6)
+    words = ["please find the retry queue of orders", "Please find the retry queue of orders!", "please find the retry queue of orders now", "who owns orders", "what calls pay", "why", "how", "which team has pages"]
+    rows = []
+    for i in range(150):
+        team = r.choice(["a", "b"])
+        cards = [(f"c{r.randint(0, 12)}", r.choice([5, 20, 40]), r.choice([[], ["a"], ["b"], ["a", "b"]])) for _ in range(r.randint(0, 3))]
+        cards = [c for c in {c[0]: c for c in cards}.values() if not c[2] or team in c[2]]
+        rows.append((f"run{i % 10}", f"agent{r.randint(0, 1)}{team}", [team], f"id{i:03}", i // 2, r.choice(words), r.choice([30, 60, 90]), cards))
+    kind = "run_id string, agent_name string, teams array<string>, retrieval_id string, created_at long, query_text string, asked_tokens long, cards array<struct<artifact_id: string, tokens: long, acl_teams: array<string>>>"
+    got = packs.request_policy_replay(spark.createDataFrame(rows, kind), 2, 110, 190)
+    told = brute_policy(rows, 2, 110, 190)
+    assert {x["retrieval_id"]: (x["outcome"], x["evidence_ids"], x["tokens"]) for x in got.collect()} == told
+    assert len({w for w, _, _ in told.values()}) >= 5
+
+
+def test_openings_charge_run_and_agent(spark):
+    bodies = spark.createDataFrame([("x", "a" * 400), ("y", "b" * 80), ("z", None)], "artifact_id string, body_text string")
+    asks = [("1", "r", "p", 1, "x", 50), ("2", "r", "p", 2, "x", 60), ("3", "r", "q", 3, "x", 60), ("4", "r", "q", 4, "y", 90), ("5", "r", "p", 5, "z", 10), ("6", "s", "p", 0, "x", 100), ("7", "r", "p", 9, "gone", 1)]
+    out = packs.open_evidence(spark.createDataFrame(asks, "request_id string, run_id string, agent_name string, created_at long, artifact_id string, max_tokens long"), bodies, 115, 100)
+    got = {r["request_id"]: (r["status"], r["tokens"], r["run_left"], len(r["content"] or "")) for r in out.collect()}
+    assert got == {"1": ("approved", 50, 65, 200), "2": ("denied_agent", 0, 65, 0), "3": ("approved", 60, 5, 240), "4": ("denied_run", 0, 5, 0), "5": ("approved", 0, 5, 0), "6": ("approved", 100, 15, 400)}
 
 
 def test_budget_skip_takes_later_items(spark):

@@ -1,10 +1,11 @@
 """Streams give on closed windows what batch gives, and replay the budget policy."""
 
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ledger
+from tessera.operators import ledger, packs
 from tessera.sources.registry import table
 from tessera.streaming import ledger as streams
 
@@ -28,17 +29,26 @@ def test_stream_health_equals_batch(spark):
     assert sorted(map(tuple, out.select(cols).collect())) == sorted(map(tuple, ledger.retrieval_health_daily(events).select(cols).collect()))
 
 
-def test_stream_budget_replays_policy(spark):
-    events, out = run(spark, lambda s: streams.stream_budget(s, 2, 100), "append")
-    got = {r["retrieval_id"]: r["allowed"] for r in out.collect()}
-    state, want = {}, {}
-    for r in sorted(events.collect(), key=lambda r: (r["created_at"], r["retrieval_id"])):
-        calls, tokens = state.get((r["run_id"], r["agent_name"]), (0, 0))
-        ok = calls < 2 and tokens < 100
-        want[r["retrieval_id"]] = ok
-        if ok:
-            state[r["run_id"], r["agent_name"]] = (calls + 1, tokens + r["tokens_returned"])
-    assert got == want
+def test_stream_budget_in_order_of_time_across_batches(spark):
+    """Three files in no order, then one event that moves the watermark past all others."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    events = table(spark, SF, "retrieval_event").withColumn("created_at", F.col("created_at").cast("timestamp")).where("agent_name < 'agent_2'")
+    try:
+        for i in range(3):
+            events.where(F.pmod(F.xxhash64("retrieval_id"), F.lit(3)) == i).orderBy(F.rand(i)).coalesce(1).write.mode("append").parquet(f"{where}/ledger")
+            time.sleep(1.1)
+        last = events.limit(1).withColumns({"created_at": F.lit("2100-01-01").cast("timestamp"), "run_id": F.lit("closing"), "retrieval_id": F.lit("closing")})
+        last.coalesce(1).write.mode("append").parquet(f"{where}/ledger")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/ledger")
+        out = streams.stream_budget(stream, 2, 100, late="4000 days", idle_ms=10**12)
+        name = f"out_{abs(hash(where))}"
+        out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination(300)
+        got = {r["retrieval_id"]: r["allowed"] for r in spark.table(name).collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {r["retrieval_id"]: r["allowed"] for r in packs.kb_budget_replay(events, 2, 100).collect()}
+    assert got == want and len(set(want.values())) == 2
 
 
 def test_stream_exact_reuse_keeps_the_first_of_a_run(spark):
@@ -67,11 +77,3 @@ def test_stream_misses_slide(spark):
     got = {r["phrase"]: r["misses"] for r in out.where(F.date_sub("until", 1) == F.lit(last)).collect()}
     told = {r["phrase"]: r["misses"] for r in ledger.miss_groups(events.where(F.to_date("created_at") > F.date_sub(F.lit(last), 14)), 14).collect()}
     assert got == told and batch.count() > 0
-
-
-def test_stream_budget_orders_a_key_across_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    try:
-        test_stream_budget_replays_policy(spark)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
