@@ -124,6 +124,11 @@ def commit_file_links(artifacts: DataFrame) -> DataFrame:
     return j.groupBy(F.col("artifact_id").alias("from_artifact_id"), F.col("file_id").alias("to_artifact_id")).agg(F.min("path").alias("matched")).select("from_artifact_id", "to_artifact_id", F.lit("mentions").alias("edge_type"), F.lit(MENTIONS).alias("confidence"), "matched")
 
 
+DOMAINS = ("commit", "card", "doc", "code", "other")
+#: Artifacts that share a token before it is hot; links of an artifact before it is a hub.
+HOT_TOKEN, HUB_LINKS = 100, 50
+
+
 def domain(source_type: Column, artifact_type: Column, path: Column) -> Column:
     return (
         F.when(source_type.isin(*COMMIT_SOURCES), "commit").when(source_type.isin(*CARD_SOURCES), "card").when(source_type.isin(*DOC_SOURCES), "doc")
@@ -131,45 +136,87 @@ def domain(source_type: Column, artifact_type: Column, path: Column) -> Column:
     )
 
 
-def candidate_pairs(artifacts: DataFrame, existing: DataFrame, similar: DataFrame | None = None, fan_out: int = FAN_OUT) -> DataFrame:
+def _first_ids(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The ``k`` smallest ids of each group; tasks keep no more than that before the shuffle."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("artifact_id"))).where(F.col("_r") <= k).drop("_r")
+
+
+def _overlap_partners(sets: DataFrame, hubs: DataFrame, k: int, hot: int) -> DataFrame:
+    """Pairs (a, b) of different domains that hold each artifact's ``k`` best by token overlap, ties to smaller ids.
+
+    Tokens of at most ``hot`` artifacts are joined.  Hot ones are met by class: artifacts of one domain with the same hot tokens
+    and the same number of tokens overlap alike with another class, as far as hot tokens go, so of each class only the ``k``
+    smallest ids can be among anybody's best, and of all classes the ``k`` best in order of overlap and id.  What shares
+    a cold token besides is better than its class and is found by that token.  ``hubs`` meet all artifacts that share a token.
+    """
+    flat = written(sets.where("n > 0").select("artifact_id", "domain", "n", F.explode("tokens").alias("token")), "tokens")
+    df = written(flat.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
+    cold = flat.join(df.where(F.col("df") <= hot), "token").select("artifact_id", "domain", "token")
+    pair = lambda x, y: x.select(F.col("artifact_id").alias("a"), F.col("domain").alias("da"), "token").join(y.select(F.col("artifact_id").alias("b"), F.col("domain").alias("db"), "token"), "token").where("da <> db").select("a", "b").distinct()
+    met = pair(cold, cold)
+    of_hubs = flat.join(hubs, "artifact_id", "left_semi")
+    met = met.unionAll(pair(of_hubs, flat))
+    warm = flat.join(df.where(F.col("df") > hot), "token").groupBy("artifact_id", "domain", "n").agg(F.array_sort(F.collect_list("token")).alias("hot"))
+    members = written(warm.withColumn("kind", F.concat_ws(" ", "domain", F.col("n").cast("string"), F.concat_ws(" ", "hot"))), "classes")
+    kinds = members.select("kind", "domain", "n", "hot").distinct()
+    side = lambda x: kinds.select(F.col("kind").alias(f"kind_{x}"), F.col("domain").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.explode("hot").alias("token"))
+    alike = side("a").join(side("b"), "token").where("da <> db").groupBy("kind_a", "kind_b", "na", "nb").agg(F.count("*").alias("c"))
+    alike = alike.withColumn("score", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("score") >= TOKEN_FLOOR)
+    first = _first_ids(members.select(F.col("kind").alias("kind_b"), "artifact_id"), ["kind_b"], k)
+    offered = alike.join(first, "kind_b").withColumn("_r", F.row_number().over(Window.partitionBy("kind_a").orderBy(F.desc("score"), "artifact_id"))).where(F.col("_r") <= k)
+    offered = offered.select(F.col("kind_a").alias("kind"), F.col("artifact_id").alias("b"))
+    return met.unionAll(members.select("kind", F.col("artifact_id").alias("a")).join(offered, "kind").select("a", "b"))
+
+
+def _folder_partners(sets: DataFrame, hubs: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b): each artifact with the ``k`` smallest ids of its folder in other domains; hubs with all of them."""
+    f = sets.where("folder IS NOT NULL").select("artifact_id", "domain", "folder")
+    other = F.explode(F.filter(F.array(*map(F.lit, DOMAINS)), lambda d: d != F.col("domain"))).alias("domain")
+    first = _first_ids(f.select("artifact_id", "folder", other), ["folder", "domain"], k).withColumnRenamed("artifact_id", "b")
+    near = f.withColumnRenamed("artifact_id", "a").join(first, ["folder", "domain"]).select("a", "b")
+    of_hubs = f.join(hubs, "artifact_id", "left_semi").toDF("a", "da", "folder").join(f.toDF("b", "db", "folder"), "folder").where("da <> db").select("a", "b")
+    return near.unionAll(of_hubs)
+
+
+def candidate_pairs(artifacts: DataFrame, existing: DataFrame, similar: DataFrame | None = None, fan_out: int = FAN_OUT, hot: int = HOT_TOKEN, links: int = HUB_LINKS) -> DataFrame:
     """Ordered pairs of different domains that some signal joins: (from, to, signals, score, bucket).
 
     ``existing`` (a, b) are linked pairs, in either order, which are left out; ``similar`` (a, b,
     similarity) are given neighbours.  Signals: similarity, overlap of tokens, one's text naming the
-    other's path or title, one folder.  A pair keeps each signal's best, an artifact its ``fan_out``
+    other's path or title, one folder.  A pair has the value of each of its signals, an artifact its ``fan_out``
     best pairs: that bound is the operator's result.
 
-    Only pairs of different domains are made.  Token overlap meets on the tokens that a size bound
-    leaves: of a set of n tokens, rarest first, the n - ceil(0.1 n) + 1 that any partner of that
-    overlap must share one of.  Folders are joined on folder and the other domain.
+    Generators offer, for each signal, all pairs that may be among an artifact's best, never all pairs of a token or a
+    folder: links take up to ``links`` places away, and artifacts with more links (hubs) meet all they may.
     """
     a = artifacts.select("artifact_id", "title", "body_text", "path", "external_id", domain(F.col("source_type"), F.col("artifact_type"), F.col("path")).alias("domain"))
     a = written(a, "linkable")
     parts = F.split(F.lower(F.concat_ws(" ", "title", "path", "external_id")), "[^a-z0-9]+")
-    tokens = a.select("artifact_id", "domain", F.array_distinct(F.filter(parts, lambda t: F.length(t) >= 3)).alias("tokens")).where(F.size("tokens") > 0)
-    flat = tokens.select("artifact_id", "domain", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = flat.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = flat.join(df, "token").withColumn("r", F.row_number().over(Window.partitionBy("artifact_id").orderBy("df", "token")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * TOKEN_FLOOR) + 1).select("artifact_id", "domain", "token")
-    met = prefix.toDF("a", "da", "token").join(prefix.toDF("b", "db", "token"), "token").where("da <> db").select("a", "b").distinct()
-    sets = tokens.select("artifact_id", "tokens")
-    met = met.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    overlap = met.select("a", "b", F.lit("token_overlap").alias("signal"), (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("score")).where(F.col("score") >= TOKEN_FLOOR)
+    folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    sets = a.select("artifact_id", "domain", F.array_distinct(F.filter(parts, lambda t: F.length(t) >= 3)).alias("tokens"), folder.alias("folder")).withColumn("n", F.size("tokens"))
+    sets = written(sets, "sets")
+    known = written(existing.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct(), "linked")
+    hubs = written(known.select(F.explode(F.array("p", "q")).alias("artifact_id")).groupBy("artifact_id").count().where(F.col("count") > links).select("artifact_id"), "hubs")
     needle = F.lower(F.coalesce(F.nullif("path", F.lit("")), F.nullif("title", F.lit("")), F.lit("")))
     named = substrings_in_texts(a.select(F.col("artifact_id").alias("b"), needle.alias("needle")).where(F.length("needle") >= 4), a.select(F.col("artifact_id").alias("a"), F.lower("body_text").alias("body")).where("body <> ''"), "b", "needle", "a", "body")
-    section = named.select("a", "b", F.lit("section_proximity").alias("signal"), F.lit(SECTION_SCORE).alias("score"))
-    folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1))
-    folders = a.select("artifact_id", "domain", folder.alias("folder")).where("folder is not null")
-    near = folders.toDF("a", "da", "folder").join(folders.toDF("b", "db", "folder"), "folder").where("da <> db").select("a", "b", F.lit("path_colocation").alias("signal"), F.lit(PATH_SCORE).alias("score"))
-    offered = overlap.unionAll(section).unionAll(near)
+    named = written(named.select("a", "b").distinct(), "named")
+    offered = _overlap_partners(sets, hubs, fan_out + links, hot).unionAll(_folder_partners(sets, hubs, fan_out + links)).unionAll(named)
+    none = F.lit(None).cast("double")
     if similar is not None:
-        offered = offered.unionAll(similar.where(F.col("similarity") >= EMBEDDING_FLOOR).select("a", "b", F.lit("embedding_similarity").alias("signal"), F.col("similarity").alias("score")))
-    of = a.select("artifact_id", "domain")
-    offered = offered.where("a <> b").join(of.toDF("a", "da"), "a").join(of.toDF("b", "db"), "b").where("da <> db")
-    known = existing.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
-    offered = offered.withColumns({"p": F.least("a", "b"), "q": F.greatest("a", "b")}).join(known, ["p", "q"], "left_anti")
-    best = offered.groupBy("a", "b", "signal").agg(F.max("score").alias("score"))
-    pairs = best.groupBy("a", "b").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "score")))).alias("signals"), F.max("score").alias("score"))
+        near = similar.where(F.col("similarity") >= EMBEDDING_FLOOR).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        offered = offered.unionAll(near.select("a", "b"))
+    side = lambda x: sets.select(F.col("artifact_id").alias(x), F.col("domain").alias(f"d{x}"), F.col("tokens").alias(f"t{x}"), F.col("folder").alias(f"f{x}"))
+    p = offered.where("a <> b").distinct().withColumns({"p": F.least("a", "b"), "q": F.greatest("a", "b")}).join(known, ["p", "q"], "left_anti").select("a", "b")
+    p = p.join(side("a"), "a").join(side("b"), "b").where("da <> db").join(named.withColumn("named", F.lit(True)), ["a", "b"], "left")
+    p = p.join(near, ["a", "b"], "left") if similar is not None else p.withColumn("similarity", none)
+    overlap = F.try_divide(F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb")))
+    # In order of their names.
+    told = (
+        ("embedding_similarity", F.col("similarity")), ("path_colocation", F.when(F.col("fa") == F.col("fb"), PATH_SCORE)),
+        ("section_proximity", F.when(F.col("named"), SECTION_SCORE)), ("token_overlap", F.when(overlap >= TOKEN_FLOOR, overlap)),
+    )
+    signals = F.filter(F.array(*(F.struct(F.lit(n).alias("signal"), c.cast("double").alias("score")) for n, c in told)), lambda x: x["score"].isNotNull())
+    pairs = p.select("a", "b", F.map_from_entries(signals).alias("signals"), F.array_max(F.transform(signals, lambda x: x["score"])).alias("score")).where("score IS NOT NULL")
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     kept = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= fan_out)
     bucket = F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.4, "medium").otherwise("low")
