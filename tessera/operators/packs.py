@@ -282,37 +282,6 @@ def task_context(scope: DataFrame, blast: DataFrame, prior: DataFrame, rules: Da
     return kept.select("query_id", "bucket", "place", "artifact_id", "tier", F.when(F.col("path").isNotNull(), number).alias("path_ref"))
 
 
-def change_pack(targets: DataFrame, lexical: DataFrame, edges: DataFrame, artifacts: DataFrame, most_tests: int = 3) -> DataFrame:
-    """Rows (query_id, role, artifact_id, score): a change's target and the tests that cover it.
-
-    ``targets``: query_id, text; ``lexical``: query_id, artifact_id, rank; ``artifacts``: artifact_id,
-    artifact_type, title, path, body_text.  The target is the code whose name the text holds (.96), or
-    whose file it names (.85), or the best hit (.55); tests come by edge (.9), by a body that names
-    the target (.8) or by name (.5), from the target's service only.
-    """
-    code = artifacts.where(F.col("artifact_type").isin("code_symbol", "code_file")).select("artifact_id", "artifact_type", "title", "path")
-    words = targets.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_./-]*"), F.lit(0)))).alias("word"))
-    by_name = words.join(code.where("artifact_type = 'code_symbol'"), F.col("word") == F.col("title")).select("query_id", "artifact_id", F.lit(0.96).alias("score"))
-    by_file = words.join(code.where("artifact_type = 'code_file'"), F.substring_index("word", "/", -1) == F.substring_index("path", "/", -1)).select("query_id", "artifact_id", F.lit(0.85).alias("score"))
-    by_hit = lexical.join(code.select("artifact_id"), "artifact_id").groupBy("query_id").agg(F.min_by("artifact_id", "rank").alias("artifact_id")).select("query_id", "artifact_id", F.lit(0.55).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "artifact_id")
-    target = by_name.unionAll(by_file).unionAll(by_hit).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-    target = written(target, "targets")
-    t = target.join(code, "artifact_id").select("query_id", F.col("artifact_id").alias("target_id"), "title", F.col("path").alias("target_path"))
-    tests = written(artifacts.where(text.is_test_path(F.col("path"))).select("artifact_id", "path", "body_text"), "tests")
-    by_edge = t.join(edges.where("edge_type = 'tests'"), F.col("to_artifact_id") == F.col("target_id")).select("query_id", "target_path", F.col("from_artifact_id").alias("artifact_id"), F.lit(0.9).alias("score"))
-    said = tests.select("artifact_id", F.explode(F.array_distinct(F.regexp_extract_all("body_text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("title"))
-    by_body = t.join(said, "title").select("query_id", "target_path", "artifact_id", F.lit(0.8).alias("score"))
-    stem = lambda p: F.regexp_replace(F.substring_index(p, "/", -1), "\\.[^.]*$", "")
-    by_convention = t.withColumn("name", F.concat(F.lit("test_"), stem("target_path"))).join(tests.withColumn("name", stem("path")), "name").select("query_id", "target_path", "artifact_id", F.lit(0.5).alias("score"))
-    found = by_edge.unionAll(by_body).unionAll(by_convention).groupBy("query_id", "target_path", "artifact_id").agg(F.max("score").alias("score")).join(tests.select("artifact_id", "path"), "artifact_id")
-    a, b = text.service_scope(F.col("target_path")), text.service_scope(F.col("path"))
-    found = found.where(F.coalesce(a == b, F.lit(True)))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "artifact_id")
-    found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most_tests)
-    return target.select("query_id", F.lit("target").alias("role"), "artifact_id", "score").unionAll(found.select("query_id", F.lit("test").alias("role"), "artifact_id", "score"))
-
-
 def kb_budget_replay(events: DataFrame, max_calls: int, max_tokens: int) -> DataFrame:
     """Rows (retrieval_id, allowed): searches of each run and agent in order, against both caps.
 

@@ -111,24 +111,6 @@ add("task_context", ("orders", "lineitem"), _context, """WITH s AS (SELECT o_ord
  SELECT query_id, bucket, CAST(place AS INT) AS place, artifact_id, tier, CASE WHEN path IS NOT NULL THEN CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY path NULLS LAST) - 1 AS INT) ELSE -1 END AS path_ref FROM t""")
 
 
-def _change(q: DataFrame, a: DataFrame) -> DataFrame:
-    i = F.col("artifact_id").cast("long")
-    art = a.select("artifact_id", F.when(i % 7 == 2, "code_file").otherwise(F.col("artifact_type")).alias("artifact_type"), "title", F.when(i % 7 == 2, F.concat(F.lit("src/tests/test_file_"), (i - 1).cast("string"), F.lit(".py"))).otherwise(F.col("path")).alias("path"), "body_text")
-    edges = a.where("artifact_type = 'summary'").select(F.col("artifact_id").alias("from_artifact_id"), (i - i % 7).cast("string").alias("to_artifact_id"), F.lit("tests").alias("edge_type"))
-    n = F.col("query_id")
-    targets = q.select("query_id", F.when(n % 3 == 0, F.concat(F.lit("change handle_"), (n * 7).cast("string"))).when(n % 3 == 1, F.concat(F.lit("in x/file_"), (n * 7 + 1).cast("string"), F.lit(".py now"))).otherwise("something").alias("text"))
-    lexical = q.select("query_id", (n * 7).cast("string").alias("artifact_id"), F.lit(1).alias("rank"))
-    return packs.change_pack(targets, lexical, edges, art)
-
-
-add("change_pack", ("search_query", "linkable"), _change, """, a AS MATERIALIZED (SELECT artifact_id AS id, CAST(artifact_id AS BIGINT) AS n, CASE WHEN CAST(artifact_id AS BIGINT) % 7 = 2 THEN 'code_file' ELSE artifact_type END AS t, title, CASE WHEN CAST(artifact_id AS BIGINT) % 7 = 2 THEN 'src/tests/test_file_' || (CAST(artifact_id AS BIGINT) - 1) || '.py' ELSE path END AS path, body_text FROM linkable),
- e AS (SELECT id AS f, CAST(n - n % 7 AS VARCHAR) AS t FROM a WHERE n % 7 IN (2, 4)), c AS (SELECT * FROM a WHERE t IN ('code_symbol', 'code_file')),
- ca AS (SELECT query_id, id, 0.96::DOUBLE AS score FROM search_query JOIN c ON t = 'code_symbol' AND title = 'handle_' || (query_id * 7) WHERE query_id % 3 = 0 UNION ALL SELECT query_id, id, 0.85 FROM search_query JOIN c ON t = 'code_file' AND string_split(path, '/')[-1] = 'file_' || (query_id * 7 + 1) || '.py' WHERE query_id % 3 = 1 UNION ALL SELECT query_id, id, 0.55 FROM search_query JOIN c ON id = CAST(query_id * 7 AS VARCHAR)),
- tg AS MATERIALIZED (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1), g AS MATERIALIZED (SELECT query_id, c.id AS tid, title, path AS tp FROM tg JOIN c USING (id)), ts AS MATERIALIZED (SELECT id, path, body_text FROM a WHERE contains(path, '/test') OR starts_with(string_split(path, '/')[-1], 'test_')),
- sa AS (SELECT DISTINCT id, unnest(regexp_extract_all(body_text, '[A-Za-z_][A-Za-z0-9_]*')) AS w FROM ts),
- fo AS (SELECT query_id, f AS id, 0.9::DOUBLE AS score FROM g JOIN e ON e.t = tid UNION ALL SELECT query_id, id, 0.8 FROM g JOIN sa ON w = title UNION ALL SELECT query_id, id, 0.5 FROM g JOIN ts ON string_split(string_split(path, '/')[-1], '.')[1] = 'test_' || string_split(string_split(tp, '/')[-1], '.')[1]),
- fb AS (SELECT query_id, id, max(score) AS score, any_value(path) AS path FROM fo JOIN ts USING (id) GROUP BY ALL)
- SELECT query_id, 'target' AS role, id AS artifact_id, score FROM tg UNION ALL SELECT query_id, 'test', id, score FROM (SELECT * FROM fb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, id) <= 3)""")
 add("kb_budget_replay", ("retrieval_event",), lambda e: packs.kb_budget_replay(e.where("tool_name = 'kb_search'"), 2, 100).select("retrieval_id", "allowed"), """SELECT retrieval_id, count(*) OVER w < 2 AND coalesce(sum(tokens_returned) OVER w, 0) < 100 AS allowed FROM retrieval_event WHERE tool_name = 'kb_search' WINDOW w AS (PARTITION BY run_id, agent_name ORDER BY created_at, retrieval_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 
 

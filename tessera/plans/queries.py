@@ -269,4 +269,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # The other plan modules register their queries when they are imported; they may use names from here.
-from . import answers, builds, claims, evaluation, graphs, linking, packs, texts  # noqa: E402, F401
+from . import answers, builds, changes, claims, evaluation, graphs, linking, packs, texts  # noqa: E402, F401
