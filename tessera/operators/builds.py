@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import access
 from ..sources.written import written
+from .numbering import numbered
 from . import versions
 
 
@@ -141,7 +142,7 @@ def apply_build(artifacts: DataFrame, edges: DataFrame, sources: DataFrame, snap
     unseen = sources.where(~F.col("is_deleted")).join(snapshot.select("source_id"), "source_id", "left_anti")
     gone = written(unseen.where(F.col("last_seen_min") < started_min).select("source_id"), "gone")
     live = artifacts.where("invalidated_at_seq is null").join(sources.select("source_id", "content_hash"), "source_id")
-    number = lambda d, n: d.select(F.col("artifact_id").alias(n), "content_hash", F.row_number().over(Window.partitionBy("content_hash").orderBy("artifact_id")).alias("r"))
+    number = lambda d, n: numbered(d.select(F.col("artifact_id").alias(n), "content_hash"), "content_hash", n)
     old = live.where(F.col("valid_from_seq") < seq).join(gone, "source_id", "left_semi")
     new = live.where(F.col("valid_from_seq") == seq).join(gone, "source_id", "left_anti")
     pairs = written(number(old, "old_id").join(number(new, "new_id"), ["content_hash", "r"]).select("old_id", "new_id"), "pairs")
@@ -163,10 +164,11 @@ def gate_verdict(gates: DataFrame) -> DataFrame:
     return failed.select("passed", F.when(~F.col("passed"), F.col("f.gate")).alias("failed_gate"), F.when(~F.col("passed"), F.col("f.value")).alias("measured"))
 
 
-def all_gates(drift: Column | DataFrame, failures: DataFrame, gates: DataFrame, edges: DataFrame, allowed: tuple[str, ...], seq: int, override: bool = False) -> DataFrame:
-    """All gates in order: index drift, extractor errors, symbol change, citations, edge types and ends, evidence.
+def all_gates(drift: Column | DataFrame, failures: DataFrame, gates: DataFrame, edges: DataFrame, allowed: tuple[str, ...], seq: int, override: bool = False, coverage: DataFrame | None = None) -> DataFrame:
+    """All gates in order: index drift, extractor errors, symbol change, citations, edge types and ends, evidence, recall.
 
-    ``failures``: files, failed; ``gates``: the rows of ``gates.publish_gates``.
+    ``failures``: files, failed; ``gates``: the rows of ``gates.publish_gates``; ``coverage``: of ``linked_symbol_coverage``, which
+    stands for recall: it is told, and never blocks.
     """
     one = lambda df, i, name, most: df.select(F.lit(i).alias("position"), F.lit(name).alias("gate"), F.round(F.col("value").cast("double"), 6).alias("value"), (F.col("value") <= most).alias("passed"))
     d = one(drift.agg(F.count("*").alias("value")), 1, "index_drift", 0)
@@ -174,4 +176,5 @@ def all_gates(drift: Column | DataFrame, failures: DataFrame, gates: DataFrame,
     bad = one(edges.where(access.member(seq) & ~F.col("edge_type").isin(*allowed)).agg(F.count("*").alias("value")), 5, "bad_edge_type", 0)
     place = F.when(F.col("gate") == "symbol_delta", 3).when(F.col("gate") == "dangling_citations", 4).when(F.col("gate") == "ghost_edges", 6).otherwise(7)
     rest = gates.select(place.alias("position"), "gate", "value", (F.col("passed") | (F.lit(override) & (F.col("gate") == "symbol_delta"))).alias("passed"))
-    return d.unionAll(x).unionAll(bad).unionAll(rest)
+    every = d.unionAll(x).unionAll(bad).unionAll(rest)
+    return every if coverage is None else every.unionAll(coverage.select(F.lit(8), F.lit("evidence_recall"), F.col("coverage").cast("double"), F.lit(True)))

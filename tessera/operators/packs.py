@@ -47,6 +47,13 @@ def hydrated(hits: DataFrame, artifacts: DataFrame, sources: DataFrame, queries:
     return h.where((F.size("acl_teams") == 0) | F.arrays_overlap("acl_teams", "teams"))
 
 
+def suppressed(hits: DataFrame, artifacts: DataFrame, sources: DataFrame, queries: DataFrame, seq: int) -> DataFrame:
+    """(query_id, artifact_id) of hits on members that their requester may not see: for the audit, never for the answer."""
+    a = artifacts.where(access.member(seq)).select("artifact_id", "source_id")
+    h = hits.join(a, "artifact_id").join(sources.select("source_id", "acl_teams"), "source_id").join(queries.select("query_id", "teams"), "query_id")
+    return h.where((F.size("acl_teams") > 0) & ~F.arrays_overlap("acl_teams", "teams")).select("query_id", "artifact_id")
+
+
 def ranked(hits: DataFrame, stale: DataFrame) -> DataFrame:
     """Hydrated hits with relevance and place, best first: source-backed, authority, weighted score, id, all descending."""
     kind = access.source_kind(F.col("source_type"), F.col("artifact_type"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import access, text
 from ..sources.written import written
 from .matching import runs_holding, runs_of, small
+from .numbering import numbered
 
 #: Rounds of pagerank between two written tables.
 STEP = 2
@@ -77,8 +78,8 @@ def vanished(sources: DataFrame, seen: DataFrame, started_min: int) -> DataFrame
 
 def detect_renames(gone: DataFrame, new: DataFrame) -> DataFrame:
     """One-to-one pairs of equal content, in order of id on both sides."""
-    numbered = lambda d, n: d.select(F.col("artifact_id").alias(n), "content_hash", F.row_number().over(Window.partitionBy("content_hash").orderBy("artifact_id")).alias("r"))
-    return numbered(gone, "old_id").join(numbered(new, "new_id"), ["content_hash", "r"]).select("old_id", "new_id")
+    by_hash = lambda d, n: numbered(d.select(F.col("artifact_id").alias(n), "content_hash"), "content_hash", n)
+    return by_hash(gone, "old_id").join(by_hash(new, "new_id"), ["content_hash", "r"]).select("old_id", "new_id")
 
 
 def reconcile_edges(live: DataFrame, desired: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ add("build_counters", ("source_item",), _counters, """, x AS (SELECT *, last_see
 def _gates(a: DataFrame, e: DataFrame, s: DataFrame) -> DataFrame:
     drift = registry.index_drift(s, s.where("last_seen_min % 7 > 0"))
     failures = s.agg(F.count("*").alias("files"), F.count_if(F.expr("last_seen_min % 200 = 0")).alias("failed"))
-    return builds.all_gates(drift, failures, gates.publish_gates(a, e, s, SEQ - 1, SEQ), e, _TYPES, SEQ)
+    return builds.all_gates(drift, failures, gates.publish_gates(a, e, s, SEQ - 1, SEQ), e, _TYPES, SEQ, coverage=registry.linked_symbol_coverage(a, e, SEQ))
 
 
 _G = f""", m AS (SELECT * FROM knowledge_artifact WHERE {MEMBER}), c AS (SELECT count(*) FILTER (valid_from_seq <= {SEQ - 1} AND (invalidated_at_seq IS NULL OR invalidated_at_seq > {SEQ - 1})) AS b, count(*) FILTER {MEMBER} AS a FROM knowledge_artifact WHERE artifact_type = 'code_symbol'),
@@ -111,7 +111,8 @@ _G = f""", m AS (SELECT * FROM knowledge_artifact WHERE {MEMBER}), c AS (SELECT
  UNION ALL SELECT 3, 'symbol_delta', coalesce(abs((a - b)::DOUBLE / nullif(b, 0)), 0), 0.25 FROM c UNION ALL SELECT 4, 'dangling_citations', (SELECT count(*) FROM m JOIN source_item USING (source_id) WHERE is_deleted), 0
  UNION ALL SELECT 5, 'bad_edge_type', (SELECT count(*) FROM doc_edge WHERE {MEMBER} AND edge_type NOT IN ('mentions', 'documents', 'implements')), 0
  UNION ALL SELECT 6, 'ghost_edges', (SELECT count(*) FROM (SELECT DISTINCT from_artifact_id, to_artifact_id, edge_type FROM doc_edge WHERE {MEMBER} AND (from_artifact_id NOT IN (SELECT artifact_id FROM m) OR to_artifact_id NOT IN (SELECT artifact_id FROM m)))), 0
- UNION ALL SELECT 7, 'edges_without_evidence', (SELECT count(*) FROM doc_edge WHERE {MEMBER} AND source = 'linker' AND evidence IS NULL), 0)"""
+ UNION ALL SELECT 7, 'edges_without_evidence', (SELECT count(*) FROM doc_edge WHERE {MEMBER} AND source = 'linker' AND evidence IS NULL), 0
+ UNION ALL SELECT 8, 'evidence_recall', (SELECT count(*) FILTER (artifact_id IN (SELECT from_artifact_id FROM doc_edge WHERE {MEMBER} UNION SELECT to_artifact_id FROM doc_edge WHERE {MEMBER}))::DOUBLE / nullif(count(*), 0) FROM m WHERE artifact_type = 'code_symbol'), 'inf'::DOUBLE)"""
 add("all_gates", ("knowledge_artifact", "doc_edge", "source_item"), _gates, _G + " SELECT position, gate, round(value, 6) AS value, value <= most AS passed FROM g")
 add("gate_verdict", ("knowledge_artifact", "doc_edge", "source_item"), lambda a, e, s: builds.gate_verdict(_gates(a, e, s)), _G + " SELECT bool_and(value <= most) AS passed, arg_min(gate, position) FILTER (value > most) AS failed_gate, arg_min(round(value, 6), position) FILTER (value > most) AS measured FROM g")
 add("retired_cache", ("source_item",), lambda s: builds.retired_cache(s.select(F.col("source_id").alias("artifact_id"), "content_hash"), s.where("is_deleted").select(F.col("source_id").alias("artifact_id"))).select("artifact_id"), "SELECT source_id AS artifact_id FROM source_item WHERE NOT is_deleted")

@@ -27,6 +27,9 @@ add("kb_search", S, lambda q, a, s: packs.kb_search(_cards(q, a, s), a.select("a
 add("create_pack", S, lambda q, a, s: packs.create_pack(_cards(q, a, s), 150).select("query_id", "place", "artifact_id", "tokens", "spent"), None)
 
 
+add("suppressed_hits", S, lambda q, a, s: packs.suppressed(registry.keyword_search(q, a, SEQ).select("query_id", "artifact_id"), a, s, _asked(q), SEQ), _SCORED + f" SELECT query_id, artifact_id FROM top JOIN knowledge_artifact USING (artifact_id) JOIN source_item USING (source_id) WHERE NOT {VISIBLE}")
+
+
 def _read_pack(q: DataFrame, a: DataFrame, s: DataFrame) -> DataFrame:
     hits = registry.keyword_search(q, a, SEQ).select("query_id", "artifact_id", F.col("rank").alias("place"))
     readers = q.select("query_id", F.explode(F.array(F.struct(F.lit("ann").alias("reader"), F.array(F.lit("team_a")).alias("teams")), F.struct(F.lit("bob").alias("reader"), F.array(F.lit("team_b")).alias("teams")))).alias("r")).select("query_id", "r.*")

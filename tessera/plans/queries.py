@@ -227,13 +227,14 @@ _add("similar_topk", ("embeddings",), lambda e: resolve.similar_topk(e, e, 5), "
 
 def _fuzzy(q: DataFrame, a: DataFrame) -> DataFrame:
     aliases = a.where("title is not null").groupBy(F.lower("title").alias("alias")).agg(F.count("*").alias("confirmations"))
-    return resolve.fuzzy_resolve(q, aliases)
+    phrases = q.select(F.col("artifact_id").alias("query_id"), F.regexp_extract("body_text", "^[^ ]+ ([^ ]+ [^ ]+)", 1).alias("query_text"))
+    return resolve.fuzzy_resolve(phrases, aliases)
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in text.PHRASE_STOP_WORDS) + ")"
 _PHRASE = "array_to_string(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN " + _STOP + "), ' ')"
-_add("fuzzy_resolve", ("search_query", "knowledge_artifact"), _fuzzy, f""", al AS (SELECT lower(title) AS alias, count(*) AS confirmations FROM knowledge_artifact WHERE title IS NOT NULL GROUP BY 1),
- q AS (SELECT query_id, p AS q, list_distinct(string_split(p, ' ')) AS s FROM (SELECT query_id, {_PHRASE.format('query_text')} AS p FROM search_query) WHERE p <> ''),
+_add("fuzzy_resolve", ("linkable", "knowledge_artifact"), _fuzzy, f""", al AS (SELECT lower(title) AS alias, count(*) AS confirmations FROM knowledge_artifact WHERE title IS NOT NULL GROUP BY 1),
+ q AS (SELECT query_id, p AS q, list_distinct(string_split(p, ' ')) AS s FROM (SELECT artifact_id AS query_id, {_PHRASE.format("regexp_extract(body_text, '^[^ ]+ ([^ ]+ [^ ]+)', 1)")} AS p FROM linkable) WHERE p <> ''),
  a AS (SELECT alias, confirmations, p AS a, list_distinct(string_split(p, ' ')) AS s FROM (SELECT *, {_PHRASE.format('alias')} AS p FROM al) WHERE p <> ''),
  j AS (SELECT query_id, alias, confirmations, q = a AS same, CASE WHEN q = a THEN 1.0 ELSE round(len(list_intersect(q.s, a.s))::DOUBLE / (len(q.s) + len(a.s) - len(list_intersect(q.s, a.s))), 6) END AS score FROM q JOIN a ON len(list_intersect(q.s, a.s)) > 0)
  SELECT query_id, alias, score FROM j WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY same DESC, score DESC, confirmations DESC, alias) = 1""")

@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .schemas import conformed
+
 _MARKS = {
     "spark": {
         "SHA": "sha2(text, 256)", "A1": "array('team_a')", "A2": "array('team_a','team_b')", "A3": "array('team_b')", "A0": "CAST(array() AS ARRAY<STRING>)",
@@ -118,7 +120,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     reads = _TEXTS[name][0]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in reads}
-    return spark.sql(_text(name, "spark", {t: f"{{{t}}}" for t in reads}), **frames)
+    return conformed(spark.sql(_text(name, "spark", {t: f"{{{t}}}" for t in reads}), **frames), name)
 
 
 def with_tables(*names: str) -> str:
