@@ -7,7 +7,8 @@ read, in blocks, and send the counts; each shard is merged in one task, which wr
 shard as a file of the shared folder.  A word that alone would fill a shard has its trigrams dealt
 by the word before to shards of their own, and its bigrams stay in the first one.  A bounded sample
 of the texts tells how many shards there are and which words are that frequent: the layout only, all
-rows are counted.
+rows are counted.  Not split are the trigrams after a start token, whose word before is the start itself, and
+the bigrams of one frequent word: they lie in one shard each, however large the corpus is.
 
 Model: interpolated absolute discounting.  A shard stores, each in one byte, the discounted shares
 (c - d) / total of its bigrams and trigrams and the mass that each context leaves to the next lower

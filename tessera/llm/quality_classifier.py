@@ -8,12 +8,13 @@ fitted to them by dual coordinate descent; the margin goes through a logistic cu
 Log-count ratios come from all labelled training rows, summed by Spark.  The linear model is
 fitted on a sample of at most ``SAMPLE`` of them and ``SAMPLE_CHARS`` characters in all, those with
 the smallest hashed ids: bounds stated here and parameters of ``fit``.  A character gives less than one
-place of four bytes, so the sample takes 100 MB at most.  Scoring is one pass over whole texts with the broadcast
-weights (one number for each place, 2 MB), without a shuffle.
+place of four bytes, so the sample takes 400 MB at most (135 MB as measured on words of usual length).
+Scoring is one pass over whole texts with the broadcast weights (one number for each place, 2 MB),
+without a shuffle.
 
 Defined results: a null or empty text has no features and scores by the bias; labels other than 0
-and 1 are not used; with one class or no labels at all every text scores the share of label 1
-(0.5 without labels); repeated rows score alike; extra columns are ignored.
+and 1 are not used; with one class every text scores 0.01 or 0.99, without labels 0.5;
+rows that repeat in ``labels`` count each time; very long texts count whole; repeated rows score alike; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,11 +14,13 @@ starts earlier (a smaller id, or earlier in the same document) are removed.
    Each task builds its shards' automata where their segments arrive: they are never collected
    and sent to all, as the reference grows with the corpus.
    Equal segments are collapsed before that: only the earliest goes to its shard, and all words of
-   the others are repeats at once.  A passage or text that a large share of all documents holds
-   is thus one segment of a shard, however often it comes.
+   the others are repeats at once.  A text that a large share of all documents equals is thus one
+   segment of a shard, however often it comes.  A passage in unlike surroundings is not: its segments
+   take up to 14 words on either side, so they differ and all go to the passage's shard, a row each.
 4. Windows that repeat within their own document are found there, without a shuffle.
 
-Words are 64-bit hashes in all this; texts themselves are only cut at the end.
+Words are 64-bit hashes in all this; texts themselves are only cut at the end.  Among n different
+windows two get one hash with odds of n * n / 2**65.
 
 Defined results: a null text has no words; a null id comes before all others; rows with one id
 and equal texts are one document listed twice and get the same result; rows with one id and
