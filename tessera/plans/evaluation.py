@@ -154,6 +154,17 @@ def _merged(c: DataFrame) -> DataFrame:
     return reviews.reconcile_findings(f)
 
 
-# The growing word sets aren't SQL's: tests hold them against a brute-force version.
-add("reconcile_findings", ("conversations",), lambda c: _merged(c).select("review_id", "place", "severity", F.array_join("evidence_ids", ",").alias("evidence"), F.array_join("lenses", ",").alias("lenses"), "disagreement"), None)
-add("render_comments", ("conversations",), lambda c: reviews.render_comments(_merged(c)).select("review_id", "place", F.length("body").alias("chars")), None)
+# The fold goes by recursion over a review's findings; a group holds its words and its members.
+_MERGED = f"""WITH f AS MATERIALIZED (SELECT CAST(conv_id AS VARCHAR) AS review_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, {{'grave': length(coalesce(text, '')) % 4 + 1, 'lens': role, 'severity': ['blocker', 'major', 'minor', 'note'][length(coalesce(text, '')) % 4 + 1], 'finding': coalesce(text, ''), 'ev': CAST(turn AS VARCHAR)}} AS m,
+ list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: len(w) > 1)) AS words FROM conversations),
+ r AS (WITH RECURSIVE r AS (SELECT review_id, k, [{{'words': words, 'm': [m]}}] AS gs FROM f WHERE k = 1 UNION ALL
+  SELECT review_id, k, CASE WHEN hit = 0 THEN list_append(gs, {{'words': words, 'm': [m]}}) ELSE list_transform(gs, lambda g, i: CASE WHEN i = hit THEN {{'words': list_distinct(list_concat(g.words, words)), 'm': list_append(g.m, m)}} ELSE g END) END
+  FROM (SELECT f.*, r.gs, coalesce(list_position(list_transform(r.gs, lambda g: len(list_intersect(g.words, f.words)) > 0 AND len(list_intersect(g.words, f.words)) / len(list_distinct(list_concat(g.words, f.words))) >= {reviews.DUPLICATE}), true), 0) AS hit FROM r JOIN f ON f.review_id = r.review_id AND f.k = r.k + 1)) SELECT * FROM r),
+ g AS (SELECT review_id, unnest(gs).m AS ms, generate_subscripts(gs, 1) AS i FROM (SELECT review_id, arg_max(gs, k) AS gs FROM r GROUP BY 1)),
+ v AS (SELECT review_id, i, ms, list_sort(list_distinct(list_transform(ms, lambda x: x.lens))) AS lenses FROM g),
+ w AS (SELECT *, list_transform(lenses, lambda l: list_filter(ms, lambda x: x.lens = l)[-1]) AS votes FROM v),
+ x AS (SELECT *, list_min(list_transform(votes, lambda y: y.grave)) AS top FROM w),
+ o AS (SELECT review_id, row_number() OVER (PARTITION BY review_id ORDER BY top, i) AS place, ['blocker', 'major', 'minor', 'note'][top] AS severity, list_filter(ms, lambda y: y.grave = list_min(list_transform(ms, lambda z: z.grave)))[1].finding AS finding, list_sort(list_distinct(list_transform(ms, lambda y: y.ev))) AS evidence, lenses,
+  CASE WHEN len(list_distinct(list_transform(votes, lambda y: y.severity))) > 1 THEN 'severity disputed (' || array_to_string(list_transform(votes, lambda y: y.lens || '=' || y.severity), ', ') || '); highest kept' END AS disagreement FROM x)"""
+add("reconcile_findings", ("conversations",), lambda c: _merged(c).select("review_id", "place", "severity", F.array_join("evidence_ids", ",").alias("evidence"), F.array_join("lenses", ",").alias("lenses"), "disagreement"), _MERGED + " SELECT review_id, place, severity, array_to_string(evidence, ',') AS evidence, array_to_string(lenses, ',') AS lenses, disagreement FROM o")
+add("render_comments", ("conversations",), lambda c: reviews.render_comments(_merged(c)).select("review_id", "place", F.length("body").alias("chars")), _MERGED + """ SELECT review_id, place, CAST(length(concat_ws(chr(10), '**[' || severity || ']** ' || finding, 'Evidence: ' || array_to_string(list_transform(evidence, lambda e: '`' || e || '`'), ', ') || ' (lenses: ' || array_to_string(lenses, ', ') || ')', 'Panel disagreement: ' || disagreement)) AS INT) AS chars FROM o""")

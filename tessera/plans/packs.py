@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import access_of, packs, registry
 from .catalog import MEMBER, SEQ, TEAMS, VISIBLE, add
-from .queries import _SCORED
+from .queries import _SCORED, _WEIGHTS
 
 S = ("search_query", "knowledge_artifact", "source_item")
 
@@ -21,12 +21,28 @@ def _cards(q: DataFrame, a: DataFrame, s: DataFrame) -> DataFrame:
     return packs.retrieve_cards(_asked(q), a, s, SEQ)
 
 
-# The greedy pass over near copies isn't SQL's: tests hold it against a brute-force version.
-add("retrieve_cards", S, lambda q, a, s: _cards(q, a, s).drop("summary"), None)
-add("kb_search", S, lambda q, a, s: packs.kb_search(_cards(q, a, s), a.select("artifact_id", "body_text", "search_text")), None)
-add("create_pack", S, lambda q, a, s: packs.create_pack(_cards(q, a, s), 150).select("query_id", "place", "artifact_id", "tokens", "spent"), None)
-
-
+_KIND = "CASE WHEN artifact_type IN ('code_symbol', 'code_file') OR source_type = 'github_code' THEN 'code' WHEN source_type = 'ado_card' THEN 'card' WHEN artifact_type = 'commit' OR source_type = 'git_metadata' THEN 'pr' ELSE 'doc' END"
+_NAMES = "list_filter(regexp_extract_all(coalesce(body_text, '') || ' ' || coalesce(title, ''), '`([A-Za-z_][A-Za-z0-9_.]*)`', 1), lambda n: len(n) >= 2)"
+_FIRST = "coalesce(substr(string_split_regex(regexp_replace(body_text, '^[ \\t\\r\\n\\x0b\\f]+|[ \\t\\r\\n\\x0b\\f]+$', '', 'g'), '\\r\\n|\\r|\\n')[1], 1, 280), '')"
+_SIGNALS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(said, '{p}') OR regexp_matches(summary, '{p}') THEN '{n}' END" for n, p in text.INJECTION_SIGNALS.items()) + "], lambda x: x IS NOT NULL), ',')"
+# The greedy pass goes by recursion: a place is kept unless it is like one that was kept.
+_CARDS = _SCORED + f""", sy AS (SELECT DISTINCT title FROM knowledge_artifact WHERE {MEMBER} AND artifact_type IN ('code_symbol', 'code_file', 'endpoint') AND title IS NOT NULL),
+ rf AS (SELECT artifact_id, unnest(list_concat(n, list_filter(list_transform(list_filter(n, lambda x: contains(x, '.')), lambda x: string_split(x, '.')[-1]), lambda x: len(x) >= 2))) AS s FROM (SELECT artifact_id, {_NAMES} AS n FROM knowledge_artifact)), st AS (SELECT DISTINCT artifact_id FROM rf WHERE s NOT IN (SELECT title FROM sy)),
+ hh AS MATERIALIZED (SELECT query_id, artifact_id, score, intent, artifact_type, title, coalesce(title, artifact_id) AS said, body_text, search_text, knowledge_kind, authority_score, centrality_score, source_uri, is_deleted OR invalidated_at_seq IS NOT NULL AS superseded, {_KIND} AS kind, {_FIRST} AS summary,
+  kind = 'doc' AND intent IN ('how_does_x_work', 'what_calls_x') AND artifact_id IN (SELECT artifact_id FROM st) AS stale FROM top JOIN knowledge_artifact USING (artifact_id) JOIN source_item USING (source_id) JOIN search_query USING (query_id) WHERE {VISIBLE}),
+ fi AS (SELECT *, round(score * (({_WEIGHTS})::DOUBLE * CASE WHEN superseded THEN 0.6 ELSE 1.0 END::DOUBLE * CASE WHEN stale THEN 0.25 ELSE 1.0 END::DOUBLE) * (1 + 0.25::DOUBLE * coalesce(centrality_score, 0)), 6) AS final, trim(regexp_replace(lower(said || ' ' || summary), '[^a-z0-9]+', ' ', 'g')) AS seen FROM hh),
+ rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(knowledge_kind = 'source_backed', false) DESC, coalesce(authority_score, 0) DESC, final DESC, artifact_id DESC) AS p FROM fi),
+ tc AS MATERIALIZED (SELECT query_id, p, tok, count(*) AS c FROM (SELECT query_id, p, unnest(list_filter(string_split(seen, ' '), lambda x: x <> '')) AS tok FROM rk) GROUP BY ALL), nm AS (SELECT query_id, p, sqrt(sum(c * c)) AS norm FROM tc GROUP BY ALL),
+ lk AS MATERIALIZED (SELECT query_id, p, list(q) AS l FROM (SELECT a.query_id, a.p, b.p AS q, sum(a.c * b.c) AS dot FROM tc a JOIN tc b ON a.query_id = b.query_id AND a.tok = b.tok AND b.p < a.p GROUP BY ALL) d JOIN nm USING (query_id, p) JOIN nm o ON o.query_id = d.query_id AND o.p = q WHERE dot / (nm.norm * o.norm) >= {packs.NEAR_DUPLICATE} GROUP BY ALL),
+ rc AS (WITH RECURSIVE r AS (SELECT DISTINCT query_id, 0::BIGINT AS p, []::BIGINT[] AS kept FROM rk UNION ALL SELECT r.query_id, rk.p, CASE WHEN len(list_intersect(coalesce(l, []), kept)) = 0 THEN list_append(kept, rk.p) ELSE kept END FROM r JOIN rk ON rk.query_id = r.query_id AND rk.p = r.p + 1 LEFT JOIN lk ON lk.query_id = rk.query_id AND lk.p = rk.p) SELECT * FROM r),
+ kp AS (SELECT query_id, unnest(k) AS p FROM (SELECT query_id, arg_max(kept, p) AS k FROM rc GROUP BY 1)),
+ cd AS MATERIALIZED (SELECT rk.*, row_number() OVER (PARTITION BY query_id ORDER BY p) AS place, regexp_replace(source_uri, '^github://[^/]*/[^/]*/', '') || CASE WHEN artifact_type = 'code_symbol' AND trim(coalesce(title, '')) <> '' THEN ':' || trim(title) ELSE '' END AS citation, CAST(ceil(length(said || summary) / 4) AS BIGINT) AS tokens FROM rk JOIN kp USING (query_id, p) QUALIFY place <= {packs.CARDS})"""
+add("retrieve_cards", S, lambda q, a, s: _cards(q, a, s).drop("summary"), _CARDS + f""" SELECT query_id, place, artifact_id, artifact_type AS card_type, said AS title, citation, CASE WHEN knowledge_kind = 'source_backed' THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence, least(greatest(coalesce(authority_score, 0), 0), 1)::DOUBLE AS authority, CAST(ceil(length(coalesce(body_text, '')) / 4) AS BIGINT) AS tokens_if_expanded,
+ tokens, {_SIGNALS} AS injection_signals, kind AS source_kind, superseded, stale FROM cd""")
+_FLAT = "trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g'))"
+add("kb_search", S, lambda q, a, s: packs.kb_search(_cards(q, a, s), a.select("artifact_id", "body_text", "search_text")), _CARDS + f""", sn AS (SELECT *, substr(coalesce(nullif({_FLAT.format("body_text")}, ''), {_FLAT.format("search_text")}, ''), 1, 200) AS snippet FROM cd)
+ SELECT query_id, place, artifact_id, said AS title, citation, snippet, CAST(ceil(length(said || citation || snippet) / 4) AS BIGINT) AS tokens FROM sn""")
+add("create_pack", S, lambda q, a, s: packs.create_pack(_cards(q, a, s), 150).select("query_id", "place", "artifact_id", "tokens", "spent"), _CARDS + """, sp AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM cd) SELECT query_id, place, artifact_id, tokens, spent FROM sp WHERE spent <= 150""")
 add("suppressed_hits", S, lambda q, a, s: packs.suppressed(registry.keyword_search(q, a, SEQ).select("query_id", "artifact_id"), a, s, _asked(q), SEQ), _SCORED + f" SELECT query_id, artifact_id FROM top JOIN knowledge_artifact USING (artifact_id) JOIN source_item USING (source_id) WHERE NOT {VISIBLE}")
 
 
