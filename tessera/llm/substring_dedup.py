@@ -14,17 +14,23 @@ starts earlier (a smaller id, or earlier in the same document) are removed.
    Each task builds its shards' automata where their segments arrive: they are never collected
    and sent to all, as the reference grows with the corpus.
    Equal segments are collapsed before that: only the earliest goes to its shard, and all words of
-   the others are repeats at once.  A text that a large share of all documents equals is thus one
-   segment of a shard, however often it comes.  A passage in unlike surroundings is not: its segments
-   take up to 14 words on either side, so they differ and all go to the passage's shard, a row each.
-4. Windows that repeat within their own document are found there, without a shuffle.
+   the others are repeats at once, wherever they are.  A text that a large share of all documents
+   equals is thus one segment of a shard, however often it comes.
+4. A passage that many documents hold in unlike surroundings has hot minimisers.  Their windows are
+   told apart by the whole window's hash instead: windows over the passage's edge, that come once,
+   drop out; those that come a few times go to the shard of the document that first holds *them*;
+   hot windows, all inside the passage, are cut where their own hash says so, so that equal stretches
+   are equal segments whatever stands around them, and collapse.  A key is hot if it comes
+   ``HOT`` times and makes up over one ``HOT_KEYS``-th of all, so tasks get at most ``HOT_KEYS`` of them
+   (8 bytes each, 16 for windows), and no key that is joined has more rows than that.
+5. Windows that repeat within their own document are found there, without a shuffle.
 
 Words are 64-bit hashes in all this; texts themselves are only cut at the end.  Among n different
 windows two get one hash with odds of n * n / 2**65.
 
 Defined results: a null text has no words; a null id comes before all others; rows with one id
 and equal texts are one document listed twice and get the same result; rows with one id and
-different texts are ordered by the texts' hashes; a document of fewer words than a window keeps
+different texts, null ids among them, are ordered by the texts' hashes; a document of fewer words than a window keeps
 all; extra columns are ignored by ``remove_repeats`` and kept by ``dedup_texts``.
 """
 
@@ -33,10 +39,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +55,10 @@ LENGTH = 20
 RUN = 6
 #: Minimisers whose windows share a shard, on average; a minimiser stands for some eight words.
 SHARD_MINIMISERS = 20_000
+#: A key that comes more often, and makes up over one ``HOT_KEYS``-th of all, is hot.
+HOT, HOT_KEYS = 256, 1_000_000
+#: Hot windows in a segment, on average; keys of segments that a task remembers.
+CUT, REMEMBERED = 32, 100_000
 NO_ID = -(2**63)
 
 
@@ -77,34 +89,115 @@ def _keyed(df: DataFrame, id_column: str, text: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"))
 
 
-def _counted(docs: DataFrame, length: int) -> DataFrame:
-    """Rows (doc, g, c): each document's minimisers and how often it holds them."""
+@dataclass
+class Hot:
+    """Hot minimisers, and the hot windows among those that they stand for; sorted."""
+
+    minimisers: np.ndarray
+    windows: np.ndarray
+    first: np.ndarray  # what chooses each hot window's shard
+
+
+def _among(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key in a sorted table, whether it is there)."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _with_slot(docs: DataFrame) -> DataFrame:
+    """Null ids share one number; their texts' hashes keep them apart."""
+    return docs.withColumn("slot", F.when(F.col("doc") == NO_ID, F.col("th")).otherwise(0))
+
+
+def _rows(docs: DataFrame, length: int, hot: Broadcast | None, which: str) -> DataFrame:
+    """Rows (doc, slot, g, c, mark): each document's keys and how often it holds them.
+
+    ``which``: "minimisers", all of them; "windows", hashes of the windows of hot minimisers; "cold", minimisers and
+    windows that aren't hot, and one marked row for a document that holds a hot window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.chunks(batches):
-            w = W.split(b.column(1))
-            *_, place, g = minimisers(w, w.hashes(), length)
+            w = W.split(b.column(2))
+            h = w.hashes()
+            start, least, place, g = minimisers(w, h, length)
             owner = w.doc[place]
+            ids, slots = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            marked = np.zeros(0, np.int64)
+            if which != "minimisers":
+                known = hot.value
+                _, warm = _among(least, known.minimisers)
+                start = start[warm]
+                whole = W.windows(h, length)[start] if len(start) else least[:0]
+                of = w.doc[start]
+                if which == "windows":
+                    g, owner = whole, of
+                else:
+                    _, inner = _among(whole, known.windows)
+                    marked = np.unique(of[inner])
+                    _, warm = _among(g, known.minimisers)
+                    g, owner = np.concatenate([g[~warm], whole[~inner]]), np.concatenate([owner[~warm], of[~inner]])
             order = np.lexsort((g, owner))
             g, owner = g[order], owner[order]
             fresh = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])]) if len(g) else np.zeros(0, np.int64)
             total = np.diff(np.r_[fresh, len(g)])
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[fresh]], pa.int64()), pa.array(g[fresh].view(np.int64)), pa.array(total)], ["doc", "g", "c"])
-
-    return docs.select("doc", "text").mapInArrow(run, "doc long, g long, c long")
-
-
-def _segments(joined: DataFrame, length: int, shards: int) -> DataFrame:
-    """Rows (shard, doc, th, start, words): what goes to shards; with null words, repeats within a document."""
+            doc = np.concatenate([owner[fresh], marked])
+            # A mark has a key of its own document, so that marks meet in no task.
+            key = np.concatenate([g[fresh], W.mix64((ids[marked] ^ slots[marked]).view(np.uint64))]).view(np.int64)
+            mark = np.r_[np.zeros(len(fresh), bool), np.ones(len(marked), bool)]
+            columns = [pa.array(ids[doc], pa.int64()), pa.array(slots[doc], pa.int64()), pa.array(key), pa.array(np.r_[total, np.zeros(len(marked), np.int64)], pa.int64()), pa.array(mark, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "slot", "g", "c", "mark"])
+
+    return docs.select("doc", "slot", "text").mapInArrow(run, "doc long, slot long, g long, c long, mark boolean")
+
+
+def _repeated(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(written rows (g, c, first) of keys that come twice, those of them that are hot)."""
+    # What chooses the shard: the first document; of null ids, the smallest slot among the key's rows.
+    first = F.xxhash64(F.min("doc"), F.when(F.min("doc") == NO_ID, F.min("slot")))
+    many = written(rows.groupBy("g").agg(F.sum("c").alias("c"), first.alias("first")).where("c > 1"), name)
+    total = many.agg(F.sum("c").alias("n")).first()["n"] or 0
+    return many, many.where(F.col("c") > max(HOT, total // HOT_KEYS))
+
+
+def _hot(docs: DataFrame, hot_minimisers: DataFrame, length: int) -> tuple[DataFrame | None, Broadcast]:
+    """(repeated windows of hot minimisers, what tasks know of hot keys): at most ``HOT_KEYS`` of each kind."""
+    context = docs.sparkSession.sparkContext
+    none = np.zeros(0, np.uint64)
+    keys = np.sort(hot_minimisers.select("g").toArrow()["g"].to_numpy().view(np.uint64))
+    if not len(keys):
+        return None, context.broadcast(Hot(none, none, none.view(np.int64)))
+    known = context.broadcast(Hot(keys, none, none.view(np.int64)))
+    many, hot = _repeated(_rows(docs, length, known, "windows"), "windows")
+    found = hot.select("g", "first").toArrow()
+    inner, first = found["g"].to_numpy().view(np.uint64), found["first"].to_numpy()
+    order = np.argsort(inner)
+    return many, context.broadcast(Hot(keys, inner[order], first[order]))
+
+
+def _segments(joined: DataFrame, length: int, shards: int, hot: Broadcast) -> DataFrame:
+    """Rows (shard, doc, th, start, n, key, words): what goes to shards, with the key of its words.
+
+    Without a key, repeats within a document; with a key and null words, a segment that an earlier place in the same task equals.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        warm, seen = hot.value, {}
         for b in W.chunks(batches):
             w = W.split(b.column(2))
             h = w.hashes()
             start, g, *_ = minimisers(w, h, length)
             owner = w.doc[start]
             whole = W.windows(h, length)[start] if len(start) else g
+            # The key of a window: its minimiser, or its own hash if that is hot.
+            _, is_warm = _among(g, warm.minimisers)
+            g = np.where(is_warm, whole, g)
+            at, inner = _among(whole, warm.windows)
+            inner &= is_warm
+            inner_first = warm.first[at] if len(warm.first) else np.zeros(len(at), np.int64)
+            cut = inner & (whole % np.uint64(CUT) == 0)
             rows: list[tuple] = []
             keys = [b.column(0).to_pylist(), b.column(1).to_pylist()]
             hits, first = b.column(3), b.column(4)
@@ -118,27 +211,35 @@ def _segments(joined: DataFrame, length: int, shards: int) -> DataFrame:
                 order = np.argsort(own, kind="stable")
                 again = np.zeros(e - s, bool)
                 again[order[1:]] = own[order[1:]] == own[order[:-1]]
-                home = int(W.mix64(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(shards))
                 for a, z in _stretches(again):
-                    rows.append((home, doc, th, a, z - a + length - 1, None))
+                    rows.append((0, doc, th, a, z - a + length - 1, None, None))
                 known = np.array(hits[i].as_py(), np.int64).view(np.uint64)
                 to = np.array(first[i].as_py(), np.int64)
                 sort = np.argsort(known)
                 known, to = known[sort], to[sort]
-                at = np.minimum(np.searchsorted(known, g[s:e]), len(known) - 1)
-                shared = known[at] == g[s:e]
-                shard = (W.mix64(to.view(np.uint64)) % np.uint64(shards)).astype(np.int64)[at]
-                shard[~shared] = -1
-                edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+                at, shared = _among(g[s:e], known)
+                chosen = np.where(inner[s:e], inner_first[s:e], to[at])
+                shard = (W.mix64(chosen.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                shard[~(shared | inner[s:e])] = -1
+                edge = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (inner[s + 1 : e] != inner[s : e - 1]) | cut[s + 1 : e]])
                 for a, z in zip(edge, np.r_[edge[1:], len(shard)], strict=True):
                     if shard[a] >= 0:
                         n = int(z - a) + length - 1
-                        rows.append((int(shard[a]), doc, th, int(a), n, h[base + a : base + a + n].tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "doc", "th", "start", "n", "words"])
-
-    return joined.select("doc", "th", "text", "g", "first").mapInArrow(run, "shard long, doc long, th long, start long, n long, words binary")
+                        raw = h[base + a : base + a + n].tobytes()
+                        key = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+                        place = (doc, th, int(a))
+                        if key in seen and seen[key] < place:
+                            raw = None
+                        else:
+                            if len(seen) >= REMEMBERED:
+                                seen.clear()
+                            seen[key] = place
+                        rows.append((int(shard[a]), *place, n, key, raw))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            types = [pa.int64()] * 6 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "doc", "th", "start", "n", "key", "words"])
+
+    return joined.select("doc", "th", "text", "g", "first").mapInArrow(run, "shard long, doc long, th long, start long, n long, key long, words binary")
 
 
 def _stretches(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -209,7 +310,7 @@ class SuffixAutomaton:
         return out
 
 
-def _judged(segments: DataFrame, length: int, shards: int) -> DataFrame:
+def _judged(segments: DataFrame, shards: int, length: int) -> DataFrame:
     """Rows (doc, th, start, n): stretches of words to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,12 +342,32 @@ def _judged(segments: DataFrame, length: int, shards: int) -> DataFrame:
 
 
 def _collapsed(segments: DataFrame) -> DataFrame:
-    """The segments, without the words of those that equal an earlier one: all their windows start earlier there."""
-    s = written(segments.withColumn("key", F.when(F.col("words").isNotNull(), F.xxhash64("words", "n"))), "segments")
+    """The segments, without the words of those that equal an earlier one: all their windows start earlier there.
+
+    Segments without words are judged already, so they go to any task.
+    """
+    s = written(segments, "segments")
     place = F.struct("doc", "th", "start")
     firsts = s.where("key is not null").groupBy("key").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("key", "first")
     s = looked_up(s, "key", written(firsts, "firsts"), "first")
-    return s.withColumn("words", F.when(F.col("first").isNull() | (place == F.col("first")), F.col("words"))).drop("key", "first")
+    s = s.withColumn("words", F.when(F.col("first").isNull() | (place == F.col("first")), F.col("words")))
+    return s.withColumn("shard", F.when(F.col("words").isNull(), F.xxhash64("doc", "th", "start")).otherwise(F.col("shard"))).drop("key", "first")
+
+
+def find_segments(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
+    """(rows (shard, doc, th, start, n, words), number of shards): what is judged where."""
+    docs = _with_slot(docs)
+    many, hot_minimisers = _repeated(_rows(docs, length, None, "minimisers"), "minimisers")
+    windows, hot = _hot(docs, hot_minimisers, length)
+    table = many.select("g", "first")
+    if windows is not None:
+        table = table.unionAll(windows.select("g", "first"))
+    rows = _rows(docs, length, hot, "cold").join(table, "g", "left").where("first is not null or mark")
+    listed = [F.collect_list("g").alias("g"), F.collect_list(F.coalesce("first", F.lit(0))).alias("first")]
+    hits = written(rows.groupBy("doc", "slot").agg(*listed), "hits")
+    total = hits.agg(F.sum(F.size("g")).alias("n")).first()["n"] or 0
+    shards = max(1, -(-total // SHARD_MINIMISERS))
+    return _collapsed(_segments(docs.join(hits, ["doc", "slot"]), length, shards, hot)), shards
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -254,13 +375,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``docs`` has doc, th, text, as ``_keyed`` makes them.
     """
-    counted = _counted(docs, length)
-    many = counted.groupBy("g").agg(F.sum("c").alias("c"), F.min("doc").alias("first")).where("c > 1").select("g", "first")
-    hits = counted.join(many, "g").groupBy("doc").agg(F.collect_list("g").alias("g"), F.collect_list("first").alias("first"))
-    hits = written(hits, "hits")
-    total = hits.agg(F.sum(F.size("g")).alias("n")).first()["n"] or 0
-    shards = max(1, -(-total // SHARD_MINIMISERS))
-    cuts = _judged(_collapsed(_segments(docs.join(hits, "doc"), length, shards)), length, shards)
+    cuts = _judged(*find_segments(docs, length), length)
     return written(cuts.distinct().groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("cuts")), "cuts")
 
 

@@ -427,13 +427,42 @@ def test_substring_dedup_of_null_and_repeated_ids(spark):
     assert substring_dedup.dedup_texts(df).columns == df.columns
 
 
-def test_substring_dedup_of_a_hot_passage(spark):
+@pytest.mark.parametrize("hot", [256, 20])
+def test_substring_dedup_of_a_hot_passage(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "SHARD_MINIMISERS", 20)
     r = random.Random(9)
-    passage = " ".join(f"h{i}" for i in range(40))
-    texts = [" ".join(f"{r.randrange(10**6)}" for _ in range(r.randrange(30))) + " " + " ".join(passage.split()[: r.choice([40, 40, 40, 25])]) + " end" for _ in range(300)]
-    got = {x["doc_id"]: x for x in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
-    for i, (n, removed, kept) in enumerate(brute_kept(texts)):
-        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (n, removed, hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    passage = [f"h{i}" for i in range(90)]
+    texts = []
+    for i in range(300):
+        a = r.choice([0, 0, 0, 7, 30])
+        texts.append(" ".join([f"{r.randrange(10**6)}" for _ in range(r.randrange(30))] + passage[a : r.choice([90, 90, 40, 25])] + passage[: r.choice([0, 0, 45])] + ["end", f"{i // 2}"] * 12))
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, " ".join(passage[:50])), (None, " ".join(passage[10:60]))]
+    got = {}
+    for x in substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect():
+        if x["doc_id"] is not None:
+            assert got.setdefault(x["doc_id"], x) == x
+    nulls = sorted((t for i, t in rows if i is None), key=lambda t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])
+    for i, (n, removed, kept) in list(enumerate(brute_kept(nulls + texts)))[2:]:
+        x = got[i - 2]
+        assert (x["n_words"], x["n_removed"], x["kept_sha256"]) == (n, removed, hashlib.sha256(" ".join(kept).encode()).hexdigest())
+
+
+def test_substring_dedup_spreads_a_hot_passage(spark, monkeypatch):
+    """A passage of 40 words between unlike words, in a fifth of the documents: no shard gets over three times the median."""
+    monkeypatch.setattr(substring_dedup, "HOT", 64)
+    monkeypatch.setattr(substring_dedup, "SHARD_MINIMISERS", 200)
+    r = random.Random(4)
+    word = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    passage = word(40)
+    pieces = [word(30) for _ in range(800)]
+    texts = [word(30) + passage + word(30) for _ in range(500)] + [word(20) + r.choice(pieces) + word(10) for _ in range(2000)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)
+    rows, shards = substring_dedup.find_segments(substring_dedup._keyed(df, "doc_id", "text"))
+    sizes = sorted(x["count"] for x in rows.groupBy(F.pmod("shard", F.lit(shards))).count().collect())
+    assert len(sizes) > 20 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    held = rows.where("words is not null").groupBy("shard").count().agg(F.max("count")).first()[0]
+    assert held <= 3 * sizes[len(sizes) // 2]
 
 
 # -- 10
