@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..sources.written import written
 
-#: Rows of a lookup table that go to all tasks; beyond it, Spark shuffles both sides.
-SMALL = 1_000_000
+#: Bytes of a lookup table that go to all tasks; beyond it, Spark shuffles both sides.
+SMALL = 64_000_000
+#: Characters of a slice, at least; longer runs are sliced before they are cut into pieces.
+SLICE = 256
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A written table as the broadcast side of a join, if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    """A written table as the broadcast side of a join, if its counted bytes (16 more a value) are few."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in df.dtypes), F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= SMALL else df
 
 
 def runs_of(c: Column, apart: str) -> Column:
@@ -24,15 +27,22 @@ def runs_of(c: Column, apart: str) -> Column:
 def runs_holding(runs: DataFrame, tokens: DataFrame) -> DataFrame:
     """Rows (run, token), written: the different runs that hold a token.
 
-    Runs are cut into pieces of the lengths that tokens have, and pieces meet tokens.
+    Runs are cut into pieces of the lengths that tokens have, and pieces meet tokens.  A long run is first cut, in one
+    pass, into slices that overlap by the longest token, so that no piece is looked for from the start of the run.
     """
     distinct = tokens.select("token").distinct()
     sizes = distinct.agg(F.collect_set(F.length("token")).alias("sizes"))
-    long = F.filter("sizes", lambda n: n <= F.length("run"))
-    piece = lambda n: F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substr(F.col("run"), i, n))
-    cut = runs.select("run").distinct().crossJoin(F.broadcast(sizes)).where(F.size(long) > 0)
-    pieces = cut.select("run", F.explode(F.array_distinct(F.flatten(F.transform(long, piece)))).alias("token"))
-    return written(pieces.join(distinct, "token").select("run", "token"), "runs")
+    fit = F.filter("sizes", lambda n: n <= F.length("slice"))
+    piece = lambda n: F.transform(F.sequence(F.lit(1), F.length("slice") - n + 1), lambda i: F.substr(F.col("slice"), i, n))
+    # The longest token that the run may hold sets the width, so slices hold twice the run's characters at most.
+    longest = F.greatest(F.array_max(F.filter("sizes", lambda n: n <= F.length("run"))), F.lit(SLICE))
+    pattern = F.concat(F.lit("(?s)(.{1,"), longest.cast("string"), F.lit("})(?=(.{0,"), (longest - 1).cast("string"), F.lit("}))"))
+    parts = F.zip_with(F.regexp_extract_all("run", pattern, F.lit(1)), F.regexp_extract_all("run", pattern, F.lit(2)), lambda x, y: F.concat(x, y))
+    sliced = F.when(F.length("run") > 2 * longest, parts).otherwise(F.array("run"))
+    cut = runs.select("run").distinct().crossJoin(F.broadcast(sizes)).where(F.exists("sizes", lambda n: n <= F.length("run")))
+    cut = cut.select("run", "sizes", F.explode(sliced).alias("slice"))
+    pieces = cut.select("run", F.explode(F.array_distinct(F.flatten(F.transform(fit, piece)))).alias("token"))
+    return written(pieces.join(distinct, "token").select("run", "token").distinct(), "runs")
 
 
 def substrings_in_texts(needles: DataFrame, texts: DataFrame, needle_id: str, needle: str, text_id: str, text: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Small literal cases of registry operators."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.functions import access, text
-from tessera.operators import gates, registry, resolve
+from tessera.operators import gates, matching, registry, resolve
 from tessera.plans import queries
 from tessera.sources.registry import table
 
@@ -116,3 +118,14 @@ def test_sha_refs_once_and_short_tokens_searched(spark):
     a = spark.createDataFrame([("1", "x marks", None, "q", 0, None), ("2", "none", None, "", 0, None), ("3", "x", None, "", 5, None)], "artifact_id string, title string, search_text string, body_text string, valid_from_seq int, invalidated_at_seq int")
     q = spark.createDataFrame([(1, "X")], "query_id int, query_text string")
     assert [r["artifact_id"] for r in registry.keyword_search(q, a, 4).collect()] == ["1"]
+
+
+def test_runs_holding_slices_long_runs(spark):
+    """A run of 200,000 letters and digits and short ones; tokens at its start, over borders of slices, at its end."""
+    r = random.Random(5)
+    long = "".join(r.choice("abcdeé0123😀") for _ in range(200_000))
+    runs = [long, "abc0", "zz", "", long[:600]]
+    tokens = sorted({long[:7], long[250:262], long[511:513], long[-9:], long[1000:1300], "abc0", "bc", "zz", "zzz", "nothere"})
+    df = spark.createDataFrame([(x,) for x in runs], "run string")
+    got = {(x["run"], x["token"]) for x in matching.runs_holding(df, spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    assert got == {(x, t) for x in runs for t in tokens if t in x}
