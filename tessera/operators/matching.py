@@ -13,10 +13,15 @@ SMALL = 64_000_000
 SLICE = 256
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A written table as the broadcast side of a join, if its counted bytes (16 more a value) are few."""
+def is_small(df: DataFrame) -> bool:
+    """Whether a written table may go to all tasks, by its counted bytes (16 more a value)."""
     width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in df.dtypes), F.lit(16 * len(df.columns)))
-    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= SMALL else df
+    return (df.agg(F.sum(width)).first()[0] or 0) <= SMALL
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table as the broadcast side of a join, if it is small."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def runs_of(c: Column, apart: str) -> Column:

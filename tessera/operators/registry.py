@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import access, text
 from ..sources.written import written
-from .matching import runs_holding, runs_of, small
+from .matching import is_small, runs_holding, runs_of, small
 from .numbering import numbered
 
 #: Rounds of pagerank between two written tables.
@@ -198,15 +198,15 @@ def substring_hits(tokens: DataFrame, artifacts: DataFrame) -> DataFrame:
     A token is a run of [a-z0-9], so it stands inside one such run of the text.  The different runs
     of all texts are cut into pieces of the lengths that tokens have and meet the tokens by an equi
     join; that table, from runs to tokens, then meets the runs of each text.  No token is compared
-    with a text.  Runs are dealt by artifact before they are exploded, so what they hit is added up where it
-    is found: the hits themselves are not shuffled.
+    with a text.  If the table of runs may go to all tasks, runs are dealt by artifact before they are exploded, so
+    what they hit is added up where it is found and isn't shuffled; else runs are shuffled to the table.
     """
     runs = lambda c: runs_of(F.lower(F.col(c)), "[^a-z0-9]+")
     fields = F.array(*(F.struct(F.lit(i).alias("field"), runs(c).alias("runs")) for i, c in enumerate(("title", "search_text", "body_text"))))
     each = lambda d: d.select("artifact_id", F.explode("fields").alias("f")).select("artifact_id", "f.field", F.explode("f.runs").alias("run"))
     cut = artifacts.select("artifact_id", fields.alias("fields"))
     held = runs_holding(each(cut), tokens)
-    hits = each(cut.repartition("artifact_id")).join(small(held), "run")
+    hits = each(cut.repartition("artifact_id")).join(F.broadcast(held), "run") if is_small(held) else each(cut).join(held, "run")
     inside = lambda i, weight: F.when(F.max(F.col("field") == i), weight).otherwise(0.0)
     return hits.groupBy("artifact_id", "token").agg((inside(0, 4.0) + inside(1, 1.5) + inside(2, 1.0)).alias("weight"))
 
