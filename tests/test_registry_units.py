@@ -113,6 +113,30 @@ def test_exact_phrase_beats_a_permutation(spark):
     assert resolve.fuzzy_resolve(q, a).first()["alias"] == "retry queue"
 
 
+def test_fuzzy_resolve_makes_no_pairs_of_a_frequent_token(spark):
+    """Every query and alias holds one word: the join gives as many rows as there are offers, and the best ones are those of all pairs."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    said = lambda n: " ".join(["hot", *r.sample(words, n)])
+    queries_ = [(i, said(r.choice([0, 1, 2, 3, 9, 14]))) for i in range(300)] + [(900, "the"), (901, None), (902, "nothing alike"), (5, "w1 hot")]
+    aliases = sorted({said(r.choice([0, 1, 2, 3, 9, 14])) for _ in range(300)})
+    counts = [(x, r.choice([None, 1, 2, 3])) for x in aliases]
+    best = {}
+    for i, q in queries_:
+        for x, n in counts if q else []:
+            p, o = set(q.split()), set(x.split())
+            score = 1.0 if q == x else round(len(p & o) / len(p | o), 6)
+            if p & o and score >= 0.3:
+                best.setdefault(i, []).append((q != x, -score, n is None, -(n or 0), x))
+    told = {i: (min(v)[4], -min(v)[1]) for i, v in best.items()}
+    got = resolve.fuzzy_resolve(spark.createDataFrame(queries_, "query_id int, query_text string"), spark.createDataFrame(counts, "alias string, confirmations long"))
+    assert {x["query_id"]: (x["alias"], x["score"]) for x in got.collect()} == told and len(told) > 250
+    # Alike pairs were as many as queries times aliases.
+    many = lambda n: spark.range(n).select("id", F.concat(F.lit("hot x"), F.col("id").cast("string")).alias("t"))
+    big = resolve.fuzzy_resolve(many(20_000).select(F.col("id").alias("query_id"), F.concat("t", F.lit("q")).alias("query_text")), many(20_000).select(F.col("t").alias("alias"), F.lit(1).cast("long").alias("confirmations")))
+    assert big.where("alias = 'hot x0'").count() == 20_000
+
+
 def test_sha_refs_once_and_short_tokens_searched(spark):
     assert one(spark, text.sha_refs(F.col("t")), t="abcdef1 abcdef1 1234567") == ["abcdef1"]
     a = spark.createDataFrame([("1", "x marks", None, "q", 0, None), ("2", "none", None, "", 0, None), ("3", "x", None, "", 5, None)], "artifact_id string, title string, search_text string, body_text string, valid_from_seq int, invalidated_at_seq int")
