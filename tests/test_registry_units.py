@@ -144,6 +144,37 @@ def test_sha_refs_once_and_short_tokens_searched(spark):
     assert [r["artifact_id"] for r in registry.keyword_search(q, a, 4).collect()] == ["1"]
 
 
+def test_keyword_search_shuffles_only_the_best(spark, monkeypatch):
+    """Both ways of the search give what brute force gives, ties over blocks included; a block hands on few rows."""
+    import math
+
+    from tessera.operators import scan
+
+    monkeypatch.setattr(scan, "ROWS", 64)
+    r = random.Random(8)
+    words = ["abc", "zabcd", "bc", "e1", "x" * 70, "q"]
+    said = lambda: " ".join(r.choice([*words, "none", "İbc", "w" + "x" * 80]) for _ in range(r.randrange(5)))
+    rows = [(str(i), said() or None, said(), said(), 0, None if i % 9 else 2) for i in range(500)]
+    asked = [(1, "ABC e1"), (2, "bc, bc " + "x" * 70), (3, "q abc absent"), (4, ""), (5, None)]
+    a = spark.createDataFrame(rows, "artifact_id string, title string, search_text string, body_text string, valid_from_seq int, invalidated_at_seq int")
+    q = spark.createDataFrame(asked, "query_id long, query_text string")
+    live = [x for x in rows if x[5] is None]
+    told = set()
+    for i, said_ in asked:
+        tokens = list(dict.fromkeys((said_ or "").lower().replace(",", " ").split()))
+        holds = lambda x, t: any(x[k] and t in x[k].lower() for k in (1, 2, 3))
+        idf = {t: math.log((len(live) + 1) / (sum(holds(x, t) for x in live) + 1)) + 1 for t in tokens}
+        score = lambda x: round(sum(idf[t] * w for t in tokens for k, w in ((1, 4.0), (2, 1.5), (3, 1.0)) if x[k] and t in x[k].lower()), 6)
+        best = sorted((-score(x), x[0]) for x in live if any(holds(x, t) for t in tokens))[:7]
+        told |= {(i, x, -s, k) for k, (s, x) in enumerate(best, 1)}
+    take = lambda: {(x["query_id"], x["artifact_id"], x["score"], x["rank"]) for x in registry.keyword_search(q, a, 4, 7).collect()}
+    assert take() == told and len(told) == 21
+    kept = scan.best_scores(scan.scanned_hits(["bc"], a.repartition(1)), q.selectExpr("query_id", "'bc' AS token"), {"bc": 1.0}, ["bc"], 7)
+    assert kept.select("query_id").distinct().count() == 5
+    monkeypatch.setattr(registry, "is_small", lambda d: False)
+    assert take() == told
+
+
 def test_runs_holding_slices_long_runs(spark):
     """A run of 200,000 letters and digits and short ones; tokens at its start, over borders of slices, at its end."""
     r = random.Random(5)
