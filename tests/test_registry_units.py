@@ -86,6 +86,17 @@ def test_pagerank_converges_over_given_nodes(spark):
         assert all(abs(r["centrality"] - told[r["artifact_id"]]) < 2e-6 for r in got)
 
 
+def test_pagerank_of_a_graph_without_cycles_takes_few_rounds(spark, monkeypatch):
+    """Two layers with dead ends: ranks are written four times at most, whatever the dead ends hold."""
+    edges = [(f"c{i}", f"s{i * k % 7}") for i in range(20) for k in (1, 3)] + [(f"s{i}", f"p{i * k % 11}") for i in range(7) for k in (1, 2, 5)]
+    made = []
+    monkeypatch.setattr(registry, "written", lambda d, name, write=registry.written: made.append(name) or write(d, name))
+    got = registry.pagerank(spark.createDataFrame(edges, "from_artifact_id string, to_artifact_id string")).collect()
+    told = brute_ranks(edges, sorted({x for e in edges for x in e}))
+    assert len(got) == len(told) and all(abs(r["centrality"] - told[r["artifact_id"]]) < 2e-6 for r in got)
+    assert made.count("rank") <= 4
+
+
 def test_upsert_takes_the_new_access_list(spark):
     schema = "source_type string, source_uri string, content_hash string, last_seen_min long, acl_teams array<string>"
     before = spark.createDataFrame([("t", "same", "h", 1, ["a"]), ("t", "gone", "h", 1, ["b"]), ("t", "open", "h", 1, ["c"])], schema)
