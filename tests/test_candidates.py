@@ -73,3 +73,16 @@ def test_a_hot_token_makes_no_square(spark):
     assert linking._overlap_partners(sets, hubs, 60, 100).count() <= 4000 * 60
     assert linking._folder_partners(sets, hubs, 60).count() <= 4000 * 60
     assert linking.candidate_pairs(df, none).count() == 40_000
+
+
+def test_titles_meet_only_texts_with_their_neighbouring_words(spark, monkeypatch):
+    """Titles of two frequent words: texts that hold the words apart are no candidates; borders, case and odd titles as by their rules."""
+    made = {}
+    monkeypatch.setattr(linking, "written", lambda d, name, write=linking.written: made.setdefault(name, write(d, name)))
+    titles = [(1, "The and", "phrase"), (2, "the AND", "phrase"), (3, "-and then", "phrase"), (4, "a.b", "symbol"), (5, "src/x.py", "path"), (6, "one", "symbol"), (7, "!!", "phrase"), (8, "and the.", "phrase"), (9, None, "phrase"), (10, "x\\Ey z", "symbol")]
+    texts = [(1, "so the and more"), (2, "bathe andes; the, and"), (3, "THE AND"), (4, "x-and then"), (5, " -and then"), (6, "use a.b and c"), (7, "c.a.b or a.bc"), (8, "in src/x.py now"), (9, "in /src/x.py"), (10, "one"), (11, None), (12, "and the.y"), (13, "and the. "), (14, "q x\\Ey z"), (15, "none")]
+    texts += [(100 + i, f"the w{i} and v{i}") for i in range(200)]
+    told = {(1, 1), (2, 1), (1, 3), (2, 3), (3, 4), (4, 6), (5, 8), (6, 10), (8, 12), (10, 14)}
+    got = linking.titles_in_texts(spark.createDataFrame(titles, "title_id int, title string, rule string"), spark.createDataFrame(texts, "text_id int, text string"))
+    assert {tuple(r) for r in got.collect()} == told and got.count() == len(told)
+    assert made["having"].where("text_id >= 100").isEmpty()
