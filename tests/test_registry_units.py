@@ -186,6 +186,35 @@ def test_keyword_search_shuffles_only_the_best(spark, monkeypatch):
     assert take() == told
 
 
+def test_many_queries_share_what_they_have_in_common(spark, monkeypatch):
+    """300 queries of a few frequent tokens and a number each: what brute force gives, ties included; no query has rows by block."""
+    import math
+
+    from tessera.operators import scan
+
+    monkeypatch.setattr(scan, "ROWS", 64)
+    monkeypatch.setattr(scan, "RARE", 9, raising=False)
+    r = random.Random(11)
+    says = lambda k: " ".join([*r.sample(["see", "handle", "file", "in", "m1", "m2", "ation"], k), str(r.randrange(10_000))])
+    rows = [(str(i), says(1) if i % 3 == 0 else None, says(2) if i % 2 else None, says(r.randrange(5)), 0, None) for i in range(400)]
+    asked = [(f"q{i}", says(r.randrange(6)) + " see" * (i % 2)) for i in range(300)]
+    a = spark.createDataFrame(rows, "artifact_id string, title string, search_text string, body_text string, valid_from_seq int, invalidated_at_seq int").repartition(1)
+    q = spark.createDataFrame(asked, "query_id string, query_text string")
+    every = sorted({t for _, x in asked for t in x.split()})
+    weight = {(x[0], t): sum(w for k, w in ((1, 4.0), (2, 1.5), (3, 1.0)) if x[k] and t in x[k]) for x in rows for t in every}
+    gain = {t: math.log(401 / (sum(weight[x[0], t] > 0 for x in rows) + 1)) + 1 for t in every}
+    told = set()
+    for i, said in asked:
+        tokens = list(dict.fromkeys(said.split()))
+        scores = [(round(sum(gain[t] * weight[x[0], t] for t in tokens), 6), x[0]) for x in rows]
+        told |= {(i, x, s, k) for k, (s, x) in enumerate(sorted((y for y in scores if y[0] > 0), key=lambda y: (-y[0], y[1]))[:5], 1)}
+    assert {(x["query_id"], x["artifact_id"], x["score"], x["rank"]) for x in registry.keyword_search(q, a, 4, 5).collect()} == told
+    kept = scan.best_scores(scan.scanned_hits(every, a), registry.query_tokens(q), gain, every, 5)
+    assert kept.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 + 9
+    last, depth, parent, whole = scan.prefixes([[7, 3, 1], [7, 3], [], [7, 2], [4]])
+    assert (last, depth, parent, whole) == ([7, 3, 1, 2, 4], [0, 1, 2, 1, 0], [-1, 0, 1, 0, -1], [2, 1, -1, 3, 4])
+
+
 def test_runs_holding_slices_long_runs(spark):
     """A run of 200,000 letters and digits and short ones; tokens at its start, over borders of slices, at its end."""
     r = random.Random(5)
