@@ -215,6 +215,24 @@ def test_many_queries_share_what_they_have_in_common(spark, monkeypatch):
     assert (last, depth, parent, whole) == ([7, 3, 1, 2, 4], [0, 1, 2, 1, 0], [-1, 0, 1, 0, -1], [2, 1, -1, 3, 4])
 
 
+def test_pieces_of_runs_as_numbers():
+    """Words of up to 70 characters in runs, some of one number's length and just over it, against the plain search; blocks keep to their rows and hits."""
+    import pyarrow as pa
+
+    from tessera.operators import scan
+
+    r = random.Random(3)
+    some = lambda n: "".join(r.choice("ab01") for _ in range(n))
+    words = sorted({some(r.choice([1, 2, 3, 5, 11, 12, 13, 14, 30, 70])) for _ in range(300)})
+    runs = [some(r.randrange(1, 200)) + r.choice(words) + some(r.randrange(3)) for _ in range(200)]
+    assert [sorted(set(x.tolist())) for x in scan.cutter(words)(runs)] == [[i for i, w in enumerate(words) if w in x] for x in runs]
+    assert [x.tolist() for x in scan.cutter([])(["abc"])] == [[]] and scan.cutter(words)([]) == []
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(30)]), pa.array([[0] * (i % 4 or 9) for i in range(30)], pa.list_(pa.int32()))], ["id", "places"])
+    got = list(scan.blocks(iter([batch, batch]), 7, 8))
+    assert sorted(x for b in got for x in b["id"].to_pylist()) == sorted([str(i) for i in range(30)] * 2)
+    assert all(b.num_rows <= 7 and (b.num_rows == 1 or sum(map(len, b["places"].to_pylist())) <= 8) for b in got)
+
+
 def test_runs_holding_slices_long_runs(spark):
     """A run of 200,000 letters and digits and short ones; tokens at its start, over borders of slices, at its end."""
     r = random.Random(5)
