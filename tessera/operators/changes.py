@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.written import written
+from .matching import small
 from .versions import path_proximity
 
 # Sizes, tokens of a file without text, what a name says of its file, and files that all others import.
@@ -41,14 +42,15 @@ def change_targets(tasks: DataFrame, lexical: DataFrame, artifacts: DataFrame) -
     return named.unionAll(filed).unionAll(hit).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def _tests(t: DataFrame, edges: DataFrame, artifacts: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _tests(t: DataFrame, edges: DataFrame, artifacts: DataFrame, heads: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(query_id, artifact_id, path, score) of tests of each target, by stages: only targets that one leaves without a test go on."""
     tests = written(artifacts.where(text.is_test_path(F.col("path"))).select("artifact_id", "path", "body_text"), "tests")
     same = lambda d: d.where(F.coalesce(text.service_scope(F.col("target_path")) == text.service_scope(F.col("path")), F.lit(True)))
     edge = t.join(edges.where("edge_type = 'tests'"), F.col("to_artifact_id") == F.col("target_id")).select("query_id", "target_path", F.col("from_artifact_id").alias("artifact_id"), F.lit(0.9).alias("score"))
-    edge = edge.join(artifacts.select("artifact_id", "path"), "artifact_id")
+    edge = edge.join(heads.select("artifact_id", "path"), "artifact_id")
     said = tests.select("artifact_id", "path", F.explode(F.array_distinct(F.regexp_extract_all("body_text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("title"))
-    body = t.join(said, "title").select("artifact_id", "query_id", "target_path", F.lit(0.8).alias("score"), "path")
+    # Texts have many words, so the names are what moves, if they are few.
+    body = said.join(small(t), "title").select("artifact_id", "query_id", "target_path", F.lit(0.8).alias("score"), "path")
     found = written(same(edge.unionAll(body)), "covering")
     rest = written(t.join(found.select("query_id").distinct(), "query_id", "left_anti"), "uncovered")
     focused = search(rest.select("query_id", F.concat_ws(" ", F.lit("test"), "title", _stem(F.col("target_path"))).alias("query_text")))
@@ -62,28 +64,32 @@ def _tests(t: DataFrame, edges: DataFrame, artifacts: DataFrame, search: Callabl
     return every.withColumn("place", F.row_number().over(w)).where(F.col("place") <= TESTS).select("query_id", "artifact_id", "path", "score", "place")
 
 
-def dependencies(tasks: DataFrame, t: DataFrame, edges: DataFrame, artifacts: DataFrame) -> DataFrame:
+def dependencies(tasks: DataFrame, t: DataFrame, edges: DataFrame, artifacts: DataFrame, heads: DataFrame) -> DataFrame:
     """(query_id, artifact_id, path, score, place): files that the target's file imports or that import it, best first.
 
     A file counts by the symbols defined in it: each that the task names, each that the target's body uses, and each
     whose name ends like a contract (an error, a client, a config); a file that all others import counts less
     unless the task names it.  Tests, files of another service and files that count for nothing are left out.
+    ``heads``: the artifacts without their texts.
     """
     defined = written(edges.where("edge_type = 'defined_in'").select(F.col("from_artifact_id").alias("symbol_id"), F.col("to_artifact_id").alias("file_id")).distinct(), "defined")
     own = t.join(defined.withColumnRenamed("symbol_id", "target_id"), "target_id").select("query_id", "file_id")
-    by_path = t.join(artifacts.where("artifact_type = 'code_file'").select(F.col("artifact_id").alias("file_id"), F.col("path").alias("target_path")), "target_path").select("query_id", "file_id")
+    by_path = t.join(heads.where("artifact_type = 'code_file'").select(F.col("artifact_id").alias("file_id"), F.col("path").alias("target_path")), "target_path").select("query_id", "file_id")
     own = written(own.unionAll(by_path).distinct(), "target_files")
     imports = edges.where("edge_type = 'imports'").select(F.col("from_artifact_id").alias("file_id"), F.col("to_artifact_id").alias("other"))
     near = own.join(imports.unionAll(imports.select("other", "file_id")), "file_id").select("query_id", F.col("other").alias("file_id")).distinct().join(own, ["query_id", "file_id"], "left_anti")
+    # Two hops first, to titles and ids alone; texts join one row for each symbol that counts, and only those of its targets are read on.
+    titles = heads.where("title IS NOT NULL").select(F.col("artifact_id").alias("symbol_id"), "title")
+    named = written(near.join(defined, "file_id").join(titles, "symbol_id").select("query_id", "file_id", "title"), "named")
+    asked = t.select("query_id", "target_id", "target_path").join(named.select("query_id").distinct(), "query_id", "left_semi")
+    asked = written(asked.join(tasks.select("query_id", F.lower("query_text").alias("asked")), "query_id"), "asking")
     bodies = artifacts.select(F.col("artifact_id").alias("target_id"), F.lower(F.coalesce("body_text", F.lit(""))).alias("body"))
-    asked = t.select("query_id", "target_id", "target_path").join(tasks.select("query_id", F.lower("query_text").alias("asked")), "query_id").join(bodies, "target_id")
-    titles = artifacts.where("title IS NOT NULL").select(F.col("artifact_id").alias("symbol_id"), "title")
-    # Two hops first, to titles and ids alone; texts join one row for each symbol that counts.
-    symbols = near.join(defined, "file_id").join(titles, "symbol_id").join(asked, "query_id")
+    bodies = bodies.join(small(written(asked.select("target_id").distinct(), "wanted")), "target_id", "left_semi")
+    symbols = named.join(asked, "query_id").join(bodies, "target_id")
     low = F.lower("title")
     points = F.when(F.contains("asked", low), IN_TASK).otherwise(0) + F.when(F.contains("body", low), IN_TARGET).otherwise(0) + F.when(F.col("title").rlike(CONTRACT), IS_CONTRACT).otherwise(0)
     counted = symbols.groupBy("query_id", "file_id").agg(F.sum(points).alias("points"))
-    files = artifacts.select(F.col("artifact_id").alias("file_id"), "path")
+    files = heads.select(F.col("artifact_id").alias("file_id"), "path")
     j = counted.join(files, "file_id").join(asked.select("query_id", "target_path", "asked"), "query_id")
     stem = _stem(F.col("path"))
     j = j.withColumn("points", F.col("points") + F.when(stem.isin(*UBIQUITOUS) & ~F.contains("asked", stem), IS_UBIQUITOUS).otherwise(0))
@@ -101,13 +107,17 @@ def change_pack(tasks: DataFrame, edges: DataFrame, artifacts: DataFrame, search
     (query_id, artifact_id, rank) of queries (query_id, query_text).  Target and tests always stay; a dependency that no longer
     fits the budget is skipped, a later one may fit.  A file's tokens are those of all text that the artifacts of its path have.
     """
-    target = written(change_targets(tasks, search(tasks.select("query_id", "query_text")), artifacts), "targets")
-    t = target.join(artifacts.select("artifact_id", "title", F.col("path").alias("target_path")), "artifact_id").select("query_id", F.col("artifact_id").alias("target_id"), "title", "target_path", "score")
-    tests = _tests(t.drop("score"), edges, artifacts, search)
-    needed = dependencies(tasks, t, edges, artifacts)
+    # What is read many times is written once, so that texts are read only where they count.
+    tasks, edges = written(tasks.select("query_id", "query_text", "budget"), "tasks"), written(edges, "edges")
+    heads = written(artifacts.select("artifact_id", "artifact_type", "title", "path", F.length(F.coalesce("body_text", F.lit(""))).alias("chars")), "heads")
+    target = change_targets(tasks, search(tasks.select("query_id", "query_text")), heads)
+    t = target.join(heads.select("artifact_id", "title", F.col("path").alias("target_path")), "artifact_id").select("query_id", F.col("artifact_id").alias("target_id"), "title", "target_path", "score")
+    t = written(t, "targets")
+    tests = _tests(t.drop("score"), edges, artifacts, heads, search)
+    needed = dependencies(tasks, t, edges, artifacts, heads)
     role = lambda d, r: d.select("query_id", F.lit(r).alias("role"), "place", "artifact_id", "path", "score")
     chosen = role(t.select("query_id", F.lit(1).alias("place"), F.col("target_id").alias("artifact_id"), F.col("target_path").alias("path"), "score"), "target").unionAll(role(tests, "test")).unionAll(role(needed, "dependency"))
-    size = artifacts.groupBy("path").agg(F.sum(F.length(F.coalesce("body_text", F.lit("")))).alias("chars"))
+    size = heads.groupBy("path").agg(F.sum("chars").alias("chars"))
     chosen = chosen.join(size, "path", "left").withColumn("tokens", F.when(F.coalesce("chars", F.lit(0)) > 0, F.ceil(F.col("chars") / 4)).otherwise(UNKNOWN_TOKENS).cast("long"))
     chosen = written(chosen, "chosen")
     spent = chosen.where("role <> 'dependency'").groupBy("query_id").agg(F.sum("tokens").alias("spent")).join(tasks.select("query_id", "budget"), "query_id")
