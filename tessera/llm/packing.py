@@ -33,13 +33,15 @@ import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .words import chunks, split
+from .words import Words, chunks, split
 
 CAPACITY = 4096
 END_ID = 2
 #: Open windows of a task: one for each fill level on average, 16 KB each.
 MAX_OPEN = CAPACITY
 KEPT_WORDS, KEPT_IDS = 1_000_000, 8_000_000
+#: Words that go to the library at once.
+LEARNED_WORDS = 8192
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -145,7 +147,11 @@ def _pieces(word: str) -> int:
 
 
 class LibraryIds:
-    """Token ids by the tokenizers library.  A word's ids are kept by its hash, up to ``KEPT_WORDS`` words and ``KEPT_IDS`` ids."""
+    """Token ids by the tokenizers library.  A word's ids are kept by its hash, up to ``KEPT_WORDS`` words and ``KEPT_IDS`` ids.
+
+    A Python worker keeps them for its later tasks, so they lie in arrays: 24 bytes a word (the hash in sorted order, its slot,
+    where the slot's ids begin) and 4 an id.
+    """
 
     split = staticmethod(split)
 
@@ -162,7 +168,7 @@ class LibraryIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,12 +195,18 @@ class LibraryIds:
         out[~mine] = np.fromiter(chain.from_iterable(found), np.uint32)
         return out, count
 
-    def _learn(self, words: list[str], hashes: list[int]) -> None:
-        ids, count = self._encode(words)
-        n = len(self.slot)
-        self.slot.update(zip(hashes, range(n, n + len(hashes)), strict=True))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(count)])
-        self.flat = np.concatenate([self.flat, ids])
+    def _learn(self, w: Words, at: np.ndarray, hashes: np.ndarray) -> None:
+        """Keeps the ids of the words at these places; ``hashes`` are sorted, and none is known yet."""
+        ids, count = [], []
+        for low in range(0, len(at), LEARNED_WORDS):
+            i, c = self._encode([w.bytes_of(k).decode() for k in at[low : low + LEARNED_WORDS]])
+            ids.append(i)
+            count.append(c)
+        place = np.searchsorted(self.known, hashes)
+        self.slot = np.insert(self.slot, place, len(self.known) + np.arange(len(hashes)))
+        self.known = np.insert(self.known, place, hashes)
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(count))])
+        self.flat = np.concatenate([self.flat, *ids])
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
@@ -202,13 +214,14 @@ class LibraryIds:
         if not len(w.start):
             return [self.flat[:0]] * w.docs
         u, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self.slot) + len(u) > KEPT_WORDS or len(self.flat) > KEPT_IDS:
+        if len(self.known) + len(u) > KEPT_WORDS or len(self.flat) > KEPT_IDS:
             self._forget()
-        asked = u.tolist()
-        new = [k for k, h in enumerate(asked) if h not in self.slot]
-        if new:
-            self._learn([w.bytes_of(at[k]).decode() for k in new], [asked[k] for k in new])
-        slot = np.fromiter(map(self.slot.__getitem__, asked), np.int64, len(asked))[back]
+        place = np.searchsorted(self.known, u)
+        new = place == len(self.known)
+        new[~new] = self.known[place[~new]] != u[~new]
+        if new.any():
+            self._learn(w, at[new], u[new])
+        slot = self.slot[np.searchsorted(self.known, u)][back]
         size = self.begin[slot + 1] - self.begin[slot]
         end = np.cumsum(size)
         out = self.flat[np.repeat(self.begin[slot] - (end - size), size) + np.arange(end[-1])]
