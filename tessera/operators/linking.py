@@ -149,9 +149,17 @@ def _first_ids(rows: DataFrame, by: list[str], k: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("artifact_id"))).where(F.col("_r") <= k).drop("_r")
 
 
-def _overlap_partners(sets: DataFrame, hubs: DataFrame, k: int, hot: int) -> DataFrame:
+def _within(rows: DataFrame, taken: DataFrame, k: int) -> DataFrame:
+    """Rows (a, b) whose place ``_r`` is among the ``k`` first of a, or as many more as a has links (``taken``: artifact_id, links)."""
+    more = rows.join(small(taken.select(F.col("artifact_id").alias("a"), "links")), "a", "left")
+    return more.where(F.col("_r") <= k + F.coalesce("links", F.lit(0))).select("a", "b")
+
+
+def _overlap_partners(sets: DataFrame, hubs: DataFrame, k: int, hot: int, taken: DataFrame | None = None, links: int = 0) -> DataFrame:
     """Pairs (a, b) of different domains that hold each artifact's ``k`` best by token overlap, ties to smaller ids.
 
+    With ``taken`` (artifact_id, links: at most ``links``, or a hub) there are as many more for each artifact as it has links.
+
     Tokens of at most ``hot`` artifacts are joined.  Hot ones are met by class: artifacts of one domain with the same hot tokens
     and the same number of tokens overlap alike with another class, as far as hot tokens go, so of each class only the ``k``
     smallest ids can be among anybody's best, and of all classes the ``k`` best in order of overlap and id.  What shares
@@ -170,31 +178,34 @@ def _overlap_partners(sets: DataFrame, hubs: DataFrame, k: int, hot: int) -> Dat
     side = lambda x: kinds.select(F.col("kind").alias(f"kind_{x}"), F.col("domain").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.explode("hot").alias("token"))
     alike = side("a").join(side("b"), "token").where("da <> db").groupBy("kind_a", "kind_b", "na", "nb").agg(F.count("*").alias("c"))
     alike = alike.withColumn("score", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("score") >= TOKEN_FLOOR)
-    first = _first_ids(members.select(F.col("kind").alias("kind_b"), "artifact_id"), ["kind_b"], k)
-    offered = alike.join(first, "kind_b").withColumn("_r", F.row_number().over(Window.partitionBy("kind_a").orderBy(F.desc("score"), "artifact_id"))).where(F.col("_r") <= k)
-    offered = offered.select(F.col("kind_a").alias("kind"), F.col("artifact_id").alias("b"))
-    return met.unionAll(members.select("kind", F.col("artifact_id").alias("a")).join(offered, "kind").select("a", "b"))
+    first = _first_ids(members.select(F.col("kind").alias("kind_b"), "artifact_id"), ["kind_b"], k + links)
+    offered = alike.join(first, "kind_b").withColumn("_r", F.row_number().over(Window.partitionBy("kind_a").orderBy(F.desc("score"), "artifact_id"))).where(F.col("_r") <= k + links)
+    offered = members.select("kind", F.col("artifact_id").alias("a")).join(offered.select(F.col("kind_a").alias("kind"), F.col("artifact_id").alias("b"), "_r"), "kind")
+    return met.unionAll(offered.select("a", "b") if taken is None else _within(offered, taken, k))
 
 
-def _folder_partners(sets: DataFrame, hubs: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b): each artifact with the ``k`` smallest ids of its folder in other domains; hubs with all of them."""
+def _folder_partners(sets: DataFrame, hubs: DataFrame, k: int, taken: DataFrame | None = None, links: int = 0) -> DataFrame:
+    """Pairs (a, b): each artifact with the ``k`` smallest ids of its folder in other domains, and as many more as it has links; hubs with all of them."""
     f = sets.where("folder IS NOT NULL").select("artifact_id", "domain", "folder")
     other = F.explode(F.filter(F.array(*map(F.lit, DOMAINS)), lambda d: d != F.col("domain"))).alias("domain")
-    first = _first_ids(f.select("artifact_id", "folder", other), ["folder", "domain"], k).withColumnRenamed("artifact_id", "b")
-    near = f.withColumnRenamed("artifact_id", "a").join(first, ["folder", "domain"]).select("a", "b")
+    # A folder's rows for a domain are those of all others, so a place counts all that the domain may take.
+    first = f.select("artifact_id", "folder", other).withColumn("_r", F.row_number().over(Window.partitionBy("folder", "domain").orderBy("artifact_id"))).where(F.col("_r") <= k + links)
+    near = f.withColumnRenamed("artifact_id", "a").join(first.withColumnRenamed("artifact_id", "b"), ["folder", "domain"])
+    near = near.select("a", "b") if taken is None else _within(near, taken, k)
     of_hubs = f.join(hubs, "artifact_id", "left_semi").toDF("a", "da", "folder").join(f.toDF("b", "db", "folder"), "folder").where("da <> db").select("a", "b")
     return near.unionAll(of_hubs)
 
 
-def _named_partners(named: DataFrame, needles: DataFrame, hubs: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b): each artifact with the ``k`` smallest ids of other domains that its text names; hubs with all of them.
+def _named_partners(named: DataFrame, needles: DataFrame, hubs: DataFrame, k: int, taken: DataFrame | None = None, links: int = 0) -> DataFrame:
+    """Pairs (a, b): each artifact with the ``k`` smallest ids of other domains that its text names, and as many more as it has links; hubs with all of them.
 
     Named pairs score alike but for what other generators find, so larger ids can't be among anybody's best.  ``named``: a, needle;
     ``needles``: artifact_id, domain, needle.
     """
     n = named.join(needles.select(F.col("artifact_id").alias("a"), F.col("domain").alias("da")), "a")
-    first = small(written(_first_ids(needles, ["needle", "domain"], k).toDF("b", "db", "needle"), "first"))
-    near = n.join(first, "needle").where("da <> db").withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("_r") <= k).select("a", "b")
+    first = small(written(_first_ids(needles, ["needle", "domain"], k + links).toDF("b", "db", "needle"), "first"))
+    near = n.join(first, "needle").where("da <> db").withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("_r") <= k + links)
+    near = near.select("a", "b") if taken is None else _within(near, taken, k)
     of_hubs = n.join(hubs.toDF("a"), "a", "left_semi").join(needles.toDF("b", "db", "needle"), "needle").where("da <> db").select("a", "b")
     return near.unionAll(of_hubs)
 
@@ -208,7 +219,7 @@ def candidate_pairs(artifacts: DataFrame, existing: DataFrame, similar: DataFram
     best pairs: that bound is the operator's result.
 
     Generators offer, for each signal, all pairs that may be among an artifact's best, never all pairs of a token or a
-    folder: links take up to ``links`` places away, and artifacts with more links (hubs) meet all they may.
+    folder: an artifact's own links take as many places away, and artifacts with more than ``links`` (hubs) meet all they may.
     """
     a = artifacts.select("artifact_id", "title", "body_text", "path", "external_id", domain(F.col("source_type"), F.col("artifact_type"), F.col("path")).alias("domain"))
     a = written(a, "linkable")
@@ -217,12 +228,13 @@ def candidate_pairs(artifacts: DataFrame, existing: DataFrame, similar: DataFram
     sets = a.select("artifact_id", "domain", F.array_distinct(F.filter(parts, lambda t: F.length(t) >= 3)).alias("tokens"), folder.alias("folder")).withColumn("n", F.size("tokens"))
     sets = written(sets, "sets")
     known = written(existing.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct(), "linked")
-    hubs = written(known.select(F.explode(F.array("p", "q")).alias("artifact_id")).groupBy("artifact_id").count().where(F.col("count") > links).select("artifact_id"), "hubs")
+    taken = written(known.select(F.explode(F.array("p", "q")).alias("artifact_id")).groupBy("artifact_id").agg(F.count("*").alias("links")), "taken")
+    hubs = written(taken.where(F.col("links") > links).select("artifact_id"), "hubs")
     needle = F.lower(F.coalesce(F.nullif("path", F.lit("")), F.nullif("title", F.lit("")), F.lit("")))
     needles = written(a.select("artifact_id", "domain", F.when(F.length(needle) >= 4, needle).otherwise("").alias("needle")), "needles")
     told = a.select(F.col("artifact_id").alias("text_id"), F.lower("body_text").alias("text")).where("text <> ''")
     named = written(strings_in_texts(needles.select("needle"), told).toDF("a", "needle"), "named")
-    offered = _overlap_partners(sets, hubs, fan_out + links, hot).unionAll(_folder_partners(sets, hubs, fan_out + links)).unionAll(_named_partners(named, needles, hubs, fan_out + links))
+    offered = _overlap_partners(sets, hubs, fan_out, hot, taken, links).unionAll(_folder_partners(sets, hubs, fan_out, taken, links)).unionAll(_named_partners(named, needles, hubs, fan_out, taken, links))
     none = F.lit(None).cast("double")
     if similar is not None:
         near = similar.where(F.col("similarity") >= EMBEDDING_FLOOR).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
